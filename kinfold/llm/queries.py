@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, line_dedup
+from . import bpe_codec, line_dedup, prefix_counts, token_planes
 from .common import table
 
 
@@ -21,6 +21,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_planes.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_planes.read_files(files)
+
+
+def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), budget=2048)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_chars", "fit_chars")
+
+
 OP7_SQL = """
 WITH lines AS (
   SELECT doc_id, i AS pos, l AS line,
@@ -40,6 +50,8 @@ FROM marked GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_line_dedup": op7_line_dedup,
+    "op9_token_planes": op9_token_planes,
+    "op10_prefix_counts": op10_prefix_counts,
 }
 
 ORACLES: dict[str, str] = {
