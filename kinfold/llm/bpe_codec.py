@@ -31,7 +31,7 @@ from .common import arrow_map, text_of
 #: Words up to this many bytes use the scanned rank array.
 LONG = 256
 #: Entries of the cache from text unit to ids that each Python worker holds at most.
-CACHE = 400_000
+CACHE = 800_000
 
 # The white space of the pre-tokenisation pattern and the pattern itself.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -44,7 +44,7 @@ UNSURE = re.compile(
     "\U00010000-\U0001efff\U0001fb00-\U0010ffff]"
 )
 
-_LOADED: dict[str, "ByteBpe"] = {}
+_LOADED: dict[tuple[type, str], "ByteBpe"] = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -74,9 +74,9 @@ class ByteBpe:
 
     @classmethod
     def load(cls, path: str) -> "ByteBpe":
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        if (cls, path) not in _LOADED:
+            _LOADED[cls, path] = cls(path)
+        return _LOADED[cls, path]
 
     @property
     def library(self):
@@ -108,6 +108,10 @@ class ByteBpe:
                 ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
         return ids, starts
 
+    def ids(self, piece: str) -> list[int]:
+        """Ids of one pre-tokenised piece."""
+        return self.merge(piece.encode())[0]
+
     def _merge_long(self, ids: list[int]) -> tuple[list[int], list[int]]:
         n, get = len(ids), self.pairs.get
         right, left = [*range(1, n + 1)], [*range(-1, n - 1)]
@@ -130,7 +134,7 @@ class ByteBpe:
     def _unit(self, unit: str) -> bytes:
         ids = array("I")
         for piece in PIECE.findall(unit):
-            ids.extend(self.merge(piece.encode())[0])
+            ids.extend(self.ids(piece))
         out = ids.tobytes()
         if len(self.cache) >= self.limit:
             self.cache.clear()
@@ -158,6 +162,18 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
 
 
+class LibraryBpe(ByteBpe):
+    """The same cutting and cache, with the tokenizers library's own model for the words that the cache lacks."""
+
+    def __init__(self, path: str, cache: int = CACHE):
+        super().__init__(path, cache)
+        self.tokenize = self.library.model.tokenize
+        self.letter_of = {b: c for b, c in byte_letters().items()}
+
+    def ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letter_of))]
+
+
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): the whole text's ids as packed little-endian unsigned 32-bit integers."""
     schema = StructType([StructField(key, df.schema[key].dataType), StructField("ids", BinaryType())])

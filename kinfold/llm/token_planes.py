@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import CACHE, UNIT, UNSURE
+from .bpe_codec import LibraryBpe
 from .common import staged, text_of
 
 MAGIC = b"KFP1"
@@ -41,59 +41,6 @@ FILE_IDS = 1 << 22
 TRAILER = struct.Struct("<QIQIII")
 
 
-class LibraryBpe:
-    """The tokenizers library behind a bounded cache of text units (see ``bpe_codec.UNIT``).
-
-    Units that the cache lacks are encoded by the library in one call, joined by line
-    ends; a line end is always a piece of its own, so the ids between two are a unit's.
-    """
-
-    def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        (self.cut,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.cache, self.limit = {}, cache
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        new = {}
-        for u in [u for u in units if u.isspace()]:
-            new[u] = self._whole(u)
-        rest = [u for u in units if u not in new]
-        groups = [rest[i : i + 2000] for i in range(0, len(rest), 2000)]
-        for group, got in zip(groups, self.library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            packed, at = ids.tobytes(), 0
-            for u, end in zip(group, [*np.flatnonzero(ids == self.cut).tolist(), len(ids)], strict=True):
-                new[u] = packed[4 * at : 4 * end]
-                at = end + 1
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        units = [
-            None if any(s in t for s in self.specials) or not t.isascii() and UNSURE.search(t) else UNIT.findall(t)
-            for t in texts
-        ]
-        seen = set()
-        for u in units:
-            if u:
-                seen.update(u)
-        known = self.cache
-        new = self._learn([*seen.difference(known)])
-        if len(known) + len(new) > self.limit:  # what this call needs stays at hand
-            known = {u: known[u] for u in seen if u in known}
-        known.update(new)
-        self.cache = known
-        get = known.__getitem__
-        return [self._whole(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, units)]
-
-
 def pack(keys: list[int | None], ids: list[bytes]) -> bytes:
     """The bytes of one file from document keys and their packed 32-bit ids."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -152,7 +99,7 @@ def write_files(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id",
     """Encode, append ``end_id`` to each document and store; (part, seq, n_ids, file), read back from the store."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part = LibraryBpe(path), TaskContext.get().partitionId()
+        bpe, part = LibraryBpe.load(path), TaskContext.get().partitionId()
         end = struct.pack("<I", end_id)
         keys, ids, held, seq = [], [], 0, 0
 
@@ -164,7 +111,8 @@ def write_files(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024).to_pydict()
-                for k, x in zip(rows[key], bpe.encode(rows[text])):
+                for k, t in zip(rows[key], rows[text]):
+                    x = bpe.encode(t)
                     keys.append(k)
                     ids.append(x + end)
                     held += len(x) // 4 + 1
