@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, line_dedup, phrase_index, prefix_counts, token_planes
+from . import bpe_codec, html_text, line_dedup, phrase_index, prefix_counts, token_planes, toxicity
 from .common import table
 
 
@@ -53,6 +53,10 @@ FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -62,6 +66,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_planes.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_planes.read_files(files)
@@ -90,8 +98,10 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_phrase_index": op3_phrase_index,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_text": op8_html_text,
     "op9_token_planes": op9_token_planes,
     "op10_prefix_counts": op10_prefix_counts,
 }
