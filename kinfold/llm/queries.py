@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_text, line_dedup, phrase_index, prefix_counts, token_planes, toxicity
+from . import bpe_codec, html_text, line_dedup, order_minhash, phrase_index, prefix_counts, token_planes, toxicity
 from .common import table
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = order_minhash.classes(table(spark, sf_dir, "documents"), similarity=0.8)
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrase_index.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -97,6 +102,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_order_minhash": op2_order_minhash,
     "op3_phrase_index": op3_phrase_index,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_codec": op6_bpe_codec,
