@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from itertools import accumulate, pairwise
 
 import numpy as np
 import regex
@@ -40,8 +41,9 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\
 SPACES = re.compile(rf"[{WS}]+")
 #: Contractions are cut as whole pieces but not when they are cut short.
 SHORT = {"'re", "'ve", "'ll"}
-#: Bounds of each Python worker's caches: text units, and word prefixes.
-UNITS, PREFIXES, PAIRS = 250_000, 250_000, 500_000
+#: Bounds of each Python worker's caches: text units, and pairs of parts.
+UNITS, PAIRS = 800_000, 1_000_000
+NONE = 0xFFFFFFFF
 WIDTHS = {1: "i1", 4: "<i4"}
 
 _LOADED: dict[str, "PrefixCounter"] = {}
@@ -49,6 +51,7 @@ _LOADED: dict[str, "PrefixCounter"] = {}
 
 class PrefixCounter:
     def __init__(self, path: str):
+        import ahocorasick
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -58,15 +61,28 @@ class PrefixCounter:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         #: (left, right) -> merge order; the merged part is the two joined.
         self.order = {(a, b): k for k, (a, b) in reversed([*enumerate(merges)])}
-        self.vocab = model["vocab"]
+        self.specials = [x["content"] for x in spec["added_tokens"]]
+        self.parts_of = {i: p for p, i in model["vocab"].items() if p not in self.specials}
+        #: Finds every part that ends at a letter: (length, id within a word or -1, id at a word's end or -1).
+        self.ending = ahocorasick.Automaton()
+        inner, last = {}, {}
+        for i, p in self.parts_of.items():
+            if self.end and p.endswith(self.end):
+                last[p[: -len(self.end)]] = i
+            else:
+                inner[p] = i
+        for p in inner.keys() | last.keys():
+            if p:
+                self.ending.add_word(p, (len(p), inner.get(p, -1), last.get(p, -1) if self.end else inner.get(p, -1)))
+        self.ending.make_automaton()
         self.letters = byte_letters()
-        self.longest = max(map(len, self.vocab))
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.specials = [x["content"] for x in spec["added_tokens"]]
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
-        self.units, self.prefixes, self.pairs = {}, {}, {}
+        self.units: dict[str, tuple[bytes, np.ndarray | None]] = {}
+        #: (left id << 32 | right id) -> whether the two are an encoding; left NONE: the right one alone.
+        self.pairs: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> "PrefixCounter":
@@ -94,46 +110,33 @@ class PrefixCounter:
             return [*body[:-1], body[-1] + self.end]
         return [*part]
 
-    def _fits(self, a: str, b: str) -> bool:
-        """Whether ``a`` then ``b`` (or ``b`` alone) is the encoding of the two joined."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            want = [a, b] if a else [b]
-            got = self.pairs[a, b] = self.parts([x for p in want for x in self._spell(p)]) == want
+    def _fits(self, key: int) -> bool:
+        """Whether part ``key >> 32``, then part ``key & NONE``, is the encoding of the two joined."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        want = [self.parts_of[i] for i in (key >> 32, key & NONE) if i != NONE]
+        got = self.pairs[key] = self.parts([x for p in want for x in self._spell(p)]) == want
         return got
 
-    def _prefix(self, word: str) -> tuple[str, int, int]:
-        """(last part of the open encoding, its count, count of the closed encoding) of a prefix in byte letters."""
-        got = self.prefixes.get(word)
-        if got is not None:
-            return got
-        # Missing shorter prefixes first, without recursion.
+    def _table(self, word: str) -> list[int]:
+        """Closed counts of the prefixes of 0, 1, 2, ... byte letters of a word."""
         n = len(word)
-        k = n
-        while k > 0 and word[:k] not in self.prefixes:
-            k -= 1
-        local: dict[int, tuple[str, int, int]] = {}
-        at = lambda j: local[j] if j in local else ("", 0, 0) if j == 0 else self._prefix(word[:j])
-        for i in range(k + 1, n + 1):
-            found: list[tuple[str, int]] = []
-            for end in ("", self.end):
-                for j in range(max(0, i - self.longest), i):
-                    part = word[j:i] + end
-                    if part in self.vocab:
-                        last, count, _ = at(j)
-                        if self._fits(last, part):
-                            found.append((part, count + 1))
-                            break
-                else:
-                    raise ValueError(f"no encoding of {word[:i]!r}")
-            local[i] = (found[0][0], found[0][1], found[1][1])
-        if len(self.prefixes) >= PREFIXES:
-            self.prefixes.clear()
-        for i, x in local.items():
-            self.prefixes[word[:i]] = x
-        return self.prefixes[word] if word in self.prefixes else local[n]
+        last, count, closed = [NONE] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        get, fits = self.pairs.get, self._fits
+        for at, (size, inner, end) in self.ending.iter(word):
+            i, j = at + 1, at + 1 - size
+            if j and not count[j]:
+                continue
+            left = last[j] << 32
+            if inner >= 0 and not count[i]:
+                ok = get(left | inner)
+                if fits(left | inner) if ok is None else ok:
+                    last[i], count[i] = inner, count[j] + 1
+            if end >= 0 and not closed[i]:
+                ok = get(left | end)
+                if fits(left | end) if ok is None else ok:
+                    closed[i] = count[j] + 1
+        return closed
 
     def piece(self, piece: str) -> list[int]:
         """Counts of every non-empty prefix (in code points) of one pre-tokenised piece."""
@@ -143,37 +146,23 @@ class PrefixCounter:
         return self._closed(piece)
 
     def _closed(self, piece: str) -> list[int]:
-        letters, out = "", []
-        for c in piece:
-            letters += "".join(map(self.letters.__getitem__, c.encode()))
-            out.append(letters)
-        if len(letters) > 400:  # one pass over a long piece, without filling the cache of prefixes
-            return self._long(letters, {len(x) for x in out})
-        self._prefix(letters)
-        return [self._prefix(x)[2] for x in out]
-
-    def _long(self, word: str, ends: set[int]) -> list[int]:
-        table, out = [("", 0)], []
-        for i in range(1, len(word) + 1):
-            for end in ("", self.end) if i in ends else ("",):
-                for j in range(max(0, i - self.longest), i):
-                    if (part := word[j:i] + end) in self.vocab and self._fits(table[j][0], part):
-                        if end or not self.end:
-                            out.append(table[j][1] + 1)
-                        if not end:
-                            table.append((part, table[j][1] + 1))
-                        break
-        return out
+        if piece.isascii() and piece.isprintable():
+            return self._table(piece)[1:]
+        sizes = [len(c.encode()) for c in piece]
+        closed = self._table("".join(map(self.letters.__getitem__, piece.encode())))
+        return [closed[i] for i in accumulate(sizes)]
 
     def _unit(self, unit: str) -> tuple[bytes, np.ndarray | None]:
         """Differences of the counts along a run without white space; the array if a byte can't hold them."""
-        counts, base = [], 0
+        counts, base = [0], 0
         for p in PIECE.findall(unit):
             counts += [base + c for c in self.piece(p)]
             base = counts[-1]
-        wide = np.diff(np.array([0, *counts], "<i8"))
-        small = wide.astype("i1")
-        out = (small.tobytes(), None if (small == wide).all() else wide)
+        steps = [b - a for a, b in pairwise(counts)]
+        if max(steps) < 128 and min(steps) >= -128:
+            out = (bytes([x & 255 for x in steps]), None)
+        else:
+            out = (b"", np.array(steps, "<i8"))
         if len(self.units) >= UNITS:
             self.units.clear()
         if len(unit) < 64:
