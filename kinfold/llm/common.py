@@ -65,6 +65,17 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _row): all other columns as one struct, so that no name can clash with an operator's own."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("int")).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns that ``packed`` took, in their order, to select from ``df``."""
+    return [df[c] if c in ("doc_id", "text") else df["_row"][c].alias(c) for c in columns]
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does it for pure ASCII; other strings go letter by letter."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, text_of
+from .common import ascii_lower, packed, staged, text_of, unpacked
 
 #: Characters stripped at both ends of a key (fixed values).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -100,10 +100,12 @@ def runs(drops: Column, n: Column) -> Column:
 def dedup(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFrame:
     """``df`` with ``n_lines``, ``n_dropped`` and ``kept``, the text of the kept lines.
 
-    Columns of ``df`` stay. ``keep_runs`` is the compressed bitmap.
+    ``keep_runs`` is the compressed bitmap. Columns of ``df`` come first and as they are; if
+    one has the name of a new column, both are there, as in a join.
     """
     bitmaps = keep_bitmaps(df, min_chars, hot).select(F.col("doc_id").alias("_drop_doc"), F.col("drops").alias("_drops"))
-    joined = df.join(bitmaps, df["doc_id"] == F.col("_drop_doc"), "left").drop("_drop_doc")
+    rows = packed(df)
+    joined = rows.join(bitmaps, rows["doc_id"] == F.col("_drop_doc"), "left").drop("_drop_doc")
     none = F.array().cast("array<int>")
     out = joined.withColumn("_lines", lines_of(text_of())).withColumn("_drops", F.coalesce("_drops", none))
     n = F.size("_lines")
@@ -115,9 +117,21 @@ def dedup(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFrame:
     )
     kept = F.when(F.size("_drops") == 0, text_of()).otherwise(F.array_join(F.flatten(parts), "\n"))
     return out.select(
-        *df.columns,
+        *unpacked(out, df.columns),
         n.cast("long").alias("n_lines"),
         F.size("_drops").cast("long").alias("n_dropped"),
         F.when(F.size("_drops") == 0, F.array(n)).otherwise(runs(F.col("_drops"), n)).alias("keep_runs"),
         kept.alias("kept"),
     )
+
+
+def deduplicated(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFrame:
+    """``df`` with the kept lines as ``text``, and ``n_chars``, if there, their code points."""
+    rows = df.select("doc_id", "text", F.struct(*df.columns).alias("_row"))
+    out = dedup(rows, min_chars, hot)
+    text = F.when(out["n_dropped"] > 0, out["kept"]).otherwise(out["text"])
+    new = {"text": text}
+    if "n_chars" in df.columns:
+        kind = df.schema["n_chars"].dataType
+        new["n_chars"] = F.when(out["n_dropped"] > 0, F.char_length("kept").cast(kind)).otherwise(out["_row"]["n_chars"])
+    return out.select(*[(new[c] if c in new else out["_row"][c]).alias(c) for c in df.columns])

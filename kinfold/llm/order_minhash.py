@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import arrow_map, staged, text_of
+from .common import arrow_map, packed, staged, text_of, unpacked
 from .components import components
 
 K, SKETCHES, PICK, SIMILARITY = 5, 24, 3, 0.8
@@ -271,4 +271,6 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are first of their class, and those without an id; columns as they are."""
     gone = classes(docs, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = packed(docs)
+    rows = rows.join(gone, rows["doc_id"] == F.col("_gone"), "left_anti")
+    return rows.select(*unpacked(rows, docs.columns))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, text_of
+from .common import ascii_lower, packed, staged, text_of, unpacked
 
 #: What lies between words once A-Z are lower case (fixed values).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -125,11 +125,12 @@ def proximity(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 3) ->
 
 
 def _compared(docs: DataFrame, items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with _w, its words, and _exact, its verified (phrase, n, starts); the phrases' items)."""
+    """(``docs``, packed, with _w, its words, and _exact, its verified (phrase, n, starts); the phrases' items)."""
     found, owners, picked, index = build(docs, items, n)
     near = starts_of(index, picked).join(small(found), "phrase")
     by_doc = near.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("phrase", "words", "starts")).alias("_near"))
-    w = docs.join(by_doc, docs["doc_id"] == F.col("_doc"), "left").drop("_doc").withColumn("_w", words(text_of()))
+    rows = packed(docs)
+    w = rows.join(by_doc, rows["doc_id"] == F.col("_doc"), "left").drop("_doc").withColumn("_w", words(text_of()))
     exact = F.filter(
         F.transform(
             F.col("_near"),
@@ -150,7 +151,8 @@ def _compared(docs: DataFrame, items: DataFrame, n: int) -> tuple[DataFrame, Dat
 def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The rows of ``docs`` that hold no phrase of ``items``, with their columns as they are."""
     w, _ = _compared(docs, items, n)
-    return w.where(F.coalesce(F.size("_exact"), F.lit(0)) <= 0).select(*docs.columns)
+    w = w.where(F.coalesce(F.size("_exact"), F.lit(0)) <= 0)
+    return w.select(*unpacked(w, docs.columns))
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:

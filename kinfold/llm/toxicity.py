@@ -5,7 +5,7 @@ a word are trained by interpolated Kneser-Ney; the orders above ``SHARED`` have
 their own for each class, the lower ones are shared, so rare and new expressions are
 smoothed through common backoff counts. The two log-likelihoods of each word, and of the
 whole text, are compared after division by their number of letters. A text's evidence is
-its length-normalised difference as a whole, and its strongest words' differences; a
+its length-normalised difference as a whole, and its two strongest words' differences; a
 logistic curve, fitted on labelled texts that the models have not seen, turns it into a
 score between 0 and 1.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_map, text_of
+from .common import arrow_map, packed, text_of, unpacked
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 #: Labelled texts of each class that are learned from, at most.
@@ -118,13 +118,10 @@ class KneserNey:
         get, slow = self.words.get, self.word
         each = [x if (x := get(w)) is not None else slow(w) for w in words]
         best = max(each)
-        each_sum = math.fsum(each)
-        at = each.index(best)
-        other = words[at]
-        each[at] = -1e9
+        total = math.fsum(each)
+        each[each.index(best)] = -1e9
         second = max(each) if len(each) > 1 else 0.0
-        del other
-        return each_sum / (sum(map(len, words)) + len(words)), best, second
+        return total / (sum(map(len, words)) + len(words)), best, second
 
 
 def held_out(key: Column, fold: int = 3, rest: int = 1) -> Column:
@@ -181,15 +178,12 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 5
     return w
 
 
-def score(docs: DataFrame, model: dict | None, key: str = "doc_id") -> DataFrame:
-    """``key`` and ``score`` of every text; with ``key`` '*' all columns of ``docs`` and ``score``."""
-    cols = docs.columns if key == "*" else [key]
+def score(docs: DataFrame, model: dict | None, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``cols`` and ``score`` of every text."""
     if model is None:
         return docs.select(*cols, F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    # ``score`` may be a column of ``docs`` already; the new one then takes its place.
-    fields = [docs.schema[c] for c in cols if c != "score"]
-    names = [f.name for f in fields]
+    fields, names = [docs.schema[c] for c in cols], [*cols]
     schema = StructType([*fields, StructField("score", DoubleType())])
 
     def make():
@@ -219,5 +213,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: i
 
 def ordinary(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with their columns as they are."""
-    scored = score(docs, fit(docs, labels, rows), "*")
-    return scored.where(F.col("score") < threshold).select(*[c for c in docs.columns])
+    scored = score(packed(docs), fit(docs, labels, rows), ("doc_id", "text", "_row")).where(F.col("score") < threshold)
+    return scored.select(*unpacked(scored, docs.columns))
