@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_text, line_dedup, order_minhash, phrase_index, prefix_counts, token_planes, toxicity
+from . import bpe_codec, html_text, line_dedup, order_minhash, phrase_index, pitman_yor, prefix_counts, token_planes, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -104,6 +108,7 @@ FROM marked GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_order_minhash": op2_order_minhash,
     "op3_phrase_index": op3_phrase_index,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_line_dedup": op7_line_dedup,
