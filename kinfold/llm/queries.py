@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_text, line_dedup, order_minhash, phrase_index, pitman_yor, prefix_counts, token_planes, toxicity
+from . import bpe_codec, html_text, line_dedup, media_chunks, order_minhash, phrase_index, pitman_yor, prefix_counts, token_planes, toxicity
 from .common import table
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media(table(spark, sf_dir, "documents"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = order_minhash.classes(table(spark, sf_dir, "documents"), similarity=0.8)
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -106,6 +110,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_chunks": op1_media_chunks,
     "op2_order_minhash": op2_order_minhash,
     "op3_phrase_index": op3_phrase_index,
     "op4_pitman_yor": op4_pitman_yor,
