@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from kinfold.plans import screen_queries, survey_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**screen_queries.QUERIES, **survey_queries.QUERIES}
+ORACLES: dict[str, str] = {**screen_queries.ORACLES, **survey_queries.ORACLES}
