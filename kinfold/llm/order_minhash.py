@@ -29,7 +29,7 @@ import re
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +39,10 @@ from .common import arrow_map, packed, staged, text_of, unpacked
 from .components import components
 
 K, SKETCHES, PICK, SIMILARITY = 5, 24, 3, 0.8
-#: Agreeing sketches below which a pair isn't aligned: at similarity 0.8 one pair in 10^5 has fewer.
-AGREE = 3
+#: Before two texts are aligned they must agree on this many sketches, and share this part of their
+#: outlines (the least k-mer of each of ``CELLS`` hash cells). Of pairs at similarity 0.8 fewer than one
+#: in 10^4 fails: sketches agree with probability 0.51, the outline's share has a deviation of 0.035.
+AGREE, CELLS, ALIKE = 3, 128, 0.65
 #: Members of a bucket that one task compares with each other.
 BLOCK = 4096
 CACHE = 400_000
@@ -114,6 +116,25 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def outline(h: np.ndarray) -> bytes:
+    """16 bits of the least labelled k-mer of each hash cell; 0 for an empty cell."""
+    v = np.sort(h)
+    cell, first = np.unique(v % np.uint64(CELLS), return_index=True)
+    out = np.zeros(CELLS, "u2")
+    out[cell.astype("i8")] = ((v[first] >> np.uint64(17)) & np.uint64(0xFFFF)).astype("u2") | 1
+    return out.tobytes()
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether outlines (rows) share enough of the cells that either fills."""
+    same = ((x == y) & (x > 0)).sum(1)
+    return same >= ALIKE * ((x > 0) | (y > 0)).sum(1)
+
+
+def outlines(cells: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), "u2").reshape(-1, CELLS)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
     """Order-sensitive similarity of two labelled k-mer sequences; exact where it reaches ``similarity``."""
     n = len(a) + len(b)
@@ -138,25 +159,27 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, n, sketch) of every document with an id."""
+    """(doc_id, print, n, sketch, outline) of every document with an id."""
     schema = StructType(
         [
             StructField("doc_id", LongType()),
             StructField("print", BinaryType()),
             StructField("n", IntegerType()),
             StructField("sketch", ArrayType(LongType())),
+            StructField("outline", BinaryType()),
         ]
     )
 
     def make():
         def work(rows):
-            out = {"doc_id": rows["doc_id"], "print": [], "n": [], "sketch": []}
+            out = {"doc_id": rows["doc_id"], "print": [], "n": [], "sketch": [], "outline": []}
             for t in rows["text"]:
                 w = words(t)
                 out["print"].append(xxhash.xxh3_128_digest("\n".join(w) if w else f"\0{t}"))
                 h = kmers(w)
                 out["n"].append(len(h))
                 out["sketch"].append(sketch(h).view("i8") if len(h) else np.zeros(0, "i8"))
+                out["outline"].append(outline(h))
             return out
 
         return work
@@ -191,42 +214,78 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     return arrow_map(both, schema, make, rows=64).where("same").select("a", "b").distinct()
 
 
-def _across(block: int = BLOCK):
-    def pairs(key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one block pair in different components that agree on enough sketches."""
-        rows = rows.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-        ids, roots, n, side = (rows[c].to_numpy() for c in ("doc_id", "root", "n", "side"))
-        s = np.stack(rows["sketch"].to_list())
-        i, j = key[1], key[2]
-        biggest = pd.Series(roots).mode().iloc[0]
-        found = []
-        for k in range(len(ids)):
-            # A pair is looked at from its member outside the largest component, once.
-            if roots[k] == biggest:
-                continue
-            other = (roots != roots[k]) & ((roots == biggest) | (ids > ids[k]))
-            other &= (side != side[k]) if i != j else True
-            other &= (np.minimum(n, n[k]) >= SIMILARITY * np.maximum(n, n[k]))
-            at = np.flatnonzero(other)
-            at = at[(s[at] == s[k]).sum(1) >= AGREE]
-            found += [(min(ids[k], x), max(ids[k], x)) for x in ids[at].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return pairs
+def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sketches and outlines leave it open that they are similar."""
+    side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"), F.col("outline").alias(f"o_{c}"))
+    enough = (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("s_a", "s_b")) >= AGREE)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b", "o_a", "o_b")
+    schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("open", BooleanType())])
+
+    def make():
+        return lambda rows: {"a": rows["a"], "b": rows["b"], "open": alike(outlines(rows["o_a"]), outlines(rows["o_b"])) if rows["a"] else []}
+
+    return arrow_map(both, schema, make, rows=4096).where("open").select("a", "b")
+
+
+def _near_misses(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs of whole groups of ``t`` in different components that may be similar.
+
+    Rows of a group stand together, so the pairs at distance 1, 2, ... in the table are
+    compared for all groups at once.
+    """
+    bucket, i, j, side, ids, root, n = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "doc_id", "root", "n"))
+    sk = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+    out = outlines(t.column("outline").to_pylist())
+    fresh = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    group = np.r_[0, np.cumsum(fresh)]
+    found_a, found_b = [], []
+    for d in range(1, len(ids)):
+        same = group[d:] == group[:-d]
+        if not same.any():
+            break
+        low, high = np.minimum(n[d:], n[:-d]), np.maximum(n[d:], n[:-d])
+        ok = same & (root[d:] != root[:-d]) & (low >= SIMILARITY * high) & ((i == j)[d:] | (side[d:] != side[:-d]))
+        at = np.flatnonzero(ok)
+        at = at[(sk[at] == sk[at + d]).sum(1) >= AGREE]
+        at = at[alike(out[at], out[at + d])]
+        if len(at):
+            found_a.append(np.minimum(ids[at], ids[at + d]))
+            found_b.append(np.maximum(ids[at], ids[at + d]))
+    return found_a, found_b
+
+
+def _across(batches):
+    """(a, b) from rows sorted by (bucket, i, j); at most one group is held over from batch to batch."""
+    held: pa.Table | None = None
+
+    def result(t: pa.Table):
+        a, b = _near_misses(t)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        if not t.num_rows:
+            continue
+        keys = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        last = np.logical_and.reduce([k == k[-1] for k in keys])
+        start = int(np.argmax(last))
+        held = t.slice(start)
+        if start:
+            yield from result(t.slice(0, start))
+    if held is not None and held.num_rows > 1:
+        yield from result(held)
 
 
 def links(known: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links among the distinct texts of ``known`` (doc_id, n, sketch), enough to give every component."""
+    """Links among the distinct texts of ``known`` (doc_id, n, sketch, outline), enough to give every component."""
     sk = known.where("n > 0")
     keyed = sk.select("doc_id", F.explode("sketch").alias("bucket"))
     shared = staged(keyed.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = staged(keyed.join(shared, "bucket"), "members")
     met = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    side = lambda c: sk.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    alike = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (
-        F.size(F.array_intersect("s_a", "s_b")) >= AGREE
-    )
-    pairs = staged(met.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "pairs")
+    pairs = staged(likely(met, sk), "pairs")
     sure = staged(verify(pairs, docs, similarity), "near")
 
     # Buckets that still hold several components.
@@ -248,9 +307,13 @@ def links(known: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         .withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root")
-        .join(sk.select("doc_id", "n", "sketch"), "doc_id")
+        .join(sk.select("doc_id", "n", "sketch", "outline"), "doc_id")
+        .select("bucket", "i", "j", "side", "doc_id", "root", "n", "sketch", "outline")
     )
-    more = rows.groupBy("bucket", "i", "j").applyInPandas(_across(), "a long, b long").distinct()
+    # The work grows with the pairs of a bucket, not with its bytes: a number of partitions of its own.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = rows.mapInArrow(_across, "a long, b long").distinct()
     more = staged(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     return sure.unionByName(verify(more, docs, similarity))
 
@@ -261,7 +324,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = every.groupBy("print").agg(F.min("doc_id").alias("rep"))
     copies = staged(every.select("doc_id", "print").join(first, "print").select("doc_id", "rep").distinct(), "copies")
     reps = copies.where("doc_id = rep").select("doc_id").distinct()
-    known = staged(every.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi"), "distinct")
+    known = staged(every.select("doc_id", "n", "sketch", "outline").dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi"), "distinct")
     root = components(links(known, docs, similarity))
     return copies.join(root, copies["rep"] == root["node"], "left").select(
         "doc_id", F.coalesce("root", "rep").alias("class_id")
