@@ -47,9 +47,10 @@ def shingle_hits(items: DataFrame, size: int, max_frequency: int, min_similarity
     the score). items: (set_id, item, grp, text).
     """
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    at = F.sequence(F.lit(1), F.size("w") - size + 1)
-    # A sequence to less than 1 would count down.
-    grams = F.when(F.size("w") >= size, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))))
+    # The list beside itself, shifted: a shingle is one element of the zip.
+    n = F.size("w") - size + 1
+    beside = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(n, F.lit(0))).alias(f"w{k}") for k in range(size)])
+    grams = F.when(n > 0, F.array_distinct(F.transform(beside, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(size)]))))
     x = items.withColumn("w", w).select("set_id", "item", "grp", F.coalesce(grams, F.array().cast("array<bigint>")).alias("grams"))
     each = x.select("set_id", "item", "grp", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     seeds = each.groupBy("set_id", "g").agg(F.count("*").alias("c")).where((F.col("c") >= 2) & (F.col("c") <= max_frequency)).select("set_id", "g")
