@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import arrow_map, text_of
+from .common import arrow_map, text_of, worker_cache
 
 #: Words up to this many bytes use the scanned rank array.
 LONG = 256
@@ -44,9 +44,6 @@ UNSURE = re.compile(
     "\U00010000-\U0001efff\U0001fb00-\U0010ffff]"
 )
 
-_LOADED: dict[tuple[type, str], "ByteBpe"] = {}
-
-
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -74,9 +71,7 @@ class ByteBpe:
 
     @classmethod
     def load(cls, path: str) -> "ByteBpe":
-        if (cls, path) not in _LOADED:
-            _LOADED[cls, path] = cls(path)
-        return _LOADED[cls, path]
+        return worker_cache(f"{cls.__name__} {path}", lambda: cls(path))
 
     @property
     def library(self):

@@ -8,6 +8,9 @@ batches of bounded size.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _STAGED: dict[str, list[str]] = {}
+_KEPT: dict[str, object] = {}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -83,6 +87,20 @@ def ascii_lower(col: Column) -> Column:
     )
 
 
+def worker_cache(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, kept for the next tasks of this Python worker.
+
+    One at a time: a worker that goes on with another operator frees the last one's.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
 def arrow_map(
     df: DataFrame,
     schema: StructType,

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import arrow_map, packed, staged, text_of, unpacked
+from .common import arrow_map, packed, staged, text_of, unpacked, worker_cache
 from .components import components
 
 K, SKETCHES, PICK, SIMILARITY = 5, 24, 3, 0.8
@@ -67,7 +67,6 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(f"order {i}") | 1 for i in range(2 * SKETCHES)], "u8").reshape(2, -1, 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -83,7 +82,7 @@ def kmers(found: list[str], k: int = K) -> np.ndarray:
     """Hashes of the occurrence-labelled k-mers of a word list, in text order."""
     if not found:
         return np.zeros(0, "u8")
-    h = np.fromiter(map(_HASHES.__getitem__, found), "u8", len(found))
+    h = np.fromiter(map(worker_cache("word hashes", _Hashes).__getitem__, found), "u8", len(found))
     k = min(k, len(h))
     n = len(h) - k + 1
     out = h[:n].copy()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .bpe_codec import UNSURE, WS, byte_letters
-from .common import arrow_map, text_of
+from .common import arrow_map, text_of, worker_cache
 
 # Fixed value: the pre-tokenisation pattern of the vocabulary.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
@@ -46,9 +46,6 @@ UNITS, PAIRS = 800_000, 1_000_000
 NONE = 0xFFFFFFFF
 WIDTHS = {1: "i1", 4: "<i4"}
 
-_LOADED: dict[str, "PrefixCounter"] = {}
-
-
 class PrefixCounter:
     def __init__(self, path: str):
         import ahocorasick
@@ -86,9 +83,7 @@ class PrefixCounter:
 
     @classmethod
     def load(cls, path: str) -> "PrefixCounter":
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        return worker_cache(f"PrefixCounter {path}", lambda: cls(path))
 
     def parts(self, letters: list[str]) -> list[str]:
         """BPE by repeated minimum over adjacent merge orders."""

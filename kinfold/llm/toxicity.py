@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_map, packed, text_of, unpacked
+from .common import arrow_map, packed, text_of, unpacked, worker_cache
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 #: Labelled texts of each class that are learned from, at most.
@@ -160,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict | None:
     x = np.array([model.evidence(t) for t in tuning["text"]])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     weights = logistic((x - mean) / scale, tuning["toxic"].to_numpy(float))
-    return {"words": words, "mean": mean, "scale": scale, "weights": weights}
+    return {"name": uuid.uuid4().hex, "words": words, "mean": mean, "scale": scale, "weights": weights}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -188,7 +189,7 @@ def score(docs: DataFrame, model: dict | None, cols: tuple[str, ...] = ("doc_id"
 
     def make():
         m = shared.value
-        kn = KneserNey(m["words"])
+        kn = worker_cache(f"Kneser-Ney {m['name']}", lambda: KneserNey(m["words"]))
 
         def work(rows):
             x = np.array([kn.evidence(t or "") for t in rows["_text"]]).reshape(-1, 3)
