@@ -64,6 +64,11 @@ def release(spark: SparkSession, keep: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint only if it has at most ``rows`` rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_of(col: str = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -10,7 +10,7 @@ SHA-256 digest and stored once, as zstandard frames.
    owns a chunk, the others refer to it.
 3. The store has a row for each object: its recipe, and the frames of the chunks it owns.
    It is written from the documents as they are read; only the list of documents that store
-   nothing or refer to others is joined to them (broadcast if it is at most ``SMALL`` rows).
+   nothing or refer to others is joined to them (broadcast if it has at most a million rows).
 4. Objects are read back, the frames that they refer to are fetched from their owners, each
    chunk is checked against its digest, and samples and features come from these bytes.
 
@@ -42,13 +42,12 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from .common import arrow_map, staged, text_of
+from .common import arrow_map, small, staged, text_of
 
 #: Least and greatest chunk, and the bits of the hash that must be zero (4,096 bytes on average beyond the least).
 LEAST, GREATEST, BITS = 1024, 16384, 12
 #: The payload is padded with bytes 255 to a multiple of this.
 UNIT = 576
-SMALL = 1_000_000
 HEAD = struct.Struct("<32sII")
 
 
@@ -136,10 +135,6 @@ def least(key: Column) -> Column:
     return F.coalesce(key.cast("long"), F.lit(-(2**63)))
 
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, object), stored objects): chunks of all payloads, each distinct one written once."""
     rows = docs.select("doc_id", text_of().alias("text"))

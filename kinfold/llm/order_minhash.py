@@ -14,8 +14,10 @@ k-mers, and in the band m is a longest increasing run of positions, found in n l
 2. Texts that share a sketch meet in its bucket. Each is compared with the bucket's least
    document: as many comparisons as members, however large the bucket.
 3. Verified links give components. Buckets whose members still lie in several components
-   are searched for pairs across components by their sketches, in blocks of bounded size,
-   so that no link between different texts of a bucket is lost.
+   are searched for pairs across components, in blocks of bounded size: pairs that sketches
+   and outlines leave open are aligned there, likeliest first, unless links found meanwhile
+   already join them, each in the first bucket that both are in. So no link between different
+   texts of a bucket that could join two components is lost, and only links leave the task.
 4. The components of all links are the classes.
 
 Defined results: a text of 1 to K-1 words is one k-mer. Texts without words (null and empty
@@ -35,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import arrow_map, packed, staged, text_of, unpacked, worker_cache
+from .common import arrow_map, packed, small, staged, text_of, unpacked, worker_cache
 from .components import components
 
 K, SKETCHES, PICK, SIMILARITY = 5, 24, 3, 0.8
 #: Before two texts are aligned they must agree on this many sketches, and share this part of their
 #: outlines (the least k-mer of each of ``CELLS`` hash cells). Of pairs at similarity 0.8 fewer than one
-#: in 10^4 fails: sketches agree with probability 0.51, the outline's share has a deviation of 0.035.
-AGREE, CELLS, ALIKE = 3, 128, 0.65
+#: in 10^4 fails: sketches agree with probability 0.51, the outline's share has a deviation of 0.025.
+AGREE, CELLS, ALIKE = 3, 256, 0.70
 #: Members of a bucket that one task compares with each other.
 BLOCK = 4096
 CACHE = 400_000
@@ -124,10 +126,9 @@ def outline(h: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether outlines (rows) share enough of the cells that either fills."""
-    same = ((x == y) & (x > 0)).sum(1)
-    return same >= ALIKE * ((x > 0) | (y > 0)).sum(1)
+def shared_part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Part of the cells that either outline (row) fills in which they are equal."""
+    return ((x == y) & (x > 0)).sum(1) / np.maximum(((x > 0) | (y > 0)).sum(1), 1)
 
 
 def outlines(cells: list[bytes]) -> np.ndarray:
@@ -221,46 +222,77 @@ def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
     schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("open", BooleanType())])
 
     def make():
-        return lambda rows: {"a": rows["a"], "b": rows["b"], "open": alike(outlines(rows["o_a"]), outlines(rows["o_b"])) if rows["a"] else []}
+        return lambda rows: {"a": rows["a"], "b": rows["b"], "open": shared_part(outlines(rows["o_a"]), outlines(rows["o_b"])) >= ALIKE if rows["a"] else []}
 
     return arrow_map(both, schema, make, rows=4096).where("open").select("a", "b")
 
 
-def _near_misses(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs of whole groups of ``t`` in different components that may be similar.
-
-    Rows of a group stand together, so the pairs at distance 1, 2, ... in the table are
-    compared for all groups at once.
-    """
-    bucket, i, j, side, ids, root, n = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "doc_id", "root", "n"))
-    sk = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
-    out = outlines(t.column("outline").to_pylist())
-    fresh = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-    group = np.r_[0, np.cumsum(fresh)]
-    found_a, found_b = [], []
-    for d in range(1, len(ids)):
-        same = group[d:] == group[:-d]
-        if not same.any():
-            break
-        low, high = np.minimum(n[d:], n[:-d]), np.maximum(n[d:], n[:-d])
-        ok = same & (root[d:] != root[:-d]) & (low >= SIMILARITY * high) & ((i == j)[d:] | (side[d:] != side[:-d]))
-        at = np.flatnonzero(ok)
-        at = at[(sk[at] == sk[at + d]).sum(1) >= AGREE]
-        at = at[alike(out[at], out[at + d])]
-        if len(at):
-            found_a.append(np.minimum(ids[at], ids[at + d]))
-            found_b.append(np.maximum(ids[at], ids[at + d]))
-    return found_a, found_b
+class _Groups:
+    """Whole groups of sorted rows: finds the links between components in them."""
+
+    #: Open pairs that are gathered before they are aligned.
+    MOST = 500_000
+
+    def __init__(self, t: pa.Table):
+        self.bucket, self.i, self.j, self.side, self.ids, root, self.n = (
+            t.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "doc_id", "root", "n")
+        )
+        self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+        self.outline = outlines(t.column("outline").to_pylist())
+        self.kmers = [np.frombuffer(x, "<u4") for x in t.column("kmers").to_pylist()]
+        fresh = (self.bucket[1:] != self.bucket[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
+        self.group = np.r_[0, np.cumsum(fresh)]
+        _, self.root = np.unique(root, return_inverse=True)
+        self.above = [*range(int(self.root.max()) + 1)]
+        self.links: list[tuple[int, int]] = []
+
+    def top(self, k: int) -> int:
+        while self.above[k] != k:
+            self.above[k] = k = self.above[self.above[k]]
+        return k
+
+    def align(self, a: np.ndarray, b: np.ndarray, part: np.ndarray) -> None:
+        order = np.argsort(-part, kind="stable")
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            p, q = self.top(self.root[x]), self.top(self.root[y])
+            if p != q and aligned(self.kmers[x], self.kmers[y]) >= SIMILARITY:
+                self.above[max(p, q)] = min(p, q)
+                self.links.append((int(min(self.ids[x], self.ids[y])), int(max(self.ids[x], self.ids[y]))))
+
+    def search(self) -> list[tuple[int, int]]:
+        """Rows of a group stand together, so pairs at distance 1, 2, ... are looked at for all groups at once."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        for d in range(1, len(self.ids)):
+            same = self.group[d:] == self.group[:-d]
+            if not same.any():
+                break
+            low, high = np.minimum(self.n[d:], self.n[:-d]), np.maximum(self.n[d:], self.n[:-d])
+            ok = same & (self.root[d:] != self.root[:-d]) & (low >= SIMILARITY * high)
+            at = np.flatnonzero(ok & ((self.i == self.j)[d:] | (self.side[d:] != self.side[:-d])))
+            agree = self.sketch[at] == self.sketch[at + d]
+            # A pair belongs to the first bucket that both are in.
+            first = self.sketch[at, agree.argmax(1)] == self.bucket[at]
+            at = at[first & (agree.sum(1) >= AGREE)]
+            part = shared_part(self.outline[at], self.outline[at + d])
+            at, part = at[part >= ALIKE], part[part >= ALIKE]
+            held.append((at, at + d, part))
+            size += len(at)
+            if size >= self.MOST:
+                self.align(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            self.align(*map(np.concatenate, zip(*held)))
+        return self.links
 
 
 def _across(batches):
-    """(a, b) from rows sorted by (bucket, i, j); at most one group is held over from batch to batch."""
+    """Links (a, b) from rows sorted by (bucket, i, j); at most one group is held over from batch to batch."""
     held: pa.Table | None = None
 
     def result(t: pa.Table):
-        a, b = _near_misses(t)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        if found := _Groups(t).search():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -301,20 +333,40 @@ def links(known: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         .where("low < high")
         .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = (
+    rows = staged(
         placed.join(mixed, "bucket")
         .withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root")
-        .join(sk.select("doc_id", "n", "sketch", "outline"), "doc_id")
-        .select("bucket", "i", "j", "side", "doc_id", "root", "n", "sketch", "outline")
+        .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root"),
+        "open-members",
+    )
+    spelled = staged(sequences(docs, rows.select("doc_id").distinct()), "open-texts")
+    full = rows.join(sk.select("doc_id", "n", "sketch", "outline").join(spelled, "doc_id"), "doc_id").select(
+        "bucket", "i", "j", "side", "doc_id", "root", "n", "sketch", "outline", "kmers"
     )
     # The work grows with the pairs of a bucket, not with its bytes: a number of partitions of its own.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = rows.mapInArrow(_across, "a long, b long").distinct()
-    more = staged(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    return sure.unionByName(verify(more, docs, similarity))
+    full = full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return sure.unionByName(full.mapInArrow(_across, "a long, b long"))
+
+
+def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, kmers) of the wanted documents: 32 bits of each labelled k-mer, in text order, each value once."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = texts.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    schema = StructType([StructField("doc_id", LongType()), StructField("kmers", BinaryType())])
+
+    def make():
+        return lambda cols: {"doc_id": cols["doc_id"], "kmers": [folded(kmers(words(t))).tobytes() for t in cols["text"]]}
+
+    return arrow_map(rows, schema, make)
+
+
+def folded(h: np.ndarray) -> np.ndarray:
+    """32 bits of each hash; of equal ones the first stays."""
+    x = (h >> np.uint64(32)).astype("<u4")
+    _, first = np.unique(x, return_index=True)
+    return x[np.sort(first)]
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -22,23 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, packed, staged, text_of, unpacked
+from .common import ascii_lower, packed, small, staged, text_of, unpacked
 
 #: What lies between words once A-Z are lower case (fixed values).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which the test side is broadcast.
-SMALL = 1_000_000
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), BETWEEN, -1), "")
 
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint only if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def phrases(items: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
     """((phrase, words), (phrase, item_id)): the distinct phrases, and the items that each is of."""
     w = items.select("item_id", words(text_of()).alias("w")).where(F.size("w") > 0)
