@@ -14,7 +14,7 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def as_matrix(cells: DataFrame, labels: list, row: str = "ga", col: str = "gb", value: Column | None = None) -> DataFrame:
     """One row a label, one text column a label; missing cells 'NA'."""
-    v = value if value is not None else F.format_string("%.2f", F.col("aai"))
+    v = value if value is not None else F.when(F.col("aai").isNotNull(), F.format_string("%.2f", F.col("aai")))
     wide = cells.groupBy(F.col(row).alias("genome")).pivot(col, labels).agg(F.first(v))
     return wide.select("genome", *[F.coalesce(F.col(f"`{c}`"), F.lit("NA")).alias(str(c)) for c in labels])
 
