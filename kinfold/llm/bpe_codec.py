@@ -44,6 +44,26 @@ UNSURE = re.compile(
     "\U00010000-\U0001efff\U0001fb00-\U0010ffff]"
 )
 
+#: White space that keeps a text from being cut at its spaces.
+UNEVEN = ("  ", "\n ", "\t", "\r", "\x0b", "\x0c")
+WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class _Spaced(dict):
+    """Ids of what stands between two spaces, with the first of them, within the same bound."""
+
+    def __init__(self, bpe: "ByteBpe"):
+        self.bpe = bpe
+
+    def __missing__(self, part: str) -> bytes:
+        if "\n" in part or len(part) >= 64:
+            return self.bpe._units(" " + part)
+        if len(self) >= self.bpe.limit:
+            self.clear()
+        out = self[part] = self.bpe._ids_of(" " + part)
+        return out
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -68,6 +88,7 @@ class ByteBpe:
         self.bytes_of |= {i: s.encode() for s, i in self.specials.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.path, self.limit, self.cache, self._library = path, cache, {}, None
+        self.spaced = _Spaced(self)
 
     @classmethod
     def load(cls, path: str) -> "ByteBpe":
@@ -126,11 +147,14 @@ class ByteBpe:
         starts = [i for i in range(n) if ids[i] >= 0]
         return [ids[i] for i in starts], starts
 
-    def _unit(self, unit: str) -> bytes:
+    def _ids_of(self, unit: str) -> bytes:
         ids = array("I")
         for piece in PIECE.findall(unit):
             ids.extend(self.ids(piece))
-        out = ids.tobytes()
+        return ids.tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        out = self._ids_of(unit)
         if len(self.cache) >= self.limit:
             self.cache.clear()
         if len(unit) < 64:
@@ -150,6 +174,13 @@ class ByteBpe:
     def _plain(self, text: str) -> bytes:
         if not text.isascii() and UNSURE.search(text):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if any(x in text for x in UNEVEN) or not text.isascii() and WIDE.search(text):
+            return self._units(text)
+        # White space is single spaces, and line ends without a space after them: cutting at spaces cuts no piece.
+        first, *rest = text.split(" ")
+        return self._units(first) + b"".join(map(self.spaced.__getitem__, rest))
+
+    def _units(self, text: str) -> bytes:
         get, slow = self.cache.get, self._unit
         return b"".join([get(u) or slow(u) for u in UNIT.findall(text)])
 

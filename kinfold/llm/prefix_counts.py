@@ -41,8 +41,8 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\
 SPACES = re.compile(rf"[{WS}]+")
 #: Contractions are cut as whole pieces but not when they are cut short.
 SHORT = {"'re", "'ve", "'ll"}
-#: Bounds of each Python worker's caches: text units, and pairs of parts.
-UNITS, PAIRS = 800_000, 1_000_000
+#: Bounds of each Python worker's caches: text units, their pieces, and pairs of parts.
+UNITS, PIECES, PAIRS = 800_000, 400_000, 1_000_000
 NONE = 0xFFFFFFFF
 WIDTHS = {1: "i1", 4: "<i4"}
 
@@ -78,6 +78,7 @@ class PrefixCounter:
         self.library.no_padding()
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         self.units: dict[str, tuple[bytes, np.ndarray | None]] = {}
+        self.pieces: dict[str, list[int]] = {}
         #: (left id << 32 | right id) -> whether the two are an encoding; left NONE: the right one alone.
         self.pairs: dict[int, bool] = {}
 
@@ -151,7 +152,14 @@ class PrefixCounter:
         """Differences of the counts along a run without white space; the array if a byte can't hold them."""
         counts, base = [0], 0
         for p in PIECE.findall(unit):
-            counts += [base + c for c in self.piece(p)]
+            got = self.pieces.get(p)
+            if got is None:
+                got = self.piece(p)
+                if len(self.pieces) >= PIECES:
+                    self.pieces.clear()
+                if len(p) < 64:
+                    self.pieces[p] = got
+            counts += [base + c for c in got] if base else got
             base = counts[-1]
         steps = [b - a for a, b in pairwise(counts)]
         if max(steps) < 128 and min(steps) >= -128:
