@@ -164,3 +164,31 @@ def bootstrap_median(df: DataFrame, value: str, rounds: int = 5000, seed: int =
     place = F.row_number().over(Window.orderBy("m", "round")) - 1
     ranked = medians.withColumn("p", place)
     return ranked.agg(F.max(F.when(F.col("p") == int(0.025 * rounds), F.col("m"))).alias("low"), F.max(F.when(F.col("p") == int(0.975 * rounds), F.col("m"))).alias("high"))
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """(set_id, threshold, ari, exact_low, exact_high): the lowest threshold of the best index, and where it is 1.
+
+    sweep: (set_id, threshold, ari); null indices don't count.
+    """
+    best = F.max(F.when(F.col("ari").isNotNull(), F.struct("ari", (-F.col("threshold")).alias("t"))))
+    exact = F.when(F.col("ari") >= 1 - 1e-12, F.col("threshold"))
+    x = sweep.groupBy("set_id").agg(best.alias("b"), F.min(exact).alias("exact_low"), F.max(exact).alias("exact_high"))
+    return x.select("set_id", (-F.col("b.t")).alias("threshold"), F.col("b.ari").alias("ari"), "exact_low", "exact_high")
+
+
+def window_spread(windows: DataFrame, fixed: float) -> DataFrame:
+    """(n, spread, recoverable_pct): how far the windows' middles lie apart, and how many hold one fixed threshold.
+
+    windows: (exact_low, exact_high), null where no threshold is exact.
+    """
+    mid = (F.col("exact_low") + F.col("exact_high")) / 2
+    held = F.count_if(F.col("exact_low").isNotNull() & F.lit(fixed).between(F.col("exact_low"), F.col("exact_high")))
+    return windows.agg(F.count(mid).alias("n"), (F.max(mid) - F.min(mid)).alias("spread"), (held * 100.0 / F.count("*")).alias("recoverable_pct"))
+
+
+def predictions(values: DataFrame, expected: list[tuple[str, str, float]]) -> DataFrame:
+    """(name, value, holds) of registered comparisons (name, '<' or '>=', limit) with scalar results (name, value)."""
+    want = values.sparkSession.createDataFrame(expected, "name string, op string, bound double")
+    ok = F.when(F.col("op") == "<", F.col("value") < F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
+    return values.join(F.broadcast(want), "name").select("name", "value", ok.alias("holds"))

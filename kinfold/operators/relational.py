@@ -137,3 +137,19 @@ def homologs_strict(hits: DataFrame, n_groups: DataFrame, min_identity: float) -
     """Items hit by every other group at ``min_identity`` or more."""
     k = hits.where(F.col("pident") >= min_identity).groupBy("set_id", "s", "gs").agg(F.count_distinct("gq").alias("k"))
     return k.join(n_groups, "set_id").where("k = n - 1").select("set_id", F.col("s").alias("item"), F.col("gs").alias("grp"))
+
+
+def reuse_index(listing: DataFrame, key: str, preference: list) -> DataFrame:
+    """One local copy of each key: the first in the order of preference."""
+    return first_by(listing, [key], preference)
+
+
+def status_counts(df: DataFrame, status: str, states: list[str]) -> DataFrame:
+    """One row of counters, one a state."""
+    return df.agg(*[F.count_if(F.col(status) == s).alias(f"n_{s.lower()}") for s in states], F.count("*").alias("n"))
+
+
+def side_by_side(labels: DataFrame, key: str, column: str, columns: list) -> DataFrame:
+    """One row a key, one column a bin with the bin's number of members; '' where it has none. Rows by name, whatever the case."""
+    wide = labels.groupBy(key).pivot(column, columns).agg(F.count(F.lit(1)).cast("string"))
+    return wide.select(key, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"bin_{c}") for c in columns]).orderBy(F.lower(key), key)

@@ -431,6 +431,20 @@ def _(spark, d):
     return n.join(ari, "threshold")
 
 
+@query(
+    "best_threshold",
+    clustered(
+        "SELECT unnest(range(0, 100)) * 0.5 + 50",
+        f", lab AS (SELECT t, bin AS a, grp % 2 AS b FROM binned), {ARI_SQL} SELECT t AS threshold, round(ari, 6) AS ari, (SELECT min(t) FROM ari WHERE ari >= 1 - 1e-12) AS exact_low, (SELECT max(t) FROM ari WHERE ari >= 1 - 1e-12) AS exact_high FROM ari WHERE ari IS NOT NULL ORDER BY ari.ari DESC, t LIMIT 1",
+    ),
+)
+def _(spark, d):
+    b = iterative.threshold_sweep(S(spark, d).matrix, SWEEP)
+    lab = b.select(F.col("threshold").alias("set_id"), F.col("bin").alias("a"), (F.col("grp") % 2).alias("b"))
+    ari = evaluation.adjusted_rand(evaluation.contingency(lab))
+    return evaluation.best_threshold(ari.select(F.lit(0).alias("set_id"), F.col("set_id").alias("threshold"), "ari"))
+
+
 @query("best_rejected_linkage", clustered("VALUES (65.0)", """SELECT round(l, 6) AS linkage, round(65 - l, 6) AS margin FROM (SELECT max(l) AS l FROM (
     SELECT min(coalesce(aai, -1e308)) AS l FROM bp WHERE bin_a <> bin_b GROUP BY least(bin_a, bin_b), greatest(bin_a, bin_b)))"""))
 def _(spark, d):

@@ -343,3 +343,26 @@ def _(t, spark, d):
 def _(t, spark, d):
     tests = t("labels").select("doc_id", F.when(F.col("quality") == 1, (F.col("doc_id") % 100) / 100.0).alias("p"))
     return relational.split_recombinant(t("documents").select("doc_id"), tests, "doc_id", 0.05).select("doc_id", "recombinant")
+
+
+@query("reuse_index", "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1")
+def _(t, spark, d):
+    x = relational.reuse_index(t("lineitem"), "l_partkey", ["l_suppkey", "l_orderkey", "l_linenumber"])
+    return x.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("status_counts", "SELECT count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'P') AS n_p, count(*) AS n FROM orders")
+def _(t, spark, d):
+    return relational.status_counts(t("orders"), "o_orderstatus", ["O", "F", "P"])
+
+
+@query("bins_side_by_side", "SELECT c_mktsegment, coalesce(CAST(nullif(count(*) FILTER (c_nationkey % 3 = 0), 0) AS VARCHAR), '') AS bin_0, coalesce(CAST(nullif(count(*) FILTER (c_nationkey % 3 = 1), 0) AS VARCHAR), '') AS bin_1, coalesce(CAST(nullif(count(*) FILTER (c_nationkey % 3 = 2), 0) AS VARCHAR), '') AS bin_2 FROM customer GROUP BY c_mktsegment")
+def _(t, spark, d):
+    x = t("customer").select("c_mktsegment", (F.col("c_nationkey") % 3).alias("b"))
+    return relational.side_by_side(x, "c_mktsegment", "b", [0, 1, 2])
+
+
+@query("window_spread", "SELECT count(lo) AS n, round(max((lo + hi) / 2) - min((lo + hi) / 2), 6) AS spread, round(count(*) FILTER (25 BETWEEN lo AND hi) * 100.0 / count(*), 6) AS recoverable_pct FROM (SELECT p_brand, CAST(min(p_size) FILTER (p_size > 20) AS DOUBLE) AS lo, CAST(max(p_size) FILTER (p_size > 20) AS DOUBLE) AS hi FROM part GROUP BY p_brand)")
+def _(t, spark, d):
+    s = F.when(F.col("p_size") > 20, F.col("p_size").cast("double"))
+    return evaluation.window_spread(t("part").groupBy("p_brand").agg(F.min(s).alias("exact_low"), F.max(s).alias("exact_high")), 25.0)

@@ -201,3 +201,11 @@ def test_published_metrics(spark):
     assert round(r.low, 1) == 63.3 and round(r.high, 1) == 75.9
     none = evaluation.with_intervals(evaluation.screen_metrics(spark.createDataFrame([(0, 0, 0, 0)], "tp long, fp long, fn long, tn long"))).first()
     assert none.precision is None and none.low is None and none.kappa is None
+
+
+def test_registered_predictions(spark):
+    from kinfold.operators import evaluation
+
+    values = spark.createDataFrame([("a", 60.0), ("b", 70.0), ("c", None)], "name string, value double")
+    got = {r["name"]: r["holds"] for r in evaluation.predictions(values, [("a", "<", 65.0), ("b", "<", 65.0), ("c", ">=", 1.0)]).collect()}
+    assert got == {"a": True, "b": False, "c": None}
