@@ -158,13 +158,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict | None:
         counts[toxic].update(WORD.findall(text.lower()))
     words = [(w, counts[0][w], counts[1][w]) for w in sorted(counts[0].keys() | counts[1].keys())]
     model = KneserNey(words)
-    x = np.array([model.evidence(t) for t in tuning["text"]])
+    x = features([model.evidence(t) for t in tuning["text"]])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     weights = logistic((x - mean) / scale, tuning["toxic"].to_numpy(float))
     return {"name": uuid.uuid4().hex, "words": words, "mean": mean, "scale": scale, "weights": weights}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
+def features(evidence: list[tuple[float, float, float]]) -> np.ndarray:
+    """The curve's inputs: words' differences count by their logarithm, so that one clear word is enough."""
+    x = np.array(evidence, float).reshape(-1, 3)
+    return np.column_stack([x[:, 0], np.log1p(np.maximum(x[:, 1:], 0))])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Ridge logistic regression by Newton's method; each class weighs one half; the last weight is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
     share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
@@ -192,7 +198,7 @@ def score(docs: DataFrame, model: dict | None, cols: tuple[str, ...] = ("doc_id"
         kn = worker_cache(f"Kneser-Ney {m['name']}", lambda: KneserNey(m["words"]))
 
         def work(rows):
-            x = np.array([kn.evidence(t or "") for t in rows["_text"]]).reshape(-1, 3)
+            x = features([kn.evidence(t or "") for t in rows["_text"]])
             z = (x - m["mean"]) / m["scale"] @ m["weights"][:-1] + m["weights"][-1]
             return {**{n: rows[n] for n in names}, "score": (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()}
 
