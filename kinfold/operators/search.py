@@ -51,13 +51,22 @@ def shingle_hits(items: DataFrame, size: int, max_frequency: int, min_similarity
     n = F.size("w") - size + 1
     beside = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(n, F.lit(0))).alias(f"w{k}") for k in range(size)])
     grams = F.when(n > 0, F.array_distinct(F.transform(beside, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(size)]))))
-    x = items.withColumn("w", w).select("set_id", "item", "grp", F.coalesce(grams, F.array().cast("array<bigint>")).alias("grams"))
+    # The exchange spreads long texts and keeps the word list from being cut anew for each of its uses.
+    x = items.select("set_id", "item", "grp", w.alias("w")).repartition("set_id", "item")
+    x = x.select("set_id", "item", "grp", F.coalesce(grams, F.array().cast("array<bigint>")).alias("grams"))
     each = x.select("set_id", "item", "grp", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    seeds = each.groupBy("set_id", "g").agg(F.count("*").alias("c")).where((F.col("c") >= 2) & (F.col("c") <= max_frequency)).select("set_id", "g")
+    often = each.groupBy("set_id", "g").agg(F.count("*").alias("c"))
+    seeds = often.where((F.col("c") >= 2) & (F.col("c") <= max_frequency)).select("set_id", "g")
+    masked = each.join(often.where(F.col("c") > max_frequency).select("set_id", "g"), ["set_id", "g"]).groupBy("set_id", "item").agg(F.count("*").alias("m"))
     seeded = each.join(seeds, ["set_id", "g"])
-    a = seeded.select("set_id", "g", F.col("item").alias("q"), F.col("grp").alias("gq"))
-    b = seeded.select("set_id", "g", F.col("item").alias("s"), F.col("grp").alias("gs"))
-    pairs = a.join(b, ["set_id", "g"]).where("q < s and gq <> gs").select("set_id", "q", "s", "gq", "gs").distinct()
+    a = seeded.select("set_id", "g", F.col("item").alias("q"), F.col("grp").alias("gq"), F.col("n").alias("nq"))
+    b = seeded.select("set_id", "g", F.col("item").alias("s"), F.col("grp").alias("gs"), F.col("n").alias("ns"))
+    shared = a.join(b, ["set_id", "g"]).where("q < s and gq <> gs").groupBy("set_id", "q", "s", "gq", "gs", "nq", "ns").agg(F.count("*").alias("c"))
+    # Shared seeds and, at most, all masked shingles of the one that has fewer: an upper bound, before lists are compared.
+    of = lambda name: masked.select("set_id", F.col("item").alias(name), F.col("m").alias(f"m{name}"))
+    bound = shared.join(of("q"), ["set_id", "q"], "left").join(of("s"), ["set_id", "s"], "left")
+    most = F.col("c") + F.least(F.coalesce("mq", F.lit(0)), F.coalesce("ms", F.lit(0)))
+    pairs = bound.where(most >= min_similarity * (F.col("nq") + F.col("ns") - most)).select("set_id", "q", "s", "gq", "gs")
     side = lambda name, c: x.select("set_id", F.col("item").alias(name), F.col("grams").alias(c))
     scored = pairs.join(side("q", "x"), ["set_id", "q"]).join(side("s", "y"), ["set_id", "s"])
     m = F.size(F.array_intersect("x", "y"))
