@@ -30,7 +30,7 @@ def library():
     return Tokenizer.from_file(BYTES)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(odd_text)
 def test_bpe_is_the_library(library, text):
     for kind in (bpe_codec.ByteBpe, bpe_codec.LibraryBpe):
@@ -84,7 +84,7 @@ def test_planes():
         [*token_planes.unpack(b"junk" + file[4:])]
 
 
-@settings(max_examples=120, deadline=None)
+@settings(max_examples=40, deadline=None)
 @given(odd_text)
 def test_every_prefix(text):
     counter = prefix_counts.PrefixCounter.load(WORDS)
