@@ -31,7 +31,7 @@ from .common import arrow_map, text_of, worker_cache
 #: Words up to this many bytes use the scanned rank array.
 LONG = 256
 #: Entries of the cache from text unit to ids that each Python worker holds at most.
-CACHE = 800_000
+CACHE = 1_200_000
 
 # The white space of the pre-tokenisation pattern and the pattern itself.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -44,23 +44,23 @@ UNSURE = re.compile(
     "\U00010000-\U0001efff\U0001fb00-\U0010ffff]"
 )
 
-#: White space that keeps a text from being cut at its spaces.
-UNEVEN = ("  ", "\n ", "\t", "\r", "\x0b", "\x0c")
+#: White space that keeps a text from being cut at its spaces and line ends.
+UNEVEN = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c")
 WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class _Spaced(dict):
-    """Ids of what stands between two spaces, with the first of them, within the same bound."""
+class _Words(dict):
+    """Ids of what stands between two spaces, with what stands before it, within the same bound."""
 
-    def __init__(self, bpe: "ByteBpe"):
-        self.bpe = bpe
+    def __init__(self, bpe: "ByteBpe", before: str):
+        self.bpe, self.before = bpe, before
 
     def __missing__(self, part: str) -> bytes:
-        if "\n" in part or len(part) >= 64:
-            return self.bpe._units(" " + part)
-        if len(self) >= self.bpe.limit:
-            self.clear()
-        out = self[part] = self.bpe._ids_of(" " + part)
+        out = self.bpe._ids_of(self.before + part)
+        if len(part) < 64:
+            if len(self) >= self.bpe.limit:
+                self.clear()
+            self[part] = out
         return out
 
 
@@ -88,7 +88,7 @@ class ByteBpe:
         self.bytes_of |= {i: s.encode() for s, i in self.specials.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.path, self.limit, self.cache, self._library = path, cache, {}, None
-        self.spaced = _Spaced(self)
+        self.spaced, self.bare = _Words(self, " "), _Words(self, "")
 
     @classmethod
     def load(cls, path: str) -> "ByteBpe":
@@ -176,9 +176,15 @@ class ByteBpe:
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if any(x in text for x in UNEVEN) or not text.isascii() and WIDE.search(text):
             return self._units(text)
-        # White space is single spaces, and line ends without a space after them: cutting at spaces cuts no piece.
-        first, *rest = text.split(" ")
-        return self._units(first) + b"".join(map(self.spaced.__getitem__, rest))
+        # White space is single spaces and single line ends that don't touch: each is cut as here.
+        out, bare, spaced, end = [], self.bare.__getitem__, self.spaced.__getitem__, self.bare["\n"]
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(bare(first))
+            out += map(spaced, rest)
+            out.append(end)
+        out.pop()
+        return b"".join(out)
 
     def _units(self, text: str) -> bytes:
         get, slow = self.cache.get, self._unit
