@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -35,7 +36,7 @@ from .common import arrow_map, packed, text_of, unpacked, worker_cache
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 #: Labelled texts of each class that are learned from, at most.
 ROWS = 3000
-CACHE = 300_000
+CACHE = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Words longer than this are one expression of their own and are not kept in the cache.
 LONG = 64
@@ -161,7 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict | None:
     x = features([model.evidence(t) for t in tuning["text"]])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     weights = logistic((x - mean) / scale, tuning["toxic"].to_numpy(float))
-    return {"name": uuid.uuid4().hex, "words": words, "mean": mean, "scale": scale, "weights": weights}
+    return {"name": uuid.uuid4().hex, "words": packed_words(words), "mean": mean, "scale": scale, "weights": weights}
+
+
+def packed_words(words: list[tuple[str, int, int]]) -> bytes:
+    """Words and counts in few bytes: a worker may hold the broadcasts of several models."""
+    return zlib.compress("\n".join(f"{w} {a} {b}" for w, a, b in words).encode(), 1)
+
+
+def unpacked_words(data: bytes) -> list[tuple[str, int, int]]:
+    rows = (x.split(" ") for x in zlib.decompress(data).decode().split("\n") if x)
+    return [(w, int(a), int(b)) for w, a, b in rows]
 
 
 def features(evidence: list[tuple[float, float, float]]) -> np.ndarray:
@@ -195,7 +206,7 @@ def score(docs: DataFrame, model: dict | None, cols: tuple[str, ...] = ("doc_id"
 
     def make():
         m = shared.value
-        kn = worker_cache(f"Kneser-Ney {m['name']}", lambda: KneserNey(m["words"]))
+        kn = worker_cache(f"Kneser-Ney {m['name']}", lambda: KneserNey(unpacked_words(m["words"])))
 
         def work(rows):
             x = features([kn.evidence(t or "") for t in rows["_text"]])
