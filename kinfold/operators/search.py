@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors that one task compares with as many others.
@@ -39,12 +39,14 @@ def vector_hits(items: DataFrame, min_identity: float, block: int = BLOCK) -> Da
     return x.groupBy("set_id", "i", "j").applyInArrow(compare, "set_id long, q long, s long, gq long, gs long, pident double, score double")
 
 
-def shingle_hits(items: DataFrame, size: int, max_frequency: int, min_similarity: float) -> DataFrame:
+def shingle_hits(items: DataFrame, size: int, min_similarity: float, block: int = BLOCK) -> DataFrame:
     """(set_id, q, s, gq, gs, score): Jaccard similarity of word shingles of items of different groups.
 
-    Pairs are those that share a seed: a shingle of 2 to ``max_frequency`` items (more
-    frequent ones are masked as seeds, as a sequence search masks repeats, but count in
-    the score). items: (set_id, item, grp, text).
+    Every pair at ``min_similarity`` or above is met. Items of equal shingles are one
+    representative, compared once. A pair at similarity t shares at least t * n shingles of
+    either side, so it shares one that is left when each side puts away its ceil(t * n) - 1
+    most frequent ones; those left are the seeds. A seed of more than ``block``
+    representatives is joined block against block. items: (set_id, item, grp, text).
     """
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
     # The list beside itself, shifted: a shingle is one element of the zip.
@@ -53,23 +55,47 @@ def shingle_hits(items: DataFrame, size: int, max_frequency: int, min_similarity
     grams = F.when(n > 0, F.array_distinct(F.transform(beside, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(size)]))))
     # The exchange spreads long texts and keeps the word list from being cut anew for each of its uses.
     x = items.select("set_id", "item", "grp", w.alias("w")).repartition("set_id", "item")
-    x = x.select("set_id", "item", "grp", F.coalesce(grams, F.array().cast("array<bigint>")).alias("grams"))
-    each = x.select("set_id", "item", "grp", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    often = each.groupBy("set_id", "g").agg(F.count("*").alias("c"))
-    seeds = often.where((F.col("c") >= 2) & (F.col("c") <= max_frequency)).select("set_id", "g")
-    masked = each.join(often.where(F.col("c") > max_frequency).select("set_id", "g"), ["set_id", "g"]).groupBy("set_id", "item").agg(F.count("*").alias("m"))
-    seeded = each.join(seeds, ["set_id", "g"])
-    a = seeded.select("set_id", "g", F.col("item").alias("q"), F.col("grp").alias("gq"), F.col("n").alias("nq"))
-    b = seeded.select("set_id", "g", F.col("item").alias("s"), F.col("grp").alias("gs"), F.col("n").alias("ns"))
-    shared = a.join(b, ["set_id", "g"]).where("q < s and gq <> gs").groupBy("set_id", "q", "s", "gq", "gs", "nq", "ns").agg(F.count("*").alias("c"))
-    # Shared seeds and, at most, all masked shingles of the one that has fewer: an upper bound, before lists are compared.
-    of = lambda name: masked.select("set_id", F.col("item").alias(name), F.col("m").alias(f"m{name}"))
-    bound = shared.join(of("q"), ["set_id", "q"], "left").join(of("s"), ["set_id", "s"], "left")
-    most = F.col("c") + F.least(F.coalesce("mq", F.lit(0)), F.coalesce("ms", F.lit(0)))
-    pairs = bound.where(most >= min_similarity * (F.col("nq") + F.col("ns") - most)).select("set_id", "q", "s", "gq", "gs")
-    side = lambda name, c: x.select("set_id", F.col("item").alias(name), F.col("grams").alias(c))
+    x = x.select("set_id", "item", "grp", F.coalesce(grams, F.array().cast("array<bigint>")).alias("grams")).where(F.size("grams") > 0)
+
+    # Representatives and their members, in blocks.
+    of = F.array_sort("grams")
+    alike = ["set_id", "n", "h1", "h2"]
+    each = x.select("set_id", "item", "grp", F.size("grams").alias("n"), F.xxhash64(F.lit(1), of).alias("h1"), F.xxhash64(F.lit(2), of).alias("h2"))
+    reps = each.groupBy(*alike).agg(F.min("item").alias("rep"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = each.join(reps, alike).select("set_id", "rep", "item", "grp", F.pmod(F.xxhash64("item"), "blocks").cast("int").alias("b"))
+    lists = x.join(reps.select("set_id", F.col("rep").alias("item")), ["set_id", "item"], "left_semi").select("set_id", "item", "grams")
+
+    # Seeds; a shingle of one representative takes its place in the order, but meets nothing.
+    away = lambda n: F.ceil(min_similarity * F.col(n) - 1e-9) - 1
+    held = lists.select("set_id", "item", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = held.groupBy("set_id", "g").agg(F.count("*").alias("c")).where("c >= 2")
+    rank = F.row_number().over(Window.partitionBy("set_id", "item").orderBy(F.desc("c"), F.desc("g")))
+    seeds = held.join(often, ["set_id", "g"]).withColumn("k", rank).where(F.col("k") > away("n"))
+    seeds = seeds.withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("item"), "blocks").cast("int"))
+    seeds = seeds.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seeds = seeds.select("set_id", "g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "item", "n")
+    a = seeds.withColumnsRenamed({"item": "q", "n": "nq", "b": "bq"})
+    b = seeds.withColumnsRenamed({"item": "s", "n": "ns", "b": "bs"})
+    met = a.join(b, ["set_id", "g", "i", "j"]).where("q < s and (i = j or bq <> bs)")
+    met = met.where(F.least("nq", "ns") >= min_similarity * F.greatest("nq", "ns") - 1e-9)
+    shared = met.groupBy("set_id", "q", "s", "nq", "ns").agg(F.count("*").alias("c"))
+    # Shared shingles that are not seeds of both are among those that one side has put away: an upper bound, before lists are compared.
+    most = F.col("c") + F.greatest(away("nq"), away("ns"))
+    pairs = shared.where(most >= min_similarity * (F.col("nq") + F.col("ns") - most) - 1e-9).select("set_id", "q", "s")
+    side = lambda name, c: lists.select("set_id", F.col("item").alias(name), F.col("grams").alias(c))
     scored = pairs.join(side("q", "x"), ["set_id", "q"]).join(side("s", "y"), ["set_id", "s"])
     m = F.size(F.array_intersect("x", "y"))
     scored = scored.withColumn("score", m / (F.size("x") + F.size("y") - m)).where(F.col("score") >= min_similarity)
-    half = scored.select("set_id", "q", "s", "gq", "gs", "score")
-    return half.unionByName(half.select("set_id", F.col("s").alias("q"), F.col("q").alias("s"), F.col("gs").alias("gq"), F.col("gq").alias("gs"), "score"))
+
+    # Back to the members, those of one representative among themselves as well.
+    one = reps.select("set_id", F.col("rep").alias("q"), F.col("rep").alias("s"), F.lit(1.0).alias("score"))
+    links = scored.select("set_id", "q", "s", "score").unionByName(one.where(F.lit(min_similarity <= 1)))
+    for name, at in (("q", "i"), ("s", "j")):
+        links = links.join(reps.select("set_id", F.col("rep").alias(name), "blocks"), ["set_id", name])
+        links = links.withColumn(at, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    for name, at, item, grp in (("q", "i", "l", "gl"), ("s", "j", "r", "gr")):
+        back = members.select("set_id", F.col("rep").alias(name), F.col("b").alias(at), F.col("item").alias(item), F.col("grp").alias(grp))
+        links = links.join(back, ["set_id", name, at])
+    half = links.where("gl <> gr and (q <> s or l < r)")
+    there, back = (F.struct(F.col(u).alias("q"), F.col(v).alias("s"), F.col(gu).alias("gq"), F.col(gv).alias("gs")) for u, v, gu, gv in (("l", "r", "gl", "gr"), ("r", "l", "gr", "gl")))
+    return half.select("set_id", "score", F.explode(F.array(there, back)).alias("h")).select("set_id", "h.q", "h.s", "h.gq", "h.gs", "score")
