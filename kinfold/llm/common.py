@@ -54,6 +54,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(df: DataFrame) -> None:
+    """Delete a table that ``staged`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    mine = _STAGED.get(spark.sparkContext.applicationId, [])
+    files = df.inputFiles()
+    for path in [p for p in mine if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]:
+        mine.remove(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    # Spark deletes the shuffles that led to it when the driver's collector finds them unused.
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables that ``staged`` wrote in this application, oldest first."""
     mine = _STAGED.get(spark.sparkContext.applicationId, [])

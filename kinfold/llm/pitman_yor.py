@@ -2,26 +2,29 @@
 
 Restaurants, each drawing from its parent:
 
-    words after a class of words (64 of them)  ->  words  ->  spelling: bytes after three,
-    two, one and no byte classes  ->  all bytes alike
+    words after a word  ->  words  ->  spelling: bytes after three, two, one and no byte
+    classes  ->  all bytes alike
 
-The class of a word is a hash of its last two bytes. The outcomes are the training tokens
+Each word of the training texts has a restaurant of the words after it, known by 48 bits of
+the word's hash. The outcomes are the training tokens
 and one more for all others, as in the base score; its share of the root's new tables is what
 the spelling model leaves after the known words. Gibbs sampling seats the customers of
 each dish anew, given its parent's probability: customer i of a dish with t tables opens a
 table with probability l / (l + i - d t), l = (theta + d T) P_parent. Up to ``EXACT``
 customers one by one, beyond that in steps of 3 per cent with the step's number of new
 tables drawn at once. New tables are customers of the parent. The predictive probabilities
-of the samples after burn-in are averaged. The totals T of the large restaurants are held
-during a pass and renewed between passes, so that dishes can be seated side by side.
+of the samples after burn-in are averaged. The totals T of the restaurants are held during a pass, so that dishes can be
+seated side by side; they are renewed once, after the burn-in of ``fit``.
 
 How it runs: documents are gathered in blocks (one task's documents up to ``BLOCK_BYTES``),
-each with its own dictionary of words and of (word, class before it) pairs; a document becomes
+each with its own dictionary of words and of (word, word before it) pairs; a document becomes
 a list of word numbers. A block sends a packet to every bucket of words (by a hash of the
 word): the bucket's words of this block with their pairs and training counts, compressed. A
 word has at most one entry a packet, however frequent it is, and there are as many buckets as
-shuffle partitions. Merged packets give a bucket's restaurants, whose seating is a map over
-buckets; the spelling tables have a fixed number of cells (32,768 contexts by 257 bytes),
+shuffle partitions. Merged packets give a bucket's dishes, whose seating is a map over
+buckets. A restaurant has dishes in many buckets: each bucket sends what it holds of a
+restaurant to the restaurant's own bucket, which answers with the totals, so the restaurants
+grow with the input and none of their tables is on the driver. The spelling tables have a fixed number of cells (32,768 contexts by 257 bytes),
 which bounds what the driver collects and broadcasts. Each packet is answered with the
 averaged probabilities of its pairs, and a block adds up its documents from the answers.
 
@@ -34,7 +37,6 @@ the spelling's uniform root. Other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import delete, staged, text_of
 
-CLASSES = 64
 BLOCK_BYTES = 20_000_000
 EXACT, STEP = 64, 0.03
 BURN, SAMPLES = 2, 4
@@ -194,8 +195,9 @@ def spelling_logs(words: list[bytes], model: dict[str, np.ndarray]) -> np.ndarra
 # ---- blocks ----------------------------------------------------------------------------
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % CLASSES
+def contexts_of(words: list[bytes]) -> np.ndarray:
+    """The restaurant of each word: 48 bits of its hash."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) >> np.uint64(16)
 
 
 def squeeze(*parts: bytes) -> bytes:
@@ -220,14 +222,29 @@ def unplanes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, "u1").reshape(4, -1).T).view("<u4").ravel().astype("i8")
 
 
-def pack_words(words: list[bytes], sizes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Words, each one's number of pairs, and the pairs' classes and counts."""
-    return squeeze(b"\n".join(words), sizes.astype("u1").tobytes(), classes.astype("u1").tobytes(), planes(counts))
+def planes48(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def unplanes48(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), "u1")
+    out[:, :6] = np.frombuffer(x, "u1").reshape(6, -1).T
+    return out.view("<u8").ravel()
+
+
+def pack_words(words: list[bytes], sizes: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> bytes:
+    """Words, each one's number of pairs, and the pairs' contexts and counts."""
+    # Each context once, frequent ones first, so that they have small numbers.
+    known, at, often = np.unique(contexts, return_inverse=True, return_counts=True)
+    rank = np.argsort(-often, kind="stable")
+    small = np.empty(len(rank), "i8")
+    small[rank] = np.arange(len(rank))
+    return squeeze(b"\n".join(words), planes(sizes), planes48(known[rank]), planes(small[at]), planes(counts))
 
 
 def unpack_words(x: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    words, sizes, classes, counts = expand(x)
-    return words.split(b"\n"), np.frombuffer(sizes, "u1").astype("i8"), np.frombuffer(classes, "u1").astype("i8"), unplanes(counts)
+    words, sizes, known, small, counts = expand(x)
+    return words.split(b"\n"), unplanes(sizes), unplanes48(known)[unplanes(small)], unplanes(counts)
 
 
 def _block(held: list[bool], texts: list[str], buckets: int) -> tuple[bytes, list[int], dict[int, bytes]]:
@@ -248,18 +265,18 @@ def _block(held: list[bool], texts: list[str], buckets: int) -> tuple[bytes, lis
     number[order] = np.arange(len(words))
     words = [words[k] for k in order.tolist()]
     bucket, flat = bucket[order], number[flat]
-    classes = np.fromiter(map(class_of, words), "i8", len(words))
+    contexts = contexts_of(words)
     # What stands before a text is an end.
-    key = flat * CLASSES + classes[np.r_[number[0], flat[:-1]]]
+    key = flat * len(words) + np.r_[number[0], flat[:-1]]
     pair, inverse = np.unique(key, return_inverse=True)
     train = np.repeat(~np.array(held, bool), sizes)
     counts = np.bincount(inverse[train], minlength=len(pair))
-    owner = pair // CLASSES
+    owner = pair // len(words)
     per_word = np.bincount(owner, minlength=len(words))
     first_pair = np.r_[0, np.cumsum(per_word)]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     packets = {
-        b: pack_words(words[lo:hi], per_word[lo:hi], pair[first_pair[lo] : first_pair[hi]] % CLASSES, counts[first_pair[lo] : first_pair[hi]])
+        b: pack_words(words[lo:hi], per_word[lo:hi], contexts[pair[first_pair[lo] : first_pair[hi]] % len(words)], counts[first_pair[lo] : first_pair[hi]])
         for b, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist()))
         if hi > lo
     }
@@ -268,16 +285,16 @@ def _block(held: list[bool], texts: list[str], buckets: int) -> tuple[bytes, lis
     small = np.empty(len(rank), "i8")
     small[rank] = np.arange(len(rank))
     own = np.array([number[0]], "<u4").tobytes()
-    return squeeze(planes(small[flat]), planes(rank), classes.astype("u1").tobytes(), own), sizes, packets
+    return squeeze(planes(small[flat]), planes(rank), own), sizes, packets
 
 
 def _pairs_of_block(x: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """(pair number, word number) of each token, and the number of pairs; pairs are in the packets' order."""
-    small, rank, classes, own = expand(x)
-    flat = unplanes(rank)[unplanes(small)]
-    classes = np.frombuffer(classes, "u1").astype("i8")
+    small, rank, own = expand(x)
+    rank = unplanes(rank)
+    flat = rank[unplanes(small)]
     before = np.r_[int(np.frombuffer(own, "<u4")[0]), flat[:-1]]
-    pair, inverse = np.unique(flat * CLASSES + classes[before], return_inverse=True)
+    pair, inverse = np.unique(flat * len(rank) + before, return_inverse=True)
     return inverse, flat, len(pair)
 
 
@@ -326,15 +343,17 @@ def merged(packets: pa.Table) -> pa.Table:
     """One bucket's words with all their pairs and counts, from its packets."""
     packets = packets.sort_by("block")
     index: dict[bytes, int] = {}
-    keys, counts = [], []
+    owners, contexts, counts = [], [], []
     for x in packets.column("data"):
-        words, sizes, classes, n = unpack_words(x.as_py())
+        words, sizes, context, n = unpack_words(x.as_py())
         ids = np.fromiter((index.setdefault(w, len(index)) for w in words), "i8", len(words))
-        keys.append(np.repeat(ids, sizes) * CLASSES + classes)
+        owners.append(np.repeat(ids, sizes))
+        contexts.append(context)
         counts.append(n)
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    known, cls = np.unique(np.concatenate(contexts), return_inverse=True)
+    key, inverse = np.unique(np.concatenate(owners) * len(known) + cls, return_inverse=True)
     n = np.bincount(inverse, np.concatenate(counts))
-    data = pack_words([*index], np.bincount(key // CLASSES, minlength=len(index)), key % CLASSES, n)
+    data = pack_words([*index], np.bincount(key // len(known), minlength=len(index)), known[key % len(known)], n)
     return pa.table({"bucket": packets.column("bucket")[:1], "data": pa.array([data], pa.binary())})
 
 
@@ -342,22 +361,75 @@ def merged(packets: pa.Table) -> pa.Table:
 
 
 def _words_map(words: DataFrame, schema: str, work) -> DataFrame:
-    """``work`` on the (words, sizes, classes, counts) of each bucket."""
+    """``work`` on the (words, sizes, contexts, counts) of each bucket."""
 
     def run(batches):
         for b in batches:
             for x in b.column("data"):
-                w, sizes, cls, n = unpack_words(x.as_py())
-                yield work(w, sizes, cls, n.astype("f8"))
+                w, sizes, context, n = unpack_words(x.as_py())
+                yield work(w, sizes, context, n.astype("f8"))
 
     return words.select("data").mapInArrow(run, schema)
 
 
-class Seating:
-    """The two word levels for one batch of words, given the totals of all restaurants."""
+def _parts(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of restaurants by the bucket of their totals, and where each of the buckets starts."""
+    to = (contexts % np.uint64(buckets)).astype("i8")
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(buckets + 1))
+
+
+def _told(origin: int, contexts: np.ndarray, c: np.ndarray, t: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A bucket's customers and tables of each restaurant, for the buckets of their totals."""
+    order, edges = _parts(contexts, buckets)
+    to, data = [], []
+    for k, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+        if hi > lo:
+            at = order[lo:hi]
+            to.append(k)
+            data.append(squeeze(planes48(contexts[at]), planes(c[at]), planes(t[at])))
+    cells = [pa.array([origin] * len(to), pa.int32()), pa.array(to, pa.int32()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(cells, ["origin", "to", "data"])
+
+
+def _totals(told: pa.Table) -> pa.Table:
+    """For each of the packets of ``_told`` the totals of its restaurants."""
+    got = [expand(x.as_py()) for x in told.column("data")]
+    contexts, at = np.unique(np.concatenate([unplanes48(x) for x, _, _ in got]), return_inverse=True)
+    c, t = (np.bincount(at, np.concatenate([unplanes(x[k]) for x in got]), len(contexts)) for k in (1, 2))
+    ends = np.cumsum([len(x) // 6 for x, _, _ in got])
+    data = [squeeze(planes(c[k]), planes(t[k])) for k in np.split(at, ends[:-1])]
+    return pa.table({"origin": told.column("origin"), "to": told.column("to"), "data": pa.array(data, pa.binary())})
+
 
-    def __init__(self, words, sizes, cls, n, model):
-        self.m, self.cls, self.n = model, cls, n
+def _with_restaurants(words: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, data, totals): each bucket of words with the customers and tables of all its restaurants."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        data = left.column("data")[0].as_py()
+        order, _ = _parts(np.unique(unpack_words(data)[2]), buckets)
+        got = [expand(x.as_py()) for x in right.sort_by("to").column("data")]
+        sides = []
+        for k in (0, 1):
+            x = np.empty(len(order), "i8")
+            x[order] = np.concatenate([unplanes(g[k]) for g in got])
+            sides.append(planes(x))
+        return pa.table({"bucket": left.column("bucket")[:1], "data": left.column("data")[:1], "totals": pa.array([squeeze(*sides)], pa.binary())})
+
+    totals = told.repartition(buckets, "to").groupBy("to").applyInArrow(_totals, "origin int, to int, data binary")
+    own = words.select("bucket", "data").repartition(buckets, "bucket")
+    return own.groupBy("bucket").cogroup(totals.repartition(buckets, "origin").groupBy("origin")).applyInArrow(run, "bucket int, data binary, totals binary")
+
+
+class Seating:
+    """The two word levels for one bucket of words, given the totals of all restaurants."""
+
+    def __init__(self, words, sizes, contexts, n, totals, model):
+        self.m, self.n = model, n
+        self.contexts, self.cls = np.unique(contexts, return_inverse=True)
+        self.C, tables = (unplanes(x) for x in expand(totals))
+        self.free = model["theta"] + model["d"] * tables
+        self.back = self.free / (model["theta"] + self.C)
         self.owner = np.repeat(np.arange(len(words)), sizes)
         self.size = len(words)
         self.base = 10 ** spelling_logs(words, model["spelling"])
@@ -366,7 +438,7 @@ class Seating:
         if "unknown" in model:
             self.base[~self.known] = model["unknown"]
         self.word_key = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
-        self.key = self.word_key[self.owner] + cls.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
+        self.key = self.word_key[self.owner] + contexts * np.uint64(0x9E3779B97F4A7C15)
         self.t = np.minimum(n, 1)
         self.c0 = np.bincount(self.owner, self.t, self.size)
         self.t0 = np.minimum(self.c0, 1)
@@ -378,7 +450,7 @@ class Seating:
 
     def sweep(self, salt: int) -> None:
         m = self.m
-        weight = m["free"][self.cls] * self.root()[self.owner]
+        weight = self.free[self.cls] * self.root()[self.owner]
         self.t = seat(self.n, weight, m["d"], self.key, salt)
         self.c0 = np.bincount(self.owner, self.t, self.size)
         self.t0 = seat(self.c0, (m["theta"] + m["d0"] * m["T0"]) * self.base, m["d0"], self.word_key, salt + 500_009)
@@ -386,21 +458,14 @@ class Seating:
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """(root probability of each word, probability of each seen pair)."""
         m, root = self.m, self.root()
-        return root, (self.n - m["d"] * self.t) / (m["theta"] + m["C"][self.cls]) + m["back"][self.cls] * root[self.owner]
-
+        return root, (self.n - m["d"] * self.t) / (m["theta"] + self.C[self.cls]) + self.back[self.cls] * root[self.owner]
 
-def _with_totals(model: dict, t: np.ndarray, t0: float) -> dict:
-    out = dict(model, T=t, T0=t0, C0=float(t.sum()))
-    out["free"] = model["theta"] + model["d"] * t
-    out["back"] = out["free"] / (model["theta"] + model["C"])
-    return out
 
-
-def fit(words: DataFrame) -> dict:
-    """Totals of all restaurants and the spelling model, from buckets of words."""
+def fit(words: DataFrame, buckets: int) -> tuple[dict, DataFrame]:
+    """The spelling model with the totals of the root, and the buckets of words with those of their restaurants."""
     spark = words.sparkSession
 
-    def cells(w, sizes, cls, n):
+    def cells(w, sizes, context, n):
         known = [x for x, k in zip(w, np.bincount(np.repeat(np.arange(len(w)), sizes), n, len(w))) if k]
         _, context, symbol = spelled(known)
         cell, count = np.unique(context.astype("i8") * SYMBOLS + symbol, return_counts=True)
@@ -410,52 +475,67 @@ def fit(words: DataFrame) -> dict:
     counted = _words_map(words, "cell long, n long", cells).groupBy("cell").agg(F.sum("n").alias("n")).collect()
     spelt = spelling({r["cell"]: r["n"] for r in counted})
 
-    def counts(w, sizes, cls, n):
+    def counts(w, sizes, context, n):
         c = np.bincount(np.repeat(np.arange(len(w)), sizes), n, len(w))
-        rows = [np.bincount(cls, n, CLASSES), np.bincount(cls, n > 0, CLASSES), [(n == 1).sum(), (n == 2).sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()]]
-        flat = np.concatenate(rows).astype("i8")
+        flat = np.array([n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()], "i8")
         return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["k", "n"])
 
-    x = np.zeros(2 * CLASSES + 5)
+    x = [0] * 7
     for r in _words_map(words, "k int, n long", counts).groupBy("k").agg(F.sum("n").alias("n")).collect():
         x[r["k"]] = r["n"]
-    c, t, (one, two, v, v1, v2) = x[:CLASSES], x[CLASSES : 2 * CLASSES], x[2 * CLASSES :].tolist()
+    tokens, pairs, one, two, v, v1, v2 = x
     discount = lambda a, b: min(0.95, max(0.1, a / (a + 2 * b))) if a + b else DISCOUNT
-    model = {"theta": THETA, "d": discount(one, two), "d0": discount(v1, v2), "C": c, "spelling": spelt, "V": int(v)}
-    model = _with_totals(model, t, v)
-    shared = spark.sparkContext.broadcast(model)
+    model = {"theta": THETA, "d": discount(one, two), "d0": discount(v1, v2), "N": tokens, "spelling": spelt, "V": v, "T0": float(v), "C0": float(pairs)}
+
+    def first(batches):
+        for b in batches:
+            for origin, x in zip(b.column("bucket").to_pylist(), b.column("data")):
+                _, _, contexts, n = unpack_words(x.as_py())
+                known, cls = np.unique(contexts, return_inverse=True)
+                yield _told(origin, known, np.bincount(cls, n), np.bincount(cls, n > 0), buckets)
 
-    def totals(w, sizes, cls, n):
-        s = Seating(w, sizes, cls, n, shared.value)
-        for k in range(BURN):
-            s.sweep(k)
-        t = np.r_[np.bincount(s.cls, s.t, CLASSES), s.t0.sum(), s.base[s.known].sum()]
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES + 2), pa.int32()), pa.array(t)], ["class", "t"])
+    told = words.select("bucket", "data").mapInArrow(first, "origin int, to int, data binary")
+    held = staged(_with_restaurants(words, told, buckets), "restaurants")
+    shared = spark.sparkContext.broadcast(model)
 
-    tables = np.zeros(CLASSES + 2)
-    for r in _words_map(words, "class int, t double", totals).groupBy("class").agg(F.sum("t").alias("t")).collect():
-        tables[r["class"]] = r["t"]
-    model = _with_totals(model, tables[:CLASSES], float(tables[CLASSES]))
-    model["unknown"] = max(1 - float(tables[CLASSES + 1]), 1e-9)
-    return model
+    def burnt(batches):
+        for b in batches:
+            for origin, x, totals in zip(b.column("bucket").to_pylist(), b.column("data"), b.column("totals")):
+                w, sizes, contexts, n = unpack_words(x.as_py())
+                s = Seating(w, sizes, contexts, n.astype("f8"), totals.as_py(), shared.value)
+                for k in range(BURN):
+                    s.sweep(k)
+                out = _told(origin, s.contexts, np.bincount(s.cls, n), np.bincount(s.cls, s.t), buckets)
+                sums = [s.t.sum(), s.t0.sum(), s.base[s.known].sum()]
+                for k, total in enumerate(sums):
+                    out = out.append_column(f"s{k}", pa.array([total] + [0.0] * (out.num_rows - 1), pa.float64()))
+                yield out
+
+    told = staged(held.select("bucket", "data", "totals").mapInArrow(burnt, "origin int, to int, data binary, s0 double, s1 double, s2 double"), "tables")
+    c0, t0, known = (float(x or 0) for x in told.agg(F.sum("s0"), F.sum("s1"), F.sum("s2")).first())
+    model = dict(model, C0=c0, T0=t0, unknown=max(1 - known, 1e-9))
+    seated = staged(_with_restaurants(words, told.drop("s0", "s1", "s2"), buckets), "seated")
+    for x in (words, held, told):
+        delete(x)
+    return model, seated
 
 
 def answered(packets: pa.Table, bucket: pa.Table, model: dict) -> pa.Table:
     """(block, bucket, data): for each packet its words' training counts and its pairs' averaged log10 probabilities."""
-    words, sizes, cls, n = unpack_words(bucket.column("data")[0].as_py())
-    s = Seating(words, sizes, cls, n.astype("f8"), model)
-    mean = np.zeros(len(cls))
+    words, sizes, contexts, n = unpack_words(bucket.column("data")[0].as_py())
+    s = Seating(words, sizes, contexts, n.astype("f8"), bucket.column("totals")[0].as_py(), model)
+    mean = np.zeros(len(n))
     for k in range(BURN + SAMPLES):
         s.sweep(1_000_003 + k)
         if k >= BURN:
             mean += s.predict()[1] / SAMPLES
     lp, count = np.log10(mean), np.bincount(s.owner, n, len(words)).astype("i8")
-    index, key = {w: k for k, w in enumerate(words)}, s.owner * CLASSES + cls
+    index, key = {w: k for k, w in enumerate(words)}, s.owner * len(s.contexts) + s.cls
     out = []
     for x in packets.column("data"):
         w, per_word, c, _ = unpack_words(x.as_py())
         ids = np.fromiter(map(index.__getitem__, w), "i8", len(w))
-        at = np.searchsorted(key, np.repeat(ids, per_word) * CLASSES + c)
+        at = np.searchsorted(key, np.repeat(ids, per_word) * len(s.contexts) + np.searchsorted(s.contexts, c))
         out.append(squeeze(planes(count[ids]), lp[at].astype("<f4").tobytes()))
     return pa.table({"block": packets.column("block"), "bucket": packets.column("bucket"), "data": pa.array(out, pa.binary())})
 
@@ -493,13 +573,13 @@ def score(docs: DataFrame) -> DataFrame:
     held = staged(blocks(docs, buckets), "blocks")
     packets = held.where("bucket is not null").select("block", "bucket", "data").repartition(buckets, "bucket")
     words = staged(packets.groupBy("bucket").applyInArrow(merged, "bucket int, data binary"), "words")
-    model = fit(words)
-    n, v = int(model["C"].sum()), model["V"]
+    model, words = fit(words, buckets)
+    n, v = model["N"], model["V"]
     shared = spark.sparkContext.broadcast(model)
     texts = held.where("bucket is null").select(F.col("block").alias("own"), "ids", "held", "sizes", "data").repartition(buckets, "own")
     answers = (
         packets.groupBy("bucket")
-        .cogroup(words.select(F.col("bucket").alias("of"), "data").repartition(buckets, "of").groupBy("of"))
+        .cogroup(words.select(F.col("bucket").alias("of"), "data", "totals").repartition(buckets, "of").groupBy("of"))
         .applyInArrow(lambda left, right: answered(left, right, shared.value), "block string, bucket int, data binary")
         .repartition(buckets, "block")
     )
