@@ -16,29 +16,33 @@ out of the output, so their names can't clash.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
 from array import array
 
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import arrow_map, text_of, worker_cache
 
 #: Words up to this many bytes use the scanned rank array.
 LONG = 256
-#: Entries of the cache from text unit to ids that each Python worker holds at most.
-CACHE = 1_200_000
+#: Bytes that a Python worker's caches of units and words may hold, all together.
+CACHE_BYTES = 100_000_000
+#: What an entry takes besides its characters and ids: two objects and its share of the table.
+ENTRY = 180
 
 # The white space of the pre-tokenisation pattern and the pattern itself.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A unit is a run without white space with the space before it, or white space: no piece crosses a unit.
 UNIT = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")
-#: Code points whose class depends on the Unicode version; texts with them are cut by the library itself.
+#: Code points whose class depends on the Unicode version; the library's pre-tokeniser cuts texts with them.
 UNSURE = re.compile(
     "[\u0530-\u058f\u0870-\u089f\u0c00-\u0cff\u1c80-\u1cff\u2080-\u209f\ua700-\ua7ff\uab60-\uab6f"
     "\U00010000-\U0001efff\U0001fb00-\U0010ffff]"
@@ -50,17 +54,21 @@ WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class _Words(dict):
-    """Ids of what stands between two spaces, with what stands before it, within the same bound."""
+    """Ids of what stands between two spaces, with what stands before it. Part of its codec's bound of bytes.
+
+    When the bound is met the entries become the old ones; those that are used again come back.
+    """
 
     def __init__(self, bpe: "ByteBpe", before: str):
-        self.bpe, self.before = bpe, before
+        self.bpe, self.before, self.old = bpe, before, {}
 
     def __missing__(self, part: str) -> bytes:
-        out = self.bpe._ids_of(self.before + part)
+        out = self.old.get(part)
+        if out is None:
+            out = self.bpe._ids_of(self.before + part)
         if len(part) < 64:
-            if len(self) >= self.bpe.limit:
-                self.clear()
             self[part] = out
+            self.bpe.grown(ENTRY + len(part) + len(out))
         return out
 
 
@@ -74,7 +82,7 @@ def byte_letters() -> dict[int, str]:
 class ByteBpe:
     """One vocabulary. ``load`` keeps it for the life of the Python worker."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -87,13 +95,25 @@ class ByteBpe:
         self.bytes_of = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items() if s not in self.specials}
         self.bytes_of |= {i: s.encode() for s, i in self.specials.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.path, self.limit, self.cache, self._library = path, cache, {}, None
-        self.spaced, self.bare = _Words(self, " "), _Words(self, "")
+        self.path, self._library = path, None
+        # Half of the bound is for the entries in use, half for the old ones.
+        self.held, self.limit = 0, cache_bytes // 2
+        self.spaced, self.bare, self.cache = _Words(self, " "), _Words(self, ""), _Words(self, "")
+        self.letter_byte = to_byte
 
     @classmethod
     def load(cls, path: str) -> "ByteBpe":
         return worker_cache(f"{cls.__name__} {path}", lambda: cls(path))
 
+    def grown(self, size: int) -> None:
+        """Counts what the caches hold; at the bound they turn over."""
+        self.held += size
+        if self.held > self.limit:
+            self.held = 0
+            for words in (self.spaced, self.bare, self.cache):
+                words.old = dict(words)
+                words.clear()
+
     @property
     def library(self):
         if self._library is None:
@@ -148,19 +168,14 @@ class ByteBpe:
         return [ids[i] for i in starts], starts
 
     def _ids_of(self, unit: str) -> bytes:
+        # Letters alone, or after one space, are one piece.
+        if (unit[1:] if unit[:1] == " " else unit).isalpha():
+            return array("I", self.ids(unit)).tobytes()
         ids = array("I")
         for piece in PIECE.findall(unit):
             ids.extend(self.ids(piece))
         return ids.tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        out = self._ids_of(unit)
-        if len(self.cache) >= self.limit:
-            self.cache.clear()
-        if len(unit) < 64:
-            self.cache[unit] = out
-        return out
-
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, packed as little-endian unsigned 32-bit integers."""
         if self.split and any(s in text for s in self.specials):
@@ -173,7 +188,7 @@ class ByteBpe:
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii() and UNSURE.search(text):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._cut_by_library(text)
         if any(x in text for x in UNEVEN) or not text.isascii() and WIDE.search(text):
             return self._units(text)
         # White space is single spaces and single line ends that don't touch: each is cut as here.
@@ -187,23 +202,41 @@ class ByteBpe:
         return b"".join(out)
 
     def _units(self, text: str) -> bytes:
-        get, slow = self.cache.get, self._unit
-        return b"".join([get(u) or slow(u) for u in UNIT.findall(text)])
+        return b"".join(map(self.cache.__getitem__, UNIT.findall(text)))
+
+    def _cut_by_library(self, text: str) -> bytes:
+        """The pieces are the library's, as their bounds depend on its Unicode version; their merges are made here."""
+        ids = array("I")
+        for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(text):
+            ids.extend(self.merge(bytes(map(self.letter_byte.__getitem__, letters)))[0])
+        return ids.tobytes()
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
 
 
 class LibraryBpe(ByteBpe):
-    """The same cutting and cache, with the tokenizers library's own model for the words that the cache lacks."""
+    """The same ids from a compiled merge loop: tiktoken's, over the ranks and the pattern of the vocabulary file.
 
-    def __init__(self, path: str, cache: int = CACHE):
-        super().__init__(path, cache)
-        self.tokenize = self.library.model.tokenize
-        self.letter_of = {b: c for b, c in byte_letters().items()}
+    It needs no cache of words. Its pattern is that of the tokenizers library, whose pre-tokeniser
+    cuts the texts whose code points the two may class differently.
+    """
 
-    def ids(self, piece: str) -> list[int]:
-        return [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letter_of))]
+    #: White space in a row from which the pattern's look-ahead would go back too far.
+    BLANK = re.compile(rf"[{WS}]{{20000}}")
+
+    def __init__(self, path: str):
+        super().__init__(path, 2_000_000)
+        order = [merged & 0xFFFFFFFF for merged in sorted(self.pairs.values())]
+        if order != sorted(order):
+            raise ValueError(f"{path}: ids don't follow the order of merges")
+        ranks = {x: i for i, x in self.bytes_of.items() if i not in {*self.specials.values()}}
+        self._encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _plain(self, text: str) -> bytes:
+        if not text.isascii() and UNSURE.search(text) or len(text) > 100_000 and self.BLANK.search(text):
+            return super()._plain(text)
+        return array("I", self._encode(text)).tobytes()
 
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,7 +247,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         bpe = ByteBpe.load(path)
         return lambda rows: {key: rows[key], "ids": [bpe.encode(t) for t in rows[text]]}
 
-    return arrow_map(df.select(key, text_of(text).alias(text)), schema, make)
+    return arrow_map(df.select(key, text_of(text).alias(text)), schema, make, through=(key,))
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -225,14 +258,26 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
         bpe = ByteBpe.load(path)
         return lambda rows: {key: rows[key], ids: rows[ids], "text": [bpe.decode(x or b"") for x in rows[ids]]}
 
-    return arrow_map(df.select(key, ids), schema, make)
+    return arrow_map(df.select(key, ids), schema, make, through=(key,))
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts."""
-    return decode(encode(df, path, key, text), path, key).select(
-        key,
-        (F.octet_length("ids") / 4).cast(LongType()).alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    """(key, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded in one pass."""
+    names = {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}
+    schema = StructType([StructField(key, df.schema[key].dataType), *(StructField(k, v) for k, v in names.items())])
+
+    def make():
+        bpe = ByteBpe.load(path)
+
+        def work(rows):
+            ids = [bpe.encode(t) for t in rows[text]]
+            return {
+                key: rows[key],
+                "n_tokens": [len(x) // 4 for x in ids],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
+            }
+
+        return work
+
+    return arrow_map(df.select(key, text_of(text).alias(text)), schema, make, through=(key,))

@@ -7,12 +7,11 @@ batches of bounded size.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """The cluster's spark.checkpoint.dir, else the folder given to ``setCheckpointDir``, else one beside the warehouse.
+
+    All three are folders that executors share; a machine's own temporary folder is never used.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='kinfold-')}"
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", path)
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = made.get() if made.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return path.rstrip("/")
 
 
@@ -77,9 +78,13 @@ def release(spark: SparkSession, keep: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint only if it has at most ``rows`` rows; else it is joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """``df`` with a broadcast hint only if the planner's size of it, for a written table its bytes on disk, is at most ``most``.
+
+    Else the planner chooses: adaptive execution knows the size of what has been shuffled.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most else df
 
 
 def text_of(col: str = "text") -> Column:
@@ -105,16 +110,49 @@ def ascii_lower(col: Column) -> Column:
     )
 
 
+#: Seconds without a task after which a Python worker gives its caches back.
+IDLE_S = 2.0
+_TASKS = {"running": 0, "ended": 0.0, "watched": False}
+
+
+def _drop_caches() -> None:
+    _KEPT.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _watch() -> None:
+    while True:
+        time.sleep(IDLE_S / 4)
+        if _KEPT and not _TASKS["running"] and time.monotonic() - _TASKS["ended"] > IDLE_S:
+            _drop_caches()
+
+
+@contextlib.contextmanager
+def task() -> Iterator[None]:
+    """Marks a task as running; caches that no task has used for ``IDLE_S`` seconds are freed.
+
+    An executor's idle workers would otherwise hold them while stages run that need no Python.
+    """
+    if not _TASKS["watched"]:
+        _TASKS["watched"] = True
+        threading.Thread(target=_watch, daemon=True).start()
+    _TASKS["running"] += 1
+    try:
+        yield
+    finally:
+        _TASKS["running"] -= 1
+        _TASKS["ended"] = time.monotonic()
+
+
 def worker_cache(name: str, build: Callable[[], object]) -> object:
     """What ``build`` makes, kept for the next tasks of this Python worker.
 
     One at a time: a worker that goes on with another operator frees the last one's.
     """
     if name not in _KEPT:
-        _KEPT.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        _drop_caches()
         _KEPT[name] = build()
     return _KEPT[name]
 
@@ -124,18 +162,40 @@ def arrow_map(
     schema: StructType,
     make: Callable[[], Callable[[dict], dict]],
     rows: int = 512,
+    through: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Apply ``make()`` (built once a task) to column lists, ``rows`` documents at a time."""
+    """Apply ``make()`` (built once a task) to column lists, ``rows`` documents at a time.
+
+    Columns named in ``through`` stay Arrow arrays: they are handed on, not turned into objects.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(schema)
 
+    def column(x, kind: pa.DataType) -> pa.Array:
+        return x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                got = work(part.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+        with task():
+            work = make()
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    got = work({n: c if n in through else c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
+                    yield pa.RecordBatch.from_arrays([column(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def arrow_filter(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], column: str, rows: int = 512) -> DataFrame:
+    """The rows of ``df`` for which ``make()`` on ``column`` says so; no other column becomes a Python object."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task():
+            work = make()
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    yield part.filter(pa.array(work(part.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -204,7 +204,7 @@ def load(stored: DataFrame) -> DataFrame:
         .select("object", "seq", F.col("c.digests").alias("digest"))
         .distinct()
     )
-    wanted = small(lacks.select("digest").distinct())
+    wanted = small(staged(lacks.select("digest").distinct(), "wanted"))
     has = (
         stored.select(F.explode(F.arrays_zip("digests", "frames")).alias("c"))
         .where("c.frames is not null")

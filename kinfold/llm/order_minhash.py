@@ -340,7 +340,7 @@ def links(known: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root"),
         "open-members",
     )
-    spelled = staged(sequences(docs, rows.select("doc_id").distinct()), "open-texts")
+    spelled = staged(sequences(docs, staged(rows.select("doc_id").distinct(), "open-ids")), "open-texts")
     full = rows.join(sk.select("doc_id", "n", "sketch", "outline").join(spelled, "doc_id"), "doc_id").select(
         "bucket", "i", "j", "side", "doc_id", "root", "n", "sketch", "outline", "kmers"
     )

@@ -284,4 +284,4 @@ def prefix_counts(df: DataFrame, path: str, budget: int = 2048, key: str = "doc_
 
         return work
 
-    return arrow_map(df.select(key, text_of(text).alias(text)), schema, make)
+    return arrow_map(df.select(key, text_of(text).alias(text)), schema, make, through=(key,))

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_codec import LibraryBpe
-from .common import staged, text_of
+from .common import staged, task, text_of
 
 MAGIC = b"KFP1"
 BLOCK = 1 << 16
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 20
 TRAILER = struct.Struct("<QIQIII")
 
 
@@ -98,14 +98,19 @@ def unpack(file: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 def write_files(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, append ``end_id`` to each document and store; (part, seq, n_ids, file), read back from the store."""
 
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task():
+            yield from encoded(batches)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = LibraryBpe.load(path), TaskContext.get().partitionId()
         end = struct.pack("<I", end_id)
         keys, ids, held, seq = [], [], 0, 0
 
         def file():
             cells = [[part], [seq], [held], [pack(keys, ids)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], ["part", "seq", "n_ids", "file"])
 
         for batch in batches:
@@ -151,9 +156,11 @@ def read_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = files.select("part", "seq", "file").mapInArrow(
         run, f"part int, seq int, {key} long, local long, n_tokens long, ids_crc32 long"
     )
-    # One row a file: millions of documents share one.
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    # Offsets from two small sums: of the parts before, one row a task, and of a part's files before.
+    of_parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = of_parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("within")).join(parts, "part")
     return rows.join(offsets, ["part", "seq"]).select(
-        key, (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
+        key, (F.col("first") + F.col("within") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
     )
