@@ -4,18 +4,20 @@ The expressions of a text are its words. A toxic and an ordinary model of the le
 a word are trained by interpolated Kneser-Ney; the orders above ``SHARED`` have counts of
 their own for each class, the lower ones are shared, so rare and new expressions are
 smoothed through common backoff counts. The two log-likelihoods of each word, and of the
-whole text, are compared after division by their number of letters. A text's evidence is
-its length-normalised difference as a whole, and its two strongest words' differences; a
-logistic curve, fitted on labelled texts that the models have not seen, turns it into a
-score between 0 and 1.
+whole text, are compared after division by their number of letters, the word's end among
+them. A text's evidence is its length-normalised difference as a whole, and those of its two
+strongest words; a logistic curve, fitted on labelled texts that the models have not seen,
+turns it into a score between 0 and 1.
 
 The models are fitted on at most ``rows`` labelled texts of each class (two thirds for
-the counts, one third for the curve), picked by a hash of the id over all labelled rows;
-that bound is also the bound of what the driver and the broadcast hold. All texts are scored.
+the counts, one third for the curve), picked by a hash of the id over all labelled rows.
+Their words are counted, and their evidence is computed, by Spark: the driver and the
+broadcast hold the distinct words of so many texts, and three numbers a text. All texts are scored.
 
 Defined results: null and empty texts, and texts without words, get the curve's value for no
 evidence. A label row without text, or a null label, is not learned from; of several labels
-of one document the highest counts. If a class has no labelled text, every score is 0.
+of one document the highest counts, of several texts the last in order. Documents with a null
+id are not held out. If a class has no labelled text, every score is 0.
 """
 
 from __future__ import annotations
@@ -24,16 +26,19 @@ import math
 import re
 import uuid
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_map, packed, text_of, unpacked, worker_cache
+from .common import arrow_filter, arrow_map, staged, text_of, worker_cache
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
+#: Letters that a word is longer when its difference is normalised: rare letters of a short word are weak evidence.
+PRIOR = 5
 #: Labelled texts of each class that are learned from, at most.
 ROWS = 3000
 CACHE = 150_000
@@ -82,7 +87,7 @@ class KneserNey:
         self.total = dict(self.total)
         self.base = 1 / (len(self.count[1]) + 1)
         self.memo: dict[str, float] = {}
-        self.words: dict[str, float] = {}
+        self.words: dict[str, tuple[float, float]] = {}
 
     def probability(self, gram: str, j: int) -> float:
         """Of the last letter after those before it, in class ``j``."""
@@ -102,10 +107,11 @@ class KneserNey:
             self.memo[gram] = got
         return got
 
-    def word(self, word: str) -> float:
-        """Toxic less ordinary log-likelihood of a word."""
+    def word(self, word: str) -> tuple[float, float]:
+        """Toxic less ordinary log-likelihood of a word, and the same after division by its length."""
         w, ratio = f"^{word}$", self.ratio
-        out = sum([ratio(w[max(0, i - ORDER + 1) : i + 1]) for i in range(1, len(w))])
+        total = sum([ratio(w[max(0, i - ORDER + 1) : i + 1]) for i in range(1, len(w))])
+        out = total, total / (len(word) + 1 + PRIOR)
         if len(word) < LONG:
             if len(self.words) >= CACHE:
                 self.words.clear()
@@ -113,21 +119,22 @@ class KneserNey:
         return out
 
     def evidence(self, text: str) -> tuple[float, float, float]:
-        """The whole text's difference a letter, and its two strongest words' differences."""
+        """Differences a letter: of the whole text, and of its two strongest words."""
         words = WORD.findall(text.lower())
         if not words:
             return 0.0, 0.0, 0.0
         get, slow = self.words.get, self.word
-        each = [x if (x := get(w)) is not None else slow(w) for w in words]
+        got = [get(w) or slow(w) for w in words]
+        each = [x[1] for x in got]
         best = max(each)
-        total = math.fsum(each)
+        total = math.fsum([x[0] for x in got])
         each[each.index(best)] = -1e9
         second = max(each) if len(each) > 1 else 0.0
         return total / (sum(map(len, words)) + len(words)), best, second
 
 
 def held_out(key: Column, fold: int = 3, rest: int = 1) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % fold == rest
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % fold == rest, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -142,27 +149,43 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     )
     picked = [known.where(F.col("toxic") == c).orderBy("place", "doc_id").limit(rows) for c in (0, 1)]
     few = picked[0].unionByName(picked[1]).withColumn("tuning", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) == 0)
-    # At most 2 * rows ids: a fixed size.
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic", "tuning")
+    # At most 2 * rows ids: a fixed size. One text each, however often an id is repeated.
+    return (
+        docs.where("text is not null")
+        .select("doc_id", "text")
+        .join(F.broadcast(few), "doc_id")
+        .groupBy("doc_id", "toxic", "tuning")
+        .agg(F.max("text").alias("text"))
+        .select("text", "toxic", "tuning")
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict | None:
-    """The models and the curve; None if a class has no text. What comes to the driver is bounded by ``rows``."""
-    data = sample(docs, labels, rows).toPandas()
-    if data["toxic"].nunique() < 2:
+    """The models and the curve; None if a class has no text."""
+    data = staged(sample(docs, labels, rows), "labelled-texts")
+    have = {(r["tuning"], r["toxic"]) for r in data.select("tuning", "toxic").distinct().collect()}
+    if {toxic for _, toxic in have} != {0, 1}:
         return None
     # With few texts the curve is fitted on those that the models have seen.
-    tuning = data[data["tuning"]] if data[data["tuning"]]["toxic"].nunique() == 2 else data
-    learned = data[~data["tuning"]] if data[~data["tuning"]]["toxic"].nunique() == 2 else data
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, toxic in zip(learned["text"], learned["toxic"]):
-        counts[toxic].update(WORD.findall(text.lower()))
-    words = [(w, counts[0][w], counts[1][w]) for w in sorted(counts[0].keys() | counts[1].keys())]
-    model = KneserNey(words)
-    x = features([model.evidence(t) for t in tuning["text"]])
+    part = lambda tuning: data.where(F.col("tuning") == tuning) if {(tuning, 0), (tuning, 1)} <= have else data
+    words = [(r["word"], r["n0"], r["n1"]) for r in word_counts(part(False)).collect()]
+    model = {"name": uuid.uuid4().hex, "words": packed_words(sorted(words))}
+    tuned = evidences(part(True), model, ("toxic",)).toPandas().sort_values(["toxic", *EVIDENCE], ignore_index=True)
+    x = features(tuned[[*EVIDENCE]].to_numpy())
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    weights = logistic((x - mean) / scale, tuning["toxic"].to_numpy(float))
-    return {"name": uuid.uuid4().hex, "words": packed_words(words), "mean": mean, "scale": scale, "weights": weights}
+    weights = logistic((x - mean) / scale, tuned["toxic"].to_numpy(float))
+    return {**model, "mean": mean, "scale": scale, "weights": weights}
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n0, n1): how often each word stands in ordinary and in toxic texts."""
+
+    def make():
+        return lambda rows: {"toxic": rows["toxic"], "words": [WORD.findall(t.lower()) for t in rows["text"]]}
+
+    each = arrow_map(texts.select("toxic", "text"), StructType.fromDDL("toxic int, words array<string>"), make, through=("toxic",))
+    n = [F.count_if(F.col("toxic") == c).alias(f"n{c}") for c in (0, 1)]
+    return each.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(*n)
 
 
 def packed_words(words: list[tuple[str, int, int]]) -> bytes:
@@ -175,10 +198,10 @@ def unpacked_words(data: bytes) -> list[tuple[str, int, int]]:
     return [(w, int(a), int(b)) for w, a, b in rows]
 
 
-def features(evidence: list[tuple[float, float, float]]) -> np.ndarray:
-    """The curve's inputs: words' differences count by their logarithm, so that one clear word is enough."""
-    x = np.array(evidence, float).reshape(-1, 3)
-    return np.column_stack([x[:, 0], np.log1p(np.maximum(x[:, 1:], 0))])
+def features(evidence: list[tuple[float, float, float]] | np.ndarray) -> np.ndarray:
+    """The curve's inputs: words' differences count by their square, so that one clear word outweighs many weak ones."""
+    x = np.asarray(evidence, float).reshape(-1, 3)
+    return np.column_stack([x[:, 0], np.square(np.maximum(x[:, 1:], 0))])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -196,26 +219,54 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 5
     return w
 
 
-def score(docs: DataFrame, model: dict | None, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``cols`` and ``score`` of every text."""
-    if model is None:
-        return docs.select(*cols, F.lit(0.0).alias("score"))
+EVIDENCE = ("whole", "best", "second")
+
+
+def _loaded(shared) -> KneserNey:
+    m = shared.value
+    return worker_cache(f"Kneser-Ney {m['name']}", lambda: KneserNey(unpacked_words(m["words"])))
+
+
+def evidences(docs: DataFrame, model: dict, cols: tuple[str, ...]) -> DataFrame:
+    """``cols`` and the three kinds of evidence of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields, names = [docs.schema[c] for c in cols], [*cols]
-    schema = StructType([*fields, StructField("score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in cols), *(StructField(e, DoubleType()) for e in EVIDENCE)])
 
     def make():
-        m = shared.value
-        kn = worker_cache(f"Kneser-Ney {m['name']}", lambda: KneserNey(unpacked_words(m["words"])))
+        kn = _loaded(shared)
 
         def work(rows):
-            x = features([kn.evidence(t or "") for t in rows["_text"]])
-            z = (x - m["mean"]) / m["scale"] @ m["weights"][:-1] + m["weights"][-1]
-            return {**{n: rows[n] for n in names}, "score": (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()}
+            x = [kn.evidence(t) for t in rows["_text"]]
+            return {**{c: rows[c] for c in cols}, **{e: [v[k] for v in x] for k, e in enumerate(EVIDENCE)}}
 
         return work
 
-    return arrow_map(docs.select(*names, text_of().alias("_text")), schema, make)
+    return arrow_map(docs.select(*cols, text_of().alias("_text")), schema, make, through=cols)
+
+
+def _scorer(shared) -> Callable[[list], np.ndarray]:
+    m, kn = shared.value, _loaded(shared)
+
+    def scores(texts: list) -> np.ndarray:
+        x = features([kn.evidence(t or "") for t in texts])
+        z = (x - m["mean"]) / m["scale"] @ m["weights"][:-1] + m["weights"][-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    return scores
+
+
+def score(docs: DataFrame, model: dict | None, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``cols`` and ``score`` of every text."""
+    if model is None:
+        return docs.select(*cols, F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*(docs.schema[c] for c in cols), StructField("score", DoubleType())])
+
+    def make():
+        scores = _scorer(shared)
+        return lambda rows: {**{c: rows[c] for c in cols}, "score": scores(rows["_text"]).tolist()}
+
+    return arrow_map(docs.select(*cols, text_of().alias("_text")), schema, make, through=cols)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = ROWS) -> DataFrame:
@@ -231,5 +282,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: i
 
 def ordinary(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with their columns as they are."""
-    scored = score(packed(docs), fit(docs, labels, rows), ("doc_id", "text", "_row")).where(F.col("score") < threshold)
-    return scored.select(*unpacked(scored, docs.columns))
+    model = fit(docs, labels, rows)
+    if model is None:
+        return docs if threshold > 0 else docs.where("false")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scores = _scorer(shared)
+        return lambda texts: (scores(texts) < threshold).tolist()
+
+    return arrow_filter(docs, make, "text")

@@ -248,6 +248,29 @@ def test_toxicity(spark):
     assert toxicity.classify(d.where("false"), lab).count() == 0
 
 
+def test_toxicity_rows(spark):
+    """Null ids aren't held out, repeated ids give one learned text, and every score is the curve's value of the model's own words."""
+    docs, labels = corpus(300, "gruzzle")
+    docs += [(None, "gruzzle gruzzles"), (5, "another text of an id that is repeated"), (9003, "gruzzleness " * 4000)]
+    d, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.sample(d, lab).count() == len({i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1})
+    got = toxicity.classify(d, lab).collect()
+    assert len(got) == len(docs) and all(r.held_out is False and r.predicted == 1 for r in got if r.doc_id is None)
+    model = toxicity.fit(d, lab)
+    kn = toxicity.KneserNey(toxicity.unpacked_words(model["words"]))
+
+    def brute(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        diff = lambda w: sum(math.log(kn.probability(("^" + w + "$")[max(0, i - 4) : i + 1], 1) / kn.probability(("^" + w + "$")[max(0, i - 4) : i + 1], 0)) for i in range(1, len(w) + 2))
+        each = sorted((diff(w) / (len(w) + 1 + toxicity.PRIOR) for w in words), reverse=True)
+        x = [sum(map(diff, words)) / sum(len(w) + 1 for w in words), each[0] ** 2 * (each[0] > 0), each[1] ** 2 * (each[1] > 0) if len(each) > 1 else 0.0] if words else [0.0] * 3
+        z = sum((v - m) / s * w for v, m, s, w in zip(x, model["mean"], model["scale"], model["weights"])) + model["weights"][-1]
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    for i, text in docs[:60] + docs[-3:]:
+        assert any(r.score == pytest.approx(brute(text), abs=1e-9) for r in got if r.doc_id == i)
+
+
 def test_kneser_ney_sums_to_one():
     model = toxicity.KneserNey([("abba", 5, 1), ("abc", 2, 7), ("ca", 1, 1), ("b", 3, 0)])
     letters = [g for g in model.count[1]]
