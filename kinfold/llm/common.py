@@ -55,6 +55,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str = "bucket") -> DataFrame:
+    """Like ``staged``, but the files are dealt by a hash of ``key``: grouping or joining by it needs no shuffle.
+
+    Rows must already lie in as many partitions by ``key``, or each task writes a file a bucket.
+    """
+    path = staging_path(df.sparkSession, name)
+    table = "kinfold_" + path.rsplit("-", 1)[-1]
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def delete(df: DataFrame) -> None:
     """Delete a table that ``staged`` wrote and nothing reads any more."""
     spark = df.sparkSession
@@ -62,6 +73,7 @@ def delete(df: DataFrame) -> None:
     files = df.inputFiles()
     for path in [p for p in mine if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]:
         mine.remove(path)
+        spark.sql(f"DROP TABLE IF EXISTS kinfold_{path.rsplit('-', 1)[-1]}")
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     # Spark deletes the shuffles that led to it when the driver's collector finds them unused.
@@ -74,7 +86,9 @@ def release(spark: SparkSession, keep: int = 0) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while len(mine) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(mine.pop(0))
+        name = mine.pop(0)
+        spark.sql(f"DROP TABLE IF EXISTS kinfold_{name.rsplit('-', 1)[-1]}")
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -6,27 +6,36 @@ Restaurants, each drawing from its parent:
     classes  ->  all bytes alike
 
 Each word of the training texts has a restaurant of the words after it, known by 48 bits of
-the word's hash. The outcomes are the training tokens
-and one more for all others, as in the base score; its share of the root's new tables is what
-the spelling model leaves after the known words. Gibbs sampling seats the customers of
-each dish anew, given its parent's probability: customer i of a dish with t tables opens a
-table with probability l / (l + i - d t), l = (theta + d T) P_parent. Up to ``EXACT``
-customers one by one, beyond that in steps of 3 per cent with the step's number of new
-tables drawn at once. New tables are customers of the parent. The predictive probabilities
-of the samples after burn-in are averaged. The totals T of the restaurants are held during a pass, so that dishes can be
-seated side by side; they are renewed once, after the burn-in of ``fit``.
+the word's hash. The outcomes are the training tokens and one more for all others, as in the
+base score; its share of the words' new tables is what the spelling model leaves after the
+known words.
+
+Gibbs sampling takes all customers of a dish away and seats them anew, given everything else:
+the tables t of c customers then have probability w^t times the number of seatings, each
+weighted by its table sizes, with w = (theta + d T) P_parent. ``seat`` draws from that by
+proposing whole seatings, customer by customer, and taking each by its exact odds against the
+one before (Metropolis within Gibbs). A proposal jumps from one new table to the next, so its
+cost follows the tables and the logarithm of the customers; the odds are exact for any number
+of customers, and there is no other way for many of them. New tables are customers of
+the parent.
+
+Dishes are seated side by side: w takes the T of all restaurants, and the root's totals, as the
+pass before left them (one pass starts from one table a dish, the next is from its tables). Each
+sample's probabilities are of its own seating with its own totals, so they sum to one; ``SAMPLES``
+of them after burn-in are averaged.
 
 How it runs: documents are gathered in blocks (one task's documents up to ``BLOCK_BYTES``),
 each with its own dictionary of words and of (word, word before it) pairs; a document becomes
 a list of word numbers. A block sends a packet to every bucket of words (by a hash of the
 word): the bucket's words of this block with their pairs and training counts, compressed. A
 word has at most one entry a packet, however frequent it is, and there are as many buckets as
-shuffle partitions. Merged packets give a bucket's dishes, whose seating is a map over
-buckets. A restaurant has dishes in many buckets: each bucket sends what it holds of a
-restaurant to the restaurant's own bucket, which answers with the totals, so the restaurants
-grow with the input and none of their tables is on the driver. The spelling tables have a fixed number of cells (32,768 contexts by 257 bytes),
-which bounds what the driver collects and broadcasts. Each packet is answered with the
-averaged probabilities of its pairs, and a block adds up its documents from the answers.
+shuffle partitions. Packets are written by bucket, and so is all that is made of them, so that
+they are moved once. A restaurant has dishes in many buckets: each bucket sends what it holds
+of a restaurant to the restaurant's own bucket, which answers with the totals. The restaurants
+grow with the input and none of their tables is on the driver. The spelling tables have a fixed
+number of cells (32,768 contexts by 257 bytes), which bounds what the driver collects and
+broadcasts. Each packet is answered with the averaged probabilities of its pairs, and a block
+adds up its documents from the answers.
 
 Defined results: a null or empty text is its end token alone. Rows with a null doc_id are
 scored, in the training part (crc32 of null is none, so they aren't held out) and learned
@@ -36,7 +45,7 @@ the spelling's uniform root. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +54,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, staged, text_of
+from .common import bucketed, delete, staged, task, text_of
 
-BLOCK_BYTES = 20_000_000
-EXACT, STEP = 64, 0.03
-BURN, SAMPLES = 2, 4
+BLOCK_BYTES = 16_000_000
+BURN, SAMPLES = 2, 3
+#: Seatings that are proposed to each dish in a sweep after the first one. After two, the mean of the tables is
+#: within a tenth of a standard deviation of the exact one.
+STEPS = 2
 THETA, DISCOUNT = 1.0, 0.5
-#: What a word is (fixed value); the end token is the empty word, which no text has.
-WORD = re.compile(rb"[^ \t-\r]+")
+#: The end token is the empty word, which no text has.
 END = b""
 SYMBOLS = 257
 
@@ -72,45 +82,75 @@ def uniform(key: np.ndarray, salt: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype("f8") * 2.0**-53
 
 
-def draw(mean: np.ndarray, most: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
-    """Counts with the given means: Poisson by inversion, normal for large means; at most ``most``."""
-    u = uniform(key, salt)
-    out = np.zeros(len(mean))
-    p = np.exp(-np.minimum(mean, 30.0))
-    total, todo = p.copy(), (mean <= 30) & (u > p)
-    k = 0
-    while todo.any() and k < 120:
-        k += 1
-        p = p * mean / k
-        out[todo] = k
-        total += p
-        todo &= u > total
-    big = mean > 30
-    if big.any():
-        v = uniform(key[big], salt + 7919)
-        z = np.sqrt(-2 * np.log(np.maximum(u[big], 1e-300))) * np.cos(2 * np.pi * v)
-        out[big] = np.rint(mean[big] + z * np.sqrt(mean[big]))
-    return np.clip(out, 0, most)
-
-
-def seat(c: np.ndarray, weight: np.ndarray, d: float, key: np.ndarray, salt: int) -> np.ndarray:
-    """Tables of ``c`` customers of each dish that open one with weight ``weight``."""
-    t = np.minimum(c, 1).astype("f8")
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers, by Stirling's series eight steps on."""
+    y = x + 8.0
+    z = 1.0 / (y * y)
+    product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    tail = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + tail - np.log(product)
+
+
+def proposed(c: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, odds) of one proposed seating for each dish of ``c`` customers.
+
+    With i customers at t tables the next one joins them with weight i - d t, or opens a table
+    with weight w ((i + 1) / c)^d: the power stands for what the customers after it will make of
+    one more table. Runs of customers (an eighth of those seated) share one probability, so the
+    next opening in a run is one geometric draw. ``odds`` is the logarithm of the seating's weight
+    without w^t, less that of its probability here; with t log w it is what ``seat`` compares.
+    """
+    t, odds = np.minimum(c, 1.0), np.zeros(len(c))
     live = np.flatnonzero(c > 1)
-    i = 1
-    while len(live) and i < EXACT:
-        w, tl = weight[live], t[live]
-        t[live] = tl + (uniform(key[live], salt + 131 * i) * (w + i - d * tl) < w)
-        i += 1
-        live = live[c[live] > i]
-    at = float(i)
+    i = np.ones(len(live))
+    last, tl, wl, kl, ol = c[live], t[live], w[live], key[live], np.zeros(len(live))
+    turn = 0
     while len(live):
-        end = np.minimum(c[live], np.ceil(at * (1 + STEP)))
-        w, tl, n = weight[live], t[live], end - at
-        mid = (at + end) / 2
-        t[live] = tl + draw(n * w / (w + np.maximum(mid - d * tl, 1e-9)), n, key[live], salt + 17 * int(at))
-        at = float(np.ceil(at * (1 + STEP)))
-        live = live[c[live] > at]
+        end = np.minimum(last, i + np.maximum(1.0, np.floor(i / 8)))
+        middle = (i + end - 1) / 2
+        weight = wl * ((middle + 1) / last) ** d
+        stay = np.maximum(middle - d * tl, 1e-12)
+        p = weight / (weight + stay)
+        u = uniform(kl, salt + 131 * turn)
+        if turn < 15:  # runs of one customer
+            opens = u < p
+            ol += np.where(opens, -np.log(p), np.log(i - d * tl) - np.log1p(-p))
+            tl = tl + opens
+            i = end
+        else:
+            no = np.log1p(-np.minimum(p, 1 - 1e-16))
+            skip = np.floor(np.log(np.maximum(u, 1e-300)) / no)
+            opens = i + skip < end
+            to = np.where(opens, i + skip, end)
+            ran = to > i
+            a, b = (i - d * tl)[ran], (to - d * tl)[ran]
+            ol[ran] += log_gamma(b) - log_gamma(a)
+            ol -= (to - i) * no + np.where(opens, np.log(p), 0.0)
+            tl = tl + opens
+            i = to + opens
+        turn += 1
+        done = i >= last
+        if done.any():
+            t[live[done]], odds[live[done]] = tl[done], ol[done]
+            go = ~done
+            live, i, last, tl, wl, kl, ol = live[go], i[go], last[go], tl[go], wl[go], kl[go], ol[go]
+    return t, odds
+
+
+def seat(c: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int, steps: int = STEPS) -> np.ndarray:
+    """Tables of ``c`` customers of each dish, given its weight: a proposal, and ``steps`` more that are taken by their odds."""
+    t = np.minimum(c, 1.0)
+    two = np.flatnonzero(c == 2)  # has one choice, which needs no proposal
+    t[two] += uniform(key[two], salt) < w[two] / (w[two] + 1 - d)
+    many = np.flatnonzero(c > 2)
+    if len(many):
+        c, w, key, log_w = c[many].astype("f8"), w[many], key[many], np.log(w[many])
+        now, odds = proposed(c, w, d, key, salt)
+        for k in range(1, steps + 1):
+            new, more = proposed(c, w, d, key, salt + 10_007 * k)
+            take = np.log(np.maximum(uniform(key, salt + 10_007 * k + 7919), 1e-300)) < (new - now) * log_w + more - odds
+            now, odds = np.where(take, new, now), np.where(take, more, odds)
+        t[many] = now
     return t
 
 
@@ -215,11 +255,16 @@ def expand(x: bytes) -> list[bytes]:
 
 
 def planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+    """Whole numbers from 0 as byte planes, as many as the greatest needs, after their number."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unplanes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, "u1").reshape(4, -1).T).view("<u4").ravel().astype("i8")
+    kept = np.frombuffer(x, "u1", offset=1).reshape(x[0], -1)
+    out = np.zeros((kept.shape[1], 8), "u1")
+    out[:, : x[0]] = kept.T
+    return out.view("<i8").ravel()
 
 
 def planes48(x: np.ndarray) -> bytes:
@@ -243,58 +288,75 @@ def pack_words(words: list[bytes], sizes: np.ndarray, contexts: np.ndarray, coun
 
 
 def unpack_words(x: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    words, sizes, known, small, counts = expand(x)
+    words, sizes, known, small, counts = expand(x)[:5]
     return words.split(b"\n"), unplanes(sizes), unplanes48(known)[unplanes(small)], unplanes(counts)
 
 
-def _block(held: list[bool], texts: list[str], buckets: int) -> tuple[bytes, list[int], dict[int, bytes]]:
-    """(the block's texts, their numbers of tokens, its packets by bucket)."""
-    index: dict[bytes, int] = {END: 0}
-    put = index.setdefault
-    tokens, sizes = [], []
-    for t in texts:
-        found = WORD.findall(t.encode().lower())
-        tokens.append(np.array([put(w, len(index)) for w in found] + [0], "i8"))
-        sizes.append(len(found) + 1)
-    words = [*index]
-    flat = np.concatenate(tokens)
-    # Words are numbered by bucket, so a packet holds one run of numbers.
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), "i8", len(words))
-    order = np.argsort(bucket, kind="stable")
-    number = np.empty(len(words), "i8")
-    number[order] = np.arange(len(words))
-    words = [words[k] for k in order.tolist()]
-    bucket, flat = bucket[order], number[flat]
-    contexts = contexts_of(words)
-    # What stands before a text is an end.
-    key = flat * len(words) + np.r_[number[0], flat[:-1]]
-    pair, inverse = np.unique(key, return_inverse=True)
-    train = np.repeat(~np.array(held, bool), sizes)
-    counts = np.bincount(inverse[train], minlength=len(pair))
-    owner = pair // len(words)
-    per_word = np.bincount(owner, minlength=len(words))
-    first_pair = np.r_[0, np.cumsum(per_word)]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    packets = {
-        b: pack_words(words[lo:hi], per_word[lo:hi], contexts[pair[first_pair[lo] : first_pair[hi]] % len(words)], counts[first_pair[lo] : first_pair[hi]])
-        for b, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist()))
-        if hi > lo
-    }
-    # Frequent words get small numbers in the stored texts; ``rank`` leads back.
-    rank = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-    small = np.empty(len(rank), "i8")
-    small[rank] = np.arange(len(rank))
-    own = np.array([number[0]], "<u4").tobytes()
-    return squeeze(planes(small[flat]), planes(rank), own), sizes, packets
+class _Block:
+    """Documents of one block as word numbers."""
+
+    def __init__(self):
+        self.ids, self.held, self.sizes, self.size = [], [], [], 0
+        self.index: dict[bytes, int] = {END: 0}
+        self.tokens = array("I")
+
+    def add(self, doc: int | None, held: bool, text: str) -> None:
+        # What lies between words is what bytes.split takes for white space.
+        found = text.encode().lower().split()
+        index, put = self.index, self.index.setdefault
+        self.tokens.extend([put(w, len(index)) for w in found])
+        self.tokens.append(0)
+        self.ids.append(doc)
+        self.held.append(held)
+        self.sizes.append(len(found) + 1)
+        self.size += len(text) + 8
+
+    def packed(self, buckets: int) -> tuple[bytes, dict[int, bytes]]:
+        """(the block's texts, its packets by bucket)."""
+        words, flat = [*self.index], np.frombuffer(self.tokens, "u4")
+        # Words are numbered by bucket, so a packet holds one run of numbers.
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), "i8", len(words))
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(words), "u4")
+        number[order] = np.arange(len(words))
+        words, bucket, flat = [words[k] for k in order.tolist()], bucket[order], number[flat]
+        end = int(number[0])
+        pair, inverse = np.unique(_pair_keys(flat, len(words), end), return_inverse=True)
+        train = np.repeat(~np.array(self.held, bool), self.sizes)
+        counts = np.bincount(inverse[train], minlength=len(pair))
+        del inverse, train
+        # Frequent words get small numbers in the stored texts; ``rank`` leads back.
+        rank = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        small = np.empty(len(rank), "u4")
+        small[rank] = np.arange(len(rank))
+        texts = squeeze(planes(small[flat]), planes(rank), planes(np.array([end])))
+        contexts = contexts_of(words)
+        per_word = np.bincount((pair // len(words)).astype("i8"), minlength=len(words))
+        before = (pair % len(words)).astype("i8")
+        first = np.r_[0, np.cumsum(per_word)]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        packets = {
+            b: pack_words(words[lo:hi], per_word[lo:hi], contexts[before[first[lo] : first[hi]]], counts[first[lo] : first[hi]])
+            for b, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist()))
+            if hi > lo
+        }
+        return texts, packets
+
+
+def _pair_keys(flat: np.ndarray, words: int, end: int) -> np.ndarray:
+    """One number for each token and the one before it; what stands before a text is an end."""
+    flat = flat.astype("u8")
+    key = flat * np.uint64(words)
+    key[0] += np.uint64(end)
+    key[1:] += flat[:-1]
+    return key
 
 
 def _pairs_of_block(x: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """(pair number, word number) of each token, and the number of pairs; pairs are in the packets' order."""
-    small, rank, own = expand(x)
-    rank = unplanes(rank)
-    flat = rank[unplanes(small)]
-    before = np.r_[int(np.frombuffer(own, "<u4")[0]), flat[:-1]]
-    pair, inverse = np.unique(flat * len(rank) + before, return_inverse=True)
+    small, rank, end = map(unplanes, expand(x))
+    flat = rank[small]
+    pair, inverse = np.unique(_pair_keys(flat, len(rank), int(end[0])), return_inverse=True)
     return inverse, flat, len(pair)
 
 
@@ -312,35 +374,33 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
-        ids, held, texts, size = [], [], [], 0
+        part, seq, block = TaskContext.get().partitionId(), 0, _Block()
 
         def rows():
-            data, sizes, packets = _block(held, texts, buckets)
+            data, packets = block.packed(buckets)
             name, n = f"{part:08d}-{seq:06d}", len(packets)
-            cells = [[name] * (n + 1), [None, *packets], [ids] + [None] * n, [held] + [None] * n, [sizes] + [None] * n, [data, *packets.values()]]
+            none = [None] * n
+            cells = [[name] * (n + 1), [None, *packets], [block.ids, *none], [block.held, *none], [block.sizes, *none], [data, *packets.values()]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cells, fields)], [f for f, _ in fields])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cols = batch.slice(at, 256).to_pydict()
-                for i, h, t in zip(cols["doc_id"], cols["held"], cols["text"]):
-                    ids.append(i)
-                    held.append(h)
-                    texts.append(t)
-                    size += len(t) + 8
-                    if size >= BLOCK_BYTES:
-                        yield rows()
-                        ids, held, texts, size, seq = [], [], [], 0, seq + 1
-        if ids:
-            yield rows()
+        with task():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    cols = batch.slice(at, 256).to_pydict()
+                    for i, h, t in zip(cols["doc_id"], cols["held"], cols["text"]):
+                        block.add(i, h, t)
+                        if block.size >= BLOCK_BYTES:
+                            yield rows()
+                            block, seq = _Block(), seq + 1
+            if block.ids:
+                yield rows()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), text_of().alias("text"))
     return rows.mapInArrow(run, "block string, bucket int, ids array<long>, held array<boolean>, sizes array<int>, data binary")
 
 
-def merged(packets: pa.Table) -> pa.Table:
-    """One bucket's words with all their pairs and counts, from its packets."""
+def merged(packets: pa.Table, buckets: int) -> pa.Table:
+    """One bucket's words with all their pairs and counts, and what it tells the restaurants' buckets."""
     packets = packets.sort_by("block")
     index: dict[bytes, int] = {}
     owners, contexts, counts = [], [], []
@@ -352,24 +412,18 @@ def merged(packets: pa.Table) -> pa.Table:
         counts.append(n)
     known, cls = np.unique(np.concatenate(contexts), return_inverse=True)
     key, inverse = np.unique(np.concatenate(owners) * len(known) + cls, return_inverse=True)
-    n = np.bincount(inverse, np.concatenate(counts))
-    data = pack_words([*index], np.bincount(key // len(known), minlength=len(index)), known[key % len(known)], n)
-    return pa.table({"bucket": packets.column("bucket")[:1], "data": pa.array([data], pa.binary())})
+    n = np.bincount(inverse, np.concatenate(counts)).astype("i8")
+    cls = key % len(known)
+    data = pack_words([*index], np.bincount(key // len(known), minlength=len(index)), known[cls], n)
+    own = packets.column("bucket")[0].as_py()
+    # At first each dish has one table.
+    return _rows(own, data, known, [np.bincount(cls, n, len(known)), np.bincount(cls, n > 0, len(known))], buckets, [])
 
 
 # ---- the model -------------------------------------------------------------------------
 
-
-def _words_map(words: DataFrame, schema: str, work) -> DataFrame:
-    """``work`` on the (words, sizes, contexts, counts) of each bucket."""
-
-    def run(batches):
-        for b in batches:
-            for x in b.column("data"):
-                w, sizes, context, n = unpack_words(x.as_py())
-                yield work(w, sizes, context, n.astype("f8"))
-
-    return words.select("data").mapInArrow(run, schema)
+#: A bucket's own row (``to`` is null) and what it tells the buckets of its restaurants.
+ROWS = "bucket int, to int, data binary, sums array<double>"
 
 
 def _parts(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,167 +433,238 @@ def _parts(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(to[order], np.arange(buckets + 1))
 
 
-def _told(origin: int, contexts: np.ndarray, c: np.ndarray, t: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A bucket's customers and tables of each restaurant, for the buckets of their totals."""
+def _rows(own: int, data: bytes, contexts: np.ndarray, told: list[np.ndarray], buckets: int, sums: list[float]) -> pa.Table:
+    """``ROWS`` of a bucket: ``told`` are its shares of the totals of each of its restaurants."""
     order, edges = _parts(contexts, buckets)
-    to, data = [], []
+    to, cells = [None], [data]
     for k, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
         if hi > lo:
             at = order[lo:hi]
             to.append(k)
-            data.append(squeeze(planes48(contexts[at]), planes(c[at]), planes(t[at])))
-    cells = [pa.array([origin] * len(to), pa.int32()), pa.array(to, pa.int32()), pa.array(data, pa.binary())]
-    return pa.RecordBatch.from_arrays(cells, ["origin", "to", "data"])
+            cells.append(squeeze(planes48(contexts[at]), *[planes(x[at]) for x in told]))
+    n = len(to)
+    columns = [pa.array([own] * n, pa.int32()), pa.array(to, pa.int32()), pa.array(cells, pa.binary()), pa.array([sums] + [None] * (n - 1), pa.list_(pa.float64()))]
+    return pa.table(columns, ["bucket", "to", "data", "sums"])
 
 
 def _totals(told: pa.Table) -> pa.Table:
-    """For each of the packets of ``_told`` the totals of its restaurants."""
+    """For each told row the totals of its restaurants, in its order."""
     got = [expand(x.as_py()) for x in told.column("data")]
-    contexts, at = np.unique(np.concatenate([unplanes48(x) for x, _, _ in got]), return_inverse=True)
-    c, t = (np.bincount(at, np.concatenate([unplanes(x[k]) for x in got]), len(contexts)) for k in (1, 2))
-    ends = np.cumsum([len(x) // 6 for x, _, _ in got])
-    data = [squeeze(planes(c[k]), planes(t[k])) for k in np.split(at, ends[:-1])]
-    return pa.table({"origin": told.column("origin"), "to": told.column("to"), "data": pa.array(data, pa.binary())})
+    contexts, at = np.unique(np.concatenate([unplanes48(x[0]) for x in got]), return_inverse=True)
+    totals = [np.bincount(at, np.concatenate([unplanes(x[k]) for x in got]), len(contexts)).astype("i8") for k in range(1, len(got[0]))]
+    ends = np.cumsum([len(x[0]) // 6 for x in got])
+    data = [squeeze(*[planes(x[k]) for x in totals]) for k in np.split(at, ends[:-1])]
+    return pa.table({"origin": told.column("bucket"), "to": told.column("to"), "data": pa.array(data, pa.binary())})
 
 
-def _with_restaurants(words: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, data, totals): each bucket of words with the customers and tables of all its restaurants."""
+def _with_totals(rows: DataFrame, buckets: int, work, schema: str, words: DataFrame | None = None) -> DataFrame:
+    """``work(bucket, its own data, totals)`` for each bucket; the totals are arrays in the order of its restaurants.
+
+    The buckets' own rows are ``words``' where given, else ``rows``' themselves. Only what is told moves.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        data = left.column("data")[0].as_py()
-        order, _ = _parts(np.unique(unpack_words(data)[2]), buckets)
-        got = [expand(x.as_py()) for x in right.sort_by("to").column("data")]
-        sides = []
-        for k in (0, 1):
+        own, data = left.column("bucket")[0].as_py(), left.column("data")[0].as_py()
+        order, _ = _parts(_restaurants(data), buckets)
+        got = [[unplanes(p) for p in expand(x.as_py())] for x in right.sort_by("to").column("data")]
+        totals = []
+        for k in range(len(got[0])):
             x = np.empty(len(order), "i8")
-            x[order] = np.concatenate([unplanes(g[k]) for g in got])
-            sides.append(planes(x))
-        return pa.table({"bucket": left.column("bucket")[:1], "data": left.column("data")[:1], "totals": pa.array([squeeze(*sides)], pa.binary())})
+            x[order] = np.concatenate([g[k] for g in got])
+            totals.append(x)
+        return work(own, data, totals)
+
+    told = rows.where("to is not null").select("bucket", "to", "data").repartition(buckets, "to")
+    totals = told.groupBy("to").applyInArrow(_totals, "origin int, to int, data binary").repartition(buckets, "origin")
+    own = (rows if words is None else words).where("to is null").select("bucket", "data")
+    return own.groupBy("bucket").cogroup(totals.groupBy("origin")).applyInArrow(run, schema)
+
 
-    totals = told.repartition(buckets, "to").groupBy("to").applyInArrow(_totals, "origin int, to int, data binary")
-    own = words.select("bucket", "data").repartition(buckets, "bucket")
-    return own.groupBy("bucket").cogroup(totals.repartition(buckets, "origin").groupBy("origin")).applyInArrow(run, "bucket int, data binary, totals binary")
+def _restaurants(data: bytes) -> np.ndarray:
+    """The restaurants of a bucket's pairs, in order."""
+    return np.sort(unplanes48(expand(data)[2]))
 
 
 class Seating:
     """The two word levels for one bucket of words, given the totals of all restaurants."""
 
-    def __init__(self, words, sizes, contexts, n, totals, model):
-        self.m, self.n = model, n
+    def __init__(self, words, sizes, contexts, n, tables, model):
+        self.m, self.n = model, n.astype("f8")
         self.contexts, self.cls = np.unique(contexts, return_inverse=True)
-        self.C, tables = (unplanes(x) for x in expand(totals))
         self.free = model["theta"] + model["d"] * tables
-        self.back = self.free / (model["theta"] + self.C)
         self.owner = np.repeat(np.arange(len(words)), sizes)
         self.size = len(words)
-        self.base = 10 ** spelling_logs(words, model["spelling"])
         self.known = np.bincount(self.owner, n, self.size) > 0
-        # A word that training lacks is an instance of one outcome: any spelling but the known ones.
-        if "unknown" in model:
-            self.base[~self.known] = model["unknown"]
+        self.base = base_of(words, self.known, model)
         self.word_key = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
         self.key = self.word_key[self.owner] + contexts * np.uint64(0x9E3779B97F4A7C15)
-        self.t = np.minimum(n, 1)
-        self.c0 = np.bincount(self.owner, self.t, self.size)
+        self.many = np.flatnonzero(self.n > 1)
+        self.t = np.minimum(self.n, 1)
+        self.up()
         self.t0 = np.minimum(self.c0, 1)
 
-    def root(self) -> np.ndarray:
-        m = self.m
-        free = (m["theta"] + m["d0"] * m["T0"]) * self.base
-        return (self.c0 - m["d0"] * self.t0 + free) / (m["theta"] + m["C0"])
+    def up(self) -> None:
+        """The tables are the root's customers."""
+        self.c0 = np.bincount(self.owner, self.t, self.size)
 
     def sweep(self, salt: int) -> None:
         m = self.m
-        weight = self.free[self.cls] * self.root()[self.owner]
-        self.t = seat(self.n, weight, m["d"], self.key, salt)
-        self.c0 = np.bincount(self.owner, self.t, self.size)
-        self.t0 = seat(self.c0, (m["theta"] + m["d0"] * m["T0"]) * self.base, m["d0"], self.word_key, salt + 500_009)
+        free = m["theta"] + m["d0"] * m["T0"]
+        root = (self.c0 - m["d0"] * self.t0 + free * self.base) / (m["theta"] + m["C0"])
+        if len(self.many):
+            weight = self.free[self.cls[self.many]] * root[self.owner[self.many]]
+            self.t[self.many] = seat(self.n[self.many], weight, m["d"], self.key[self.many], salt)
+        self.up()
+        self.t0 = seat(self.c0, free * self.base, m["d0"], self.word_key, salt + 500_009)
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """(root probability of each word, probability of each seen pair)."""
-        m, root = self.m, self.root()
-        return root, (self.n - m["d"] * self.t) / (m["theta"] + self.C[self.cls]) + self.back[self.cls] * root[self.owner]
 
+def base_of(words: list[bytes], known: np.ndarray, model: dict) -> np.ndarray:
+    """The root's parent: the spelling of a known word; all others are one outcome, which has the rest."""
+    base = 10 ** spelling_logs(words, model["spelling"])
+    if "unknown" in model:
+        base[~known] = model["unknown"]
+    return base
 
-def fit(words: DataFrame, buckets: int) -> tuple[dict, DataFrame]:
-    """The spelling model with the totals of the root, and the buckets of words with those of their restaurants."""
-    spark = words.sparkSession
 
-    def cells(w, sizes, context, n):
-        known = [x for x, k in zip(w, np.bincount(np.repeat(np.arange(len(w)), sizes), n, len(w))) if k]
+def _scan(words: DataFrame, schema: str, work) -> DataFrame:
+    """``work`` on the (words, counts of their pairs, owners of the pairs) of each bucket."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column("data"):
+                w, sizes, _, n = unpack_words(x.as_py())
+                yield work(w, n, np.repeat(np.arange(len(w)), sizes))
+
+    return words.where("to is null").select("data").mapInArrow(run, schema)
+
+
+def basics(words: DataFrame) -> dict:
+    """The spelling model, the discounts and the numbers of tokens, pairs and words."""
+
+    def cells(w, n, owner):
+        known = [x for x, k in zip(w, np.bincount(owner, n, len(w))) if k]
         _, context, symbol = spelled(known)
         cell, count = np.unique(context.astype("i8") * SYMBOLS + symbol, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
 
     # A fixed number of cells.
-    counted = _words_map(words, "cell long, n long", cells).groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    spelt = spelling({r["cell"]: r["n"] for r in counted})
+    counted = _scan(words, "cell long, n long", cells).groupBy("cell").agg(F.sum("n").alias("n")).collect()
 
-    def counts(w, sizes, context, n):
-        c = np.bincount(np.repeat(np.arange(len(w)), sizes), n, len(w))
+    def numbers(w, n, owner):
+        c = np.bincount(owner, n, len(w))
         flat = np.array([n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()], "i8")
         return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["k", "n"])
 
     x = [0] * 7
-    for r in _words_map(words, "k int, n long", counts).groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in _scan(words, "k int, n long", numbers).groupBy("k").agg(F.sum("n").alias("n")).collect():
         x[r["k"]] = r["n"]
     tokens, pairs, one, two, v, v1, v2 = x
     discount = lambda a, b: min(0.95, max(0.1, a / (a + 2 * b))) if a + b else DISCOUNT
-    model = {"theta": THETA, "d": discount(one, two), "d0": discount(v1, v2), "N": tokens, "spelling": spelt, "V": v, "T0": float(v), "C0": float(pairs)}
+    return {
+        "theta": THETA,
+        "d": discount(one, two),
+        "d0": discount(v1, v2),
+        "N": tokens,
+        "V": v,
+        "T0": float(v),
+        "C0": float(pairs),
+        "spelling": spelling({r["cell"]: r["n"] for r in counted}),
+    }
 
-    def first(batches):
-        for b in batches:
-            for origin, x in zip(b.column("bucket").to_pylist(), b.column("data")):
-                _, _, contexts, n = unpack_words(x.as_py())
-                known, cls = np.unique(contexts, return_inverse=True)
-                yield _told(origin, known, np.bincount(cls, n), np.bincount(cls, n > 0), buckets)
 
-    told = words.select("bucket", "data").mapInArrow(first, "origin int, to int, data binary")
-    held = staged(_with_restaurants(words, told, buckets), "restaurants")
-    shared = spark.sparkContext.broadcast(model)
+def _summed(rows: DataFrame, n: int) -> list[float]:
+    r = rows.where("sums is not null").agg(*[F.sum(F.col("sums")[k]) for k in range(n)]).first()
+    return [float(x or 0) for x in r]
 
-    def burnt(batches):
-        for b in batches:
-            for origin, x, totals in zip(b.column("bucket").to_pylist(), b.column("data"), b.column("totals")):
-                w, sizes, contexts, n = unpack_words(x.as_py())
-                s = Seating(w, sizes, contexts, n.astype("f8"), totals.as_py(), shared.value)
-                for k in range(BURN):
-                    s.sweep(k)
-                out = _told(origin, s.contexts, np.bincount(s.cls, n), np.bincount(s.cls, s.t), buckets)
-                sums = [s.t.sum(), s.t0.sum(), s.base[s.known].sum()]
-                for k, total in enumerate(sums):
-                    out = out.append_column(f"s{k}", pa.array([total] + [0.0] * (out.num_rows - 1), pa.float64()))
-                yield out
-
-    told = staged(held.select("bucket", "data", "totals").mapInArrow(burnt, "origin int, to int, data binary, s0 double, s1 double, s2 double"), "tables")
-    c0, t0, known = (float(x or 0) for x in told.agg(F.sum("s0"), F.sum("s1"), F.sum("s2")).first())
-    model = dict(model, C0=c0, T0=t0, unknown=max(1 - known, 1e-9))
-    seated = staged(_with_restaurants(words, told.drop("s0", "s1", "s2"), buckets), "seated")
-    for x in (words, held, told):
-        delete(x)
-    return model, seated
-
-
-def answered(packets: pa.Table, bucket: pa.Table, model: dict) -> pa.Table:
-    """(block, bucket, data): for each packet its words' training counts and its pairs' averaged log10 probabilities."""
-    words, sizes, contexts, n = unpack_words(bucket.column("data")[0].as_py())
-    s = Seating(words, sizes, contexts, n.astype("f8"), bucket.column("totals")[0].as_py(), model)
-    mean = np.zeros(len(n))
-    for k in range(BURN + SAMPLES):
-        s.sweep(1_000_003 + k)
-        if k >= BURN:
-            mean += s.predict()[1] / SAMPLES
-    lp, count = np.log10(mean), np.bincount(s.owner, n, len(words)).astype("i8")
-    index, key = {w: k for k, w in enumerate(words)}, s.owner * len(s.contexts) + s.cls
+
+def fit(words: DataFrame, buckets: int) -> tuple[dict, DataFrame]:
+    """(the model, the buckets' words with the averaged log10 probability of each pair), from the rows of ``merged``."""
+    context = words.sparkSession.sparkContext
+    model = basics(words)
+    start = context.broadcast(model)
+
+    def burn(own, data, totals):
+        w, sizes, contexts, n = unpack_words(data)
+        s = Seating(w, sizes, contexts, n, totals[1], start.value)
+        for k in range(BURN):
+            s.sweep(k)
+        told = [np.bincount(s.cls, x, len(s.contexts)) for x in (n, s.t)]
+        return _rows(own, b"", s.contexts, told, buckets, [s.t.sum(), s.t0.sum(), s.base[s.known].sum()])
+
+    burnt = staged(_with_totals(words, buckets, burn, ROWS), "burnt")
+    c0, t0, known = _summed(burnt, 3)
+    model = dict(model, C0=c0, T0=t0, unknown=max(1 - known, 1e-12))
+    middle = context.broadcast(model)
+
+    def sample(own, data, totals):
+        w, sizes, contexts, n = unpack_words(data)
+        s = Seating(w, sizes, contexts, n, totals[1], middle.value)
+        for k in range(BURN):
+            s.sweep(1_000_003 + k)
+        tables, roots, told, sums = np.zeros(len(n)), [], [np.bincount(s.cls, n, len(s.contexts))], []
+        for k in range(SAMPLES):
+            s.sweep(2_000_003 + k)
+            tables += s.t
+            roots += [s.c0, s.t0]
+            told.append(np.bincount(s.cls, s.t, len(s.contexts)))
+            sums += [s.c0.sum(), s.t0.sum()]
+        own_data = squeeze(*expand(data), planes(tables), *map(planes, roots))
+        return _rows(own, own_data, s.contexts, told, buckets, sums)
+
+    sampled = bucketed(_with_totals(burnt, buckets, sample, ROWS, words), "sampled", buckets)
+    x = _summed(sampled, 2 * SAMPLES)
+    model = dict(model, C0s=x[::2], T0s=x[1::2])
+    delete(burnt)
+    delete(words)
+    final = context.broadcast(model)
+
+    def average(own, data, totals):
+        w, sizes, contexts, n = unpack_words(data)
+        p, count = predicted(w, sizes, contexts, n, [unplanes(x) for x in expand(data)[5:]], totals, final.value)
+        parts = expand(data)
+        out = squeeze(*parts[:4], planes(count), np.log10(p).astype("<f4").tobytes())
+        return pa.table({"bucket": pa.array([own], pa.int32()), "data": pa.array([out], pa.binary())})
+
+    answers = bucketed(_with_totals(sampled, buckets, average, "bucket int, data binary"), "probabilities", buckets)
+    delete(sampled)
+    return model, answers
+
+
+def predicted(words, sizes, contexts, n, seated, totals, m) -> tuple[np.ndarray, np.ndarray]:
+    """(each pair's probability averaged over the samples, each word's training count)."""
+    owner, cls = np.repeat(np.arange(len(words)), sizes), np.unique(contexts, return_inverse=True)[1]
+    count = np.bincount(owner, n, len(words)).astype("i8")
+    base = base_of(words, count > 0, m)
+    customers = m["theta"] + totals[0][cls]
+    mean = (n - m["d"] * seated[0] / SAMPLES) / customers
+    for k in range(SAMPLES):
+        c0, t0 = seated[1 + 2 * k], seated[2 + 2 * k]
+        root = (c0 - m["d0"] * t0 + (m["theta"] + m["d0"] * m["T0s"][k]) * base) / (m["theta"] + m["C0s"][k])
+        mean += (m["theta"] + m["d"] * totals[1 + k][cls]) / customers * root[owner] / SAMPLES
+    return mean, count
+
+
+def answered(packets: pa.Table, bucket: pa.Table) -> pa.Table:
+    """(block, bucket, data): for each packet its words' training counts and its pairs' log10 probabilities."""
+    data = bucket.column("data")[0].as_py()
+    words, sizes, contexts, count, lp = answer_of(data)
+    known, cls = np.unique(contexts, return_inverse=True)
+    index, key = {w: k for k, w in enumerate(words)}, np.repeat(np.arange(len(words)), sizes) * len(known) + cls
     out = []
     for x in packets.column("data"):
         w, per_word, c, _ = unpack_words(x.as_py())
         ids = np.fromiter(map(index.__getitem__, w), "i8", len(w))
-        at = np.searchsorted(key, np.repeat(ids, per_word) * len(s.contexts) + np.searchsorted(s.contexts, c))
-        out.append(squeeze(planes(count[ids]), lp[at].astype("<f4").tobytes()))
+        at = np.searchsorted(key, np.repeat(ids, per_word) * len(known) + np.searchsorted(known, c))
+        out.append(squeeze(planes(count[ids]), lp[at].tobytes()))
     return pa.table({"block": packets.column("block"), "bucket": packets.column("bucket"), "data": pa.array(out, pa.binary())})
 
 
+def answer_of(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, their numbers of pairs, the pairs' contexts, the words' training counts, the pairs' log10 probabilities)."""
+    words, sizes, known, small, count, lp = expand(data)
+    return words.split(b"\n"), unplanes(sizes), unplanes48(known)[unplanes(small)], unplanes(count), np.frombuffer(lp, "<f4")
+
+
 def added(block: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
     """Sums over each document of a block."""
     answers = answers.sort_by("bucket")
@@ -566,26 +691,32 @@ def added(block: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
     )
 
 
+def trained(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, dict, DataFrame]:
+    """(blocks of texts, packets by bucket, the model, the buckets' probabilities)."""
+    made = staged(blocks(docs, buckets), "blocks")
+    texts = staged(made.where("bucket is null").drop("bucket"), "block-texts")
+    packets = bucketed(made.where("bucket is not null").select("block", "bucket", "data").repartition(buckets, "bucket"), "packets", buckets)
+    delete(made)
+    words = packets.groupBy("bucket").applyInArrow(lambda t: merged(t, buckets), ROWS)
+    model, answers = fit(bucketed(words, "words", buckets), buckets)
+    return texts, packets, model, answers
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = staged(blocks(docs, buckets), "blocks")
-    packets = held.where("bucket is not null").select("block", "bucket", "data").repartition(buckets, "bucket")
-    words = staged(packets.groupBy("bucket").applyInArrow(merged, "bucket int, data binary"), "words")
-    model, words = fit(words, buckets)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts, packets, model, answers = trained(docs, buckets)
     n, v = model["N"], model["V"]
-    shared = spark.sparkContext.broadcast(model)
-    texts = held.where("bucket is null").select(F.col("block").alias("own"), "ids", "held", "sizes", "data").repartition(buckets, "own")
-    answers = (
+    replies = (
         packets.groupBy("bucket")
-        .cogroup(words.select(F.col("bucket").alias("of"), "data", "totals").repartition(buckets, "of").groupBy("of"))
-        .applyInArrow(lambda left, right: answered(left, right, shared.value), "block string, bucket int, data binary")
-        .repartition(buckets, "block")
+        .cogroup(answers.select(F.col("bucket").alias("of"), "data").groupBy("of"))
+        .applyInArrow(answered, "block string, bucket int, data binary")
     )
     return (
-        texts.groupBy("own")
-        .cogroup(answers.groupBy("block"))
+        texts.select(F.col("block").alias("own"), "ids", "held", "sizes", "data")
+        .repartition(buckets, "own")
+        .groupBy("own")
+        .cogroup(replies.repartition(buckets, "block").groupBy("block"))
         .applyInArrow(
             lambda left, right: added(left, right, n, v),
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
@@ -593,6 +724,27 @@ def score(docs: DataFrame) -> DataFrame:
     )
 
 
+def probabilities(docs: DataFrame) -> DataFrame:
+    """(word, context, n, log10_p) of every pair of a word and the one before it that stands in ``docs``.
+
+    ``context`` is 48 bits of the hash of the word before (of the empty word at a text's start),
+    ``n`` the word's training count; the empty word is a text's end.
+    """
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _, _, _, answers = trained(docs, buckets)
+
+    def run(batches):
+        for b in batches:
+            for x in b.column("data"):
+                words, sizes, contexts, count, lp = answer_of(x.as_py())
+                owner = np.repeat(np.arange(len(words)), sizes)
+                word = pa.array([words[k].decode("utf-8", "replace") for k in owner.tolist()], pa.string())
+                cells = [word, pa.array(contexts.astype("i8")), pa.array(count[owner]), pa.array(lp.astype("f8"))]
+                yield pa.RecordBatch.from_arrays(cells, ["word", "context", "n", "log10_p"])
+
+    return answers.select("data").mapInArrow(run, "word string, context long, n long, log10_p double")
+
+
 def perplexity(scores: DataFrame) -> DataFrame:
     """(held_out, tokens, perplexity, base_perplexity) of scored documents."""
     return scores.groupBy("held_out").agg(

@@ -320,20 +320,52 @@ def test_spelling_sums_to_one():
         assert model["rows"].min() >= 0 and model["rows"].max() < len(p)
 
 
-def test_seating():
-    key = np.arange(20_000, dtype="u8")
-    c = np.repeat([1, 2, 50, 3000], 5000).astype("f8")
-    t = pitman_yor.seat(c, np.full(len(c), 2.0), 0.5, key, 1)
-    assert (t >= 1).all() and (t <= c).all() and (t[:5000] == 1).all()
-    # The second customer opens a table with probability l / (l + 1 - d).
-    assert abs(t[5000:10000].mean() - (1 + 2 / 2.5)) < 0.03
-    # Means of the sequential process, by simulation.
-    for part, n in ((slice(10000, 15000), 50), (slice(15000, 20000), 3000)):
-        rng = np.random.default_rng(0)
-        s = np.ones(5000)
-        for i in range(1, n):
-            s += rng.random(5000) * (2.0 + i - 0.5 * s) < 2.0
-        assert abs(t[part].mean() / s.mean() - 1) < 0.03
+@pytest.mark.parametrize("n, w, d", [(2, 2.0, 0.5), (5, 0.3, 0.5), (40, 2.0, 0.5), (60, 5.0, 0.8), (300, 0.01, 0.9), (3000, 20.0, 0.3)])
+def test_seating(n, w, d):
+    """The distribution of tables is the exact one: w^t times the seatings of n customers at t tables."""
+    ways = np.full(n + 1, -np.inf)
+    ways[1] = 0.0
+    for k in range(1, n):
+        t = np.arange(n + 1)
+        stay = np.where((t >= 1) & (t <= k), ways + np.log(np.maximum(k - d * t, 1e-300)), -np.inf)
+        ways = np.logaddexp(stay, np.r_[-np.inf, ways[:-1]])
+    exact = ways + np.arange(n + 1) * math.log(w)
+    exact = np.exp(exact - exact.max())
+    exact /= exact.sum()
+    many = 20_000
+    t = pitman_yor.seat(np.full(many, float(n)), np.full(many, w), d, np.arange(many, dtype="u8") * 7 + 1, 5, steps=12)
+    got = np.bincount(t.astype(int), minlength=n + 1) / many
+    mean, spread = (exact * np.arange(n + 1)).sum(), math.sqrt((exact * np.arange(n + 1) ** 2).sum() - (exact * np.arange(n + 1)).sum() ** 2)
+    assert abs(t.mean() - mean) < 0.05 * spread + 0.01
+    assert np.abs(got - exact).sum() < 0.1
+
+
+def test_large_counts_are_kept():
+    for x in ([0, 1], [2**40, 3], [], [255, 256, 2**62]):
+        assert pitman_yor.unplanes(pitman_yor.planes(np.array(x, "i8"))).tolist() == x
+    t = pitman_yor.seat(np.array([1e12, 3e9]), np.array([5.0, 0.5]), 0.7, np.array([3, 4], "u8"), 1)
+    assert (t >= 1).all() and (t < 1e9).all()
+
+
+def test_probabilities_sum_to_one(spark):
+    """After each word the outcomes are all training words, the end, and one for what training lacks; scores are their sums."""
+    random.seed(11)
+    words = ["a", "b", "c", "d", "e"]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rest = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = [(rest[k], " ".join(random.choices(words, [30, 8, 3, 1, 1], k=random.randrange(0, 30)))) for k in range(150)]
+    every = [*words, "zz"]
+    docs += [(held[0], " ".join(f"{x} {y}" for x in every for y in every)), (held[1], None)] + [(held[2 + k], x) for k, x in enumerate(every)]
+    df = frame(spark, docs)
+    p = {(r.word, r.context): r.log10_p for r in pitman_yor.probabilities(df).collect()}
+    known = {x for i, t in docs if i in set(rest) for x in (t or "").split()}
+    assert known == set(words)
+    context = {x: int(pitman_yor.contexts_of([x.encode()])[0]) for x in [*every, ""]}
+    for before in [*every, ""]:
+        assert sum(10 ** p[x, context[before]] for x in [*every, ""]) == pytest.approx(1, abs=1e-6)
+    for r in pitman_yor.score(df).collect():
+        w = (dict(docs)[r.doc_id] or "").split()
+        assert r.score == pytest.approx(sum(p[y, context[x]] for x, y in zip(["", *w], [*w, ""])), rel=1e-5)
 
 
 # ---- queries and pipeline --------------------------------------------------------------
