@@ -39,6 +39,7 @@ BLOCK = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math object canvas audio video select xmp noframes".split())
+RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in RAW}
 OUTSIDE = set("head nav aside footer form menu dialog button fieldset label".split())
 BOILER = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments complementary consent "
@@ -46,6 +47,11 @@ BOILER = set(
     "newsletter notice notices overlay pager pagination popup promo promotion promoted recommended related replies reply respond "
     "search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+#: Last words of a two-word name that speak of a part of the page.
+PART = set(
+    "area articles bar block body box button buttons container content form group header holder inner item items link links list menu module "
+    "outer panel posts row section slot stories text title top unit widget wrap wrapper zone".split()
+)
 STOP = set(
     # English, German, French, Spanish
     "a about after all also an and any are as at be because been but by can could do for from had has have he her his how i if in into "
@@ -60,40 +66,65 @@ STOP = set(
 )
 
 TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>""")
-ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|itemprop|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, from where the last one ended: a name, and the value that may follow it.
+ATTR = re.compile(r"""[\s/]*([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|[\s/]*["'<=]""")
 WORD = re.compile(r"[^\W\d_]+")
 NAME = re.compile(r"[a-z0-9]+")
 
 
 class Block:
-    __slots__ = ("text", "chars", "linked", "boiler", "inside", "label")
+    __slots__ = ("text", "linked", "boiler", "inside", "hint", "label")
+
+    def __init__(self, text: str, linked: int, boiler: bool, inside: bool, hint: bool = False):
+        self.text, self.linked, self.boiler, self.inside, self.hint, self.label = text, linked, boiler, inside, hint, ""
+
+
+def attributes(text: str) -> dict[str, str]:
+    """The attributes of a start tag, in lower case; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTR.finditer(text):
+        if m[1]:
+            out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
 
-    def __init__(self, text: str, linked: int, boiler: bool, inside: bool):
-        self.text, self.linked, self.boiler, self.inside, self.label = text, linked, boiler, inside, ""
 
+def named(value: str) -> str:
+    """What a class, id or role says: "boiler", "header", "hint" or nothing.
 
-def place(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is no part of an article, and whether it is the article."""
+    A name that begins or ends with a word of ``BOILER`` in a compound of at most two words speaks of a part of
+    the page ("sidebar", "ad-box", "post-comments"). Where the word has another beside it that makes it a topic
+    ("social-history", "related-work"), it is a hint only, which the text of the block may outweigh.
+    """
+    said = ""
+    for name in value.split():
+        words = NAME.findall(name)
+        if not words:
+            continue
+        if words[-1] in BOILER or words[0] in BOILER and (len(words) == 1 or words[-1] in PART or words[-1].isdigit()):
+            return "boiler"
+        if "header" in words:
+            said = "header"
+        elif not said and any(w in BOILER for w in words):
+            said = "hint"
+    return said
+
+
+def place(tag: str, text: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is no part of an article, whether it is the article, and whether its name hints at the first."""
     boiler = tag in OUTSIDE or tag == "header" and not inside
-    article = tag in ("article", "main")
-    if attrs and len(attrs) > 3:
-        for m in ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id", "role"):
-                words = set(NAME.findall(value))
-                # The body and html elements carry page-wide names; the article may say that it has comments.
-                if words & BOILER and tag not in ("html", "body", "main") and not (tag == "article" and not inside and "comment" not in words):
-                    boiler = True
-                if "header" in words and not inside and tag not in ("html", "body"):
-                    boiler = True
-                article |= name == "role" and value in ("main", "article")
-            elif name == "itemprop":
-                article |= value == "articlebody"
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
+    article, hint = tag in ("article", "main"), False
+    if text and len(text) > 3:
+        found = attributes(text)
+        for name in ("class", "id", "role"):
+            said = named(found.get(name, ""))
+            # The body and html elements carry page-wide names; the article may say that it has comments.
+            if said == "boiler" and tag not in ("html", "body", "main") and not (tag == "article" and not inside and "comment" not in found[name]):
                 boiler = True
-            elif name == "style" and re.search(r"display\s*:\s*none", value):
-                boiler = True
-    return boiler, article and not boiler
+            boiler |= said == "header" and not inside and tag not in ("html", "body")
+            hint |= said == "hint" and tag not in ("html", "body", "main", "article")
+        article |= found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
+        boiler |= "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
+    return boiler, article and not boiler, hint
 
 
 def blocks(html: str) -> list[Block]:
@@ -101,8 +132,10 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boiler, inside
-    boiler = inside = False
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boiler, inside, hint
+    where: dict[str, list[int]] = {}  # places of each open tag in the stack
+    edges: list[int] = []  # places of open block tags
+    boiler = inside = hint = False
     links, breaks, at, n = 0, 0, 0, len(html)
 
     def flush():
@@ -110,14 +143,18 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), boiler, inside))
+                out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), boiler, inside, hint))
             parts, linked = [], []
 
     def close(k: int):
-        nonlocal boiler, inside, links
-        links -= sum(t == "a" for t, _, _ in stack[k:])
-        del stack[k:]
-        boiler, inside = stack[-1][1:] if stack else (False, False)
+        nonlocal boiler, inside, hint, links
+        while len(stack) > k:
+            t = stack.pop()[0]
+            where[t].pop()
+            if edges and edges[-1] >= len(stack):
+                edges.pop()
+            links -= t == "a"
+        boiler, inside, hint = stack[-1][1:] if stack else (False, False, False)
 
     while at < n:
         m = TAG.search(html, at)
@@ -141,12 +178,12 @@ def blocks(html: str) -> list[Block]:
             continue
         tag, end, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if end:
-            if tag == "p" and not any(t == "p" for t, _, _ in stack):
+            if tag == "p" and not where.get("p"):
                 flush()
                 continue
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            k = where[tag][-1] if where.get(tag) else -1
             # An inline end tag doesn't reach past the block around it.
-            if k >= 0 and tag not in BLOCK and any(t in BLOCK for t, _, _ in stack[k + 1 :]):
+            if k >= 0 and tag not in BLOCK and edges and edges[-1] > k:
                 k = -1
             if tag in BLOCK or k >= 0 and stack[k][1] != (stack[k - 1][1] if k else False):
                 flush()
@@ -156,7 +193,7 @@ def blocks(html: str) -> list[Block]:
         if tag in RAW:
             if tag not in ("select",):
                 if not attrs.endswith("/"):
-                    e = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(html, at)
+                    e = RAW_END[tag].search(html, at)
                     at = e.end() if e else n
                 parts.append(" ")
                 continue
@@ -171,21 +208,22 @@ def blocks(html: str) -> list[Block]:
             if tag in BLOCK:
                 flush()
             continue
-        b, a = place(tag, attrs, inside)
-        if tag in BLOCK or b and not boiler:
+        b, a, h = place(tag, attrs, inside)
+        if tag in BLOCK or b and not boiler or h and not hint:
             flush()
             # A new block ends an open paragraph and open inline elements; items end their like.
-            k = len(stack)
-            while k and stack[k - 1][0] not in BLOCK:
-                k -= 1
+            k = edges[-1] + 1 if edges else 0
             if k and stack[k - 1][0] == "p" and tag in BLOCK:
                 close(k - 1)
             elif k and tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack[k - 1][0] == tag:
                 close(k - 1)
             elif tag in BLOCK and k < len(stack) and not any(x[1] for x in stack[k:]) and not any(x[0] == "a" for x in stack[k:]):
                 close(k)
-        boiler, inside = boiler or b, inside or a
-        stack.append((tag, boiler, inside))
+        boiler, inside, hint = boiler or b, inside or a, hint or h
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            edges.append(len(stack))
+        stack.append((tag, boiler, inside, hint))
         links += tag == "a"
     flush()
     return out
@@ -203,8 +241,10 @@ def classify(found: list[Block]) -> None:
         share = sum(w in STOP for w in words) / len(words) if words else 0.0
         if size >= LONG and share >= SOME or size >= MEDIUM and share >= DENSE:
             b.label = "good"
-    regions = [[b for b in found if not b.boiler and (b.inside or not article)]]
-    for region in regions:
+        elif b.hint and not (article and share >= DENSE):
+            b.label = "bad"
+    # Blocks outside an article are decided already: what is left is one region.
+    for region in [[b for b in found if not b.boiler and (b.inside or not article)]]:
         decided = [k for k, b in enumerate(region) if b.label]
         after, j = [None] * len(region), None
         for k in range(len(region) - 1, -1, -1):
