@@ -77,51 +77,49 @@ def dropped_lines(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFra
 
 
 def keep_bitmaps(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFrame:
-    """(doc_id, drops): for each document that loses lines, their sorted positions."""
-    return dropped_lines(df, min_chars, hot).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
-
-
-def runs(drops: Column, n: Column) -> Column:
-    """Run-length compressed bitmap: kept, dropped, kept, ... counts that sum to n."""
-    step = lambda s, p: F.when(
-        p == s["next"],
-        F.struct(
-            F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.element_at(s["out"], -1) + 1)).alias("out"),
-            (p + 1).alias("next"),
-        ),
-    ).otherwise(F.struct(F.concat(s["out"], F.array(p - s["next"], F.lit(1))).alias("out"), (p + 1).alias("next")))
-    first = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("next"))
-    # A first dropped line at 0 needs a leading 0 of kept lines.
-    start = F.when(F.element_at(drops, 1) == 0, F.struct(F.array(F.lit(0), F.lit(0)).alias("out"), F.lit(0).alias("next"))).otherwise(first)
-    done = F.aggregate(drops, start, step)
-    return F.concat(done["out"], F.when(n > done["next"], F.array(n - done["next"])).otherwise(F.array().cast("array<int>")))
+    """(doc_id, ends): for each document that loses lines, its bitmap, compressed by runs.
+
+    ``ends`` are the line numbers at which runs end: kept, dropped, kept, ..., dropped. The first
+    run may be empty; lines after the last end are kept.
+    """
+    drops = F.sort_array(F.collect_set("pos"))
+    return dropped_lines(df, min_chars, hot).groupBy("doc_id").agg(drops.alias("d")).select("doc_id", ends_of(F.col("d")).alias("ends"))
+
+
+def ends_of(drops: Column) -> Column:
+    """Run ends of sorted dropped positions, in one pass over them."""
+    first = F.filter(drops, lambda p, i: (i == 0) | (F.get(drops, i - 1) != p - 1))
+    last = F.filter(drops, lambda p, i: (i == F.size(drops) - 1) | (F.get(drops, i + 1) != p + 1))
+    return F.flatten(F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda r: F.array(r["a"], r["b"] + 1)))
 
 
 def dedup(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFrame:
-    """``df`` with ``n_lines``, ``n_dropped`` and ``kept``, the text of the kept lines.
+    """``df`` with ``n_lines``, ``n_dropped``, ``keep_runs`` and ``kept``, the text of the kept lines.
 
-    ``keep_runs`` is the compressed bitmap. Columns of ``df`` come first and as they are; if
-    one has the name of a new column, both are there, as in a join.
+    ``keep_runs`` are the lengths of the bitmap's runs, which sum to ``n_lines``; all that is returned is made
+    from the bitmap and the text. Columns of ``df`` come first and as they are; if one has the name of a new
+    column, both are there, as in a join.
     """
-    bitmaps = keep_bitmaps(df, min_chars, hot).select(F.col("doc_id").alias("_drop_doc"), F.col("drops").alias("_drops"))
+    bitmaps = keep_bitmaps(df, min_chars, hot).select(F.col("doc_id").alias("_drop_doc"), F.col("ends").alias("_ends"))
     rows = packed(df)
     joined = rows.join(bitmaps, rows["doc_id"] == F.col("_drop_doc"), "left").drop("_drop_doc")
-    none = F.array().cast("array<int>")
-    out = joined.withColumn("_lines", lines_of(text_of())).withColumn("_drops", F.coalesce("_drops", none))
-    n = F.size("_lines")
-    # Between two dropped positions lies one slice of kept lines.
-    edges = F.concat(F.array(F.lit(-1)), F.col("_drops"), F.array(n))
+    out = joined.withColumn("_lines", lines_of(text_of())).withColumn("_ends", F.coalesce("_ends", F.array().cast("array<int>")))
+    n, ends = F.size("_lines"), F.col("_ends")
+    before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+    # Run 2k is kept: from the end of run 2k - 1 to its own, or to the last line.
     parts = F.transform(
-        F.sequence(F.lit(1), F.size("_drops") + 1),
-        lambda i: F.slice(F.col("_lines"), F.get(edges, i - 1) + 2, F.get(edges, i) - F.get(edges, i - 1) - 1),
+        F.sequence(F.lit(0), F.floor(F.size(ends) / 2).cast("int")),
+        lambda k: F.slice(F.col("_lines"), before(2 * k) + 1, F.coalesce(F.get(ends, 2 * k), n) - before(2 * k)),
     )
-    kept = F.when(F.size("_drops") == 0, text_of()).otherwise(F.array_join(F.flatten(parts), "\n"))
+    sizes = F.transform(ends, lambda e, i: e - before(i))
+    dropped = F.aggregate(F.filter(sizes, lambda x, i: i % 2 == 1), F.lit(0), lambda a, x: a + x)
+    rest = n - F.coalesce(F.element_at(F.when(F.size(ends) > 0, ends), -1), F.lit(0))
     return out.select(
         *unpacked(out, df.columns),
         n.cast("long").alias("n_lines"),
-        F.size("_drops").cast("long").alias("n_dropped"),
-        F.when(F.size("_drops") == 0, F.array(n)).otherwise(runs(F.col("_drops"), n)).alias("keep_runs"),
-        kept.alias("kept"),
+        dropped.cast("long").alias("n_dropped"),
+        F.concat(sizes, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))).alias("keep_runs"),
+        F.when(F.size(ends) == 0, text_of()).otherwise(F.array_join(F.flatten(parts), "\n")).alias("kept"),
     )
 
 
