@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,19 @@ K, SKETCHES, PICK, SIMILARITY = 5, 24, 3, 0.8
 #: Before two texts are aligned they must agree on this many sketches, and share this part of their
 #: outlines (the least k-mer of each of ``CELLS`` hash cells). Of pairs at similarity 0.8 fewer than one
 #: in 10^4 fails: sketches agree with probability 0.51, the outline's share has a deviation of 0.025.
-AGREE, CELLS, ALIKE = 3, 256, 0.70
+#: The limits for another similarity follow from the same two distributions.
+CELLS = 256
+
+
+def limits(similarity: float) -> tuple[int, float]:
+    """(sketches, share of the outlines) that all but one in 10^4 pairs at ``similarity`` reach; one sketch at least."""
+    p = similarity**PICK
+    tail, agree = 0.0, 0
+    while agree < SKETCHES and (tail := tail + comb(SKETCHES, agree) * p**agree * (1 - p) ** (SKETCHES - agree)) < 5e-5:
+        agree += 1
+    return max(1, agree), similarity - 4 * sqrt(similarity * (1 - similarity) / CELLS)
+
+
 #: Members of a bucket that one task compares with each other.
 BLOCK = 4096
 CACHE = 400_000
@@ -214,15 +227,16 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     return arrow_map(both, schema, make, rows=64).where("same").select("a", "b").distinct()
 
 
-def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The (a, b) of ``pairs`` whose sketches and outlines leave it open that they are similar."""
+    agree, alike = limits(similarity)
     side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"), F.col("outline").alias(f"o_{c}"))
-    enough = (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("s_a", "s_b")) >= AGREE)
+    enough = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("s_a", "s_b")) >= agree)
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b", "o_a", "o_b")
     schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("open", BooleanType())])
 
     def make():
-        return lambda rows: {"a": rows["a"], "b": rows["b"], "open": shared_part(outlines(rows["o_a"]), outlines(rows["o_b"])) >= ALIKE if rows["a"] else []}
+        return lambda rows: {"a": rows["a"], "b": rows["b"], "open": shared_part(outlines(rows["o_a"]), outlines(rows["o_b"])) >= alike if rows["a"] else []}
 
     return arrow_map(both, schema, make, rows=4096).where("open").select("a", "b")
 
@@ -233,7 +247,8 @@ class _Groups:
     #: Open pairs that are gathered before they are aligned.
     MOST = 500_000
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, similarity: float):
+        self.similarity, (self.agree, self.alike) = similarity, limits(similarity)
         self.bucket, self.i, self.j, self.side, self.ids, root, self.n = (
             t.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "doc_id", "root", "n")
         )
@@ -255,7 +270,7 @@ class _Groups:
         order = np.argsort(-part, kind="stable")
         for x, y in zip(a[order].tolist(), b[order].tolist()):
             p, q = self.top(self.root[x]), self.top(self.root[y])
-            if p != q and aligned(self.kmers[x], self.kmers[y]) >= SIMILARITY:
+            if p != q and aligned(self.kmers[x], self.kmers[y], self.similarity) >= self.similarity:
                 self.above[max(p, q)] = min(p, q)
                 self.links.append((int(min(self.ids[x], self.ids[y])), int(max(self.ids[x], self.ids[y]))))
 
@@ -268,14 +283,14 @@ class _Groups:
             if not same.any():
                 break
             low, high = np.minimum(self.n[d:], self.n[:-d]), np.maximum(self.n[d:], self.n[:-d])
-            ok = same & (self.root[d:] != self.root[:-d]) & (low >= SIMILARITY * high)
+            ok = same & (self.root[d:] != self.root[:-d]) & (low >= self.similarity * high)
             at = np.flatnonzero(ok & ((self.i == self.j)[d:] | (self.side[d:] != self.side[:-d])))
             agree = self.sketch[at] == self.sketch[at + d]
             # A pair belongs to the first bucket that both are in.
             first = self.sketch[at, agree.argmax(1)] == self.bucket[at]
-            at = at[first & (agree.sum(1) >= AGREE)]
+            at = at[first & (agree.sum(1) >= self.agree)]
             part = shared_part(self.outline[at], self.outline[at + d])
-            at, part = at[part >= ALIKE], part[part >= ALIKE]
+            at, part = at[part >= self.alike], part[part >= self.alike]
             held.append((at, at + d, part))
             size += len(at)
             if size >= self.MOST:
@@ -286,12 +301,12 @@ class _Groups:
         return self.links
 
 
-def _across(batches):
+def _across(batches, similarity: float = SIMILARITY):
     """Links (a, b) from rows sorted by (bucket, i, j); at most one group is held over from batch to batch."""
     held: pa.Table | None = None
 
     def result(t: pa.Table):
-        if found := _Groups(t).search():
+        if found := _Groups(t, similarity).search():
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     for batch in batches:
@@ -316,7 +331,7 @@ def links(known: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     shared = staged(keyed.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = staged(keyed.join(shared, "bucket"), "members")
     met = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = staged(likely(met, sk), "pairs")
+    pairs = staged(likely(met, sk, similarity), "pairs")
     sure = staged(verify(pairs, docs, similarity), "near")
 
     # Buckets that still hold several components.
@@ -347,7 +362,7 @@ def links(known: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     # The work grows with the pairs of a bucket, not with its bytes: a number of partitions of its own.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return sure.unionByName(full.mapInArrow(_across, "a long, b long"))
+    return sure.unionByName(full.mapInArrow(lambda batches: _across(batches, similarity), "a long, b long"))
 
 
 def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
