@@ -170,8 +170,8 @@ def edited(words, n):
     return words
 
 
-@pytest.mark.parametrize("block", [order_minhash.BLOCK, 16])
-def test_near_copies(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, similarity", [(order_minhash.BLOCK, 0.8), (16, 0.8), (order_minhash.BLOCK, 0.9)])
+def test_near_copies(spark, monkeypatch, block, similarity):
     monkeypatch.setattr(order_minhash, "BLOCK", block)
     random.seed(7)
     new = lambda n: [f"v{random.randrange(4000)}" for _ in range(n)]
@@ -183,7 +183,7 @@ def test_near_copies(spark, monkeypatch, block):
     texts += [None, "", "", "!!!", "!!!", "one two", "One, two.", "a b", "word " * 300, "word " * 290, "word " * 200]
     random.shuffle(texts)
     docs = [*enumerate(texts), (None, "one two")] + [(0, texts[0])]
-    got = {r.doc_id: r.class_id for r in order_minhash.classes(frame(spark, docs)).collect()}
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(frame(spark, docs), similarity).collect()}
     ids = range(len(texts))
     up = {i: i for i in ids}
 
@@ -196,11 +196,11 @@ def test_near_copies(spark, monkeypatch, block):
     k = [order_minhash.kmers(x) for x in w]
     for a, b in itertools.combinations(ids, 2):
         same = w[a] == w[b] if w[a] and w[b] else not w[a] and not w[b] and (texts[a] or "") == (texts[b] or "")
-        if same or w[a] and w[b] and order_minhash.aligned(k[a], k[b]) >= 0.8:
+        if same or w[a] and w[b] and order_minhash.aligned(k[a], k[b], similarity) >= similarity:
             x, y = top(a), top(b)
             up[max(x, y)] = min(x, y)
     assert got == {i: top(i) for i in ids}
-    kept = order_minhash.distinct_documents(frame(spark, docs))
+    kept = order_minhash.distinct_documents(frame(spark, docs), similarity)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in ids if top(i) == i] + ["None"] + (["0"] if top(0) == 0 else []))
 
 
@@ -362,7 +362,7 @@ def test_probabilities_sum_to_one(spark):
     assert known == set(words)
     context = {x: int(pitman_yor.contexts_of([x.encode()])[0]) for x in [*every, ""]}
     for before in [*every, ""]:
-        assert sum(10 ** p[x, context[before]] for x in [*every, ""]) == pytest.approx(1, abs=1e-6)
+        assert sum(10 ** p[x, context[before]] for x in [*every, ""]) == pytest.approx(1, abs=1e-5)
     for r in pitman_yor.score(df).collect():
         w = (dict(docs)[r.doc_id] or "").split()
         assert r.score == pytest.approx(sum(p[y, context[x]] for x, y in zip(["", *w], [*w, ""])), rel=1e-5)
