@@ -76,7 +76,12 @@ def delete(df: DataFrame) -> None:
         spark.sql(f"DROP TABLE IF EXISTS kinfold_{path.rsplit('-', 1)[-1]}")
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    # Spark deletes the shuffles that led to it when the driver's collector finds them unused.
+    forget_shuffles(spark)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffles that led to a written table when the driver's collector finds them unused."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -97,8 +102,12 @@ def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
 
     Else the planner chooses: adaptive execution knows the size of what has been shuffled.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= most else df
+    return F.broadcast(df) if planned_bytes(df) <= most else df
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``: for files their bytes, for what is made of them an upper bound."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def text_of(col: str = "text") -> Column:
@@ -129,11 +138,17 @@ IDLE_S = 2.0
 _TASKS = {"running": 0, "ended": 0.0, "watched": False}
 
 
+def give_back() -> None:
+    """Free memory that this worker's allocators keep goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _drop_caches() -> None:
     _KEPT.clear()
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
 
 
 def _watch() -> None:
@@ -158,6 +173,7 @@ def task() -> Iterator[None]:
     finally:
         _TASKS["running"] -= 1
         _TASKS["ended"] = time.monotonic()
+        give_back()
 
 
 def worker_cache(name: str, build: Callable[[], object]) -> object:

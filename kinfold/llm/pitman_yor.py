@@ -28,8 +28,8 @@ How it runs: documents are gathered in blocks (one task's documents up to ``BLOC
 each with its own dictionary of words and of (word, word before it) pairs; a document becomes
 a list of word numbers. A block sends a packet to every bucket of words (by a hash of the
 word): the bucket's words of this block with their pairs and training counts, compressed. A
-word has at most one entry a packet, however frequent it is, and there are as many buckets as
-shuffle partitions. Packets are written by bucket, and so is all that is made of them, so that
+word has at most one entry a packet, however frequent it is, and the number of buckets follows
+the input's bytes. Packets are written by bucket, and so is all that is made of them, so that
 they are moved once. A restaurant has dishes in many buckets: each bucket sends what it holds
 of a restaurant to the restaurant's own bucket, which answers with the totals. The restaurants
 grow with the input and none of their tables is on the driver. The spelling tables have a fixed
@@ -51,12 +51,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, delete, staged, task, text_of
+from .common import bucketed, delete, forget_shuffles, give_back, planned_bytes, task, text_of
 
 BLOCK_BYTES = 16_000_000
+#: Bytes of input (as the planner knows them) for each bucket of words.
+BUCKET_BYTES = 8 << 20
 BURN, SAMPLES = 2, 3
 #: Seatings that are proposed to each dish in a sweep after the first one. After two, the mean of the tables is
 #: within a tenth of a standard deviation of the exact one.
@@ -100,41 +103,48 @@ def proposed(c: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int)
     next opening in a run is one geometric draw. ``odds`` is the logarithm of the seating's weight
     without w^t, less that of its probability here; with t log w it is what ``seat`` compares.
     """
-    t, odds = np.minimum(c, 1.0), np.zeros(len(c))
-    live = np.flatnonzero(c > 1)
-    i = np.ones(len(live))
-    last, tl, wl, kl, ol = c[live], t[live], w[live], key[live], np.zeros(len(live))
-    turn = 0
+    order = np.argsort(-c, kind="stable")
+    last, w, key = c[order], w[order], key[order]
+    t, odds = np.minimum(last, 1.0), np.zeros(len(c))
+    # Runs of one customer: all dishes are at the same i, those that are full stand at the end. What the
+    # logarithm of the odds adds up is a product until then.
+    scaled, product = w * last**-d, np.ones(len(c))
+    for i in range(1, 16):
+        n = int(np.searchsorted(-last, -i, "left"))
+        if not n:
+            break
+        weight, stay = scaled[:n] * (i + 1.0) ** d, i - d * t[:n]
+        both = weight + stay
+        opens = uniform(key[:n], salt + 131 * i) * both < weight
+        product[:n] *= np.where(opens, both / weight, both)
+        t[:n] += opens
+    np.log(product, out=odds)
+    n = int(np.searchsorted(-last, -16, "left"))
+    live, turn = np.arange(n), 16
+    i, last, tl, wl, kl, ol = np.full(n, 16.0), last[:n], t[:n].copy(), w[:n], key[:n], odds[:n].copy()
     while len(live):
-        end = np.minimum(last, i + np.maximum(1.0, np.floor(i / 8)))
+        end = np.minimum(last, i + np.floor(i / 8))
         middle = (i + end - 1) / 2
         weight = wl * ((middle + 1) / last) ** d
-        stay = np.maximum(middle - d * tl, 1e-12)
-        p = weight / (weight + stay)
-        u = uniform(kl, salt + 131 * turn)
-        if turn < 15:  # runs of one customer
-            opens = u < p
-            ol += np.where(opens, -np.log(p), np.log(i - d * tl) - np.log1p(-p))
-            tl = tl + opens
-            i = end
-        else:
-            no = np.log1p(-np.minimum(p, 1 - 1e-16))
-            skip = np.floor(np.log(np.maximum(u, 1e-300)) / no)
-            opens = i + skip < end
-            to = np.where(opens, i + skip, end)
-            ran = to > i
-            a, b = (i - d * tl)[ran], (to - d * tl)[ran]
-            ol[ran] += log_gamma(b) - log_gamma(a)
-            ol -= (to - i) * no + np.where(opens, np.log(p), 0.0)
-            tl = tl + opens
-            i = to + opens
+        p = weight / (weight + np.maximum(middle - d * tl, 1e-12))
+        none = np.log1p(-np.minimum(p, 1 - 1e-16))
+        skip = np.floor(np.log(np.maximum(uniform(kl, salt + 131 * turn), 1e-300)) / none)
+        opens = i + skip < end
+        to = np.where(opens, i + skip, end)
+        ran = to > i
+        ol[ran] += log_gamma((to - d * tl)[ran]) - log_gamma((i - d * tl)[ran])
+        ol -= (to - i) * none + np.where(opens, np.log(p), 0.0)
+        tl = tl + opens
+        i = to + opens
         turn += 1
         done = i >= last
         if done.any():
             t[live[done]], odds[live[done]] = tl[done], ol[done]
             go = ~done
             live, i, last, tl, wl, kl, ol = live[go], i[go], last[go], tl[go], wl[go], kl[go], ol[go]
-    return t, odds
+    back = np.empty(len(order), "i8")
+    back[order] = np.arange(len(order))
+    return t[back], odds[back]
 
 
 def seat(c: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int, steps: int = STEPS) -> np.ndarray:
@@ -260,6 +270,11 @@ def planes(x: np.ndarray) -> bytes:
     return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T).tobytes()
 
 
+def fixed(lp: np.ndarray) -> np.ndarray:
+    """Logarithms of probabilities in steps of 2^-17: three bytes each down to 10^-128."""
+    return np.rint(lp * -(2.0**17)).astype("i8")
+
+
 def unplanes(x: bytes) -> np.ndarray:
     kept = np.frombuffer(x, "u1", offset=1).reshape(x[0], -1)
     out = np.zeros((kept.shape[1], 8), "u1")
@@ -392,6 +407,7 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
                         if block.size >= BLOCK_BYTES:
                             yield rows()
                             block, seq = _Block(), seq + 1
+                            give_back()
             if block.ids:
                 yield rows()
 
@@ -416,6 +432,8 @@ def merged(packets: pa.Table, buckets: int) -> pa.Table:
     cls = key % len(known)
     data = pack_words([*index], np.bincount(key // len(known), minlength=len(index)), known[cls], n)
     own = packets.column("bucket")[0].as_py()
+    del owners, contexts, counts, key, inverse
+    give_back()
     # At first each dish has one table.
     return _rows(own, data, known, [np.bincount(cls, n, len(known)), np.bincount(cls, n > 0, len(known))], buckets, [])
 
@@ -457,27 +475,36 @@ def _totals(told: pa.Table) -> pa.Table:
     return pa.table({"origin": told.column("bucket"), "to": told.column("to"), "data": pa.array(data, pa.binary())})
 
 
-def _with_totals(rows: DataFrame, buckets: int, work, schema: str, words: DataFrame | None = None) -> DataFrame:
-    """``work(bucket, its own data, totals)`` for each bucket; the totals are arrays in the order of its restaurants.
+def _with_totals(words: DataFrame, rows: DataFrame, buckets: int, work, schema: str, seated: bool = False) -> DataFrame:
+    """``work(bucket, its words, totals)`` for each bucket; the totals are arrays in the order of its restaurants.
 
-    The buckets' own rows are ``words``' where given, else ``rows``' themselves. Only what is told moves.
+    ``rows`` has what buckets tell, and with ``seated`` each one's own row, which ``work`` gets too. The
+    words stay where they are written.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own, data = left.column("bucket")[0].as_py(), left.column("data")[0].as_py()
         order, _ = _parts(_restaurants(data), buckets)
-        got = [[unplanes(p) for p in expand(x.as_py())] for x in right.sort_by("to").column("data")]
+        right = right.sort_by("to")
+        got = [x.as_py() for x in right.column("data")]
+        more = [got.pop(0)] if seated else []  # its number is -1
+        parts = [[unplanes(p) for p in expand(x)] for x in got]
         totals = []
-        for k in range(len(got[0])):
+        for k in range(len(parts[0])):
             x = np.empty(len(order), "i8")
-            x[order] = np.concatenate([g[k] for g in got])
+            x[order] = np.concatenate([g[k] for g in parts])
             totals.append(x)
-        return work(own, data, totals)
+        try:
+            return work(own, data, totals, *more)
+        finally:
+            give_back()
 
     told = rows.where("to is not null").select("bucket", "to", "data").repartition(buckets, "to")
-    totals = told.groupBy("to").applyInArrow(_totals, "origin int, to int, data binary").repartition(buckets, "origin")
-    own = (rows if words is None else words).where("to is null").select("bucket", "data")
-    return own.groupBy("bucket").cogroup(totals.groupBy("origin")).applyInArrow(run, schema)
+    totals = told.groupBy("to").applyInArrow(_totals, "origin int, to int, data binary")
+    if seated:
+        totals = totals.unionByName(rows.where("to is null").select(F.col("bucket").alias("origin"), F.lit(-1).alias("to"), "data"))
+    own = words.where("to is null").select("bucket", "data")
+    return own.groupBy("bucket").cogroup(totals.repartition(buckets, "origin").groupBy("origin")).applyInArrow(run, schema)
 
 
 def _restaurants(data: bytes) -> np.ndarray:
@@ -591,7 +618,7 @@ def fit(words: DataFrame, buckets: int) -> tuple[dict, DataFrame]:
         told = [np.bincount(s.cls, x, len(s.contexts)) for x in (n, s.t)]
         return _rows(own, b"", s.contexts, told, buckets, [s.t.sum(), s.t0.sum(), s.base[s.known].sum()])
 
-    burnt = staged(_with_totals(words, buckets, burn, ROWS), "burnt")
+    burnt = _with_totals(words, words, buckets, burn, ROWS).persist(StorageLevel.DISK_ONLY)
     c0, t0, known = _summed(burnt, 3)
     model = dict(model, C0=c0, T0=t0, unknown=max(1 - known, 1e-12))
     middle = context.broadcast(model)
@@ -599,8 +626,7 @@ def fit(words: DataFrame, buckets: int) -> tuple[dict, DataFrame]:
     def sample(own, data, totals):
         w, sizes, contexts, n = unpack_words(data)
         s = Seating(w, sizes, contexts, n, totals[1], middle.value)
-        for k in range(BURN):
-            s.sweep(1_000_003 + k)
+        s.sweep(1_000_003)
         tables, roots, told, sums = np.zeros(len(n)), [], [np.bincount(s.cls, n, len(s.contexts))], []
         for k in range(SAMPLES):
             s.sweep(2_000_003 + k)
@@ -608,25 +634,23 @@ def fit(words: DataFrame, buckets: int) -> tuple[dict, DataFrame]:
             roots += [s.c0, s.t0]
             told.append(np.bincount(s.cls, s.t, len(s.contexts)))
             sums += [s.c0.sum(), s.t0.sum()]
-        own_data = squeeze(*expand(data), planes(tables), *map(planes, roots))
-        return _rows(own, own_data, s.contexts, told, buckets, sums)
+        return _rows(own, squeeze(planes(tables), *map(planes, roots)), s.contexts, told, buckets, sums)
 
-    sampled = bucketed(_with_totals(burnt, buckets, sample, ROWS, words), "sampled", buckets)
+    sampled = _with_totals(words, burnt, buckets, sample, ROWS).persist(StorageLevel.DISK_ONLY)
     x = _summed(sampled, 2 * SAMPLES)
     model = dict(model, C0s=x[::2], T0s=x[1::2])
-    delete(burnt)
-    delete(words)
+    burnt.unpersist()
     final = context.broadcast(model)
 
-    def average(own, data, totals):
+    def average(own, data, totals, seated):
         w, sizes, contexts, n = unpack_words(data)
-        p, count = predicted(w, sizes, contexts, n, [unplanes(x) for x in expand(data)[5:]], totals, final.value)
-        parts = expand(data)
-        out = squeeze(*parts[:4], planes(count), np.log10(p).astype("<f4").tobytes())
+        p, count = predicted(w, sizes, contexts, n, [*map(unplanes, expand(seated))], totals, final.value)
+        out = squeeze(*expand(data)[:4], planes(count), planes(fixed(np.log10(p))))
         return pa.table({"bucket": pa.array([own], pa.int32()), "data": pa.array([out], pa.binary())})
 
-    answers = bucketed(_with_totals(sampled, buckets, average, "bucket int, data binary"), "probabilities", buckets)
-    delete(sampled)
+    answers = bucketed(_with_totals(words, sampled, buckets, average, "bucket int, data binary", seated=True), "probabilities", buckets)
+    sampled.unpersist()
+    delete(words)
     return model, answers
 
 
@@ -655,14 +679,14 @@ def answered(packets: pa.Table, bucket: pa.Table) -> pa.Table:
         w, per_word, c, _ = unpack_words(x.as_py())
         ids = np.fromiter(map(index.__getitem__, w), "i8", len(w))
         at = np.searchsorted(key, np.repeat(ids, per_word) * len(known) + np.searchsorted(known, c))
-        out.append(squeeze(planes(count[ids]), lp[at].tobytes()))
+        out.append(squeeze(planes(count[ids]), planes(fixed(lp[at]))))
     return pa.table({"block": packets.column("block"), "bucket": packets.column("bucket"), "data": pa.array(out, pa.binary())})
 
 
 def answer_of(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, their numbers of pairs, the pairs' contexts, the words' training counts, the pairs' log10 probabilities)."""
     words, sizes, known, small, count, lp = expand(data)
-    return words.split(b"\n"), unplanes(sizes), unplanes48(known)[unplanes(small)], unplanes(count), np.frombuffer(lp, "<f4")
+    return words.split(b"\n"), unplanes(sizes), unplanes48(known)[unplanes(small)], unplanes(count), unplanes(lp) * -(2.0**-17)
 
 
 def added(block: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
@@ -670,8 +694,10 @@ def added(block: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
     answers = answers.sort_by("bucket")
     got = [expand(x.as_py()) for x in answers.column("data")]
     count = np.concatenate([unplanes(c) for c, _ in got])
-    lp = np.concatenate([np.frombuffer(x, "<f4") for _, x in got]).astype("f8")
+    lp = np.concatenate([unplanes(x) for _, x in got]) * -(2.0**-17)
     row = block.to_pylist()[0]
+    del answers, got
+    give_back()
     pair, word, pairs = _pairs_of_block(row["data"])
     if pairs != len(lp):
         raise ValueError("a block's answers don't match its pairs")
@@ -691,12 +717,20 @@ def added(block: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
     )
 
 
+def number_of_buckets(docs: DataFrame) -> int:
+    """As many as the input's bytes ask for; at least one a core, at most the shuffle partitions set."""
+    session = docs.sparkSession
+    most = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(planned_bytes(docs) // BUCKET_BYTES + 1, session.sparkContext.defaultParallelism), most)
+
+
 def trained(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, dict, DataFrame]:
     """(blocks of texts, packets by bucket, the model, the buckets' probabilities)."""
-    made = staged(blocks(docs, buckets), "blocks")
-    texts = staged(made.where("bucket is null").drop("bucket"), "block-texts")
-    packets = bucketed(made.where("bucket is not null").select("block", "bucket", "data").repartition(buckets, "bucket"), "packets", buckets)
-    delete(made)
+    dealt = F.coalesce("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
+    made = blocks(docs, buckets).withColumn("text", F.col("bucket").isNull()).withColumn("bucket", dealt)
+    made = bucketed(made.repartition(buckets, "bucket"), "blocks", buckets)
+    forget_shuffles(docs.sparkSession)
+    texts, packets = made.where("text"), made.where("not text").select("block", "bucket", "data")
     words = packets.groupBy("bucket").applyInArrow(lambda t: merged(t, buckets), ROWS)
     model, answers = fit(bucketed(words, "words", buckets), buckets)
     return texts, packets, model, answers
@@ -704,7 +738,7 @@ def trained(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, dict,
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = number_of_buckets(docs)
     texts, packets, model, answers = trained(docs, buckets)
     n, v = model["N"], model["V"]
     replies = (
@@ -730,7 +764,7 @@ def probabilities(docs: DataFrame) -> DataFrame:
     ``context`` is 48 bits of the hash of the word before (of the empty word at a text's start),
     ``n`` the word's training count; the empty word is a text's end.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = number_of_buckets(docs)
     _, _, _, answers = trained(docs, buckets)
 
     def run(batches):
@@ -739,7 +773,7 @@ def probabilities(docs: DataFrame) -> DataFrame:
                 words, sizes, contexts, count, lp = answer_of(x.as_py())
                 owner = np.repeat(np.arange(len(words)), sizes)
                 word = pa.array([words[k].decode("utf-8", "replace") for k in owner.tolist()], pa.string())
-                cells = [word, pa.array(contexts.astype("i8")), pa.array(count[owner]), pa.array(lp.astype("f8"))]
+                cells = [word, pa.array(contexts.astype("i8")), pa.array(count[owner]), pa.array(lp)]
                 yield pa.RecordBatch.from_arrays(cells, ["word", "context", "n", "log10_p"])
 
     return answers.select("data").mapInArrow(run, "word string, context long, n long, log10_p double")
