@@ -73,6 +73,37 @@ def core_sizes(hit_from: DataFrame, partner: DataFrame, items: DataFrame, subset
     return ref.join(n, SUB, "left").select(*SUB, "ref", F.coalesce("core_size", F.lit(0)).alias("core_size"))
 
 
+def _shortfall(rel: DataFrame, groups: DataFrame) -> DataFrame:
+    """(set_id, grp, item, missing, one): how many other groups an item lacks, 0 or 1 of them, and which one.
+
+    One pass over the relation: the one missing group is what the sum of the others' ids lacks of the sum of all.
+    """
+    total = groups.groupBy("set_id").agg(F.count("*").alias("_n"), F.sum(F.col("grp").cast("decimal(38,0)")).alias("_sum"))
+    has = rel.select("set_id", "grp", "item", "other").distinct().join(groups.select("set_id", F.col("grp").alias("other")), ["set_id", "other"])
+    k = has.groupBy("set_id", "grp", "item").agg(F.count("*").alias("_k"), F.sum(F.col("other").cast("decimal(38,0)")).alias("_s"))
+    lack = F.col("_n") - 1 - F.col("_k")
+    return k.join(total, "set_id").where(lack <= 1).select(
+        "set_id", "grp", "item", lack.alias("missing"), F.when(lack == 1, F.col("_sum") - F.col("grp") - F.col("_s")).cast("long").alias("one")
+    )
+
+
+def _without(rel: DataFrame, groups: DataFrame, subset: DataFrame) -> DataFrame:
+    """(set_id, subset_id, grp, n): items of each group that are complete once group ``subset_id`` is left out."""
+    short = _shortfall(rel, groups)
+    full = short.where("missing = 0").groupBy("set_id", "grp").agg(F.count("*").alias("_full"))
+    one = short.where("missing = 1").groupBy("set_id", "grp", F.col("one").alias("subset_id")).agg(F.count("*").alias("_one"))
+    n = F.coalesce("_full", F.lit(0)) + F.coalesce("_one", F.lit(0))
+    return subset.join(full, ["set_id", "grp"], "left").join(one, [*SUB, "grp"], "left").select(*SUB, "grp", n.alias("n"))
+
+
+def sizes_without_each(hit_from: DataFrame, partner: DataFrame, groups: DataFrame, names: DataFrame) -> DataFrame:
+    """``core_sizes`` of ``without_each``, from one pass over the hits: rows a pair of groups, not a hit and a subset."""
+    subset = without_each(groups)
+    ref = reference_group(_without(hit_from, groups, subset).withColumnRenamed("n", "homologs"), names)
+    sizes = _without(partner, groups, subset).select(*SUB, F.col("grp").alias("ref"), F.col("n").alias("core_size"))
+    return ref.join(sizes, [*SUB, "ref"]).select(*SUB, "ref", "core_size")
+
+
 def presence(partner: DataFrame, items: DataFrame, groups: DataFrame, ref: DataFrame) -> DataFrame:
     """(set_id, ref_item, grp, present): every anchor item by every group; the anchor has all its own."""
     own = items.join(ref.select("set_id", F.col("ref").alias("grp")), ["set_id", "grp"]).select("set_id", F.col("item").alias("ref_item"), F.col("grp").alias("ref"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from typing import Any
 
 import numpy as np
@@ -13,33 +14,37 @@ from pyspark.sql import functions as F
 def agglomerate(ids: list[int], pairs: dict[tuple[int, int], float], threshold: float) -> tuple[list[list[int]], list[tuple[float, list[int], list[int]]]]:
     """Complete linkage: bins of sorted ids, and the merges in order.
 
-    A missing pair blocks a merge; the closest two bins merge while their farthest pair is at
-    least ``threshold``; ties go to the lowest first, then second bin. Stops too when nothing
-    but missing pairs is left.
+    A bin goes by its least id and knows its linkage to those bins only that it has no missing pair with. A heap
+    offers the closest two bins first (ties: the lowest first, then second bin); entries that a merge has overtaken are
+    passed over. Linkages only fall, so it ends at the first one under ``threshold``, or with the heap.
     """
-    ids = sorted(ids)
-    link = np.full((len(ids), len(ids)), -np.inf)
-    place = {g: i for i, g in enumerate(ids)}
+    members = {g: [g] for g in sorted(ids)}
+    near: dict[int, dict[int, float]] = {g: {} for g in members}
     for (a, b), v in pairs.items():
-        if a in place and b in place and a != b and v is not None and v == v:
-            link[place[a], place[b]] = link[place[b], place[a]] = v
-    np.fill_diagonal(link, -np.inf)
-    bins = [[g] for g in ids]
-    upper = np.triu(np.ones(link.shape, bool), 1)
+        if a != b and a in near and b in near and v is not None and v == v:
+            near[a][b] = near[b][a] = float(v)
+    offers = [(-v, a, b) for a, others in near.items() for b, v in others.items() if a < b]
+    heapq.heapify(offers)
     trace = []
-    while len(ids) > 1:
-        flat = int(np.argmax(np.where(upper, link, -np.inf)))
-        i, j = divmod(flat, len(ids))
-        best = link[i, j]
-        if best == -np.inf or best < threshold or i >= j:
+    while offers:
+        v, a, b = heapq.heappop(offers)
+        v = -v
+        if v < threshold:
             break
-        trace.append((float(best), list(bins[i]), list(bins[j])))
-        link[i] = link[:, i] = np.minimum(link[i], link[j])
-        link[j] = link[:, j] = -np.inf
-        link[i, i] = -np.inf
-        bins[i], bins[j] = sorted(bins[i] + bins[j]), []
-    found = sorted((b for b in bins if b), key=lambda b: (-len(b), b[0]))
-    return found, trace
+        if near.get(a, {}).get(b) != v:
+            continue
+        trace.append((v, members[a], members[b]))
+        members[a] = sorted(members[a] + members.pop(b))
+        first, second = near.pop(a), near.pop(b)
+        for other in first.keys() | second.keys():
+            if other not in (a, b):
+                near[other].pop(a, None)
+                near[other].pop(b, None)
+        near[a] = {other: min(first[other], second[other]) for other in first.keys() & second.keys()}
+        for other, link in near[a].items():
+            near[other][a] = link
+            heapq.heappush(offers, (-link, min(a, other), max(a, other)))
+    return sorted(members.values(), key=lambda bin: (-len(bin), bin[0])), trace
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[list[int], dict]:
@@ -53,32 +58,10 @@ def _rows(aai_matrix: DataFrame) -> DataFrame:
 
 
 def bins(aai_matrix: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(set_id, threshold, bin, grp) of complete-linkage clustering at each threshold; bins are numbered from 1."""
+    """(set_id, threshold, bin, grp) of complete linkage at each threshold; bins are numbered from 1.
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, pairs = _matrix(pdf)
-        sid, t = pdf["set_id"].iloc[0], float(pdf["threshold"].iloc[0])
-        found, _ = agglomerate(ids, pairs, t)
-        return pd.DataFrame([(sid, t, k + 1, g) for k, b in enumerate(found) for g in b], columns=["set_id", "threshold", "bin", "grp"])
-
-    at = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    return _rows(aai_matrix).withColumn("threshold", at).groupBy("set_id", "threshold").applyInPandas(work, "set_id long, threshold double, bin int, grp int")
-
-
-def merge_trace(aai_matrix: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, step, linkage, side_a, side_b) of every merge."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, pairs = _matrix(pdf)
-        sid = pdf["set_id"].iloc[0]
-        _, trace = agglomerate(ids, pairs, threshold)
-        return pd.DataFrame([(sid, k + 1, v, a, b) for k, (v, a, b) in enumerate(trace)], columns=["set_id", "step", "linkage", "side_a", "side_b"])
-
-    return _rows(aai_matrix).groupBy("set_id").applyInPandas(work, "set_id long, step int, linkage double, side_a array<int>, side_b array<int>")
-
-
-def threshold_sweep(aai_matrix: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(set_id, threshold, bin, grp) from one dendrogram cut at every threshold by union of its merges."""
+    One dendrogram a set, cut at every threshold by union of its merges.
+    """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, pairs = _matrix(pdf)
@@ -102,6 +85,21 @@ def threshold_sweep(aai_matrix: DataFrame, thresholds: list[float]) -> DataFrame
     return _rows(aai_matrix).groupBy("set_id").applyInPandas(work, "set_id long, threshold double, bin int, grp int")
 
 
+def merge_trace(aai_matrix: DataFrame, threshold: float) -> DataFrame:
+    """(set_id, step, linkage, side_a, side_b) of every merge."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, pairs = _matrix(pdf)
+        sid = pdf["set_id"].iloc[0]
+        _, trace = agglomerate(ids, pairs, threshold)
+        return pd.DataFrame([(sid, k + 1, v, a, b) for k, (v, a, b) in enumerate(trace)], columns=["set_id", "step", "linkage", "side_a", "side_b"])
+
+    return _rows(aai_matrix).groupBy("set_id").applyInPandas(work, "set_id long, step int, linkage double, side_a array<int>, side_b array<int>")
+
+
+threshold_sweep = bins
+
+
 def greedy_removal(hit_from: DataFrame, partner: DataFrame, items: DataFrame, names: DataFrame) -> DataFrame:
     """(set_id, retained, core_size, removed): groups left out one by one, down to two.
 

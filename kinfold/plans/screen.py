@@ -99,7 +99,11 @@ class Screen:
 
     @cached_property
     def leave_one_out(self) -> DataFrame:
-        return core.leave_one_out(self.core_of(self.full), self.core_of(core.without_each(self.groups)))
+        return core.leave_one_out(self.core_of(self.full), self.without_each)
+
+    @cached_property
+    def without_each(self) -> DataFrame:
+        return core.sizes_without_each(self.hit_from, self.partner, self.groups, self.names)
 
     @cached_property
     def nearest(self) -> DataFrame:

@@ -246,7 +246,7 @@ def _(spark, d):
 @query("core_for_subset", "SELECT sid AS subset_id, ref, core_size FROM core_sizes WHERE sid >= 0")
 def _(spark, d):
     s = S(spark, d)
-    return s.core_of(core.without_each(s.groups))
+    return s.without_each
 
 
 @query("presence_matrix", "SELECT ref_item, grp, present FROM pres")
@@ -496,28 +496,44 @@ def _(spark, d):
     return claim.join(again.agg(F.count_if(F.expr("k = n")).alias("recount")))
 
 
-@query("verify_partition", "SELECT 0::BIGINT AS repeated, 0::BIGINT AS missing")
+@query("verify_partition", """SELECT count(*) FILTER (n > 1) AS repeated, count(*) FILTER (n IS NULL) AS missing FROM groups LEFT JOIN (
+    SELECT grp, count(*) AS n FROM (SELECT grp FROM groups WHERE grp % 4 <> 0 UNION ALL SELECT grp FROM groups WHERE grp % 3 = 1) GROUP BY grp) USING (grp)""")
 def _(spark, d):
+    # Bins that lack some groups and hold others twice: both faults must be counted.
     s = S(spark, d)
-    return evaluation.partition_valid(s.bins, s.groups)
+    whole = s.bins.select("set_id", "bin", "grp")
+    return evaluation.partition_valid(whole.where("grp % 4 <> 0").unionAll(whole.where("grp % 3 = 1")), s.groups)
 
 
-@query("verify_linkage", "SELECT 0::BIGINT AS within, 0::BIGINT AS across")
+LINKED = "SELECT ga % 4 AS x, gb % 4 AS y, coalesce(aai, -1e308) AS v FROM half"
+
+
+@query("verify_linkage", f"""SELECT (SELECT count(*) FROM ({LINKED}) WHERE x = y AND v < 61 - 1e-9) AS within,
+    (SELECT count(*) FROM (SELECT min(v) AS l FROM ({LINKED}) WHERE x <> y GROUP BY least(x, y), greatest(x, y)) WHERE l >= 61 + 1e-9) AS across""")
 def _(spark, d):
+    # Bins that are no complete linkage: pairs too far apart within, bins close enough to merge.
     s = S(spark, d)
-    return evaluation.verify_linkage(iterative.bin_pairs(s.bins, s.matrix), 65.0)
+    wrong = s.groups.select("set_id", "grp", (F.col("grp") % 4).alias("bin"))
+    return evaluation.verify_linkage(iterative.bin_pairs(wrong, s.matrix), 61.0)
 
 
-@query("verify_symmetry", "SELECT 0::BIGINT AS asymmetric, 0::BIGINT AS diagonal")
+@query("verify_symmetry", """SELECT count(*) FILTER (a.aai IS DISTINCT FROM b.aai) AS asymmetric, count(*) FILTER (a.ga = a.gb AND a.aai IS DISTINCT FROM 100.0) AS diagonal
+    FROM (SELECT ga, gb, CASE WHEN (ga + 2 * gb) % 7 = 0 THEN aai + 1 ELSE aai END AS aai FROM matrix) a
+    JOIN (SELECT ga, gb, CASE WHEN (ga + 2 * gb) % 7 = 0 THEN aai + 1 ELSE aai END AS aai FROM matrix) b ON a.ga = b.gb AND a.gb = b.ga""")
 def _(spark, d):
-    return evaluation.verify_symmetry(S(spark, d).matrix)
+    # A matrix with cells changed on one side and on the diagonal.
+    m = S(spark, d).matrix
+    return evaluation.verify_symmetry(m.withColumn("aai", F.when((F.col("ga") + 2 * F.col("gb")) % 7 == 0, F.col("aai") + 1).otherwise(F.col("aai"))))
+
 
+BIN_LISTS = "SELECT list(grp ORDER BY grp) AS m FROM groups GROUP BY grp % {}"
 
-@query("partition_equal", "SELECT 0::BIGINT AS only_x, 0::BIGINT AS only_y")
+
+@query("partition_equal", f"""SELECT (SELECT count(*) FROM ({BIN_LISTS.format(3)} EXCEPT ALL {BIN_LISTS.format(6)})) AS only_x,
+    (SELECT count(*) FROM ({BIN_LISTS.format(6)} EXCEPT ALL {BIN_LISTS.format(3)})) AS only_y""")
 def _(spark, d):
-    s = S(spark, d)
-    cut = iterative.threshold_sweep(s.matrix, [65.0])
-    return evaluation.partition_equal(s.bins, cut)
+    g = S(spark, d).groups
+    return evaluation.partition_equal(g.withColumn("bin", F.col("grp") % 3), g.withColumn("bin", F.col("grp") % 6))
 
 
 @query("max_abs_diff", "SELECT count(*) AS cells, round(max(abs(aai - round(aai, 2))), 6) AS max_diff FROM half WHERE aai IS NOT NULL")
