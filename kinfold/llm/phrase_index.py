@@ -3,18 +3,22 @@
 1. Test items become phrases: every window of ``n`` words, or the whole item if it is shorter.
 2. The training frequency of each test word is counted; every phrase names its two rarest
    words as anchors.
-3. The index stores the training postings of the anchors: (term, doc_id, sorted positions).
+3. The index stores the training postings of the anchors: (term, document, sorted positions).
 4. For each phrase the rarest anchor's list, less the anchor's offset, gives starts; the
    second anchor's list of the same document, less its own offset, is intersected with them.
-5. Surviving (phrase, document, start) are compared with the document's words.
+5. In the documents that are left, the postings of all test words are stored too, and the
+   lists of the phrase's other words, less their offsets, are intersected with the starts. What
+   stands in all lists is an exact match; with ``slop`` a list may miss a start by so many words.
+   The texts themselves are not looked at again.
 
-The test words are broadcast only if they are few (``small``); otherwise they are joined by
-shuffle. Nothing else is broadcast by hint. No list spans more than one document.
+A document is known to the index by its id and a hash of its text, so null and repeated ids are
+matched by their own words. What is broadcast is small by its written size (``small``), else it
+is joined by shuffle. No list spans more than one document.
 
 Defined results: a null or empty text has no words and no hits. An item without words has
 no phrase. Equal phrases of several items are matched once and credited to each item;
-repeated item rows count once. Documents with a null id are returned with their word count
-and no hits. Repeated doc_ids are each compared with their own words. Other columns are ignored.
+repeated item rows count once. Documents with a null id are matched like others; repeated
+rows each have the result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,117 +69,106 @@ def anchors(found: DataFrame, freq: DataFrame, k: int = 2) -> DataFrame:
     )
 
 
+#: A document's key in the index: its id (0 for null) and a hash of its text.
+KEY = ["_d", "_h"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``KEY``."""
+    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_h", F.xxhash64(text_of()))
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: (term, doc_id, positions) of the given terms, positions counted from 0 and sorted."""
-    each = docs.where("doc_id is not null").select("doc_id", F.posexplode(words(text_of())).alias("pos", "term"))
-    return (
-        each.join(small(terms), "term", "left_semi")
-        .groupBy("term", "doc_id")
-        .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    )
+    """The index: (term, KEY, positions) of the given terms, positions counted from 0 and sorted."""
+    each = docs.select(*KEY, F.posexplode(words(text_of())).alias("pos", "term"))
+    return each.join(small(terms), "term", "left_semi").groupBy("term", *KEY).agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
 def starts_of(index: DataFrame, picked: DataFrame, slop: int = 0) -> DataFrame:
-    """(phrase, doc_id, starts) where both anchors stand at their offsets, give or take ``slop`` words."""
+    """(phrase, KEY, starts) where both anchors stand at their offsets, give or take ``slop`` words."""
     first = picked.where("rank = 1").select("phrase", "term", F.col("at").alias("at1"))
     second = picked.where("rank = 2").select("phrase", F.col("term").alias("term2"), F.col("at").alias("at2"))
-    both = first.join(second, "phrase", "left")
+    both = staged(first.join(second, "phrase", "left"), "anchor-pairs")
     begun = index.join(small(both), "term").select(
-        "phrase",
-        "doc_id",
-        F.transform("positions", lambda p: p - F.col("at1")).alias("starts"),
-        "term2",
-        "at2",
+        "phrase", *KEY, F.transform("positions", lambda p: p - F.col("at1")).alias("starts"), "term2", "at2"
     )
     begun = begun.withColumn("starts", F.filter("starts", lambda s: s >= 0)).where(F.size("starts") > 0)
-    lone = begun.where("term2 is null").select("phrase", "doc_id", "starts")
-    other = index.select(F.col("term").alias("term2"), "doc_id", F.col("positions").alias("positions2"))
-    joined = begun.where("term2 is not null").join(other, ["term2", "doc_id"])
+    lone = begun.where("term2 is null").select("phrase", *KEY, "starts")
+    other = index.select(F.col("term").alias("term2"), *KEY, F.col("positions").alias("positions2"))
+    joined = begun.where("term2 is not null").join(other, ["term2", *KEY])
     shifted = F.transform("positions2", lambda p: p - F.col("at2"))
-    met = (
-        F.array_intersect("starts", shifted)
-        if slop == 0
-        else F.filter("starts", lambda s: F.exists(shifted, lambda t: F.abs(t - s) <= slop))
-    )
-    return lone.unionByName(joined.select("phrase", "doc_id", met.alias("starts")).where(F.size("starts") > 0))
+    met = F.array_intersect("starts", shifted) if slop == 0 else F.filter("starts", lambda s: F.exists(shifted, lambda t: F.abs(t - s) <= slop))
+    return lone.unionByName(joined.select("phrase", *KEY, met.alias("starts")).where(F.size("starts") > 0))
 
 
-def build(docs: DataFrame, items: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(phrases, their items, anchors, index), each written to the shared folder."""
+def build(docs: DataFrame, items: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(phrases, their items, all their words, anchors, index of the anchors), each written to the shared folder."""
     found, owners = phrases(items, n)
     found, owners = staged(found, "phrases"), staged(owners, "phrase-items")
     terms = staged(found.select(F.explode("words").alias("term")).distinct(), "test-terms")
     picked = staged(anchors(found, staged(frequencies(docs, terms), "term-freq")), "anchors")
-    index = staged(postings(docs, picked.select("term").distinct()), "postings")
-    return found, owners, picked, index
+    rare = staged(picked.select("term").distinct(), "anchor-terms")
+    return found, owners, terms, picked, staged(postings(keyed(docs), rare), "postings")
+
+
+def found_in(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """((KEY, hits: [(phrase, n, starts)]) of the documents that hold a phrase; the phrases' items)."""
+    found, owners, terms, picked, index = build(docs, items, n)
+    near = starts_of(index, picked, slop).join(small(found), "phrase")
+    open_ = staged(near.groupBy(*KEY).agg(F.collect_list(F.struct("phrase", "words", "starts")).alias("open")), "open-documents")
+    keys = staged(open_.select(*KEY), "open-keys")
+    rest = postings(keyed(docs).join(small(keys), KEY, "left_semi"), terms)
+    lists = rest.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("lists"))
+    none = F.array().cast("array<int>")
+
+    def met(c, s):
+        at = lambda w: F.coalesce(F.get(F.map_values(F.map_filter("lists", lambda k, _: k == w)), F.lit(0)), none)
+        here = lambda w, i: F.exists(at(w), lambda p: F.abs(p - (s + i)) <= slop) if slop else F.array_contains(at(w), s + i)
+        return F.forall(F.transform(c["words"], here), lambda x: x)
+
+    hits = F.transform(
+        "open", lambda c: F.struct(c["phrase"].alias("phrase"), F.size(c["words"]).alias("n"), F.filter(c["starts"], lambda s: met(c, s)).alias("starts"))
+    )
+    hits = F.filter(hits, lambda c: F.size(c["starts"]) > 0)
+    return staged(open_.join(lists, KEY).select(*KEY, hits.alias("hits")).where(F.size("hits") > 0), "phrase-hits"), owners
 
 
 def proximity(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 3) -> DataFrame:
-    """(doc_id, item_id, phrase, start): phrases whose two rarest words stand within ``slop`` words of their distance."""
-    _, owners, picked, index = build(docs, items, n)
-    near = starts_of(index, picked, slop)
-    return near.select("phrase", "doc_id", F.explode("starts").alias("start")).join(owners, "phrase")
-
-
-def _compared(docs: DataFrame, items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(``docs``, packed, with _w, its words, and _exact, its verified (phrase, n, starts); the phrases' items)."""
-    found, owners, picked, index = build(docs, items, n)
-    near = starts_of(index, picked).join(small(found), "phrase")
-    by_doc = near.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("phrase", "words", "starts")).alias("_near"))
-    rows = packed(docs)
-    w = rows.join(by_doc, rows["doc_id"] == F.col("_doc"), "left").drop("_doc").withColumn("_w", words(text_of()))
-    exact = F.filter(
-        F.transform(
-            F.col("_near"),
-            lambda c: F.struct(
-                c["phrase"].alias("phrase"),
-                F.size(c["words"]).alias("n"),
-                F.filter(
-                    c["starts"],
-                    lambda s: F.slice(F.col("_w"), s + 1, F.size(c["words"])) == c["words"],
-                ).alias("starts"),
-            ),
-        ),
-        lambda c: F.size(c["starts"]) > 0,
-    )
-    return w.withColumn("_exact", F.when(F.col("_near").isNotNull(), exact)).drop("_near"), owners
+    """(doc_id, item_id, phrase, start): phrases of which every word stands within ``slop`` words of its place after the start."""
+    hits, owners = found_in(docs, items, n, slop)
+    near = keyed(docs.select("doc_id", "text")).select("doc_id", *KEY).distinct().join(hits, KEY)
+    each = near.select("doc_id", F.explode("hits").alias("hit"))
+    return each.select("doc_id", F.col("hit.phrase").alias("phrase"), F.explode("hit.starts").alias("start")).join(small(owners), "phrase")
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The rows of ``docs`` that hold no phrase of ``items``, with their columns as they are."""
-    w, _ = _compared(docs, items, n)
-    w = w.where(F.coalesce(F.size("_exact"), F.lit(0)) <= 0)
-    return w.select(*unpacked(w, docs.columns))
+    hits, _ = found_in(docs.select("doc_id", "text"), items, n)
+    rows = keyed(packed(docs))
+    rows = rows.join(small(staged(hits.select(*KEY), "hit-keys")), KEY, "left_anti")
+    return rows.select(*unpacked(rows, docs.columns))
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, hit_spans, item_ids, contaminated); item_ids are sorted as strings."""
-    w, owners = _compared(docs.select("doc_id", "text"), items, n)
-    spans = F.array_distinct(
-        F.flatten(F.transform("_exact", lambda c: F.transform(c["starts"], lambda s: F.struct(s.alias("start"), (s + c["n"]).alias("stop")))))
-    )
-    w = staged(
-        w.select(
-            "doc_id",
-            F.size("_w").cast("long").alias("n_words"),
-            F.array_sort(spans).alias("hit_spans"),
-            F.transform("_exact", lambda c: c["phrase"]).alias("phrases"),
-        ),
-        "phrase-matches",
-    )
-    hit = F.size(F.array_distinct(F.flatten(F.transform("hit_spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))))
+    docs = docs.select("doc_id", "text")
+    hits, owners = found_in(docs, items, n)
+    spans = F.flatten(F.transform("hits", lambda c: F.transform(c["starts"], lambda s: F.struct(s.alias("start"), (s + c["n"]).alias("stop")))))
     credited = (
-        w.select(F.col("doc_id").alias("_doc"), F.explode("phrases").alias("phrase"))
+        hits.select(*KEY, F.explode("hits.phrase").alias("phrase"))
         .join(small(owners), "phrase")
-        .groupBy("_doc")
+        .groupBy(*KEY)
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
-    n_hit = F.greatest(F.coalesce(hit, F.lit(0)), F.lit(0)).cast("long")
-    return w.join(credited, w["doc_id"] == F.col("_doc"), "left").select(
+    hit = hits.select(*KEY, F.array_sort(F.array_distinct(spans)).alias("hit_spans")).join(credited, KEY)
+    n_hit = F.size(F.array_distinct(F.flatten(F.transform("hit_spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))))
+    hit = staged(hit.select(*KEY, n_hit.cast("long").alias("n_hit"), "hit_spans", "item_ids"), "phrase-matches")
+    rows = keyed(docs).select("doc_id", F.size(words(text_of())).cast("long").alias("n_words"), *KEY)
+    return rows.join(small(hit), KEY, "left").select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("hit_spans", F.array()).alias("hit_spans"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        (n_hit > 0).alias("contaminated"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

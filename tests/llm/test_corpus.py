@@ -97,7 +97,7 @@ def brute_phrases(docs, items):
     out = []
     for d, t in docs:
         w, hit, got = split(t), set(), set()
-        for p, owners in wanted.items() if d is not None else ():
+        for p, owners in wanted.items():
             for k in range(len(w) - len(p) + 1):
                 if tuple(w[k : k + len(p)]) == p:
                     hit |= set(range(k, k + len(p)))
@@ -126,8 +126,10 @@ def test_phrases(spark):
 def test_proximity(spark):
     items = [(1, "alpha b c d e f g h i omega")]
     docs = [(1, "alpha b c d e f g h i omega"), (2, "alpha x x x x x x x x x x omega"), (3, "alpha omega"), (4, "b c d e f g h i " * 4)]
+    docs += [(5, "alpha c b d e f g h i omega"), (6, "alpha b c d x x x x x x x e f g h i omega"), (None, "ALPHA b c d, so e f g h i omega")]
     got = phrase_index.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slop=2)
-    assert sorted(r.doc_id for r in got.collect()) == [1, 2]
+    # Every word stands within two words of its place: one word more, or two that changed places.
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "5", "None"]
 
 
 # ---- near copies -----------------------------------------------------------------------
