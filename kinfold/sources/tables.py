@@ -5,7 +5,7 @@ Missing values ('NA', 'nan', '--', '') become null here and nowhere else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalars import plain_accession, tolerant_number
@@ -17,10 +17,16 @@ BLAST6 = (
 )
 
 
+def _place() -> Column:
+    """A line's place in its file: splits are read in any order, the lines of one split in theirs."""
+    m = F.col("_metadata")
+    return F.struct(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_hits(spark: SparkSession, path: str, set_id: int = 0) -> DataFrame:
     """Nine-column tab-separated hits with the line's place; lines with fewer fields are skipped, more fields ignored."""
     line = spark.read.text(path).select(
-        F.split("value", "\t").alias("f"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")
+        F.split("value", "\t").alias("f"), _place().alias("line")
     )
     kinds = [x.strip().split(" ") for x in HITS.split(",")]
     ok = line.where(F.size("f") >= len(kinds))
@@ -102,7 +108,7 @@ def read_sections(spark: SparkSession, path: str, header: str) -> DataFrame:
     A section starts at a row whose first field is ``header`` and ends at a comment or a row
     of one field. One file's rows are ordered by a window: such files are reports, not data.
     """
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.split("value", "\t").alias("fields"))
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), _place().alias("n"), F.split("value", "\t").alias("fields"))
     start = (F.col("fields")[0] == header).cast("int")
     stop = (F.col("fields")[0].startswith("#") | (F.size("fields") < 2)).cast("int")
     upto = Window.partitionBy("file").orderBy("n")

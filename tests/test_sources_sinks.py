@@ -126,3 +126,16 @@ def test_numbering_and_transposed(spark):
     parts = spark.createDataFrame([("r1", 1, "a"), ("r1", 0, "b"), ("r2", 1, "c")], "r string, c int, v string")
     got = {x.r: (x.cells, x.complete) for x in relational.transposed(parts, "r", "c", "v", parts).collect()}
     assert got == {"r1": (["b", "a"], True), "r2": (["c"], False)}
+
+
+def test_hit_lines_keep_the_order_of_a_file_of_many_splits(spark, tmp_path):
+    h = tmp_path / "h.tsv"
+    h.write_text("".join(f"{i}\t{i + 1}\t60.0\t9\t9\t9\t0\t1e-9\t50.0\n" for i in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        hits = tables.read_hits(spark, f"file://{h}")
+        assert hits.rdd.getNumPartitions() > 3
+        assert [r.q for r in hits.orderBy("line").collect()] == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
