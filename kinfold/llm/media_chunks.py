@@ -10,7 +10,7 @@ SHA-256 digest and stored once, as zstandard frames.
    owns a chunk, the others refer to it.
 3. The store has a row for each object: its recipe, and the frames of the chunks it owns.
    It is written from the documents as they are read; only the list of documents that store
-   nothing or refer to others is joined to them (broadcast if it has at most a million rows).
+   nothing or refer to others is joined to them (broadcast if it was written in at most 8 MB).
 4. Objects are read back, the frames that they refer to are fetched from their owners, each
    chunk is checked against its digest, and samples and features come from these bytes.
 
