@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_text, line_dedup, media_chunks, order_minhash, phrase_index, pitman_yor, prefix_counts, token_planes, toxicity
+from . import bpe_codec, html_text, line_dedup, media_chunks, order_minhash, phrase_index, pitman_yor, prefix_counts, source_mix, token_planes, toxicity
 from .common import table
 
 
@@ -93,6 +93,10 @@ def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_chars", "fit_chars")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 OP7_SQL = """
 WITH lines AS (
   SELECT doc_id, i AS pos, l AS line,
@@ -109,6 +113,46 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source)
+), levels AS (
+  SELECT 0 AS i, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) / (SELECT sum(w) FROM s) AS level
+  UNION ALL
+  SELECT i + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(cap) FILTER (w * level > cap), 0)) / sum(w) FILTER (w * level <= cap) FROM s)
+  FROM levels WHERE i < 30
+), t AS (
+  SELECT s.*, CASE WHEN w * level > cap THEN cap ELSE w * level END AS target, CAST(ceil((source_size + n_rows) / 1048576.0::DOUBLE) AS BIGINT) AS shards
+  FROM s, (SELECT level FROM levels WHERE i = 30)
+), p AS (
+  SELECT d.*, t.rank, t.source_size, t.target, CAST('0x' || substr(h, 1, 15) AS BIGINT) % shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT rank, shard, cell_size, target * cell_size / source_size AS weight, CAST(ceil(cell_size / 16.0::DOUBLE) AS BIGINT) AS blocks
+  FROM (SELECT rank, shard, CAST(sum(size) AS BIGINT) AS cell_size, any_value(target) AS target, any_value(source_size) AS source_size FROM p WHERE size > 0 GROUP BY rank, shard)
+), seats AS (
+  SELECT rank, shard, row_number() OVER (ORDER BY weight / (2 * j - 1) DESC, rank, shard, j) AS place
+  FROM (SELECT *, unnest(range(1, 2 * blocks + 1)) AS j FROM c)
+), q AS (
+  SELECT c.*, coalesce(k.n, 0) // blocks AS rounds, coalesce(k.n, 0) % blocks AS rest, CAST('0x' || substr(md5(concat('0:', c.rank, ':', c.shard)), 1, 15) AS BIGINT) % blocks AS phase
+  FROM c LEFT JOIN (
+    SELECT rank, shard, count(*) AS n FROM seats WHERE place <= (SELECT CAST(floor(sum(weight) / 16 + 0.5) AS BIGINT) FROM c) GROUP BY rank, shard) k
+  ON c.rank = k.rank AND c.shard = k.shard
+), laid AS (
+  SELECT p.*, coalesce(sum(size) OVER (PARTITION BY rank, shard ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM p WHERE size > 0
+), z AS (
+  SELECT l.*, q.rounds, q.blocks, q.rest, q.phase, CAST(l.a AS BIGINT) AS x, CAST(l.a + l.size AS BIGINT) AS y FROM laid l JOIN q ON l.rank = q.rank AND l.shard = q.shard
+)
+SELECT doc_id, size, source_size, target, CAST(rounds * size
+       + 16 * ((y // 16 + phase) * rest // blocks - (x // 16 + phase) * rest // blocks)
+       + CASE WHEN (y // 16 + phase) * rest % blocks >= blocks - rest THEN y % 16 ELSE 0 END
+       - CASE WHEN (x // 16 + phase) * rest % blocks >= blocks - rest THEN x % 16 ELSE 0 END AS BIGINT) AS taken
+FROM z UNION ALL SELECT doc_id, size, source_size, target, 0 FROM p WHERE size = 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_chunks": op1_media_chunks,
     "op2_order_minhash": op2_order_minhash,
@@ -120,9 +164,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_token_planes": op9_token_planes,
     "op10_prefix_counts": op10_prefix_counts,
+    "op11_source_mix": op11_source_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op3_phrase_index": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op11_source_mix": OP11_SQL,
 }
