@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_text, line_dedup, media_chunks, order_minhash, phrase_index, pitman_yor, prefix_counts, source_mix, token_planes, toxicity
+from . import bpe_codec, html_text, line_dedup, media_chunks, order_minhash, phrase_index, pitman_yor, prefix_counts, source_mix, spelling_variants, token_planes, toxicity
 from .common import table
 
 
@@ -97,6 +97,10 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 WITH lines AS (
   SELECT doc_id, i AS pos, l AS line,
@@ -153,6 +157,55 @@ SELECT doc_id, size, source_size, target, CAST(rounds * size
 FROM z UNION ALL SELECT doc_id, size, source_size, target, 0 FROM p WHERE size = 0
 """
 
+def _crc_table() -> list[int]:
+    """crc32 of the sixteen half bytes."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+#: A step of crc32 by half a byte (a fixed polynomial), and letters as single bytes, which DuckDB's distance counts.
+_CRC_STEP = "xor(c >> 4, list_extract([" + ", ".join(str(_c) for _c in _crc_table()) + "], CAST(xor(c, x) & 15 AS INTEGER) + 1))"
+_LATIN, _BYTES = "".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(0x21, 0x61))).replace("'", "''")
+
+OP12_SQL = f"""
+WITH RECURSIVE runs AS MATERIALIZED (
+  SELECT d, run, count(*) AS k FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+           translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) WHERE length(run) >= 6 GROUP BY d, run
+), crc AS MATERIALIZED (
+  SELECT run, k, xor(list_reduce(
+      list_prepend(4294967295, flatten(list_transform(string_split_regex(rtrim(regexp_replace(hex(encode(d || ':' || run)), '(..)', '\\1 ', 'g')), ' '),
+        lambda b: [instr('0123456789ABCDEF', b[2]) - 1, instr('0123456789ABCDEF', b[1]) - 1]))),
+      lambda c, x: {_CRC_STEP}), 4294967295) AS h
+  FROM runs
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n, translate(word, '{_LATIN}', '{_BYTES}') AS b, length(word) AS len FROM (
+    SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM crc)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), near AS MATERIALIZED (
+  SELECT v.word, w.word AS other, w.n AS other_n FROM (SELECT *, unnest([len - 1, len, len + 1]) AS l FROM words) v
+  JOIN words w ON w.len = v.l AND substr(w.word, 1, w.len // 2) = substr(v.word, 1, v.l // 2)
+  WHERE levenshtein(v.b, w.b) = 1
+  UNION
+  SELECT v.word, w.word, w.n FROM (SELECT *, unnest([len - 1, len, len + 1]) AS l FROM words) v
+  JOIN words w ON w.len = v.l AND substr(w.word, w.len // 2 + 1) = substr(v.word, v.len - (v.l - v.l // 2) + 1)
+  WHERE levenshtein(v.b, w.b) = 1
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, struct_pack(a := -other_n, b := other)) AS near, max(other_n) AS near_n FROM near GROUP BY word
+), form AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), chain AS (
+  SELECT word, word AS at, form AS next FROM form
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN form f ON c.next = f.word
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM form f JOIN chain c ON f.word = c.word WHERE c.next IS NULL
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_chunks": op1_media_chunks,
     "op2_order_minhash": op2_order_minhash,
@@ -165,10 +218,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_planes": op9_token_planes,
     "op10_prefix_counts": op10_prefix_counts,
     "op11_source_mix": op11_source_mix,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op3_phrase_index": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
     "op11_source_mix": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
