@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,9 +17,11 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return [plain(x) for x in v]
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
-    return round(float(v), 5) if isinstance(v, float) else int(v) if isinstance(v, bool) else v
+    if isinstance(v, (float, bool)):  # pandas makes floats of whole numbers beside nulls
+        return int(v) if v == int(v) else round(float(v), 5)
+    return v
 
 
 def rows(df):
