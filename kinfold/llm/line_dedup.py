@@ -12,7 +12,9 @@ broadcast of at most ``hot`` (hash, first document) rows.
 
 Defined results: a null or empty text is one empty line, which is kept. Keys shorter
 than ``min_chars`` code points never count. Of equal doc_ids (repeated rows) all count
-as one document, so their own repeats stay. Null doc_ids are documents of their own that
+as one document, so their own repeats stay; each row has its own bitmap, found by the id and a hash
+of its text, and rows equal in both have equal bitmaps. A very long text is as many rows as it has
+lines. Null doc_ids are documents of their own that
 neither drop nor are dropped. Other columns are ignored and may have any name.
 """
 
@@ -36,20 +38,25 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
+def row_of() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(text_of())
+
+
 def occurrences(df: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(h1, h2, doc_id, pos) of every line whose key counts."""
+    """(h1, h2, doc_id, row, pos) of every line whose key counts; ``row`` is a hash of the text that it stands in."""
     key = line_key(F.col("line"))
     return (
         df.where("doc_id is not null")
-        .select("doc_id", F.posexplode(lines_of(text_of())).alias("pos", "line"))
-        .select("doc_id", "pos", key.alias("key"))
+        .select("doc_id", row_of().alias("row"), F.posexplode(lines_of(text_of())).alias("pos", "line"))
+        .select("doc_id", "row", "pos", key.alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "pos")
+        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "row", "pos")
     )
 
 
 def dropped_lines(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFrame:
-    """(doc_id, pos) of every line whose key an earlier document holds."""
+    """(doc_id, row, pos) of every line whose key an earlier document holds."""
     occ = staged(occurrences(df, min_chars), "line-hashes")
     # orderBy.limit keeps `hot` rows a task, so what is broadcast has a fixed size.
     top = (
@@ -61,29 +68,29 @@ def dropped_lines(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFra
         .select("h1", "h2", "first")
     )
     known = occ.join(F.broadcast(top), ["h1", "h2"], "left")
-    frequent = known.where("first is not null and doc_id > first").select("doc_id", "pos")
+    frequent = known.where("first is not null and doc_id > first").select("doc_id", "row", "pos")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     others = (
         known.where("first is null")
-        .select("h1", "h2", "doc_id", "pos")
+        .select("h1", "h2", "doc_id", "row", "pos")
         .repartitionByRange(n, "h1", "h2")
         .sortWithinPartitions("h1", "h2", "doc_id", "pos")
         .withColumn("first", F.first("doc_id").over(order))
         .where("doc_id > first")
-        .select("doc_id", "pos")
+        .select("doc_id", "row", "pos")
     )
     return frequent.unionByName(others)
 
 
 def keep_bitmaps(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFrame:
-    """(doc_id, ends): for each document that loses lines, its bitmap, compressed by runs.
+    """(doc_id, row, ends): for each text that loses lines, its bitmap, compressed by runs.
 
     ``ends`` are the line numbers at which runs end: kept, dropped, kept, ..., dropped. The first
     run may be empty; lines after the last end are kept.
     """
     drops = F.sort_array(F.collect_set("pos"))
-    return dropped_lines(df, min_chars, hot).groupBy("doc_id").agg(drops.alias("d")).select("doc_id", ends_of(F.col("d")).alias("ends"))
+    return dropped_lines(df, min_chars, hot).groupBy("doc_id", "row").agg(drops.alias("d")).select("doc_id", "row", ends_of(F.col("d")).alias("ends"))
 
 
 def ends_of(drops: Column) -> Column:
@@ -100,9 +107,9 @@ def dedup(df: DataFrame, min_chars: int = 10, hot: int = HOT) -> DataFrame:
     from the bitmap and the text. Columns of ``df`` come first and as they are; if one has the name of a new
     column, both are there, as in a join.
     """
-    bitmaps = keep_bitmaps(df, min_chars, hot).select(F.col("doc_id").alias("_drop_doc"), F.col("ends").alias("_ends"))
+    bitmaps = keep_bitmaps(df, min_chars, hot).select(F.col("doc_id").alias("_drop_doc"), F.col("row").alias("_drop_row"), F.col("ends").alias("_ends"))
     rows = packed(df)
-    joined = rows.join(bitmaps, rows["doc_id"] == F.col("_drop_doc"), "left").drop("_drop_doc")
+    joined = rows.join(bitmaps, (rows["doc_id"] == F.col("_drop_doc")) & (row_of() == F.col("_drop_row")), "left").drop("_drop_doc", "_drop_row")
     out = joined.withColumn("_lines", lines_of(text_of())).withColumn("_ends", F.coalesce("_ends", F.array().cast("array<int>")))
     n, ends = F.size("_lines"), F.col("_ends")
     before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))

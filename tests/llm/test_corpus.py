@@ -70,6 +70,18 @@ def test_lines(spark, hot):
         assert "\n".join(kept) == r.kept
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_lines_of_repeated_ids(spark, hot):
+    """Texts of unequal length under one id, and a very long text."""
+    for rows in (
+        [(1, "shared line long"), (2, "x\ny\nz\nq\nshared line long"), (2, "a")],
+        [(1, "shared line long"), (2, "shared line long\nmine only here"), (2, "mine other text\nb"), (2, "b\nshared line long"), (2, None)],
+        [(1, "\n".join(f"line number {k}" for k in range(9000))), (2, "\n".join(f"line number {k}" for k in range(0, 20000, 3))), (2, "line number 3")],
+    ):
+        got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got), key=str) == brute_lines(rows)
+
+
 def test_lines_keep_columns(spark):
     df = frame(spark, LINES)
     got = line_dedup.deduplicated(df)
