@@ -13,7 +13,8 @@ is a single region in which undecided blocks are good only if nothing on the pag
 and they aren't bad by their place.
 
 Defined results: null, empty and text-free pages give ''. Unclosed tags end with the block
-around them, unclosed comments and scripts with the page. Character references are decoded
+around them, unclosed comments and scripts with the page. An inline element that is left out
+(a button, an advert's span) leaves the block around it whole. Character references are decoded
 once; white space in a block becomes one space. Nothing is capped; repeated pages repeat.
 """
 
@@ -137,13 +138,22 @@ def blocks(html: str) -> list[Block]:
     edges: list[int] = []  # places of open block tags
     boiler = inside = hint = False
     links, breaks, at, n = 0, 0, 0, len(html)
+    # Of an open inline element that is left out: its place in the stack, and what stood before it.
+    inline: tuple[int, int, int, bool, bool] | None = None
+
+    def add(parts, linked, boiler, inside, hint):
+        text = " ".join(unescape("".join(parts)).split())
+        if text:
+            out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), boiler, inside, hint))
 
     def flush():
-        nonlocal parts, linked
+        nonlocal parts, linked, inline
+        if inline:
+            _, k, j, i, h = inline
+            add(parts[:k], linked[:j], False, i, h)
+            parts, linked, inline = parts[k:], linked[j:], None
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), boiler, inside, hint))
+            add(parts, linked, boiler, inside, hint)
             parts, linked = [], []
 
     def close(k: int):
@@ -185,18 +195,20 @@ def blocks(html: str) -> list[Block]:
             # An inline end tag doesn't reach past the block around it.
             if k >= 0 and tag not in BLOCK and edges and edges[-1] > k:
                 k = -1
-            if tag in BLOCK or k >= 0 and stack[k][1] != (stack[k - 1][1] if k else False):
+            if tag not in BLOCK and k >= 0 and inline and k <= inline[0]:
+                # What it held goes; the block around it stays whole.
+                parts, linked, inline = [*parts[: inline[1]], " "], linked[: inline[2]], None
+            elif tag in BLOCK or k >= 0 and stack[k][1] != (stack[k - 1][1] if k else False):
                 flush()
             if k >= 0:
                 close(k)
             continue
         if tag in RAW:
-            if tag not in ("select",):
-                if not attrs.endswith("/"):
-                    e = RAW_END[tag].search(html, at)
-                    at = e.end() if e else n
-                parts.append(" ")
-                continue
+            if not attrs.endswith("/"):
+                e = RAW_END[tag].search(html, at)
+                at = e.end() if e else n
+            parts.append(" ")
+            continue
         if tag == "br":
             breaks += 1
             if breaks > 1:
@@ -209,7 +221,9 @@ def blocks(html: str) -> list[Block]:
                 flush()
             continue
         b, a, h = place(tag, attrs, inside)
-        if tag in BLOCK or b and not boiler or h and not hint:
+        if tag not in BLOCK and b and not boiler:
+            inline = inline or (len(stack), len(parts), len(linked), inside, hint)
+        elif tag in BLOCK or h and not hint:
             flush()
             # A new block ends an open paragraph and open inline elements; items end their like.
             k = edges[-1] + 1 if edges else 0

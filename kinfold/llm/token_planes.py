@@ -15,7 +15,8 @@ second attempt leaves no half-written file and any store that Spark writes will
 ``unpack`` reads the bytes of one file wherever they lie.
 
 Defined results: a null or empty text has only the end id. Repeated documents are all
-stored. Documents with a null id come first. An empty table gives no files and no rows.
+stored; those of one id in the order of a hash of their text, then of the text. Ids must be whole
+numbers (or text that spells them). Documents with a null id come first. An empty table gives no files and no rows.
 Other columns are not stored.
 """
 
@@ -129,7 +130,7 @@ def write_files(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id",
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("long").alias(key), text_of(text).alias(text))
-    files = rows.repartitionByRange(n, key).sortWithinPartitions(key).mapInArrow(run, "part int, seq int, n_ids long, file binary")
+    files = rows.repartitionByRange(n, key).sortWithinPartitions(key, F.xxhash64(text), text).mapInArrow(run, "part int, seq int, n_ids long, file binary")
     return staged(files, "token-files")
 
 

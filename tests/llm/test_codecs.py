@@ -71,6 +71,10 @@ def test_token_files(spark, library):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(array.array("I", ids).tobytes()))
         at += len(ids)
     assert token_planes.read_files(token_planes.write_files(docs(spark).where("false"), BYTES)).count() == 0
+    # Texts of one id, in any order of arrival.
+    two = [(5, "a b"), (5, "a much longer text"), (5, None), (4, "x")]
+    both = [sorted(map(tuple, token_planes.read_files(token_planes.write_files(docs(spark, x), BYTES)).collect())) for x in (two, two[::-1])]
+    assert both[0] == both[1] and len(both[0]) == 4
 
 
 def test_planes():
@@ -178,6 +182,20 @@ def test_parts_that_are_no_article(part):
     assert html_text.main_text(f"<article><p>{LONG}</p><div {part}><p>{LONG}</p></div></article>") == LONG
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>Read <button>Share</button> this.</p>", "Read this."),
+        ("<article><p>Read <span class=ad>buy <b>now</b></span>this <label>x</label>, too.</p><p>Next.", "Read this , too.\nNext."),
+        ("<article>Read <span class=ad>buy <div>much</div></span> this.", "Read\nthis."),
+        ("<article><p>Read <button>Share</p><p>This.</p>", "Read\nThis."),
+        ("<article><p>Pick</p><select><option>One<option>Two</select><p>That.</p>", "Pick\nThat."),
+    ],
+)
+def test_left_out_inside_a_block(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_deep_and_long_pages():
     deep = "<div><span>" * 20_000 + LONG + "</span></div>" * 20_000
     assert html_text.main_text(deep) == LONG
