@@ -100,18 +100,39 @@ def boundary_flags(aai: DataFrame, limits: tuple[float, ...], tolerance: float =
 
 
 def pocp(hits: DataFrame, totals: DataFrame) -> DataFrame:
-    """(ga, gb, pocp): percentage of conserved items, (C_ab + C_ba) / (T_a + T_b) * 100; 100 on the diagonal.
+    """(set_id, ga, gb, conserved, items, pocp) of all group pairs of each set: (C_ab + C_ba) / (T_a + T_b) * 100; 100 on the diagonal.
 
-    hits: (ga, gb, item) of items of ga conserved in gb; totals: (g, total).
+    hits: (set_id, ga, gb, item) of items of ga conserved in gb, repeats allowed; totals: (set_id, g, total).
     """
-    c = hits.where("ga <> gb").groupBy("ga", "gb").agg(F.count_distinct("item").alias("c"))
-    a = totals.select(F.col("g").alias("ga"), F.col("total").alias("ta"))
-    b = totals.select(F.col("g").alias("gb"), F.col("total").alias("tb"))
-    grid = a.join(b, F.lit(True))  # one row a group pair, as the result has
-    back = c.select(F.col("gb").alias("ga"), F.col("ga").alias("gb"), F.col("c").alias("d"))
-    x = grid.join(c, ["ga", "gb"], "left").join(back, ["ga", "gb"], "left")
-    both = (F.coalesce("c", F.lit(0)) + F.coalesce("d", F.lit(0))) * 100.0
-    return x.select("ga", "gb", F.when(F.col("ga") == F.col("gb"), 100.0).otherwise(F.try_divide(both, F.col("ta") + F.col("tb"))).alias("pocp"))
+    c = hits.where("ga <> gb").groupBy("set_id", "ga", "gb").agg(F.count_distinct("item").alias("c"))
+    low, high = F.least("ga", "gb"), F.greatest("ga", "gb")
+    return pocp_matrix(c.groupBy("set_id", low.alias("ga"), high.alias("gb")).agg(F.sum("c").alias("conserved")), totals)
+
+
+def pocp_of_shared(items: DataFrame) -> DataFrame:
+    """``pocp`` where an item is conserved in the groups that hold the very same item. items: (set_id, grp, item), repeats allowed.
+
+    Items that the same groups hold are counted first, so that group pairs are made once for each such
+    combination and not once for each item; a list holds groups of one set, never items.
+    """
+    held = items.groupBy("set_id", "item").agg(F.sort_array(F.collect_set("grp")).alias("groups"))
+    alike = held.groupBy("set_id", "groups").agg(F.count("*").alias("n"))
+    totals = alike.select("set_id", "n", F.explode("groups").alias("g")).groupBy("set_id", "g").agg(F.sum("n").alias("total"))
+    first = alike.where(F.size("groups") > 1).select("set_id", "n", "groups", F.posexplode("groups").alias("at", "ga"))
+    pairs = first.select("set_id", "n", "ga", F.explode(F.slice("groups", F.col("at") + 2, F.size("groups"))).alias("gb"))
+    return pocp_matrix(pairs.groupBy("set_id", "ga", "gb").agg((2 * F.sum("n")).alias("conserved")), totals)
+
+
+def pocp_matrix(half: DataFrame, totals: DataFrame) -> DataFrame:
+    """All ordered pairs from the conserved items of pairs ga < gb (both directions summed) and each group's total."""
+    a = totals.select("set_id", F.col("g").alias("ga"), F.col("total").alias("ta"))
+    b = totals.select("set_id", F.col("g").alias("gb"), F.col("total").alias("tb"))
+    grid = a.join(b, "set_id").where("ga < gb")  # pairs of one set, as the result has
+    x = grid.join(half, ["set_id", "ga", "gb"], "left").select("set_id", "ga", "gb", F.coalesce("conserved", F.lit(0)).cast("long").alias("conserved"), (F.col("ta") + F.col("tb")).alias("items"))
+    x = x.withColumn("pocp", F.try_divide(F.col("conserved") * 100.0, F.col("items")))
+    swap = x.select("set_id", F.col("gb").alias("ga"), F.col("ga").alias("gb"), "conserved", "items", "pocp")
+    same = a.select("set_id", "ga", F.col("ga").alias("gb"), (2 * F.col("ta")).alias("conserved"), (2 * F.col("ta")).alias("items"), F.lit(100.0).alias("pocp"))
+    return x.unionByName(swap).unionByName(same)
 
 
 def supermatrix(parts: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -16,27 +16,36 @@ def vector_hits(items: DataFrame, min_identity: float, block: int = BLOCK) -> Da
 
     Every pair of a set is compared, as the search asks, but block against block: an item
     goes to as many tasks as its set has blocks, a task holds two blocks, and pairs below
-    ``min_identity`` never leave it.
+    ``min_identity`` never leave it. Sets of one block travel together, several to a call,
+    and are compared one after another.
     """
     n = items.groupBy("set_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     x = items.join(n, "set_id").withColumn("b", F.pmod(F.xxhash64("item"), "blocks").cast("int"))
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("set_id", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "item", "grp", F.col("vector").cast("array<double>").alias("vector"))
+    packs = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = F.col("blocks") == 1
+    pack = F.when(one, F.pmod(F.xxhash64("set_id"), F.lit(packs))).otherwise(F.col("set_id"))
+    x = x.select("set_id", one.alias("one"), pack.alias("pack"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "item", "grp", F.col("vector").cast("array<double>").alias("vector"))
 
     def compare(t: pa.Table) -> pa.Table:
-        sid, i, j = (t.column(c)[0].as_py() for c in ("set_id", "i", "j"))
-        item, grp, b = (t.column(c).to_numpy() for c in ("item", "grp", "b"))
+        t = t.sort_by("set_id")
+        i, j = (t.column(c)[0].as_py() for c in ("i", "j"))
+        sets, item, grp, b = (t.column(c).to_numpy() for c in ("set_id", "item", "grp", "b"))
         v = np.stack(t.column("vector").to_numpy(zero_copy_only=False)).astype("f8")
         v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        p = 50.0 * (1.0 + v[left] @ v[right].T)
-        a, c = np.nonzero((p >= min_identity) & (grp[left][:, None] != grp[right][None, :]))
-        out = [item[left][a], item[right][c], grp[left][a], grp[right][c], p[a, c]]
-        if i != j:
-            out = [np.r_[x, y] for x, y in zip(out, [out[1], out[0], out[3], out[2], out[4]])]
-        return pa.table({"set_id": pa.array(np.full(len(out[0]), sid, "i8")), "q": out[0], "s": out[1], "gq": out[2], "gs": out[3], "pident": out[4], "score": out[4]})
+        starts = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]])
+        found = []
+        for start, end in zip(starts, np.r_[starts[1:], len(sets)]):
+            left, right = (start + np.flatnonzero(b[start:end] == side) for side in (i, j))
+            p = 50.0 * (1.0 + v[left] @ v[right].T)
+            a, c = np.nonzero((p >= min_identity) & (grp[left][:, None] != grp[right][None, :]))
+            found.append((left[a], right[c], p[a, c]))
+            if i != j:
+                found.append((right[c], left[a], p[a, c]))
+        q, s, p = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"set_id": sets[q], "q": item[q], "s": item[s], "gq": grp[q], "gs": grp[s], "pident": p, "score": p})
 
-    return x.groupBy("set_id", "i", "j").applyInArrow(compare, "set_id long, q long, s long, gq long, gs long, pident double, score double")
+    return x.groupBy("one", "pack", "i", "j").applyInArrow(compare, "set_id long, q long, s long, gq long, gs long, pident double, score double")
 
 
 def shingle_hits(items: DataFrame, size: int, min_similarity: float, block: int = BLOCK) -> DataFrame:

@@ -149,9 +149,7 @@ WITH w AS (
   SELECT doc_id AS item, CAST(substr(source, 4) AS BIGINT) AS grp, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT DISTINCT item, grp, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item, grp, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 n AS (SELECT item, count(*) AS n FROM g GROUP BY item),
-seeds AS (SELECT g FROM g GROUP BY g HAVING count(*) BETWEEN 2 AND 20),
-p AS (SELECT DISTINCT a.item AS q, b.item AS s, a.grp AS gq, b.grp AS gs FROM g a JOIN g b ON a.g = b.g AND a.item < b.item AND a.grp <> b.grp JOIN seeds ON seeds.g = a.g),
-m AS (SELECT p.q, p.s, p.gq, p.gs, count(*) AS m FROM p JOIN g a ON a.item = p.q JOIN g b ON b.item = p.s AND b.g = a.g GROUP BY ALL),
+m AS (SELECT a.item AS q, b.item AS s, a.grp AS gq, b.grp AS gs, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.item < b.item AND a.grp <> b.grp GROUP BY ALL),
 f AS (SELECT q, s, gq, gs, round(m / (x.n + y.n - m), 6) AS score FROM m JOIN n x ON x.item = q JOIN n y ON y.item = s WHERE m / (x.n + y.n - m) >= 0.2)
 SELECT * FROM f UNION ALL SELECT s, q, gs, gq, score FROM f
 """
@@ -358,7 +356,7 @@ def _(spark, d):
     return x.select("step", "linkage", F.col("side_a").cast("array<bigint>").alias("side_a"), F.col("side_b").cast("array<bigint>").alias("side_b"))
 
 
-@query("bin_numbering", "SELECT row_number() OVER (ORDER BY n DESC, low) AS bin, grp FROM (SELECT *, count(*) OVER (PARTITION BY grp % 4) AS n, min(grp) OVER (PARTITION BY grp % 4) AS low FROM groups) WHERE false UNION ALL SELECT b.bin, g.grp FROM groups g JOIN (SELECT k, row_number() OVER (ORDER BY n DESC, low) AS bin FROM (SELECT grp % 4 AS k, count(*) AS n, min(grp) AS low FROM groups GROUP BY grp % 4)) b ON b.k = g.grp % 4")
+@query("bin_numbering", "SELECT b.bin, g.grp FROM groups g JOIN (SELECT k, row_number() OVER (ORDER BY n DESC, low) AS bin FROM (SELECT grp % 4 AS k, count(*) AS n, min(grp) AS low FROM groups GROUP BY grp % 4)) b ON b.k = g.grp % 4")
 def _(spark, d):
     return iterative.number_bins(S(spark, d).groups.withColumn("label", F.col("grp") % 4))
 

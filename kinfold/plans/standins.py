@@ -28,6 +28,20 @@ def screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) ->
     return Screen(items(spark, sf_dir).drop("vector"), hits(spark, sf_dir), settings)
 
 
+#: Sets of very uneven size: one holds a third of the vectors, others a few each.
+VECTOR_SET = "CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 + CAST(floor(sqrt(8 * vec_id)) AS BIGINT) END"
+
+
+def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.expr(VECTOR_SET).cast("long").alias("set_id"), F.col("vec_id").alias("item"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vector"))
+
+
+def set_screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> Screen:
+    x = set_items(spark, sf_dir)
+    return Screen(x.drop("vector"), vector_hits(x, MIN_HIT), settings)
+
+
 def aligned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with stand-in alignment columns, for the filters."""
     q, s = F.col("q"), F.col("s")

@@ -283,24 +283,39 @@ def _(t, spark, d):
     SELECT a.g AS ga, b.g AS gb, round(CASE WHEN a.g = b.g THEN 100.0 ELSE (coalesce(x.c, 0) + coalesce(y.c, 0)) * 100.0 / (a.total + b.total) END, 6) AS pocp
     FROM t a CROSS JOIN t b LEFT JOIN c x ON x.ga = a.g AND x.gb = b.g LEFT JOIN c y ON y.ga = b.g AND y.gb = a.g""")
 def _(t, spark, d):
-    return _pocp(t)
+    return _pocp(t).select("ga", "gb", "pocp")
+
+
+def supplied(t, set_id="0"):
+    """(set_id, grp, item): the parts that each nation supplies."""
+    l = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return l.select(F.expr(set_id).cast("long").alias("set_id"), F.col("s_nationkey").alias("grp"), F.col("l_partkey").alias("item"))
 
 
 def _pocp(t):
-    """POCP of nations by the parts they supply: hits are all shared parts."""
-    l = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("g"), F.col("l_partkey").alias("item")).distinct()
-    totals = l.groupBy("g").agg(F.count_distinct("item").alias("total"))
-    a, b = l.withColumnRenamed("g", "ga"), l.withColumnRenamed("g", "gb")
-    hits = a.join(b, "item").where("ga <> gb").select("ga", "gb", "item")
-    return relational.pocp(hits, totals)
+    """POCP of nations by the parts they supply."""
+    return relational.pocp_of_shared(supplied(t))
 
 
 @query("pocp_bins")
 def _(t, spark, d):
     from kinfold.operators.iterative import bins
 
-    m = _pocp(t).select(F.lit(0).cast("long").alias("set_id"), "ga", "gb", F.col("pocp").alias("aai"))
-    return bins(m, [20.0]).select("bin", "grp")
+    return bins(_pocp(t).withColumn("aai", F.col("pocp")), [20.0]).select("bin", "grp")
+
+
+#: Many sets of very uneven size: one holds a third of the parts, others a few each.
+PART_SET = "CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 + CAST(floor(sqrt(4 * l_partkey)) AS BIGINT) END"
+
+
+@query("pocp_sets", f"""WITH l AS (SELECT DISTINCT {PART_SET} AS set_id, s_nationkey AS g, l_partkey AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    c AS (SELECT a.set_id, a.g AS ga, b.g AS gb, count(*) AS c FROM l a JOIN l b ON a.set_id = b.set_id AND a.item = b.item AND a.g <> b.g GROUP BY ALL),
+    t AS (SELECT set_id, g, count(*) AS total FROM l GROUP BY ALL)
+    SELECT CAST(a.set_id AS VARCHAR) AS part_set, a.g AS ga, b.g AS gb, CASE WHEN a.g = b.g THEN 2 * a.total ELSE 2 * coalesce(c, 0) END AS conserved, a.total + b.total AS items,
+      round(CASE WHEN a.g = b.g THEN 100.0 ELSE 200.0 * coalesce(c, 0) / (a.total + b.total) END, 6) AS pocp
+    FROM t a JOIN t b ON a.set_id = b.set_id LEFT JOIN c ON c.set_id = a.set_id AND c.ga = a.g AND c.gb = b.g""")
+def _(t, spark, d):
+    return relational.pocp_of_shared(supplied(t, PART_SET)).select(F.col("set_id").cast("string").alias("part_set"), "ga", "gb", "conserved", "items", "pocp")
 
 
 # ---- text rules, older pipeline --------------------------------------------------------

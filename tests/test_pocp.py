@@ -1,7 +1,11 @@
 """POCP of whole tables against sets of parts."""
 
+import random
+
 import pandas as pd
+import pytest
 
+from kinfold.operators import relational
 from kinfold.plans import registry, survey_queries
 
 
@@ -18,3 +22,23 @@ def test_pocp_of_all_rows(spark, sf):
 def test_pocp_bins_merge(spark, sf):
     rows = registry.QUERIES["pocp_bins"](spark, sf).collect()
     assert len({r.bin for r in rows}) < len(rows)
+
+
+def test_pocp_of_hits_and_of_shared_items(spark):
+    """Both forms over sets of uneven size, one of them a lone group."""
+    random.seed(1)
+    rows = [(k, g, random.randrange(40)) for k in range(12) for g in range(1 + k % 6) for _ in range(random.randrange(1, 3 + 10 * k))] + [(99, 7, 1), (99, 7, 1)]
+    held = {}
+    for k, g, i in rows:
+        held.setdefault(k, {}).setdefault(g, set()).add(i)
+    want = {
+        (k, a, b): (2 * len(x & y), len(x) + len(y), 100.0 if a == b else 200.0 * len(x & y) / (len(x) + len(y)))
+        for k, groups in held.items()
+        for a, x in groups.items()
+        for b, y in groups.items()
+    }
+    items = spark.createDataFrame(rows, "set_id long, grp long, item long")
+    hits = [(k, a, b, i) for k, groups in held.items() for a, x in groups.items() for b, y in groups.items() for i in x & y if a != b]
+    totals = spark.createDataFrame([(k, g, len(x)) for k, groups in held.items() for g, x in groups.items()], "set_id long, g long, total long")
+    for got in (relational.pocp_of_shared(items), relational.pocp(spark.createDataFrame(hits + hits[:5], "set_id long, ga long, gb long, item long"), totals)):
+        assert {(r.set_id, r.ga, r.gb): (r.conserved, r["items"], pytest.approx(r.pocp)) for r in got.collect()} == want
