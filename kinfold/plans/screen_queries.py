@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalars import classify_pair
-from kinfold.operators import core, evaluation, iterative, orthology, relational, search
+from kinfold.operators import core, evaluation, iterative, orthology, relational, search, sequence_search
 from kinfold.plans import standins
 from kinfold.plans.screen import Screen
 
@@ -162,6 +162,14 @@ def _(spark, d):
     return search.shingle_hits(items, 5, 0.2)
 
 
+@query("sequence_search")
+def _(spark, d):
+    # Texts as sequences of words: every twentieth asks, against all of other sources.
+    docs = standins.table(spark, d, "documents").where("doc_id is not null")
+    items = docs.select(F.lit(0).cast("long").alias("set_id"), F.col("doc_id").alias("item"), F.expr("cast(substr(source, 4) as bigint)").alias("grp"), (F.col("doc_id") % 20 == 0).alias("asks"), sequence_search.words(F.col("text")).alias("codes"))
+    return sequence_search.search(items, sequence_search.WORDS)
+
+
 ALIGNED = """
 , al AS (SELECT q, s, gq, gs, pident, (q + s) % 7 AS gapopen, 2 * pow(10.0, -CAST((q + s) % 12 AS DOUBLE)) AS evalue,
   40 + (q * s) % 61 AS length, 100 AS qlen, 80 + s % 40 AS slen FROM kept),
