@@ -40,10 +40,10 @@ def fingerprints(items: DataFrame, limits: str) -> DataFrame:
 
 
 def searched(spark: SparkSession, items: DataFrame, search: str, min_hit: float, mark: str) -> DataFrame:
-    """The hits of ``items``, from an earlier run's search of the very same items if it ended."""
+    """The hits of ``items`` that a screen needs, from an earlier run's search of the very same items if it ended."""
     path, log = f"{mark}/hits/{search}", f"{mark}/searches"
     if existing(spark, log, SEARCHES).where(F.col("search") == search).isEmpty():
-        vector_hits(items, min_hit).write.mode("overwrite").parquet(path)
+        vector_hits(items, min_hit, best_only=True).write.mode("overwrite").parquet(path)
         ended = spark.read.parquet(path).agg(F.count("*").alias("hits"), F.lit(search).alias("search"))
         ended.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("search").parquet(log)
         LOG.info("searched: %s", search)

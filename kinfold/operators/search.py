@@ -11,13 +11,31 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def vector_hits(items: DataFrame, min_identity: float, block: int = BLOCK) -> DataFrame:
+def best_of(p: np.ndarray, met: np.ndarray, item: np.ndarray, grp: np.ndarray) -> np.ndarray:
+    """Of the cells in ``met``, the highest of each row among the columns of each group, the lower item if equal."""
+    out = np.zeros(p.shape, bool)
+    order = np.lexsort((item, grp))
+    masked = np.where(met[:, order], p[:, order], -np.inf)
+    starts = np.flatnonzero(np.r_[True, grp[order][1:] != grp[order][:-1]])
+    for start, end in zip(starts, np.r_[starts[1:], len(order)]):
+        at = masked[:, start:end].argmax(1)
+        rows = np.flatnonzero(masked[np.arange(len(p)), start + at] > -np.inf)
+        out[rows, order[start + at[rows]]] = True
+    return out
+
+
+def vector_hits(items: DataFrame, min_identity: float, block: int = BLOCK, best_only: bool = False) -> DataFrame:
     """(set_id, q, s, gq, gs, pident, score) of item pairs of different groups, pident = 50 * (1 + cosine).
 
     Every pair of a set is compared, as the search asks, but block against block: an item
     goes to as many tasks as its set has blocks, a task holds two blocks, and pairs below
     ``min_identity`` never leave it. Sets of one block travel together, several to a call,
     and are compared one after another.
+
+    All hits are as many as the similar pairs, which a screen doesn't need. With ``best_only`` a task returns an
+    item's best hit in each other group that its block has (equal ones: the lower item), and that hit turned
+    round: rows follow the items times the groups. The best hits of all are among them, and each item that some item of a
+    group hits is hit here by one of that group, as similarity is the same both ways: a screen comes out alike.
     """
     n = items.groupBy("set_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     x = items.join(n, "set_id").withColumn("b", F.pmod(F.xxhash64("item"), "blocks").cast("int"))
@@ -38,7 +56,11 @@ def vector_hits(items: DataFrame, min_identity: float, block: int = BLOCK) -> Da
         for start, end in zip(starts, np.r_[starts[1:], len(sets)]):
             left, right = (start + np.flatnonzero(b[start:end] == side) for side in (i, j))
             p = 50.0 * (1.0 + v[left] @ v[right].T)
-            a, c = np.nonzero((p >= min_identity) & (grp[left][:, None] != grp[right][None, :]))
+            met = (p >= min_identity) & (grp[left][:, None] != grp[right][None, :])
+            if best_only:
+                chosen = best_of(p, met, item[right], grp[right])
+                met = chosen | (chosen.T if i == j else best_of(p.T, met.T, item[left], grp[left]).T)
+            a, c = np.nonzero(met)
             found.append((left[a], right[c], p[a, c]))
             if i != j:
                 found.append((right[c], left[a], p[a, c]))

@@ -485,7 +485,7 @@ def _(spark, d):
 def _(spark, d):
     s = S(spark, d)
     n = s.groups.groupBy("set_id").agg(F.count("*").alias("n"))
-    return relational.homologs_strict(s.hits, n, 58.0)
+    return relational.homologs_strict(standins.hits(spark, d), n, 58.0)
 
 
 @query("one_to_one_match")

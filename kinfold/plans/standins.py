@@ -25,7 +25,9 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> Screen:
-    return Screen(items(spark, sf_dir).drop("vector"), hits(spark, sf_dir), settings)
+    """The screen of all vectors, from the hits that it needs."""
+    x = items(spark, sf_dir)
+    return Screen(x.drop("vector"), vector_hits(x, MIN_HIT, best_only=True), settings)
 
 
 #: Sets of very uneven size: one holds a third of the vectors, others a few each.
@@ -39,7 +41,7 @@ def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> Screen:
     x = set_items(spark, sf_dir)
-    return Screen(x.drop("vector"), vector_hits(x, MIN_HIT), settings)
+    return Screen(x.drop("vector"), vector_hits(x, MIN_HIT, best_only=True), settings)
 
 
 def aligned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
