@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that one task compares with as many others.
-BLOCK = 2048
+#: Vectors that one task compares with as many others: at least, and at most if a set is large. Products held at a time.
+BLOCK, MOST, TILE = 2048, 65536, 1 << 22
 
 
 def best_of(p: np.ndarray, met: np.ndarray, item: np.ndarray, grp: np.ndarray) -> np.ndarray:
@@ -28,21 +30,23 @@ def vector_hits(items: DataFrame, min_identity: float, block: int = BLOCK, best_
     """(set_id, q, s, gq, gs, pident, score) of item pairs of different groups, pident = 50 * (1 + cosine).
 
     Every pair of a set is compared, as the search asks, but block against block: an item
-    goes to as many tasks as its set has blocks, a task holds two blocks, and pairs below
-    ``min_identity`` never leave it. Sets of one block travel together, several to a call,
-    and are compared one after another.
+    goes to as many tasks as its set has blocks, a task holds two blocks and a tile of their products, and pairs below
+    ``min_identity`` never leave it. A set has blocks of ``block`` items, larger ones once that gives every task slot
+    work, so that what an item sends doesn't grow with its set until blocks have ``MOST`` items. Sets of one block
+    travel together, several to a call, and are compared one after another.
 
     All hits are as many as the similar pairs, which a screen doesn't need. With ``best_only`` a task returns an
     item's best hit in each other group that its block has (equal ones: the lower item), and that hit turned
     round: rows follow the items times the groups. The best hits of all are among them, and each item that some item of a
     group hits is hit here by one of that group, as similarity is the same both ways: a screen comes out alike.
     """
-    n = items.groupBy("set_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    x = items.join(n, "set_id").withColumn("b", F.pmod(F.xxhash64("item"), "blocks").cast("int"))
+    slots = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = F.count("*")
+    blocks = F.least(F.ceil(n / block), F.greatest(F.lit(ceil(sqrt(2 * slots))), F.ceil(n / max(block, MOST)))).cast("int")
+    x = items.join(items.groupBy("set_id").agg(blocks.alias("blocks")), "set_id").withColumn("b", F.pmod(F.xxhash64("item"), "blocks").cast("int"))
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    packs = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = F.col("blocks") == 1
-    pack = F.when(one, F.pmod(F.xxhash64("set_id"), F.lit(packs))).otherwise(F.col("set_id"))
+    pack = F.when(one, F.pmod(F.xxhash64("set_id"), F.lit(4 * slots))).otherwise(F.col("set_id"))
     x = x.select("set_id", one.alias("one"), pack.alias("pack"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "item", "grp", F.col("vector").cast("array<double>").alias("vector"))
 
     def compare(t: pa.Table) -> pa.Table:
@@ -55,16 +59,19 @@ def vector_hits(items: DataFrame, min_identity: float, block: int = BLOCK, best_
         found = []
         for start, end in zip(starts, np.r_[starts[1:], len(sets)]):
             left, right = (start + np.flatnonzero(b[start:end] == side) for side in (i, j))
-            p = 50.0 * (1.0 + v[left] @ v[right].T)
-            met = (p >= min_identity) & (grp[left][:, None] != grp[right][None, :])
-            if best_only:
-                chosen = best_of(p, met, item[right], grp[right])
-                met = chosen | (chosen.T if i == j else best_of(p.T, met.T, item[left], grp[left]).T)
-            a, c = np.nonzero(met)
-            found.append((left[a], right[c], p[a, c]))
-            if i != j:
-                found.append((right[c], left[a], p[a, c]))
-        q, s, p = (np.concatenate(x) for x in zip(*found))
+            for rows, others in ((left, right),) if i == j else ((left, right), (right, left)):
+                step = max(1, TILE // max(1, len(others)))
+                for tile in (rows[k : k + step] for k in range(0, len(rows), step)):
+                    p = 50.0 * (1.0 + v[tile] @ v[others].T)
+                    met = (p >= min_identity) & (grp[tile][:, None] != grp[others][None, :])
+                    a, c = np.nonzero(best_of(p, met, item[others], grp[others]) if best_only else met)
+                    found.append((tile[a], others[c], p[a, c]))
+                    if best_only:
+                        found.append((others[c], tile[a], p[a, c]))
+        q, s, p = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
+        if best_only:
+            _, once = np.unique(q * len(sets) + s, return_index=True)
+            q, s, p = q[once], s[once], p[once]
         return pa.table({"set_id": sets[q], "q": item[q], "s": item[s], "gq": grp[q], "gs": grp[s], "pident": p, "score": p})
 
     return x.groupBy("one", "pack", "i", "j").applyInArrow(compare, "set_id long, q long, s long, gq long, gs long, pident double, score double")
