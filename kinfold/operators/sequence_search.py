@@ -6,7 +6,7 @@ run of diagonals with seeds is aligned in a band around it, from some letters be
 and again with more of them as long as the alignment ends near that limit; a pair's highest-scoring local alignment
 is its hit, with the columns that the screen's filters read.
 
-Spark deals the work: seeds are joined by seed, a seed that very many sequences hold block against block; counts by
+Spark deals the work: seeds are joined by seed, each seed's sequences in several parts; counts by
 diagonal are aggregated before pairs meet their sequences; and sequences that are equal are aligned once, whatever
 their number. Only the alignment of a few pairs at a time is numpy.
 
@@ -29,8 +29,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Ten classes of alike amino acids (fixed values).
 ALIKE = ("LVIM", "C", "A", "G", "ST", "P", "FYW", "EDNQ", "KR", "H")
-#: Diagonals counted together, columns added on either side of a band, pairs aligned at a time, members of a hot seed in a block.
-DIAGONALS, MARGIN, AT_ONCE, BLOCK = 16, 24, 64, 2048
+#: Diagonals counted together, columns added on either side of a band, pairs aligned at a time, parts of a seed's sequences.
+DIAGONALS, MARGIN, AT_ONCE, SALT = 16, 24, 64, 4
 #: Letters aligned before the first and after the last seed; an alignment that ends within ``EDGE`` of them is made again with more.
 AROUND, EDGE = 64, 16
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -47,6 +47,8 @@ class Scheme:
     extend: int = 2
     classes: tuple[str, ...] = ()
     patterns: tuple[str, ...] = ("1110111", "11011011")
+    #: Of as many neighbouring places only the seed of the least hash counts; 1: all do.
+    window: int = 1
     min_seeds: int = 2
     p_match: float = 0.05
     p_alike: float = 0.0
@@ -74,7 +76,8 @@ class Scheme:
 
 
 PROTEIN = Scheme(match=6, alike=2, mismatch=-3, open=9, extend=1, classes=ALIKE, patterns=("11101011", "1101100111"), p_match=0.06, p_alike=0.12, k=0.05)
-WORDS = Scheme()
+#: An exact match of 11 words (8 under the pattern, and 3 places more) holds a seed that both sides choose.
+WORDS = Scheme(patterns=("11011011",), window=4, min_seeds=1)
 
 
 def letters(sequence: Column) -> Column:
@@ -101,8 +104,17 @@ def spaced(codes: np.ndarray, pattern: str) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def chosen(h: np.ndarray, window: int) -> np.ndarray:
+    """Places whose hash is the least of some ``window`` neighbouring ones: two texts that share them choose the same."""
+    if window <= 1 or len(h) <= 1:
+        return np.arange(len(h), dtype="i4")
+    w = min(window, len(h))
+    each = np.lib.stride_tricks.sliding_window_view(h, w)
+    return np.unique(each.argmin(1) + np.arange(len(each))).astype("i4")
+
+
 def seeds(items: DataFrame, scheme: Scheme) -> DataFrame:
-    """(set_id, item, asks, seed, at) of every place of every sequence."""
+    """(set_id, item, asks, seed, at) of every chosen place of every sequence."""
     schema = "set_id long, item long, asks boolean, seed long, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,29 +124,27 @@ def seeds(items: DataFrame, scheme: Scheme) -> DataFrame:
                 codes = batch.column("codes")[row].values.to_numpy(zero_copy_only=False)
                 codes = codes if table is None else table[np.clip(codes, 0, len(table) - 1)]
                 found = [spaced(codes, p) for p in scheme.patterns]
-                h, at = np.concatenate(found).view("i8"), np.concatenate([np.arange(len(x), dtype="i4") for x in found])
+                places = [chosen(x, scheme.window) for x in found]
+                h, at = np.concatenate([x[i] for x, i in zip(found, places)]).view("i8"), np.concatenate(places)
                 same = [pa.repeat(batch.column(c)[row], len(h)) for c in ("set_id", "item", "asks")]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(h), pa.array(at)], ["set_id", "item", "asks", "seed", "at"])
 
     return items.select("set_id", "item", "asks", "codes").mapInArrow(run, schema)
 
 
-def candidates(items: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
+def candidates(items: DataFrame, scheme: Scheme, salt: int = SALT) -> DataFrame:
     """(set_id, q, s, runs) of pairs with enough seeds on neighbouring diagonals.
 
     runs: (band, n, low, high, first, last), the seeds of a band, their lowest and highest diagonal and their first and last place in q.
+    The sequences that hold a seed are dealt to ``salt`` parts, and each of those that ask goes to all of them.
     """
     found = seeds(items, scheme)
-    # A seed of one sequence, or of none that asks, meets nothing; one of very many is joined block against block.
-    held = found.groupBy("set_id", "seed").agg(F.min("item").alias("a"), F.max("item").alias("b"), F.max("asks").alias("asked"), F.count("*").alias("c"))
-    held = held.where("a < b and asked").select("set_id", "seed", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    found = found.join(held, ["set_id", "seed"])
-    own = F.pmod(F.xxhash64("item"), "blocks").cast("int")
-    q = found.where("asks").select("set_id", "seed", F.col("item").alias("q"), F.col("at").alias("qa"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    s = found.select("set_id", "seed", F.col("item").alias("s"), F.col("at").alias("sa"), own.alias("block"))
+    own = F.pmod(F.xxhash64("item"), F.lit(salt)).cast("int")
+    q = found.where("asks").select("set_id", "seed", F.col("item").alias("q"), F.col("at").alias("qa"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("part"))
+    s = found.select("set_id", "seed", F.col("item").alias("s"), F.col("at").alias("sa"), own.alias("part"))
     # A pair of which both ask is aligned once, from its lower item.
     asking = items.where("asks").select("set_id", F.col("item").alias("s"), F.lit(True).alias("s_asks"))
-    met = q.join(s, ["set_id", "seed", "block"]).where("q <> s").select("set_id", "q", "s", "qa", (F.col("sa") - F.col("qa")).alias("d"))
+    met = q.join(s, ["set_id", "seed", "part"]).where("q <> s").select("set_id", "q", "s", "qa", (F.col("sa") - F.col("qa")).alias("d"))
     band = F.floor(F.col("d") / DIAGONALS).cast("int").alias("band")
     runs = met.groupBy("set_id", "q", "s", band).agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.min("qa").alias("first"), F.max("qa").alias("last"))
     pairs = runs.groupBy("set_id", "q", "s").agg(F.array_sort(F.collect_list(F.struct("band", "n", "low", "high", "first", "last"))).alias("runs"))
@@ -294,7 +304,7 @@ def aligned(pairs: DataFrame, items: DataFrame, scheme: Scheme) -> DataFrame:
 # ---- search ----------------------------------------------------------------------------
 
 
-def search(items: DataFrame, scheme: Scheme = WORDS, max_evalue: float = 1e-5, max_targets: int | None = None, block: int = BLOCK) -> DataFrame:
+def search(items: DataFrame, scheme: Scheme = WORDS, max_evalue: float = 1e-5, max_targets: int | None = None, salt: int = SALT) -> DataFrame:
     """Hits of the items that ask, against all items of other groups in their set.
 
     items: (set_id, item, grp, codes [, asks]); without ``asks`` all ask. Returns (set_id, q, s, gq, gs, pident, length, mismatch, gapopen,
@@ -310,7 +320,7 @@ def search(items: DataFrame, scheme: Scheme = WORDS, max_evalue: float = 1e-5, m
     members = each.join(reps.select(*alike, "rep"), alike).select("set_id", "rep", "item", "grp", "asks")
     one = reps.select("set_id", F.col("rep").alias("item"), F.col("asks").alias("rep_asks"))
     distinct = rows.drop("asks", "grp").join(one, ["set_id", "item"]).withColumnRenamed("rep_asks", "asks")
-    found = aligned(candidates(distinct, scheme, block), distinct, scheme)
+    found = aligned(candidates(distinct, scheme, salt), distinct, scheme)
 
     # Both directions of a pair, and each sequence against its copies.
     turned = found.select("set_id", F.col("s").alias("q"), F.col("q").alias("s"), "raw_score", "matches", "length", "gapopen", F.col("sstart").alias("qstart"), F.col("send").alias("qend"), F.col("qstart").alias("sstart"), F.col("qend").alias("send"), F.col("slen").alias("qlen"), F.col("qlen").alias("slen"))

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinfold.operators import orthology, sequence_search as ss
+from kinfold.plans import registry
 
 
 def plain(a, b, scheme):
@@ -136,7 +137,7 @@ def test_search_of_texts(spark):
     texts = [base] * 9 + [base.replace(" ", "  ").upper()] + [f"{say(20)} {passage} {say(30)}" for _ in range(12)] + [say(60) for _ in range(10)] + ["", None, "one two"]
     rows = [(0, i, i % 3, i % 4 == 0, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "set_id long, item long, grp long, asks boolean, text string").withColumn("codes", ss.words(F.col("text")))
-    got = ss.search(df, ss.WORDS, block=4).collect()
+    got = ss.search(df, ss.WORDS, salt=3).collect()
     copies, holders = range(10), range(10, 22)
     want = {(a, b) for side in (copies, holders) for a in side for b in side if a % 4 == 0 and a % 3 != b % 3}
     assert {(r.q, r.s) for r in got} == want
@@ -150,3 +151,23 @@ def test_search_of_texts(spark):
     kept = orthology.hit_filter(ss.search(df, ss.WORDS), max_gapopen=0, max_evalue=1e-5, min_coverage=0.9)
     assert {(r.q, r.s) for r in kept.collect()} == {p for p in want if p[0] < 10}
     assert ss.search(df.where("false")).count() == 0
+
+
+def test_recall_on_texts(spark, sf):
+    """Documents that ask, against those of other sources, in bands as wide as both texts: at least nine in ten hits are found."""
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", ss.words(F.col("text")).alias("codes")).collect() if 0 < len(r.codes) <= 400]
+    got = {(r.q, r.s): r.raw_score for r in registry.QUERIES["sequence_search"](spark, sf).collect()}
+    letters = sum(len(set_) for set_ in (r.codes for r in spark.read.parquet(f"{sf}/documents.parquet").select(ss.words(F.col("text")).alias("codes")).collect()))
+    want = {}
+    for a in (d for d in docs if d.doc_id % 20 == 0):
+        others = [d for d in docs if d.source != a.source]
+        for k in range(0, len(others), 32):
+            some = others[k : k + 32]
+            found = ss.align([np.array(a.codes)] * len(some), [np.array(b.codes) for b in some], [-len(a.codes)] * len(some), 1024, ss.WORDS)
+            for b, row in zip(some, found.tolist()):
+                if ss.WORDS.k * len(a.codes) * letters * exp(-ss.WORDS.decay * row[0]) < 1e-5:
+                    want[a.doc_id, b.doc_id] = row[0]
+    assert len(want) >= 5
+    assert sum(got.get(k, 0) >= 0.98 * v for k, v in want.items()) >= 0.9 * len(want)
+    small = {d.doc_id for d in docs}
+    assert {k for k in got if k[0] in small and k[1] in small} <= set(want)
