@@ -74,7 +74,7 @@ def job2_screen_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survey over all vectors in many sets; the second run finds every set done."""
     at = new_folder(spark, "job2")
     config = {
-        "items": f"{sf_dir}/embeddings.parquet", "set": standins.VECTOR_SET, "item": "vec_id", "group": "label", "vector": "embedding",
+        "items": f"{sf_dir}/embeddings.parquet", "set": standins.VECTOR_SET, "item": "vec_id", "group": "label", "content": "embedding",
         "min_hit": standins.MIN_HIT, "out": f"{at}/out", "mark": f"{at}/mark",
     }
     for _ in range(2):

@@ -2,7 +2,8 @@
 
     python -m jobs.screen_survey jobs/screen_survey.json items=/data/items.parquet out=/data/survey mark=/data/survey-mark
 
-A set's fingerprint covers its items and the limits. Sets whose fingerprint stands in the mark are left as they
+The items are vectors in a table, sequences in a table ("search": "words" or "proteins"), or protein files, a folder a
+set and a file a group ("format": "fasta"). A set's fingerprint covers its items and the limits. Sets whose fingerprint stands in the mark are left as they
 are; all others are searched and screened in one plan, whatever their sizes. The hits of a search are kept under
 the mark by the fingerprint of what was searched, so a run that broke off later finds them again. Reports are
 text, one folder for each report and set; the roll-up has one Parquet folder a set. Only folders of sets that were
@@ -17,16 +18,21 @@ from pyspark.sql import functions as F
 
 from jobs.common import LOG, checked, existing, main
 from kinfold.operators.search import vector_hits
+from kinfold.operators.sequence_search import PROTEIN, WORDS, letters, words
+from kinfold.operators.sequence_search import search as sequence_search
 from kinfold.plans.screen import Screen, Settings
-from kinfold.sinks.screen_reports import HEADERS, WIDE, read_lines, report_lines, summary_lines, write_lines
+from kinfold.sinks.screen_reports import HEADERS, WIDE, core_lines, read_lines, report_lines, summary_lines, write_core, write_lines
+from kinfold.sources.fasta import load_sets, read_records
 
 REQUIRED = {"items": str, "out": str, "mark": str}
 OPTIONAL = {
     "format": "parquet",
-    #: Expressions over the items table: the set and group of an item, its id, its vector.
-    "set": "set_id", "group": "grp", "item": "item", "vector": "vector",
-    #: Identity that a hit needs, and the limits of the screen.
-    "min_hit": 57.5, "limits": {}, "force": False,
+    #: Expressions over the items table: the set and group of an item, its id, its vector or sequence.
+    "set": "set_id", "group": "grp", "item": "item", "content": "vector",
+    #: What is compared and the limits of a hit: identity of vectors, e-value and targets an item of sequences.
+    "search": "vectors", "min_hit": 57.5, "max_evalue": 1e-4, "max_targets": None,
+    #: Limits of the screen; search again what the mark says is done.
+    "limits": {}, "force": False,
 }
 MARK = "fingerprint string, set_id long"
 SEARCHES = "hits long, search string"
@@ -34,16 +40,21 @@ SEARCHES = "hits long, search string"
 
 def fingerprints(items: DataFrame, limits: str) -> DataFrame:
     """(set_id, fingerprint): the number of a set's items, a sum over their hashes, and a hash of the limits; rows in any order."""
-    row = F.xxhash64("item", "grp", "vector").cast("decimal(38,0)")
+    row = F.xxhash64("item", "grp", "content").cast("decimal(38,0)")
     sums = items.groupBy("set_id").agg(F.count("*").alias("n"), F.sum(row).alias("h"))
     return sums.select("set_id", F.concat_ws("-", "n", "h", F.hex(F.xxhash64(F.lit(limits)))).alias("fingerprint"))
 
 
-def searched(spark: SparkSession, items: DataFrame, search: str, min_hit: float, mark: str) -> DataFrame:
+def searched(spark: SparkSession, items: DataFrame, search: str, c: dict) -> DataFrame:
     """The hits of ``items`` that a screen needs, from an earlier run's search of the very same items if it ended."""
-    path, log = f"{mark}/hits/{search}", f"{mark}/searches"
+    path, log = f"{c['mark']}/hits/{search}", f"{c['mark']}/searches"
     if existing(spark, log, SEARCHES).where(F.col("search") == search).isEmpty():
-        vector_hits(items, min_hit, best_only=True).write.mode("overwrite").parquet(path)
+        if c["search"] == "vectors":
+            hits = vector_hits(items.withColumnRenamed("content", "vector"), c["min_hit"], best_only=True)
+        else:
+            code, scheme = {"words": (words, WORDS), "proteins": (letters, PROTEIN)}[c["search"]]
+            hits = sequence_search(items.withColumn("codes", code(F.col("content"))), scheme, c["max_evalue"], c["max_targets"])
+        hits.write.mode("overwrite").parquet(path)
         ended = spark.read.parquet(path).agg(F.count("*").alias("hits"), F.lit(search).alias("search"))
         ended.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("search").parquet(log)
         LOG.info("searched: %s", search)
@@ -52,15 +63,28 @@ def searched(spark: SparkSession, items: DataFrame, search: str, min_hit: float,
     return spark.read.parquet(path)
 
 
+def read_items(spark: SparkSession, c: dict) -> tuple[DataFrame, DataFrame | None]:
+    """((set_id, item, grp, content [, name]), names of groups or None). Rows without a set, id, group or content are left out."""
+    if c["format"] == "fasta":
+        items, groups, refused = load_sets(read_records(spark, c["items"], sets=True))
+        for r in refused.orderBy("set_name").limit(20).collect():  # the log's first lines; the sets are left out of all that follows
+            LOG.warning("set %s is left out: %s", r.set_name, r.note)
+        return items.select("set_id", "item", "grp", F.col("sequence").alias("content"), "name"), groups.select("set_id", "grp", "name")
+    table = spark.read.format(c["format"]).load(c["items"])
+    kind = "array<float>" if c["search"] == "vectors" else "string"
+    items = table.select(*[F.expr(c[k]).cast(t).alias(n) for k, t, n in (("set", "long", "set_id"), ("item", "long", "item"), ("group", "long", "grp"), ("content", kind, "content"))])
+    return items.where("set_id is not null and item is not null and grp is not null and content is not null"), None
+
+
 def run(spark: SparkSession, config: dict) -> dict:
     """Screen what is new; returns what was read and written."""
     c = checked(config, REQUIRED, OPTIONAL)
     settings = Settings(**c["limits"])
-    table = spark.read.format(c["format"]).load(c["items"])
-    items = table.select(*[F.expr(c[k]).cast(t).alias(n) for k, t, n in (("set", "long", "set_id"), ("item", "long", "item"), ("group", "long", "grp"), ("vector", "array<float>", "vector"))])
-    items = items.where("set_id is not null and item is not null and grp is not null and vector is not null")
+    if c["search"] not in ("vectors", "words", "proteins"):
+        raise ValueError("config entry 'search' must be vectors, words or proteins")
+    items, names = read_items(spark, c)
     known = existing(spark, f"{c['mark']}/sets", MARK)
-    found = fingerprints(items, repr((settings, c["min_hit"])))
+    found = fingerprints(items, repr((settings, *(c[k] for k in ("search", "min_hit", "max_evalue", "max_targets")))))
     fresh = found if c["force"] else found.join(known, ["set_id", "fingerprint"], "left_anti")
     # Written before anything else, as the mark itself changes at the end.
     fresh.write.mode("overwrite").parquet(f"{c['mark']}/todo")
@@ -72,16 +96,20 @@ def run(spark: SparkSession, config: dict) -> dict:
     if not n:
         return report
     new = items.join(todo.select("set_id"), "set_id", "left_semi")
-    hits = searched(spark, new, search, c["min_hit"], c["mark"])
+    hits = searched(spark, new, search, c)
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{c['mark']}/work/{name}")
         return spark.read.schema(df.schema).parquet(f"{c['mark']}/work/{name}")
 
-    screen = Screen(keep("items", new.drop("vector")), hits, settings, keep=keep)
+    ids = keep("items", new.select("set_id", "item", "grp"))
+    screen = Screen(ids, hits, settings, names=None if names is None else keep("names", names), keep=keep)
     write_lines(report_lines(screen).unionByName(summary_lines(screen)), f"{c['out']}/reports")
     screen.survey.withColumn("set", F.col("set_id")).repartition("set").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set").parquet(f"{c['out']}/survey")
 
+    if names is not None:
+        write_core(core_lines(screen, new.select("set_id", "item", "name", F.col("content").alias("sequence"))), f"{c['out']}/core_genes")
+
     # A set is done if every report is there and at least one bin has a line.
     lines = read_lines(spark, f"{c['out']}/reports").join(todo.select(F.col("set_id").cast("string").alias("set_id")), "set_id", "left_semi")
     whole = lines.groupBy("set_id").agg(F.count_distinct("report").alias("reports"), F.count_if(F.col("report") == "proposed_bins").alias("bins"), F.count("*").alias("n"))

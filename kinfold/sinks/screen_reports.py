@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators import core
 from kinfold.plans.screen import Screen
 
 #: Reports and their headers (fixed values).
@@ -150,6 +151,26 @@ def summary_lines(s: Screen) -> DataFrame:
     return lines.select("set_id", F.lit("summary").alias("report"), no.cast("int").alias("no"), "line")
 
 
+def core_lines(s: Screen, items: DataFrame) -> DataFrame:
+    """The core's items as (report, set_id, part, no, line): names and sequences of each group, and each ortholog group's sequences.
+
+    items: (set_id, item, name, sequence). Line k of every group's names is the same ortholog group.
+    """
+    table = core.core_table(s.ortholog_groups, s.partner, s.full).join(items.select("set_id", "item", F.col("name").alias("item_name"), "sequence"), ["set_id", "item"])
+    table = table.join(s.names, ["set_id", "grp"]).join(s.ortholog_groups.select("set_id", "group_no", "label"), ["set_id", "group_no"])
+    fasta = F.concat(F.lit(">"), "item_name", F.lit("\n"), "sequence")
+    with_group = F.concat(F.lit(">"), "name", F.lit("|"), "item_name", F.lit("\n"), "sequence")
+    kinds = [("gene_names", F.col("name"), F.col("group_no"), F.col("item_name")), ("per_genome", F.col("name"), F.col("group_no"), fasta), ("ortholog_groups", F.concat(F.lit("group"), "label"), F.col("grp"), with_group)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("report"), part.alias("part"), no.cast("long").alias("no"), line.alias("line")) for k, part, no, line in kinds]))
+    return table.select("set_id", each.alias("x")).select("set_id", "x.*")
+
+
+def write_core(lines: DataFrame, path: str) -> None:
+    """One folder for each kind, set and group (or ortholog group), its lines in order."""
+    rows = lines.repartition("report", "set_id", "part").sortWithinPartitions("report", "set_id", "part", "no")
+    rows.select("report", "set_id", "part", F.col("line").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report", "set_id", "part").text(path)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """One folder for each report and set, its lines in order; folders of other sets stay.
 

@@ -28,14 +28,16 @@ def parse(lines: Iterator[str]) -> Iterator[tuple[str, str, str]]:
         yield head + ("".join(parts),)
 
 
-def read_records(spark: SparkSession, directory: str) -> DataFrame:
+def read_records(spark: SparkSession, directory: str, sets: bool = False) -> DataFrame:
     """(file, position, name, description, sequence) of every FASTA file of a directory; empty sequences go.
 
-    Records are split by Spark's text reader at '\\n>', so large files are read in parallel.
+    Records are split by Spark's text reader at '\\n>', so large files are read in parallel. With ``sets`` each folder of the
+    directory is a set of files, and ``file`` is "<folder>/<file>".
     """
-    t = spark.read.option("lineSep", "\n>").text(directory)
+    t = spark.read.option("lineSep", "\n>").text(f"{directory.rstrip('/')}/*/*" if sets else directory)
+    part = F.split(F.col("_metadata.file_path"), "/")
     t = t.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
+        (F.concat_ws("/", F.element_at(part, -2), F.element_at(part, -1)) if sets else F.element_at(part, -1)).alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("n"),
         F.regexp_replace("value", "\r", "").alias("value"),
@@ -80,6 +82,29 @@ def load_items(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, groups.select("grp", "name", "n_items", "first", "stop")
 
 
+def load_sets(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, groups, refused) of records that ``read_records`` read with ``sets``.
+
+    items: set_id, item, grp, name, description, sequence; groups: set_id, grp, name, set_name, n_items; refused: set_name,
+    note of sets with fewer than two groups or with two files of one stem, which the others don't suffer for. Sets are
+    numbered by a hash of their name, so that a set keeps its number when others come; groups and items
+    are numbered from 0 in their set.
+    """
+    of = F.split_part("file", F.lit("/"), F.lit(1))
+    files = records.groupBy("file").agg(F.count("*").alias("n_items"))
+    files = files.select("file", of.alias("set_name"), stem(F.split_part("file", F.lit("/"), F.lit(2))).alias("name"), "n_items")
+    per_set = files.groupBy("set_name").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
+    note = F.when(F.col("n") < 2, "fewer than two groups with sequences").when(F.col("names") < F.col("n"), "two files have the same stem")
+    per_set = per_set.withColumn("note", note)
+    order = Window.partitionBy("set_name").orderBy("file")
+    good = files.join(per_set.where("note is null").select("set_name"), "set_name", "left_semi")
+    groups = good.select("*", F.xxhash64("set_name").alias("set_id"), (F.row_number().over(order) - 1).cast("long").alias("grp"), (F.sum("n_items").over(order) - F.col("n_items")).alias("before"))
+    items = records.join(groups.select("file", "set_id", "grp", "before"), "file").select(
+        "set_id", (F.col("before") + F.col("position")).cast("long").alias("item"), "grp", "name", "description", "sequence"
+    )
+    return items, groups.select("set_id", "grp", "name", "set_name", "n_items"), per_set.where("note is not null").select("set_name", "note")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

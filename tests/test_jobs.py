@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 import re
 
 import duckdb
@@ -174,7 +175,7 @@ def vectors(sets, change=()):
 
 def survey(spark, tmp_path, sets, change=(), **more):
     spark.createDataFrame(vectors(sets, change), "set_id long, item long, grp long, vector array<float>").write.mode("overwrite").parquet(f"{tmp_path}/items")
-    return screen_survey.run(spark, {"items": f"{tmp_path}/items", "out": f"{tmp_path}/out", "mark": f"{tmp_path}/mark", "min_hit": 50.0, **more})
+    return screen_survey.run(spark, {"items": f"{tmp_path}/items", "out": f"{tmp_path}/out", "mark": f"{tmp_path}/mark", "content": "vector", "min_hit": 50.0, **more})
 
 
 def stamps(tmp_path):
@@ -215,6 +216,42 @@ def test_survey_takes_up_what_is_new(spark, tmp_path, monkeypatch):
     assert survey(spark, tmp_path, range(4), change=(1,), limits={"bin_aai": 70.0})["sets_done"] == 4
 
 
+def test_survey_of_protein_files(spark, tmp_path):
+    """From folders of FASTA to reports: related sets of mutated families, a set of one file, and one of clashing names."""
+    random.seed(2)
+    alphabet = "LVIMCAGSTPFYWEDNQKRH"
+    mutate = lambda seq, rate: "".join(random.choice(alphabet) if random.random() < rate else x for x in seq)
+    files = {"lone/only.faa": [("x", "MKV" * 30)], "clash/a.faa": [("x", "MKV" * 30)], "clash/a.fa": [("x", "MKV" * 30)], "near/notes.txt": [("x", "MM")]}
+    for k, rate in (("near", 0.05), ("far", 0.2)):
+        families = ["".join(random.choice(alphabet) for _ in range(120)) for _ in range(8)]
+        for g in range(4):
+            held = families[: 8 - g] if g < 3 else families[1:4]
+            files[f"{k}/g{g}.faa"] = [(f"{k}{g}_{i}", mutate(f, rate)) for i, f in enumerate(held)]
+    for name, records in files.items():
+        os.makedirs(os.path.dirname(f"{tmp_path}/in/{name}"), exist_ok=True)
+        with open(f"{tmp_path}/in/{name}", "w") as f:
+            f.write("".join(f">{n} a protein\n{s[:60]}\n{s[60:]}\n" for n, s in records))
+    config = {"items": f"{tmp_path}/in", "format": "fasta", "search": "proteins", "out": f"{tmp_path}/out", "mark": f"{tmp_path}/mark", "limits": {"max_gapopen": 3, "max_evalue": 1e-4, "bin_aai": 80.0}}
+    got = screen_survey.run(spark, config)
+    assert got["sets_done"] == 2 and got["items_read"] == sum(len(v) for k, v in files.items() if k[:4] in ("near", "far/") and k.endswith(".faa"))
+    assert screen_survey.run(spark, config)["sets_done"] == 0
+    reports = lines(f"{tmp_path}/out/reports")
+    ids = {k: next(i for r, i in reports if r == "aai_matrix" and float(reports[r, i][1].split("\t")[2]) > low) for k, low in (("near", 85.0),)}
+    near = ids["near"]
+    far = next(i for r, i in reports if i != near)
+    # Families 1 to 3 are everywhere: the core of all four; identities follow the mutations.
+    for i in (near, far):
+        assert any(x == "CORE: 3 items shared by all 4 groups" for x in reports["summary", i])
+        assert reports["homolog_counts", i][1:] == sorted(reports["homolog_counts", i][1:], key=lambda x: int(x.split("\t")[1]))
+    assert reports["proposed_bins", near][1].endswith("g0 g1 g2 g3") and len(reports["proposed_bins", far]) == 5
+    core = lambda kind, part: [x for f in glob.glob(f"{tmp_path}/out/core_genes/report={kind}/set_id={near}/part={part}/part-*") for x in open(f).read().split("\n")[:-1]]
+    names = [core("gene_names", f"g{g}") for g in range(4)]
+    assert all(len(x) == 3 for x in names) and len({tuple(y.split("_")[1] for y in x) for x in names[:3]}) == 1  # the same family in each line
+    sequence = {n: s for v in files.values() for n, s in v}
+    assert core("per_genome", "g1") == [y for n in names[1] for y in (f">{n}", sequence[n])]
+    assert core("ortholog_groups", "group0") == [y for g in range(4) for y in (f">g{g}|{names[g][0]}", sequence[names[g][0]])]
+
+
 def test_configs_are_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="wrong"):
         common.checked({"a": 1, "wrong": 2}, {"a": int}, {})
