@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors that one task compares with as many others: at least, and at most if a set is large. Products held at a time.
-BLOCK, MOST, TILE = 2048, 65536, 1 << 22
+BLOCK, MOST, TILE = 512, 65536, 1 << 22
 
 
 def best_of(p: np.ndarray, met: np.ndarray, item: np.ndarray, grp: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def vector_hits(items: DataFrame, min_identity: float, block: int = BLOCK, best_
     return x.groupBy("one", "pack", "i", "j").applyInArrow(compare, "set_id long, q long, s long, gq long, gs long, pident double, score double")
 
 
-def shingle_hits(items: DataFrame, size: int, min_similarity: float, block: int = BLOCK) -> DataFrame:
+def shingle_hits(items: DataFrame, size: int, min_similarity: float, block: int = 2048) -> DataFrame:
     """(set_id, q, s, gq, gs, score): Jaccard similarity of word shingles of items of different groups.
 
     Every pair at ``min_similarity`` or above is met. Items of equal shingles are one
