@@ -76,12 +76,28 @@ def read_items(spark: SparkSession, c: dict) -> tuple[DataFrame, DataFrame | Non
     return items.where("set_id is not null and item is not null and grp is not null and content is not null"), None
 
 
+def check_limits(c: dict) -> None:
+    """Values that no search can go by, and folders that would overwrite each other, are errors that name the entry."""
+    if c["search"] not in ("vectors", "words", "proteins"):
+        raise ValueError("config entry 'search' must be vectors, words or proteins")
+    if not 0 < c["min_hit"] <= 100:
+        raise ValueError("config entry 'min_hit' must lie in (0, 100]")
+    if c["max_evalue"] <= 0:
+        raise ValueError("config entry 'max_evalue' must be above 0")
+    if c["max_targets"] is not None and c["max_targets"] < 1:
+        raise ValueError("config entry 'max_targets' must be 1 or more")
+    paths = [(k, c[k].rstrip("/") + "/") for k in ("items", "out", "mark")]
+    for k, x in paths:
+        for other, y in paths:
+            if k < other and (x.startswith(y) or y.startswith(x)):
+                raise ValueError(f"config entries {k!r} and {other!r} must not hold each other")
+
+
 def run(spark: SparkSession, config: dict) -> dict:
     """Screen what is new; returns what was read and written."""
     c = checked(config, REQUIRED, OPTIONAL)
     settings = Settings(**c["limits"])
-    if c["search"] not in ("vectors", "words", "proteins"):
-        raise ValueError("config entry 'search' must be vectors, words or proteins")
+    check_limits(c)
     items, names = read_items(spark, c)
     known = existing(spark, f"{c['mark']}/sets", MARK)
     found = fingerprints(items, repr((settings, *(c[k] for k in ("search", "min_hit", "max_evalue", "max_targets")))))

@@ -50,6 +50,14 @@ def reference_group(counts: DataFrame, names: DataFrame) -> DataFrame:
     return counts.join(names, ["set_id", "grp"]).groupBy(*SUB).agg(best.alias("b")).select(*SUB, F.col("b.grp").alias("ref"))
 
 
+def reference_with_homologs(counts: DataFrame, names: DataFrame) -> DataFrame:
+    """``reference_group`` as the older pipeline has it: fails, naming them, if some groups have no homolog in all others."""
+    none = counts.where("homologs = 0").join(names, ["set_id", "grp"]).select("set_id", "name").orderBy("set_id", "name")
+    if found := none.limit(20).collect():  # the message's first names
+        raise ValueError("groups without a homolog in all others: " + ", ".join(f"{r['name']} (set {r['set_id']})" for r in found))
+    return reference_group(counts, names)
+
+
 def core_items(partner: DataFrame, items: DataFrame, subset: DataFrame, ref: DataFrame) -> DataFrame:
     """(set_id, subset_id, ref, item): items of the anchor with a mate in every other group; all of a lone group's."""
     sized = ref.join(_sizes(subset), SUB)

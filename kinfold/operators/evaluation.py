@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,6 +170,51 @@ def bootstrap_median(df: DataFrame, value: str, rounds: int = 5000, seed: int =
     return ranked.agg(F.max(F.when(F.col("p") == int(0.025 * rounds), F.col("m"))).alias("low"), F.max(F.when(F.col("p") == int(0.975 * rounds), F.col("m"))).alias("high"))
 
 
+def kappa_interval(cells: DataFrame, by: str, rounds: int = 2000, seed: int = 20260829) -> DataFrame:
+    """(by, n, kappa, low, high): kappa and its 95 per cent bootstrap interval from (by, tp, fp, fn, tn).
+
+    To draw n rows with replacement is to draw the four cells from a multinomial, so a round costs the same however many
+    rows were counted. Each round of each key has a stream of random numbers of its own (seed, key, round): the
+    result doesn't depend on partitions, and a lost task draws the same again. Rounds without a kappa don't count.
+    """
+    names = ["tp", "fp", "fn", "tn"]
+    x = cells.select(F.col(by).alias("_key"), F.xxhash64(F.col(by)).alias("_h"), *[F.col(c).cast("long").alias(c) for c in names])
+    each = x.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).repartition("_key", F.floor(F.col("_round") / 500))
+    kind = cells.schema[by].dataType.simpleString()
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            drawn = np.zeros((len(f), 4), "i8")
+            for i, (h, r, *counts) in enumerate(zip(f["_h"], f["_round"], *(f[c] for c in names))):
+                n = sum(counts)
+                if n:
+                    rng = np.random.Generator(np.random.Philox(key=[np.uint64(h % (1 << 64)), np.uint64(seed * 1_000_003 + r)]))
+                    drawn[i] = rng.multinomial(n, np.array(counts) / n)
+            yield pd.DataFrame({"_key": f["_key"], **{c: drawn[:, k] for k, c in enumerate(names)}})
+
+    def kappas(df: DataFrame) -> Column:
+        return kappa(*(F.col(c) for c in names))
+
+    values = each.mapInPandas(draw, f"_key {kind}, tp long, fp long, fn long, tn long")
+    values = values.select("_key", kappas(values).alias("k")).where("k is not null and not isnan(k)")
+    # At most ``rounds`` numbers a key.
+    ranked = values.groupBy("_key").agg(F.sort_array(F.collect_list("k")).alias("k"))
+    at = lambda share: F.get("k", F.floor(F.lit(share) * F.size("k")).cast("int"))
+    bounds = ranked.select("_key", at(0.025).alias("low"), at(0.975).alias("high"))
+    out = x.select("_key", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), kappas(x).alias("kappa")).join(bounds, "_key", "left")
+    return out.withColumnRenamed("_key", by)
+
+
+def rounding_crossings(aai: DataFrame, limits: tuple[float, ...], flagged: DataFrame, decimals: int = 2) -> DataFrame:
+    """(pairs, crossings, unflagged): pairs that rounding takes over a limit, and those of them that ``flagged`` lacks (none, if it is right)."""
+    at = F.explode(F.array(*[F.lit(float(x)) for x in limits]))
+    x = aai.where("aai is not null").withColumn("boundary", at)
+    x = x.withColumn("crosses", (F.col("aai") >= F.col("boundary")) != (F.round("aai", decimals) >= F.col("boundary")))
+    known = flagged.select("set_id", "ga", "gb", "boundary", F.lit(True).alias("flag"))
+    x = x.join(known, ["set_id", "ga", "gb", "boundary"], "left")
+    return x.agg(F.count("*").alias("pairs"), F.count_if("crosses").alias("crossings"), F.count_if(F.col("crosses") & F.col("flag").isNull()).alias("unflagged"))
+
+
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """(set_id, threshold, ari, exact_low, exact_high): the lowest threshold of the best index, and where it is 1.
 

@@ -93,10 +93,10 @@ def aai_rollup(aai: DataFrame) -> DataFrame:
     )
 
 
-def boundary_flags(aai: DataFrame, limits: tuple[float, ...], tolerance: float = 1e-9) -> DataFrame:
-    """Pairs whose value at two decimals is a limit, give or take ``tolerance``."""
+def boundary_flags(aai: DataFrame, limits: tuple[float, ...], tolerance: float = 1e-9, decimals: int = 2) -> DataFrame:
+    """Pairs whose rounded value is a limit, give or take ``tolerance``."""
     at = F.explode(F.array(*[F.lit(float(x)) for x in limits]))
-    return aai.withColumn("boundary", at).where(F.abs(F.round("aai", 2) - F.col("boundary")) < tolerance)
+    return aai.withColumn("boundary", at).where(F.abs(F.round("aai", decimals) - F.col("boundary")) < tolerance)
 
 
 def pocp(hits: DataFrame, totals: DataFrame) -> DataFrame:
@@ -154,6 +154,15 @@ def split_recombinant(groups: DataFrame, tests: DataFrame, key: str, alpha: floa
     return groups.join(tests.select(key, "p"), key, "left").withColumn("recombinant", F.coalesce(F.col("p") < alpha, F.lit(False)))
 
 
+def without_recombinant(groups: DataFrame, tests: DataFrame, key: str, alpha: float) -> DataFrame:
+    """The groups that aren't recombinant; fails if all are, as nothing is left to go on with."""
+    split = split_recombinant(groups, tests, key, alpha)
+    n, flagged = split.agg(F.count("*"), F.count_if("recombinant")).first()
+    if n and n == flagged:
+        raise ValueError(f"all {n} groups were flagged as recombinant at alpha {alpha}; take a stricter one")
+    return split.where("not recombinant").drop("recombinant")
+
+
 def homologs_strict(hits: DataFrame, n_groups: DataFrame, min_identity: float) -> DataFrame:
     """Items hit by every other group at ``min_identity`` or more."""
     k = hits.where(F.col("pident") >= min_identity).groupBy("set_id", "s", "gs").agg(F.count_distinct("gq").alias("k"))

@@ -470,9 +470,29 @@ def _(spark, d):
     return relational.aai_rollup(S(spark, d).aai)
 
 
-@query("boundary_flags", "SELECT ga, gb, round(aai, 6) AS aai, b AS boundary FROM aai, (VALUES (65.0::DOUBLE), (65.5), (66.0), (66.25)) v(b) WHERE abs(round(aai, 2) - b) < 0.05 + 1e-9")
+#: Limits at every twentieth of a per cent, so that some pairs lie on one.
+FINE = tuple(k / 20 for k in range(1200, 1501))
+
+
+@query("boundary_flags", "SELECT ga, gb, round(aai, 6) AS aai, b AS boundary FROM aai, (SELECT unnest(range(1200, 1501)) / 20 AS b) v WHERE abs(round(aai, 2) - b) < 1e-9")
+def _(spark, d):
+    return relational.boundary_flags(S(spark, d).aai, FINE).select("ga", "gb", "aai", "boundary")
+
+
+@query("boundary_superset", """SELECT count(*) AS pairs, count(*) FILTER ((aai >= b) <> (round(aai, 1) >= b)) AS crossings,
+    count(*) FILTER ((aai >= b) <> (round(aai, 1) >= b) AND NOT abs(round(aai, 1) - b) < 1e-9) AS unflagged FROM aai, (SELECT unnest(range(1200, 1501)) / 20 AS b) v""")
 def _(spark, d):
-    return relational.boundary_flags(S(spark, d).aai, (65.0, 65.5, 66.0, 66.25), 0.05 + 1e-9).select("ga", "gb", "aai", "boundary")
+    # At one decimal, where rounding takes some pairs over a limit: all of them must be flagged.
+    a = S(spark, d).aai
+    return evaluation.rounding_crossings(a, FINE, relational.boundary_flags(a, FINE, decimals=1), decimals=1)
+
+
+@query("bins_of_rounded", clustered("VALUES (65.0)", "SELECT (SELECT count(*) FROM (SELECT list(grp ORDER BY grp) FROM binned GROUP BY bin EXCEPT ALL SELECT list(grp ORDER BY grp) FROM binned GROUP BY bin)) AS only_x, CAST(0 AS BIGINT) AS only_y"))
+def _(spark, d):
+    # Bins of the matrix as it is stored, at two decimals, against those of the full one.
+    s = S(spark, d)
+    stored = s.matrix.withColumn("aai", F.round("aai", 2))
+    return evaluation.partition_equal(s.bins.select("set_id", "bin", "grp"), iterative.bins(stored, [65.0]).select("set_id", "bin", "grp"))
 
 
 @query("aai_histogram", """SELECT b * 0.5 + 60 AS bin_low, n, round(n / max(n) OVER (), 6) AS relative FROM (

@@ -115,6 +115,11 @@ def _(t, spark, d):
     return both.select("x", "y", scalars.overlap(F.col("low_x"), F.col("high_x"), F.col("low_y"), F.col("high_y")).alias("overlap"))
 
 
+@query("kappa_interval")
+def _(t, spark, d):
+    return evaluation.kappa_interval(evaluation.confusion(judged(spark, d), F.col("predicted"), F.col("actual"), ["lang"]), "lang")
+
+
 @query("metrics_rollup", f"WITH {JUDGED} SELECT coalesce(lang, 'All') AS domain, {CONF} FROM j GROUP BY ROLLUP (lang)")
 def _(t, spark, d):
     p, a = F.col("predicted"), F.col("actual")
@@ -123,14 +128,18 @@ def _(t, spark, d):
     ).select(F.coalesce("lang", F.lit("All")).alias("domain"), "tp", "fp", "fn", "tn")
 
 
-@query("singleton_check", """WITH s AS (SELECT source, lang FROM documents GROUP BY source, lang HAVING count(*) = 1),
-    m AS (SELECT source, lang AS main FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, lang) AS n FROM (SELECT source, lang, count(*) AS c FROM documents GROUP BY source, lang)) WHERE n = 1)
-    SELECT CASE WHEN main IS NULL THEN 'nodata' WHEN main <> lang THEN 'hit' ELSE 'miss' END AS result, count(*) AS n FROM s LEFT JOIN m USING (source) GROUP BY 1""")
+LENGTHS = "SELECT source, n_chars // 500 AS size, doc_id FROM documents"
+
+
+@query("singleton_check", f"""WITH d AS ({LENGTHS}), s AS (SELECT source, size FROM d GROUP BY source, size HAVING count(*) = 1),
+    m AS (SELECT source, size AS main FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, size) AS n FROM (SELECT source, size, count(*) AS c FROM d JOIN labels USING (doc_id) GROUP BY source, size)) WHERE n = 1)
+    SELECT CASE WHEN main IS NULL THEN 'nodata' WHEN main <> size THEN 'hit' ELSE 'miss' END AS result, count(*) AS n FROM s LEFT JOIN m USING (source) GROUP BY 1""")
 def _(t, spark, d):
-    docs = t("documents")
-    lone = docs.groupBy("source", "lang").agg(F.count("*").alias("c")).where("c = 1").select("source", "lang")
-    main = evaluation.majority(docs, "source", "lang").select("source", F.col("lang").alias("main"))
-    r = F.when(F.col("main").isNull(), "nodata").when(F.col("main") != F.col("lang"), "hit").otherwise("miss")
+    # Sizes that one document of a source has alone, against the size that most of its labelled documents have.
+    docs = t("documents").select("source", F.floor(F.col("n_chars") / 500).alias("size"), "doc_id")
+    lone = docs.groupBy("source", "size").agg(F.count("*").alias("c")).where("c = 1").select("source", "size")
+    main = evaluation.majority(docs.join(t("labels"), "doc_id"), "source", "size").select("source", F.col("size").alias("main"))
+    r = F.when(F.col("main").isNull(), "nodata").when(F.col("main") != F.col("size"), "hit").otherwise("miss")
     return lone.join(main, "source", "left").groupBy(r.alias("result")).agg(F.count("*").alias("n"))
 
 
@@ -225,9 +234,9 @@ def _(t, spark, d):
     return relational.duplicates(t("orders"), "o_custkey")
 
 
-@query("missing_ids", "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("missing_ids", "SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(t, spark, d):
-    return relational.missing_ids(t("customer").select(F.col("c_custkey").alias("k")), t("orders").select(F.col("o_custkey").alias("k")), "k")
+    return relational.missing_ids(t("documents").select(F.col("doc_id").alias("k")), t("labels").select(F.col("doc_id").alias("k")), "k")
 
 
 @query("partition_valid", """SELECT count(*) FILTER (n > 1) AS repeated, count(*) FILTER (n IS NULL) AS missing FROM nation LEFT JOIN (

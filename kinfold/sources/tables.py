@@ -5,6 +5,7 @@ Missing values ('NA', 'nan', '--', '') become null here and nowhere else.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +76,21 @@ def read_assemblies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_taxonomy(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(accession, lineage) of several headerless files, prefixes of accessions stripped; a later file adds its rows."""
-    f = spark.read.text(paths).select(F.split("value", "\t", 2).alias("f")).where(F.size("f") == 2)
+    """(accession, lineage) of several headerless files, prefixes of accessions stripped; a later file adds its rows.
+
+    A file that isn't there is left out; if none is there, that is an error.
+    """
+    found = []
+    for path in paths:
+        try:
+            found.append(spark.read.text(path))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or "") or (path == paths[-1] and not found):
+                raise
+    lines = found[0]
+    for more in found[1:]:
+        lines = lines.unionByName(more)
+    f = lines.select(F.split("value", "\t", 2).alias("f")).where(F.size("f") == 2)
     return f.select(plain_accession(F.col("f")[0]).alias("accession"), F.trim(F.col("f")[1]).alias("lineage"))
 
 

@@ -257,6 +257,10 @@ def test_configs_are_checked(spark, tmp_path):
         common.checked({"a": 1, "wrong": 2}, {"a": int}, {})
     with pytest.raises(ValueError, match="'a'"):
         common.checked({}, {"a": int}, {})
+    paths = {"items": "/a/x", "out": "/a/y", "mark": "/a/z"}
+    for wrong in ({"search": "letters"}, {"min_hit": 0}, {"max_evalue": 0}, {"max_targets": 0}, {"out": "/a/x/out"}, {"mark": "/a"}):
+        with pytest.raises(ValueError, match="config entr"):
+            screen_survey.run(spark, {**paths, **wrong})
     with pytest.raises(ValueError, match="bin_aai"):
         screen_survey.run(spark, {"items": "x", "out": "y", "mark": "z", "limits": {"bin_aai": 200}})
 

@@ -19,9 +19,22 @@ def test_pocp_of_all_rows(spark, sf):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_pocp_bins_merge(spark, sf):
-    rows = registry.QUERIES["pocp_bins"](spark, sf).collect()
-    assert len({r.bin for r in rows}) < len(rows)
+def test_pocp_bins(spark, sf):
+    """Complete linkage of the whole tables' POCP, by a plain loop over all pairs of bins."""
+    t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    p = {(r.ga, r.gb): r.pocp for r in survey_queries._pocp(t).collect()}
+    bins = [[g] for g in sorted({a for a, _ in p})]
+    while True:
+        link = lambda x, y: min(p[a, b] for a in x for b in y)
+        best = max(((link(x, y), -i, -j) for i, x in enumerate(bins) for j, y in enumerate(bins) if i < j), default=(0, 0, 0))
+        if best[0] < 20:
+            break
+        i, j = -best[1], -best[2]
+        bins[i] = sorted(bins[i] + bins.pop(j))
+        bins.sort()
+    want = {(k + 1, g) for k, b in enumerate(sorted(bins, key=lambda b: (-len(b), b[0]))) for g in b}
+    assert {(r.bin, r.grp) for r in registry.QUERIES["pocp_bins"](spark, sf).collect()} == want
+    assert 1 < len({g for _, g in want})
 
 
 def test_pocp_of_hits_and_of_shared_items(spark):
