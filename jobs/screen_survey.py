@@ -13,6 +13,8 @@ then a rerun does it again, with the same result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,16 @@ def fingerprints(items: DataFrame, limits: str) -> DataFrame:
     return sums.select("set_id", F.concat_ws("-", "n", "h", F.hex(F.xxhash64(F.lit(limits)))).alias("fingerprint"))
 
 
+def keeper(spark: SparkSession, path: str) -> Callable[[str, DataFrame], DataFrame]:
+    """Writes a table under ``path``, in place of an earlier run's, and reads it back."""
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return keep
+
+
 def searched(spark: SparkSession, items: DataFrame, search: str, c: dict) -> DataFrame:
     """The hits of ``items`` that a screen needs, from an earlier run's search of the very same items if it ended."""
     path, log = f"{c['mark']}/hits/{search}", f"{c['mark']}/searches"
@@ -53,7 +65,7 @@ def searched(spark: SparkSession, items: DataFrame, search: str, c: dict) -> Dat
             hits = vector_hits(items.withColumnRenamed("content", "vector"), c["min_hit"], best_only=True)
         else:
             code, scheme = {"words": (words, WORDS), "proteins": (letters, PROTEIN)}[c["search"]]
-            hits = sequence_search(items.withColumn("codes", code(F.col("content"))), scheme, c["max_evalue"], c["max_targets"])
+            hits = sequence_search(items.withColumn("codes", code(F.col("content"))), scheme, c["max_evalue"], c["max_targets"], keep=keeper(spark, f"{c['mark']}/search"))
         hits.write.mode("overwrite").parquet(path)
         ended = spark.read.parquet(path).agg(F.count("*").alias("hits"), F.lit(search).alias("search"))
         ended.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("search").parquet(log)
@@ -114,10 +126,7 @@ def run(spark: SparkSession, config: dict) -> dict:
     new = items.join(todo.select("set_id"), "set_id", "left_semi")
     hits = searched(spark, new, search, c)
 
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{c['mark']}/work/{name}")
-        return spark.read.schema(df.schema).parquet(f"{c['mark']}/work/{name}")
-
+    keep = keeper(spark, f"{c['mark']}/work")
     ids = keep("items", new.select("set_id", "item", "grp"))
     screen = Screen(ids, hits, settings, names=None if names is None else keep("names", names), keep=keep)
     write_lines(report_lines(screen).unionByName(summary_lines(screen)), f"{c['out']}/reports")

@@ -11,12 +11,13 @@ diagonal are aggregated before pairs meet their sequences; and sequences that ar
 their number. Only the alignment of a few pairs at a time is numpy.
 
 Defined results: a null, empty or very short sequence has no seeds and no hits but counts for nothing else. Hits
-within a group are left out, as the screen has no use for them. Repeated rows of one item are one item.
+within a group are left out, as the screen has no use for them. Repeated rows of one item are one item; if their sequences
+differ, one of them counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import exp, log
 
@@ -82,12 +83,12 @@ WORDS = Scheme(patterns=("11011011",), window=4, min_seeds=1)
 
 def letters(sequence: Column) -> Column:
     """The codes of a string's letters, upper-cased."""
-    return F.transform(F.split(F.upper(sequence), ""), lambda x: F.ascii(x).cast("long"))
+    return F.transform(F.split(F.upper(sequence), ""), lambda x: F.ascii(x))
 
 
 def words(text: Column) -> Column:
-    """The codes of a text's words, lower-cased."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.xxhash64(x))
+    """The codes of a text's words, lower-cased: 32 bits of a hash, which is what travels of a text."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.hash(x))
 
 
 # ---- seeds -----------------------------------------------------------------------------
@@ -99,7 +100,7 @@ def spaced(codes: np.ndarray, pattern: str) -> np.ndarray:
     h = np.full(max(n, 0), len(pattern) * 31 + sum(1 << i for i, x in enumerate(pattern) if x == "1"), "u8")
     for i, x in enumerate(pattern):
         if x == "1" and n > 0:
-            h = h * _ODD + codes[i : i + n].astype("u8")
+            h = h * _ODD + codes[i : i + n].astype("i8").view("u8")
     h = (h ^ (h >> np.uint64(32))) * _MIX
     return h ^ (h >> np.uint64(29))
 
@@ -133,24 +134,22 @@ def seeds(items: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def candidates(items: DataFrame, scheme: Scheme, salt: int = SALT) -> DataFrame:
-    """(set_id, q, s, runs) of pairs with enough seeds on neighbouring diagonals.
+    """(set_id, q, s, runs) of pairs with enough seeds on neighbouring diagonals. items: (set_id, item, asks, codes), one row a sequence.
 
     runs: (band, n, low, high, first, last), the seeds of a band, their lowest and highest diagonal and their first and last place in q.
     The sequences that hold a seed are dealt to ``salt`` parts, and each of those that ask goes to all of them.
+    A pair of which both ask is met once, from its lower item.
     """
     found = seeds(items, scheme)
     own = F.pmod(F.xxhash64("item"), F.lit(salt)).cast("int")
     q = found.where("asks").select("set_id", "seed", F.col("item").alias("q"), F.col("at").alias("qa"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("part"))
-    s = found.select("set_id", "seed", F.col("item").alias("s"), F.col("at").alias("sa"), own.alias("part"))
-    # A pair of which both ask is aligned once, from its lower item.
-    asking = items.where("asks").select("set_id", F.col("item").alias("s"), F.lit(True).alias("s_asks"))
-    met = q.join(s, ["set_id", "seed", "part"]).where("q <> s").select("set_id", "q", "s", "qa", (F.col("sa") - F.col("qa")).alias("d"))
+    s = found.select("set_id", "seed", F.col("item").alias("s"), F.col("asks").alias("s_asks"), F.col("at").alias("sa"), own.alias("part"))
+    met = q.join(s, ["set_id", "seed", "part"]).where("q < s or q <> s and not s_asks").select("set_id", "q", "s", "qa", (F.col("sa") - F.col("qa")).alias("d"))
     band = F.floor(F.col("d") / DIAGONALS).cast("int").alias("band")
     runs = met.groupBy("set_id", "q", "s", band).agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.min("qa").alias("first"), F.max("qa").alias("last"))
     pairs = runs.groupBy("set_id", "q", "s").agg(F.array_sort(F.collect_list(F.struct("band", "n", "low", "high", "first", "last"))).alias("runs"))
     beside = lambda x, i: F.when(F.get("runs", i + 1)["band"] == x["band"] + 1, F.get("runs", i + 1)["n"]).otherwise(0)
-    enough = F.size(F.filter("runs", lambda x, i: x["n"] + beside(x, i) >= scheme.min_seeds)) > 0
-    return pairs.where(enough).join(asking, ["set_id", "s"], "left").where("q < s or s_asks is null").select("set_id", "q", "s", "runs")
+    return pairs.where(F.size(F.filter("runs", lambda x, i: x["n"] + beside(x, i) >= scheme.min_seeds)) > 0)
 
 
 # ---- alignment -------------------------------------------------------------------------
@@ -304,31 +303,41 @@ def aligned(pairs: DataFrame, items: DataFrame, scheme: Scheme) -> DataFrame:
 # ---- search ----------------------------------------------------------------------------
 
 
-def search(items: DataFrame, scheme: Scheme = WORDS, max_evalue: float = 1e-5, max_targets: int | None = None, salt: int = SALT) -> DataFrame:
+def search(
+    items: DataFrame,
+    scheme: Scheme = WORDS,
+    max_evalue: float = 1e-5,
+    max_targets: int | None = None,
+    salt: int = SALT,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+) -> DataFrame:
     """Hits of the items that ask, against all items of other groups in their set.
 
     items: (set_id, item, grp, codes [, asks]); without ``asks`` all ask. Returns (set_id, q, s, gq, gs, pident, length, mismatch, gapopen,
     qstart, qend, sstart, send, evalue, score, raw_score, qlen, slen), places counted from 1 and score in bits, of hits with an e-value below
     ``max_evalue``. ``max_targets`` keeps a report's best hits of each item, ties by the lower one; without it all are kept.
+    ``keep`` gets the tables that are read more than once, sequences and their copies, and returns them or the same rows read
+    back from where it has written them.
     """
     rows = items if "asks" in items.columns else items.withColumn("asks", F.lit(True))
     rows = rows.where("codes is not null and size(codes) > 0").select("set_id", "item", "grp", F.coalesce("asks", F.lit(False)).alias("asks"), "codes")
-    rows = rows.dropDuplicates(["set_id", "item"])
+    rows = keep("sequences", rows.withColumns({"n": F.size("codes"), "h1": F.xxhash64("codes"), "h2": F.xxhash64(F.lit(1), "codes")}))
+    # Of an item that comes with several sequences the least hash counts. What is grouped here is without sequences.
+    least = F.min(F.struct("h1", "h2", "n", "grp")).alias("x")
+    each = rows.groupBy("set_id", "item").agg(least, F.max("asks").alias("asks")).select("set_id", "item", "asks", "x.*")
     alike = ["set_id", "n", "h1", "h2"]
-    each = rows.select("set_id", "item", "grp", "asks", F.size("codes").alias("n"), F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(1), "codes").alias("h2"))
-    reps = each.groupBy(*alike).agg(F.min("item").alias("rep"), F.max("asks").alias("asks"), F.count("*").alias("copies"))
-    members = each.join(reps.select(*alike, "rep"), alike).select("set_id", "rep", "item", "grp", "asks")
-    one = reps.select("set_id", F.col("rep").alias("item"), F.col("asks").alias("rep_asks"))
-    distinct = rows.drop("asks", "grp").join(one, ["set_id", "item"]).withColumnRenamed("rep_asks", "asks")
-    found = aligned(candidates(distinct, scheme, salt), distinct, scheme)
+    reps = each.groupBy(*alike).agg(F.min("item").alias("rep"), F.max("asks").alias("rep_asks"), F.count("*").alias("copies"))
+    members = keep("members", each.join(reps, alike).select(*alike, "rep", "rep_asks", "copies", "item", "grp", "asks"))
+    one = members.where("item = rep").select("set_id", "item", "h1", "h2", "rep_asks")
+    distinct = keep("distinct", rows.select("set_id", "item", "h1", "h2", "codes").join(one, ["set_id", "item", "h1", "h2"]).select("set_id", "item", F.col("rep_asks").alias("asks"), "codes"))
+    found = keep("alignments", aligned(candidates(distinct, scheme, salt), distinct, scheme).dropDuplicates(["set_id", "q", "s"]))
 
     # Both directions of a pair, and each sequence against its copies.
     turned = found.select("set_id", F.col("s").alias("q"), F.col("q").alias("s"), "raw_score", "matches", "length", "gapopen", F.col("sstart").alias("qstart"), F.col("send").alias("qend"), F.col("qstart").alias("sstart"), F.col("qend").alias("send"), F.col("slen").alias("qlen"), F.col("qlen").alias("slen"))
-    n = F.col("n").cast("int")
-    zero, last = F.lit(0), n - 1
-    same = reps.where("copies > 1").select("set_id", F.col("rep").alias("q"), F.col("rep").alias("s"), (n * scheme.match).alias("raw_score"), n.alias("matches"), n.alias("length"), zero.alias("gapopen"), zero.alias("qstart"), last.alias("qend"), zero.alias("sstart"), last.alias("send"), n.alias("qlen"), n.alias("slen"))
+    zero, n, last = F.lit(0), F.col("n"), F.col("n") - 1
+    same = members.where("item = rep and copies > 1").select("set_id", F.col("rep").alias("q"), F.col("rep").alias("s"), (n * scheme.match).alias("raw_score"), n.alias("matches"), n.alias("length"), zero.alias("gapopen"), zero.alias("qstart"), last.alias("qend"), zero.alias("sstart"), last.alias("send"), n.alias("qlen"), n.alias("slen"))
     links = found.unionByName(turned).unionByName(same)
-    total = each.groupBy("set_id").agg(F.sum("n").alias("letters"))
+    total = members.groupBy("set_id").agg(F.sum("n").alias("letters"))
     links = links.join(total, "set_id").withColumn("evalue", scheme.k * F.col("qlen") * F.col("letters") * F.exp(-scheme.decay * F.col("raw_score"))).where(F.col("evalue") < max_evalue)
     side = lambda name, item, grp, asks: members.where("asks" if asks else "true").select("set_id", F.col("rep").alias(name), F.col("item").alias(item), F.col("grp").alias(grp))
     hits = links.join(side("q", "l", "gq", True), ["set_id", "q"]).join(side("s", "r", "gs", False), ["set_id", "s"]).where("gq <> gs and l <> r")

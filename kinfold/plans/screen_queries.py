@@ -167,7 +167,7 @@ def _(spark, d):
     # Texts as sequences of words: every twentieth asks, against all of other sources.
     docs = standins.table(spark, d, "documents").where("doc_id is not null")
     items = docs.select(F.lit(0).cast("long").alias("set_id"), F.col("doc_id").alias("item"), F.expr("cast(substr(source, 4) as bigint)").alias("grp"), (F.col("doc_id") % 20 == 0).alias("asks"), sequence_search.words(F.col("text")).alias("codes"))
-    return sequence_search.search(items, sequence_search.WORDS)
+    return sequence_search.search(items, sequence_search.WORDS, keep=standins.kept(spark))
 
 
 ALIGNED = """

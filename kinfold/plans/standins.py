@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,18 @@ def screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) ->
     return Screen(x.drop("vector"), vector_hits(x, MIN_HIT, best_only=True), settings)
 
 
+def kept(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
+    """Writes tables to a new folder under spark.checkpoint.dir, or beside the warehouse where it is unset, and reads them back."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kept"
+    at = f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}"
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    return keep
+
+
 #: Sets of very uneven size: one holds a third of the vectors, others a few each.
 VECTOR_SET = "CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 + CAST(floor(sqrt(8 * vec_id)) AS BIGINT) END"
 

@@ -141,6 +141,9 @@ def test_search_of_texts(spark):
     copies, holders = range(10), range(10, 22)
     want = {(a, b) for side in (copies, holders) for a in side for b in side if a % 4 == 0 and a % 3 != b % 3}
     assert {(r.q, r.s) for r in got} == want
+    kept = {}
+    again = ss.search(df.union(df), ss.WORDS, keep=lambda name, x: kept.setdefault(name, x)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got)) and set(kept) == {"sequences", "members", "distinct", "alignments"}
     for r in got:
         if r.q in copies:
             assert (r.pident, r.length, r.qstart, r.send, r.gapopen, r.mismatch) == (100.0, 80, 1, 80, 0, 0)
