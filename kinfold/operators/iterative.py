@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from typing import Any
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -105,29 +105,25 @@ def greedy_removal(hit_from: DataFrame, partner: DataFrame, items: DataFrame, na
 
     Each round leaves out the group that gains the fixed anchor's core most, never the anchor
     (ties: the least), and records the core after the anchor is chosen anew. The first row
-    removes nothing. A set's distinct relations lie in one task.
+    removes nothing. Items that the same groups hit, or hold mates of, are alike here: Spark counts them by that list of groups,
+    and a set's task gets the lists with their counts, not its hits.
     """
-    rel = (
-        hit_from.select("set_id", F.lit("hit").alias("kind"), "item", "grp", "other")
-        .unionByName(partner.select("set_id", F.lit("mate").alias("kind"), "item", "grp", "other").distinct())
-        .unionByName(items.select("set_id", F.lit("item").alias("kind"), "item", "grp", F.col("grp").alias("other")))
-    ).join(names, ["set_id", "grp"])
+    key = ["set_id", "kind", "grp"]
+    rel = hit_from.select("set_id", F.lit("hit").alias("kind"), "grp", "item", "other").unionByName(partner.select("set_id", F.lit("mate").alias("kind"), "grp", "item", "other"))
+    lists = rel.groupBy(*key, "item").agg(F.sort_array(F.collect_set("other")).alias("others")).groupBy(*key, "others").agg(F.count("*").alias("n"))
+    own = items.groupBy("set_id", F.lit("item").alias("kind"), "grp").agg(F.count("*").alias("n")).withColumn("others", F.array("grp"))
+    rel = lists.unionByName(own).join(names, ["set_id", "grp"])
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         sid = pdf["set_id"].iloc[0]
         name = dict(zip(pdf["grp"], pdf["name"]))
-        own: dict[int, list[Any]] = {}
-        rels: dict[str, dict[Any, set[int]]] = {"hit": {}, "mate": {}}
-        for kind, item, grp, other in zip(pdf["kind"], pdf["item"], pdf["grp"], pdf["other"]):
-            if kind == "item":
-                own.setdefault(grp, []).append(item)
-            else:
-                rels[kind].setdefault(item, set()).add(other)
-        none: set[int] = set()
+        counted: dict[tuple[str, int], list[tuple[set[int], int]]] = {}
+        for kind, grp, others, n in zip(pdf["kind"], pdf["grp"], pdf["others"], pdf["n"]):
+            counted.setdefault((kind, grp), []).append((set(others), n))
 
         def full(kind: str, g: int, left: set[int]) -> int:
             need = left - {g}
-            return sum(need <= rels[kind].get(i, none) for i in own.get(g, []))
+            return sum(n for others, n in counted.get((kind if need else "item", g), []) if need <= others)
 
         def anchor(left: set[int]) -> int:
             return min(left, key=lambda g: (full("hit", g, left) if len(left) > 1 else 0, name[g]))
@@ -145,23 +141,26 @@ def greedy_removal(hit_from: DataFrame, partner: DataFrame, items: DataFrame, na
     return rel.groupBy("set_id").applyInPandas(work, "set_id long, retained int, core_size long, removed long")
 
 
-def one_to_one(hits: DataFrame) -> DataFrame:
+def one_to_one(hits: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df.checkpoint()) -> DataFrame:
     """(set_id, gq, gs, q, s, score): hits taken in descending score (ties: q, s) while both sides are free.
 
-    One group pair's hits are one group.
+    A hit that comes first both for its query and for its subject is taken whatever else there is, so each round takes all of
+    those and drops the hits of items that are no longer free, until none is left. No group pair is gathered.
+    ``keep`` cuts the lineage of a round.
     """
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "q", "s"], ascending=[False, True, True])
-        left, right, keep = set(), set(), []
-        for k, q, s in zip(pdf.index, pdf["q"], pdf["s"]):
-            if q not in left and s not in right:
-                left.add(q)
-                right.add(s)
-                keep.append(k)
-        return pdf.loc[keep, ["set_id", "gq", "gs", "q", "s", "score"]]
-
-    return hits.select("set_id", "gq", "gs", "q", "s", "score").groupBy("set_id", "gq", "gs").applyInPandas(work, "set_id long, gq int, gs int, q long, s long, score double")
+    pair = ["set_id", "gq", "gs"]
+    rest = keep("open-0", hits.select(*pair, "q", "s", "score"))
+    taken, round_ = None, 0
+    order = F.struct((-F.col("score")).alias("score"), "q", "s")
+    while not rest.isEmpty():
+        first_q = rest.groupBy(*pair, "q").agg(F.min(order).alias("o")).select(*pair, "o.*")
+        first_s = rest.groupBy(*pair, "s").agg(F.min(order).alias("o")).select(*pair, "o.*")
+        got = first_q.join(first_s, [*pair, "score", "q", "s"], "left_semi").select(*pair, "q", "s", (-F.col("score")).alias("score"))
+        round_ += 1
+        got = keep(f"taken-{round_}", got)
+        taken = got if taken is None else taken.unionByName(got)
+        rest = keep(f"open-{round_}", rest.join(got.select(*pair, "q"), [*pair, "q"], "left_anti").join(got.select(*pair, "s"), [*pair, "s"], "left_anti"))
+    return rest if taken is None else taken
 
 
 def bin_summary(bins: DataFrame) -> DataFrame:

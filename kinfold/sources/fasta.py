@@ -28,13 +28,16 @@ def parse(lines: Iterator[str]) -> Iterator[tuple[str, str, str]]:
         yield head + ("".join(parts),)
 
 
-def read_records(spark: SparkSession, directory: str, sets: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, directory: str, sets: bool = False, only: list[str] | None = None) -> DataFrame:
     """(file, position, name, description, sequence) of every FASTA file of a directory; empty sequences go.
 
     Records are split by Spark's text reader at '\\n>', so large files are read in parallel. With ``sets`` each folder of the
-    directory is a set of files, and ``file`` is "<folder>/<file>".
+    directory is a set of files, and ``file`` is "<folder>/<file>". ``only`` names the files (or with ``sets`` the folders) to read:
+    Spark then opens no other.
     """
-    t = spark.read.option("lineSep", "\n>").text(f"{directory.rstrip('/')}/*/*" if sets else directory)
+    at = directory.rstrip("/")
+    paths = directory if only is None and not sets else [f"{at}/{x}/*" if sets else f"{at}/{x}" for x in (["*"] if only is None else only)]
+    t = spark.read.option("lineSep", "\n>").text(paths)
     part = F.split(F.col("_metadata.file_path"), "/")
     t = t.select(
         (F.concat_ws("/", F.element_at(part, -2), F.element_at(part, -1)) if sets else F.element_at(part, -1)).alias("file"),
@@ -60,6 +63,13 @@ def read_records(spark: SparkSession, directory: str, sets: bool = False) -> Dat
     )
 
 
+def lookup(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records that ``wanted`` (file, name) names; of equal names in a file the first."""
+    first = F.row_number().over(Window.partitionBy("file", "name").orderBy("position"))
+    found = records.join(wanted.select("file", "name").distinct(), ["file", "name"], "left_semi")
+    return found.withColumn("_n", first).where("_n = 1").drop("_n")
+
+
 def load_items(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, groups) with dense ids: groups by sorted file name, items by group and position.
 

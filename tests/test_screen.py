@@ -1,6 +1,7 @@
 """Matches, core sets and diagnostics on a hand-made set, each rule against its case."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,25 @@ def test_one_to_one(spark):
     assert rows(iterative.one_to_one(df), "q", "s") == [(1, 101), (2, 102)]
 
 
+def test_one_to_one_of_random_hits(spark):
+    """Rounds of mutually first hits end where taking hits one by one does, with ties and chains."""
+    rng = random.Random(3)
+    made = [(k, a, b, a * 1000 + rng.randrange(9), b * 1000 + rng.randrange(9), float(rng.randrange(6))) for k in range(2) for a in range(3) for b in range(3) if a != b for _ in range(40)]
+    made += [(5, 0, 1, i, 1000 + i + d, float(50 - 2 * i - d)) for i in range(20) for d in (0, 1)]  # each hit waits for the one before
+    made = [(k, q, s, gq, gs, v, v) for (k, gq, gs, q, s), v in {(k, a, b, q, s): v for k, a, b, q, s, v in made}.items()]
+    want = set()
+    for key in {(k, gq, gs) for k, _, _, gq, gs, _, _ in made}:
+        left, right = set(), set()
+        for k, q, s, gq, gs, _, v in sorted((x for x in made if (x[0], x[3], x[4]) == key), key=lambda x: (-x[6], x[1], x[2])):
+            if q not in left and s not in right:
+                left.add(q)
+                right.add(s)
+                want.add((k, gq, gs, q, s, v))
+    df = spark.createDataFrame(made, "set_id long, q long, s long, gq long, gs long, pident double, score double")
+    assert {tuple(r) for r in iterative.one_to_one(df).collect()} == want
+    assert iterative.one_to_one(df.where("false")).count() == 0
+
+
 def test_settings():
     for bad in ({"min_identity": 101}, {"bin_aai": 0}, {"min_coverage": 2}, {"max_gapopen": -1}, {"max_evalue": 0}):
         with pytest.raises(ValueError):

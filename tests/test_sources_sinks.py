@@ -40,6 +40,24 @@ def test_fasta(spark, proteomes):
     assert sorted(r["item"] for r in items.collect()) == [0, 1, 2, 3]
 
 
+def test_fasta_opens_what_is_asked_for(spark, tmp_path):
+    for k, names in (("x", "ab"), ("y", "ac")):
+        for n in names:
+            os.makedirs(tmp_path / k, exist_ok=True)
+            write(tmp_path / k / f"{n}.faa", f">{k}{n}1 d\nMK\n>{k}{n}2\nLV\n>{k}{n}1\nAA\n")
+    every = fasta.read_records(spark, str(tmp_path), sets=True)
+    assert {r.file for r in every.collect()} == {"x/a.faa", "x/b.faa", "y/a.faa", "y/c.faa"}
+    some = fasta.read_records(spark, str(tmp_path), sets=True, only=["y"])
+    assert {r.file for r in some.collect()} == {"y/a.faa", "y/c.faa"} and len(some.inputFiles()) == 2
+    one = fasta.read_records(spark, str(tmp_path / "x"), only=["b.faa"])
+    assert [r.name for r in one.orderBy("position").collect()] == ["xb1", "xb2", "xb1"] and len(one.inputFiles()) == 1
+    wanted = spark.createDataFrame([("y/a.faa", "ya1"), ("x/b.faa", "xb2"), ("x/b.faa", "none")], "file string, name string")
+    assert sorted((r.name, r.sequence) for r in fasta.lookup(every, wanted).collect()) == [("xb2", "LV"), ("ya1", "MK")]
+    items, groups, refused = fasta.load_sets(every)
+    assert refused.count() == 0 and {(r.set_name, r["name"], r.grp) for r in groups.collect()} == {("x", "a", 0), ("x", "b", 1), ("y", "a", 0), ("y", "c", 1)}
+    assert sorted((r["item"], r["grp"]) for r in items.join(groups.where("set_name = 'y'").select("set_id").distinct(), "set_id").collect()) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1)]
+
+
 def test_fasta_aborts(spark, tmp_path):
     write(tmp_path / "a.fa", ">x\nMM\n")
     with pytest.raises(ValueError, match="two groups"):
