@@ -319,12 +319,12 @@ def _(spark, d):
           FROM near LEFT JOIN loo ON excluded = grp)""",
 )
 def _(spark, d):
-    return S(spark, d).speciation
+    return standins.screen(spark, d, keep=True).speciation
 
 
 @query("leave_one_out", "SELECT excluded, core_size, change FROM loo")
 def _(spark, d):
-    return S(spark, d).leave_one_out.drop("baseline")
+    return standins.screen(spark, d, keep=True).leave_one_out.drop("baseline")
 
 
 @query(
@@ -392,7 +392,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return S(spark, d).bin_report
+    return standins.screen(spark, d, keep=True).bin_report
 
 
 CURVE = "SELECT unnest(range(65, 86))"
@@ -510,7 +510,7 @@ def _(spark, d):
 
 @query("one_to_one_match")
 def _(spark, d):
-    return iterative.one_to_one(standins.hits(spark, d))
+    return iterative.one_to_one(standins.hits(spark, d), standins.kept(spark))
 
 
 @query("verify_core", "SELECT count(*) AS claim, count(*) AS recount FROM cores WHERE sid = -1")

@@ -170,19 +170,19 @@ def _(spark, d):
 
 @query("core_sets", "SELECT k, sid AS subset_id, ref, core_size FROM xs")
 def _(spark, d):
-    s = standins.set_screen(spark, d)
+    s = standins.set_screen(spark, d, keep=True)
     full = s.core_of(s.full).withColumn("subset_id", F.lit(-1).cast("long"))
     return _set(full.unionByName(s.without_each))
 
 
 @query("bins_sets", "SELECT k, bin, size, ref, core_size, round(lo, 6) AS min_aai, round(mean, 6) AS mean_aai, members FROM bins")
 def _(spark, d):
-    return _set(standins.set_screen(spark, d).bin_report)
+    return _set(standins.set_screen(spark, d, keep=True).bin_report)
 
 
 @query("speciation_sets", "SELECT k, grp, nearest, round(aai, 6) AS aai, shared, gain, reading, verdict FROM spec")
 def _(spark, d):
-    return _set(standins.set_screen(spark, d).speciation)
+    return _set(standins.set_screen(spark, d, keep=True).speciation)
 
 
 @query("greedy_sets", "SELECT k, retained, core_size, removed FROM greedy")

@@ -27,10 +27,17 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_hits(items(spark, sf_dir), MIN_HIT)
 
 
-def screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> Screen:
-    """The screen of all vectors, from the hits that it needs."""
-    x = items(spark, sf_dir)
-    return Screen(x.drop("vector"), vector_hits(x, MIN_HIT, best_only=True), settings)
+def screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings(), keep: bool = False) -> Screen:
+    """The screen of all vectors, from the hits that it needs. ``keep`` is for results that take many of its tables: each is made once."""
+    return _screen(spark, items(spark, sf_dir), settings, keep)
+
+
+def _screen(spark: SparkSession, x: DataFrame, settings: Settings, keep: bool) -> Screen:
+    hits_, ids = vector_hits(x, MIN_HIT, best_only=True), x.drop("vector")
+    if not keep:
+        return Screen(ids, hits_, settings)
+    to = kept(spark)
+    return Screen(to("items", ids), to("hits", hits_), settings, keep=to)
 
 
 def kept(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
@@ -54,9 +61,8 @@ def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.expr(VECTOR_SET).cast("long").alias("set_id"), F.col("vec_id").alias("item"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vector"))
 
 
-def set_screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> Screen:
-    x = set_items(spark, sf_dir)
-    return Screen(x.drop("vector"), vector_hits(x, MIN_HIT, best_only=True), settings)
+def set_screen(spark: SparkSession, sf_dir: str, settings: Settings = Settings(), keep: bool = False) -> Screen:
+    return _screen(spark, set_items(spark, sf_dir), settings, keep)
 
 
 def aligned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
