@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalars import classify_pair
-from kinfold.operators import core, evaluation, iterative, orthology, relational, search, sequence_search
+from kinfold.operators import core, evaluation, iterative, orthology, phylogeny, relational, search, sequence_search
 from kinfold.plans import standins
 from kinfold.plans.screen import Screen
 
@@ -513,6 +513,12 @@ def _(spark, d):
     return iterative.one_to_one(standins.hits(spark, d), standins.kept(spark))
 
 
+@query("neighbour_tree")
+def _(spark, d):
+    pairs = S(spark, d).matrix.where("ga < gb")
+    return phylogeny.neighbour_tree(pairs.select("set_id", "ga", "gb", (100.0 - F.col("aai")).alias("distance")))
+
+
 @query("verify_core", "SELECT count(*) AS claim, count(*) AS recount FROM cores WHERE sid = -1")
 def _(spark, d):
     s = S(spark, d)
