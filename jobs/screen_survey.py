@@ -3,7 +3,7 @@
     python -m jobs.screen_survey jobs/screen_survey.json items=/data/items.parquet out=/data/survey mark=/data/survey-mark
 
 The items are vectors in a table, sequences in a table ("search": "words" or "proteins"), or protein files, a folder a
-set and a file a group ("format": "fasta"). A set's fingerprint covers its items and the limits. Sets whose fingerprint stands in the mark are left as they
+set and a file a group ("format": "fasta"); of these the core's names and sequences are written too, and a tree if asked for. A set's fingerprint covers its items and the limits. Sets whose fingerprint stands in the mark are left as they
 are; all others are searched and screened in one plan, whatever their sizes. The hits of a search are kept under
 the mark by the fingerprint of what was searched, so a run that broke off later finds them again. Reports are
 text, one folder for each report and set; the roll-up has one Parquet folder a set. Only folders of sets that were
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import LOG, checked, existing, main
+from kinfold.operators import core, phylogeny
 from kinfold.operators.search import vector_hits
 from kinfold.operators.sequence_search import PROTEIN, WORDS, letters, words
 from kinfold.operators.sequence_search import search as sequence_search
@@ -33,6 +34,8 @@ OPTIONAL = {
     "set": "set_id", "group": "grp", "item": "item", "content": "vector",
     #: What is compared and the limits of a hit: identity of vectors, e-value and targets an item of sequences.
     "search": "vectors", "min_hit": 57.5, "max_evalue": 1e-4, "max_targets": None,
+    #: Of protein files: whether to make a tree of each set's core, and the limit below which a group counts as recombinant and is left out of it.
+    "tree": False, "alpha": 0.05,
     #: Limits of the screen; search again what the mark says is done.
     "limits": {}, "force": False,
 }
@@ -88,6 +91,18 @@ def read_items(spark: SparkSession, c: dict) -> tuple[DataFrame, DataFrame | Non
     return items.where("set_id is not null and item is not null and grp is not null and content is not null"), None
 
 
+def write_trees(screen: Screen, sequences: DataFrame, c: dict, keep: Callable[[str, DataFrame], DataFrame]) -> None:
+    """Align each core group, test it for recombination, and write the tree of each set's other groups; a set whose groups are all recombinant has none."""
+    members = core.core_table(screen.ortholog_groups, screen.partner, screen.full).join(sequences, ["set_id", "item"])
+    aligned = keep("aligned", phylogeny.align_groups(members.select("set_id", "group_no", "grp", "sequence")))
+    tests = keep("recombination", phylogeny.recombination_test(aligned))
+    flagged = tests.where(F.col("p") < c["alpha"]).select("set_id", "group_no")
+    joined = keep("joined", phylogeny.supermatrix_of(aligned.join(flagged, ["set_id", "group_no"], "left_anti")))
+    edges = phylogeny.neighbour_tree(phylogeny.distances(joined)).join(screen.names.select("set_id", F.col("grp").alias("node"), "name"), ["set_id", "node"], "left")
+    for rows, name in ((edges, "trees"), (tests, "recombination")):
+        rows.withColumn("set", F.col("set_id")).repartition("set").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set").parquet(f"{c['out']}/{name}")
+
+
 def check_limits(c: dict) -> None:
     """Values that no search can go by, and folders that would overwrite each other, are errors that name the entry."""
     if c["search"] not in ("vectors", "words", "proteins"):
@@ -133,7 +148,10 @@ def run(spark: SparkSession, config: dict) -> dict:
     screen.survey.withColumn("set", F.col("set_id")).repartition("set").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set").parquet(f"{c['out']}/survey")
 
     if names is not None:
-        write_core(core_lines(screen, new.select("set_id", "item", "name", F.col("content").alias("sequence"))), f"{c['out']}/core_genes")
+        sequences = new.select("set_id", "item", "name", F.col("content").alias("sequence"))
+        write_core(core_lines(screen, sequences), f"{c['out']}/core_genes")
+        if c["tree"]:
+            write_trees(screen, sequences, c, keep)
 
     # A set is done if every report is there and at least one bin has a line.
     lines = read_lines(spark, f"{c['out']}/reports").join(todo.select(F.col("set_id").cast("string").alias("set_id")), "set_id", "left_semi")

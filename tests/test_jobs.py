@@ -231,7 +231,7 @@ def test_survey_of_protein_files(spark, tmp_path):
         os.makedirs(os.path.dirname(f"{tmp_path}/in/{name}"), exist_ok=True)
         with open(f"{tmp_path}/in/{name}", "w") as f:
             f.write("".join(f">{n} a protein\n{s[:60]}\n{s[60:]}\n" for n, s in records))
-    config = {"items": f"{tmp_path}/in", "format": "fasta", "search": "proteins", "out": f"{tmp_path}/out", "mark": f"{tmp_path}/mark", "limits": {"max_gapopen": 3, "max_evalue": 1e-4, "bin_aai": 80.0}}
+    config = {"items": f"{tmp_path}/in", "format": "fasta", "search": "proteins", "out": f"{tmp_path}/out", "mark": f"{tmp_path}/mark", "limits": {"max_gapopen": 3, "max_evalue": 1e-4, "bin_aai": 80.0}, "tree": True}
     got = screen_survey.run(spark, config)
     assert got["sets_done"] == 2 and got["items_read"] == sum(len(v) for k, v in files.items() if k[:4] in ("near", "far/") and k.endswith(".faa"))
     assert screen_survey.run(spark, config)["sets_done"] == 0
@@ -249,6 +249,11 @@ def test_survey_of_protein_files(spark, tmp_path):
     assert all(len(x) == 3 for x in names) and len({tuple(y.split("_")[1] for y in x) for x in names[:3]}) == 1  # the same family in each line
     sequence = {n: s for v in files.values() for n, s in v}
     assert core("per_genome", "g1") == [y for n in names[1] for y in (f">{n}", sequence[n])]
+    trees = spark.read.parquet(f"{tmp_path}/out/trees").collect()
+    for i in (int(near), int(far)):
+        edges = [r for r in trees if r.set_id == i]
+        assert len(edges) == 5 and {r.name for r in edges if r.node >= 0} == {"g0", "g1", "g2", "g3"} and all(r.name is None for r in edges if r.node < 0)
+    assert spark.read.parquet(f"{tmp_path}/out/recombination").where("set_id = " + near).count() == 3
     assert core("ortholog_groups", "group0") == [y for g in range(4) for y in (f">g{g}|{names[g][0]}", sequence[names[g][0]])]
 
 
