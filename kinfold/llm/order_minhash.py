@@ -1,14 +1,17 @@
-"""Near-duplicate documents by Order MinHash, verified by banded alignment.
+"""Near-duplicate documents by Order MinHash, verified by banded alignment of words.
 
 A text's k-mers are its runs of ``K`` words; repeats are told apart by an occurrence label,
 so each labelled k-mer stands once in a text. Each of ``SKETCHES`` hash orders samples the
 ``PICK`` least labelled k-mers and keeps them in text order; two texts agree on a sketch if
-they sampled the same k-mers in the same order. At similarity 0.8 a sketch agrees with
-probability 0.8 ** 3 at least, so a pair agrees on none of 24 with probability 3e-8.
+they sampled the same k-mers in the same order.
 
-A pair's similarity is m / (n1 + n2 - m) with m the most labelled k-mers that both hold in
-the same order; an alignment that reaches the threshold can't leave a band of unmatched
-k-mers, and in the band m is a longest increasing run of positions, found in n log n.
+A pair's similarity is m / (n1 + n2 - m) with n1 and n2 their words and m the most words that both hold in
+the same order: an edit costs the words it touches, where k-mers would lose ``K`` times as many. An alignment that
+reaches the threshold can't leave a band of unmatched words; in the band m is found bit by bit, a text a number.
+
+A changed word spoils up to ``K`` k-mers: of two texts at similarity 0.8 whose changes lie anywhere, 0.38 of the
+k-mers are shared. They agree on a sketch with probability 0.15, and on none of 24 with 0.02; limits of what is aligned
+follow from the same numbers. Texts that differ in fewer places are missed more seldom: at 0.9 fewer than 1 in 10^5.
 
 1. Texts with the same words share a fingerprint; only its least document goes on.
 2. Texts that share a sketch meet in its bucket. Each is compared with the bucket's least
@@ -22,13 +25,13 @@ k-mers, and in the band m is a longest increasing run of positions, found in n l
 
 Defined results: a text of 1 to K-1 words is one k-mer. Texts without words (null and empty
 ones among them) are copies if their characters are equal. Rows with a null doc_id have no
-class. Repeated rows with one doc_id stay together. Other columns are ignored.
+class; ids must be whole numbers (or text that spells them). Repeated rows with one doc_id stay
+together. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from math import comb, sqrt
 
 import numpy as np
@@ -41,21 +44,25 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 from .common import arrow_map, packed, small, staged, text_of, unpacked, worker_cache
 from .components import components
 
-K, SKETCHES, PICK, SIMILARITY = 5, 24, 3, 0.8
-#: Before two texts are aligned they must agree on this many sketches, and share this part of their
-#: outlines (the least k-mer of each of ``CELLS`` hash cells). Of pairs at similarity 0.8 fewer than one
-#: in 10^4 fails: sketches agree with probability 0.51, the outline's share has a deviation of 0.025.
-#: The limits for another similarity follow from the same two distributions.
+K, SKETCHES, PICK, SIMILARITY = 5, 24, 2, 0.8
+#: Cells of an outline: the least k-mer of each of as many hash cells.
 CELLS = 256
 
 
+def shared_kmers(similarity: float) -> float:
+    """The k-mers that two texts of equal length at ``similarity`` share, among all of either, if their changes lie anywhere."""
+    whole = (2 * similarity / (1 + similarity)) ** K
+    return whole / (2 - whole)
+
+
 def limits(similarity: float) -> tuple[int, float]:
     """(sketches, share of the outlines) that all but one in 10^4 pairs at ``similarity`` reach; one sketch at least."""
-    p = similarity**PICK
+    kmers_alike = shared_kmers(similarity)
+    p = kmers_alike**PICK
     tail, agree = 0.0, 0
     while agree < SKETCHES and (tail := tail + comb(SKETCHES, agree) * p**agree * (1 - p) ** (SKETCHES - agree)) < 5e-5:
         agree += 1
-    return max(1, agree), similarity - 4 * sqrt(similarity * (1 - similarity) / CELLS)
+    return max(1, agree), kmers_alike - 4 * sqrt(kmers_alike * (1 - kmers_alike) / CELLS)
 
 
 #: Members of a bucket that one task compares with each other.
@@ -64,8 +71,6 @@ CACHE = 400_000
 WORD = re.compile(r"\w+")
 
 
-
-
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -148,26 +153,39 @@ def outlines(cells: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(cells), "u2").reshape(-1, CELLS)
 
 
+def codes(found: list[str]) -> np.ndarray:
+    """32 bits of each word's hash, in text order."""
+    h = worker_cache("word hashes", _Hashes)
+    return (np.fromiter(map(h.__getitem__, found), "u8", len(found)) >> np.uint64(32)).astype("<u4")
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
-    """Order-sensitive similarity of two labelled k-mer sequences; exact where it reaches ``similarity``."""
+    """Order-sensitive similarity of two word sequences; exact where it reaches ``similarity``.
+
+    Each row of the alignment is one number: bit j is 0 where the row's best gains a word at the other text's word j.
+    A row adds its word's places, within the band, in three operations on the whole number.
+    """
     n = len(a) + len(b)
     if not n:
         return 1.0
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < similarity * len(b):
         return 0.0
-    # m / (n - m) >= s leaves at most n - 2m <= n (1 - s) / (1 + s) unmatched k-mers: the band.
-    band = n * (1 - similarity) / (1 + similarity)
-    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(ia - ib) <= band
-    ib = ib[near][np.argsort(ia[near])]
-    if len(ib) < 2 or (np.diff(ib) > 0).all():
-        m = len(ib)
-    else:
-        tails: list[int] = []
-        for x in ib.tolist():
-            at = bisect_left(tails, x)
-            tails[at : at + 1] = [x]
-        m = len(tails)
+    # m / (n - m) >= s leaves at most n - 2m <= n (1 - s) / (1 + s) unmatched words: the band.
+    band = int(n * (1 - similarity) / (1 + similarity)) + 1
+    x, y = a.tolist(), b.tolist()
+    places: dict[int, int] = {}
+    for j, w in enumerate(y):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    window, rows = (1 << 2 * band + 1) - 1, full
+    for i, w in enumerate(x):
+        here = places.get(w, 0) & (window << i - band if i >= band else window >> band - i)
+        if here:
+            gain = rows & here
+            rows = (rows + gain | rows - gain) & full
+    m = len(y) - rows.bit_count()
     return m / (n - m)
 
 
@@ -190,7 +208,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 w = words(t)
                 out["print"].append(xxhash.xxh3_128_digest("\n".join(w) if w else f"\0{t}"))
                 h = kmers(w)
-                out["n"].append(len(h))
+                out["n"].append(len(w))
                 out["sketch"].append(sketch(h).view("i8") if len(h) else np.zeros(0, "i8"))
                 out["outline"].append(outline(h))
             return out
@@ -218,8 +236,8 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
             same = []
             for a, x, y in zip(rows["a"], rows["text_a"], rows["text_b"]):
                 if last[0] != (a, x):
-                    last[:] = (a, x), kmers(words(x))
-                same.append(bool(aligned(last[1], kmers(words(y)), similarity) >= similarity))
+                    last[:] = (a, x), codes(words(x))
+                same.append(bool(aligned(last[1], codes(words(y)), similarity) >= similarity))
             return {"a": rows["a"], "b": rows["b"], "same": same}
 
         return work
@@ -254,7 +272,7 @@ class _Groups:
         )
         self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
         self.outline = outlines(t.column("outline").to_pylist())
-        self.kmers = [np.frombuffer(x, "<u4") for x in t.column("kmers").to_pylist()]
+        self.words = [np.frombuffer(x, "<u4") for x in t.column("words").to_pylist()]
         fresh = (self.bucket[1:] != self.bucket[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
         self.group = np.r_[0, np.cumsum(fresh)]
         _, self.root = np.unique(root, return_inverse=True)
@@ -270,7 +288,7 @@ class _Groups:
         order = np.argsort(-part, kind="stable")
         for x, y in zip(a[order].tolist(), b[order].tolist()):
             p, q = self.top(self.root[x]), self.top(self.root[y])
-            if p != q and aligned(self.kmers[x], self.kmers[y], self.similarity) >= self.similarity:
+            if p != q and aligned(self.words[x], self.words[y], self.similarity) >= self.similarity:
                 self.above[max(p, q)] = min(p, q)
                 self.links.append((int(min(self.ids[x], self.ids[y])), int(max(self.ids[x], self.ids[y]))))
 
@@ -357,7 +375,7 @@ def links(known: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     )
     spelled = staged(sequences(docs, staged(rows.select("doc_id").distinct(), "open-ids")), "open-texts")
     full = rows.join(sk.select("doc_id", "n", "sketch", "outline").join(spelled, "doc_id"), "doc_id").select(
-        "bucket", "i", "j", "side", "doc_id", "root", "n", "sketch", "outline", "kmers"
+        "bucket", "i", "j", "side", "doc_id", "root", "n", "sketch", "outline", "words"
     )
     # The work grows with the pairs of a bucket, not with its bytes: a number of partitions of its own.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -366,24 +384,17 @@ def links(known: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, kmers) of the wanted documents: 32 bits of each labelled k-mer, in text order, each value once."""
+    """(doc_id, words) of the wanted documents: 32 bits of each word, in text order."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = texts.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    schema = StructType([StructField("doc_id", LongType()), StructField("kmers", BinaryType())])
+    schema = StructType([StructField("doc_id", LongType()), StructField("words", BinaryType())])
 
     def make():
-        return lambda cols: {"doc_id": cols["doc_id"], "kmers": [folded(kmers(words(t))).tobytes() for t in cols["text"]]}
+        return lambda cols: {"doc_id": cols["doc_id"], "words": [codes(words(t)).tobytes() for t in cols["text"]]}
 
     return arrow_map(rows, schema, make)
 
 
-def folded(h: np.ndarray) -> np.ndarray:
-    """32 bits of each hash; of equal ones the first stays."""
-    x = (h >> np.uint64(32)).astype("<u4")
-    _, first = np.unique(x, return_index=True)
-    return x[np.sort(first)]
-
-
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every document with an id; class_id is the least doc_id of the class."""
     every = staged(sketches(docs), "sketches")

@@ -165,16 +165,27 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 30), unique=True, max_size=25), st.lists(st.integers(0, 30), unique=True, max_size=25))
-def test_alignment(x, y):
+def common(x, y):
+    """The most elements that both hold in the same order, cell by cell."""
     table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, j in itertools.product(range(len(x)), range(len(y))):
         table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
-    m = table[-1][-1]
+    return table[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=6), st.randoms(use_true_random=False), st.sampled_from([0.5, 0.8, 0.9]))
+def test_alignment(x, more, rng, similarity):
+    """Sequences with repeats, each with a few edits of the other."""
+    y = list(x)
+    for v in more:
+        k = rng.randrange(len(y) + 1)
+        y[k : k + rng.randrange(2)] = [v] * rng.randrange(2)
+    m = common(x, y)
     want = m / (len(x) + len(y) - m) if x or y else 1.0
-    got = order_minhash.aligned(np.array(x, "u8"), np.array(y, "u8"))
-    assert got <= want + 1e-12 and (want < 0.8 or got == pytest.approx(want))
+    for a, b in ((x, y), (y, x)):
+        got = order_minhash.aligned(np.array(a, "u4"), np.array(b, "u4"), similarity)
+        assert got <= want + 1e-12 and (want < similarity or got == pytest.approx(want))
 
 
 def edited(words, n):
@@ -207,7 +218,7 @@ def test_near_copies(spark, monkeypatch, block, similarity):
         return x
 
     w = [order_minhash.words(t or "") for t in texts]
-    k = [order_minhash.kmers(x) for x in w]
+    k = [order_minhash.codes(x) for x in w]
     for a, b in itertools.combinations(ids, 2):
         same = w[a] == w[b] if w[a] and w[b] else not w[a] and not w[b] and (texts[a] or "") == (texts[b] or "")
         if same or w[a] and w[b] and order_minhash.aligned(k[a], k[b], similarity) >= similarity:
@@ -218,6 +229,28 @@ def test_near_copies(spark, monkeypatch, block, similarity):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in ids if top(i) == i] + ["None"] + (["0"] if top(0) == 0 else []))
 
 
+def test_near_copies_by_edit_similarity(spark):
+    """Pairs of a text and a copy with words replaced, left out and put in anywhere: those at 0.8 and above are found, nearly all."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(3000)}"
+    texts, pairs = [], []
+    for k in range(300):
+        base = [word() for _ in range(rng.randrange(40, 200))]
+        copy = list(base)
+        for _ in range(int(len(base) * rng.choice([0.02, 0.05, 0.08, 0.1]))):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randrange(2)] = [word()] * rng.randrange(2)
+        pairs.append(order_minhash.aligned(order_minhash.codes(base), order_minhash.codes(copy)))
+        texts += [" ".join(base), " ".join(copy)]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    found = [got[2 * k] == got[2 * k + 1] for k in range(300)]
+    for least, share in ((0.8, 0.95), (0.9, 0.99)):
+        right = [f for f, p in zip(found, pairs) if p >= least]
+        assert len(right) > 80 and sum(right) >= share * len(right)
+    assert not any(f for f, p in zip(found, pairs) if p < 0.8)
+    assert all(got[2 * k] // 2 == k for k in range(300))  # nothing else is joined
+
+
 def test_near_copies_of_nothing(spark):
     assert order_minhash.classes(frame(spark, []).where("false")).count() == 0
 
