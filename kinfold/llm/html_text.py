@@ -15,7 +15,8 @@ and they aren't bad by their place.
 Defined results: null, empty and text-free pages give ''. Unclosed tags end with the block
 around them, unclosed comments and scripts with the page. An inline element that is left out
 (a button, an advert's span) leaves the block around it whole. Character references are decoded
-once; white space in a block becomes one space. Nothing is capped; repeated pages repeat.
+once; white space in a block becomes one space. Nothing is capped; repeated pages repeat; an empty
+table gives no rows; columns other than the key, those kept and the html are ignored and may have any name.
 """
 
 from __future__ import annotations

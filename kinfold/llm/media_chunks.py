@@ -18,8 +18,8 @@ The stored form of an object is, for each chunk in order, its digest, its size a
 frame's size as little-endian 32-bit integers, and its frame.
 
 Defined results: null and empty payloads are padding alone. Equal payloads have equal
-values; repeated rows repeat, and a holder's row that is there twice is stored twice. A null doc_id is kept and counts as the least. Other columns
-are ignored. A frame that doesn't give its digest fails the job.
+values; repeated rows repeat, and a holder's row that is there twice is stored twice. A null doc_id is kept and counts as the least; ids
+must be whole numbers (or text that spells them). An empty table gives no rows. Other columns are ignored. A frame that doesn't give its digest fails the job.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ is joined by shuffle. No list spans more than one document.
 Defined results: a null or empty text has no words and no hits. An item without words has
 no phrase. Equal phrases of several items are matched once and credited to each item;
 repeated item rows count once. Documents with a null id are matched like others; repeated
-rows each have the result. Other columns are ignored.
+rows each have the result. Document ids must be whole numbers (or text that spells them). Very long texts
+have long lists, one a word. Empty tables give no rows, or no hits. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -40,7 +40,8 @@ adds up its documents from the answers.
 Defined results: a null or empty text is its end token alone. Rows with a null doc_id are
 scored, in the training part (crc32 of null is none, so they aren't held out) and learned
 from. Repeated rows count and score each. With no training text all probabilities come from
-the spelling's uniform root. Other columns are ignored.
+the spelling's uniform root. Ids must be whole numbers (or text that spells them). An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations

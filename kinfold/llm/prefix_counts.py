@@ -17,7 +17,7 @@ what the vocabulary counts. Special strings inside texts count as one token wher
 and as ordinary text where cut.
 
 Defined results: null and empty texts have 0 tokens and an empty prefix table; repeated
-rows repeat; other columns are not returned.
+rows repeat; an empty table gives no rows; other columns, whatever their names, are not returned.
 """
 
 from __future__ import annotations
