@@ -2,6 +2,11 @@
 
 Each stage takes all that the stage before kept, decides by its operator and returns the
 columns of ``documents``; the last returns what its codec made of each text.
+
+Defined results: a null or empty text scores like an empty one, is one empty line, and is a copy of
+other empty texts, of which the first stays. Rows with a null doc_id pass the filters on their own words and are
+never copies of others. Repeated rows of one id stay or go together. Other columns are handed on as they are,
+whatever their names; ``n_chars``, if there, follows the text. Empty tables give empty results.
 """
 
 from __future__ import annotations
