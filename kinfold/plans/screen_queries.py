@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalars import classify_pair
-from kinfold.operators import core, evaluation, iterative, orthology, phylogeny, relational, search, sequence_search
+from kinfold.operators import core, evaluation, iterative, orthology, pairwise, phylogeny, relational, search, sequence_search
 from kinfold.plans import standins
 from kinfold.plans.screen import Screen
 
@@ -508,11 +508,58 @@ def _(spark, d):
     return relational.homologs_strict(standins.hits(spark, d), n, 58.0)
 
 
-@query("one_to_one_match")
+def one_to_one_sql(edges: str) -> str:
+    """CTEs st and oo: rounds of the edges (gq, gs, q, s, score) that come first for both of their ends."""
+    first = "row_number() OVER (PARTITION BY {0}gq, gs, q ORDER BY score DESC, q, s) AS a, row_number() OVER (PARTITION BY {0}gq, gs, s ORDER BY score DESC, q, s) AS b"
+    taken = f"(SELECT * FROM (SELECT *, {first.format('')} FROM o1) WHERE a = 1 AND b = 1)"
+    return f"""o1(step, gq, gs, q, s, score) AS (
+  SELECT 0, gq, gs, q, s, score FROM {edges}
+  UNION ALL
+  SELECT x.step + 1, x.gq, x.gs, x.q, x.s, x.score FROM o1 x LEFT JOIN {taken} t ON t.gq = x.gq AND t.gs = x.gs AND t.q = x.q
+  LEFT JOIN {taken} u ON u.gq = x.gq AND u.gs = x.gs AND u.s = x.s WHERE t.q IS NULL AND u.q IS NULL),
+oo AS (SELECT gq, gs, q, s, score FROM (SELECT *, {first.format('step, ')} FROM o1) WHERE a = 1 AND b = 1)"""
+
+
+@query("one_to_one_match", f"WITH RECURSIVE {CTES.strip()}, scored AS MATERIALIZED (SELECT gq, gs, q, s, pident AS score FROM kept), {one_to_one_sql('scored')} SELECT gq, gs, q, s, round(score, 6) AS score FROM oo")
 def _(spark, d):
     return iterative.one_to_one(standins.hits(spark, d), standins.kept(spark))
 
 
+#: The older pipeline on the stand-in hits, with limits that leave homologs everywhere.
+OLDER = f"""WITH RECURSIVE {CTES.strip()} {ALIGNED.strip()},
+pr AS MATERIALIZED (SELECT * FROM al WHERE pident >= 57.5 AND gapopen <= 5 AND evalue < 0.5),
+ho AS MATERIALIZED (SELECT gs AS grp, s AS item FROM pr GROUP BY gs, s HAVING count(DISTINCT gq) = (SELECT count(*) - 1 FROM groups)),
+rf AS MATERIALIZED (SELECT grp AS ref FROM (SELECT grp, row_number() OVER (ORDER BY count(*), CAST(grp AS VARCHAR)) AS k FROM ho GROUP BY grp) WHERE k = 1),
+kh AS MATERIALIZED (SELECT pr.* FROM pr JOIN ho ON ho.grp = pr.gs AND ho.item = pr.s),
+rev AS MATERIALIZED (
+  SELECT gq, gs, q, s, pident AS score FROM kh JOIN rf ON gq = ref
+  WHERE EXISTS (SELECT 1 FROM kh f JOIN rf g ON f.gs = g.ref WHERE f.gq = kh.gs AND f.q = kh.s)),
+{one_to_one_sql('rev')}"""
+
+
+def _older(spark, d):
+    s = standins.screen(spark, d)
+    rows = pairwise.pair_rows(standins.aligned_hits(spark, d), 57.5, 5, 0.5)
+    found = pairwise.homologs(rows, s.groups)
+    return s, pairwise.reciprocal_pairs(rows, found, pairwise.reference(found, s.groups, s.names), standins.kept(spark))
+
+
+@query("pair_rows", f"{OLDER} SELECT q, s, gapopen FROM pr")
+def _(spark, d):
+    return pairwise.pair_rows(standins.aligned_hits(spark, d), 57.5, 5, 0.5).select("q", "s", "gapopen")
+
+
+@query("reciprocal_pairs", f"{OLDER} SELECT gq AS ref, gs AS other, q AS item, s AS mate, round(score, 6) AS score FROM oo")
+def _(spark, d):
+    return _older(spark, d)[1]
+
+
+@query("pairwise_core", f"{OLDER} SELECT gq AS ref, q AS item FROM oo GROUP BY gq, q HAVING count(DISTINCT gs) = (SELECT count(*) - 1 FROM groups)")
+def _(spark, d):
+    s, pairs = _older(spark, d)
+    return pairwise.pairwise_core(pairs, s.groups)
+
+
 @query("neighbour_tree")
 def _(spark, d):
     pairs = S(spark, d).matrix.where("ga < gb")
