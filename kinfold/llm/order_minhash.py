@@ -263,7 +263,7 @@ class _Groups:
     """Whole groups of sorted rows: finds the links between components in them."""
 
     #: Open pairs that are gathered before they are aligned.
-    MOST = 500_000
+    MOST = 20_000
 
     def __init__(self, t: pa.Table, similarity: float):
         self.similarity, (self.agree, self.alike) = similarity, limits(similarity)
@@ -277,6 +277,9 @@ class _Groups:
         self.group = np.r_[0, np.cumsum(fresh)]
         _, self.root = np.unique(root, return_inverse=True)
         self.above = [*range(int(self.root.max()) + 1)]
+        #: The component of each row, as far as links have been found.
+        self.now = self.root
+        self.starts = np.flatnonzero(np.r_[True, fresh])
         self.links: list[tuple[int, int]] = []
 
     def top(self, k: int) -> int:
@@ -291,6 +294,11 @@ class _Groups:
             if p != q and aligned(self.words[x], self.words[y], self.similarity) >= self.similarity:
                 self.above[max(p, q)] = min(p, q)
                 self.links.append((int(min(self.ids[x], self.ids[y])), int(max(self.ids[x], self.ids[y]))))
+        self.now = np.array([self.top(k) for k in range(len(self.above))])[self.root]
+
+    def joined(self) -> bool:
+        """Whether each group is a single component."""
+        return bool((np.minimum.reduceat(self.now, self.starts) == np.maximum.reduceat(self.now, self.starts)).all())
 
     def search(self) -> list[tuple[int, int]]:
         """Rows of a group stand together, so pairs at distance 1, 2, ... are looked at for all groups at once."""
@@ -301,7 +309,7 @@ class _Groups:
             if not same.any():
                 break
             low, high = np.minimum(self.n[d:], self.n[:-d]), np.maximum(self.n[d:], self.n[:-d])
-            ok = same & (self.root[d:] != self.root[:-d]) & (low >= self.similarity * high)
+            ok = same & (self.now[d:] != self.now[:-d]) & (low >= self.similarity * high)
             at = np.flatnonzero(ok & ((self.i == self.j)[d:] | (self.side[d:] != self.side[:-d])))
             agree = self.sketch[at] == self.sketch[at + d]
             # A pair belongs to the first bucket that both are in.
@@ -314,6 +322,8 @@ class _Groups:
             if size >= self.MOST:
                 self.align(*map(np.concatenate, zip(*held)))
                 held, size = [], 0
+                if self.joined():
+                    break
         if held:
             self.align(*map(np.concatenate, zip(*held)))
         return self.links
