@@ -66,7 +66,7 @@ def limits(similarity: float) -> tuple[int, float]:
 
 
 #: Members of a bucket that one task compares with each other.
-BLOCK = 4096
+BLOCK = 1024
 CACHE = 400_000
 WORD = re.compile(r"\w+")
 
@@ -189,6 +189,22 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return m / (n - m)
 
 
+def bag(words_: np.ndarray) -> np.ndarray:
+    """The words of a text with their occurrences, sorted: each once."""
+    x = np.sort(words_)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+    label = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+    return x.astype("u8") << np.uint64(32) | label.astype("u8")
+
+
+def at_most(a: np.ndarray, b: np.ndarray) -> float:
+    """A bound of the similarity of two texts from their bags: that of the words they share in any order."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    m = int((both[1:] == both[:-1]).sum())
+    return m / (len(a) + len(b) - m)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, print, n, sketch, outline) of every document with an id."""
     schema = StructType(
@@ -273,6 +289,7 @@ class _Groups:
         self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
         self.outline = outlines(t.column("outline").to_pylist())
         self.words = [np.frombuffer(x, "<u4") for x in t.column("words").to_pylist()]
+        self.bags: dict[int, np.ndarray] = {}
         fresh = (self.bucket[1:] != self.bucket[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
         self.group = np.r_[0, np.cumsum(fresh)]
         _, self.root = np.unique(root, return_inverse=True)
@@ -291,11 +308,20 @@ class _Groups:
         order = np.argsort(-part, kind="stable")
         for x, y in zip(a[order].tolist(), b[order].tolist()):
             p, q = self.top(self.root[x]), self.top(self.root[y])
-            if p != q and aligned(self.words[x], self.words[y], self.similarity) >= self.similarity:
+            if p != q and self.similar(x, y):
                 self.above[max(p, q)] = min(p, q)
                 self.links.append((int(min(self.ids[x], self.ids[y])), int(max(self.ids[x], self.ids[y]))))
         self.now = np.array([self.top(k) for k in range(len(self.above))])[self.root]
 
+    def similar(self, x: int, y: int) -> bool:
+        """The words that two rows share in any order bound what an alignment can find, and are sooner counted."""
+        for k in (x, y):
+            if k not in self.bags:
+                self.bags[k] = bag(self.words[k])
+        if at_most(self.bags[x], self.bags[y]) < self.similarity:
+            return False
+        return aligned(self.words[x], self.words[y], self.similarity) >= self.similarity
+
     def joined(self) -> bool:
         """Whether each group is a single component."""
         return bool((np.minimum.reduceat(self.now, self.starts) == np.maximum.reduceat(self.now, self.starts)).all())

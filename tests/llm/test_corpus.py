@@ -186,6 +186,8 @@ def test_alignment(x, more, rng, similarity):
     for a, b in ((x, y), (y, x)):
         got = order_minhash.aligned(np.array(a, "u4"), np.array(b, "u4"), similarity)
         assert got <= want + 1e-12 and (want < similarity or got == pytest.approx(want))
+    if x and y:
+        assert order_minhash.at_most(*(order_minhash.bag(np.array(t, "u4")) for t in (x, y))) >= want - 1e-12
 
 
 def edited(words, n):
