@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import core, evaluation, relational
+from kinfold.functions import scalars
+from kinfold.operators import core, evaluation, iterative, relational
 from kinfold.sources import tables
 
 
@@ -67,3 +68,23 @@ def test_rounding_crossings(spark):
     assert {(r.ga, r.gb) for r in flags.collect()} == {(1, 2), (2, 3)}
     assert tuple(evaluation.rounding_crossings(aai, (65.0, 95.0), flags).first()) == (6, 1, 0)
     assert tuple(evaluation.rounding_crossings(aai, (65.0, 95.0), flags.where("ga > 1")).first()) == (6, 1, 1)
+
+
+def test_sign_test_of_many_coins(spark):
+    """Against exact fractions, and in time that follows the number of coins: terms of a million were a million sums of as many logs."""
+    from fractions import Fraction
+    from math import comb
+
+    cells = [(k, n) for n in (0, 1, 2, 7, 9, 40, 301) for k in {0, 1, n // 2, n // 2 + 1, n} if k <= n] + [(480, 1000), (1030, 2000), (2000, 2000)]
+    one = lambda rows: spark.createDataFrame(rows, "k long, n long").withColumn("p", scalars.sign_test(F.col("k"), F.col("n"))).collect()
+    for r in one(cells):
+        assert r.p == pytest.approx(float(Fraction(sum(comb(r.n, x) for x in range(r.k, r.n + 1)), 2**r.n)), abs=1e-12)
+    assert [round(r.p, 6) for r in one([(500500, 1000000), (1000, 1000000)])] == [0.158897, 1.0]
+
+
+def test_sets_without_a_rejected_linkage(spark):
+    """A set of one bin has a row of nulls, as the best of nothing; so has one that only missing pairs keep apart."""
+    bins = spark.createDataFrame([(0, 1, 5), (0, 1, 6), (1, 1, 5), (1, 2, 6), (2, 1, 5), (2, 2, 6)], "set_id long, bin int, grp long")
+    matrix = spark.createDataFrame([(0, 5, 6, 70.0), (1, 5, 6, 61.0), (2, 5, 6, None)], "set_id long, ga long, gb long, aai double")
+    got = iterative.best_rejected_linkage(bins, matrix, 65.0).orderBy("set_id").collect()
+    assert [tuple(r) for r in got] == [(0, None, None), (1, 61.0, 4.0), (2, None, None)]
