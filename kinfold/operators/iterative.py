@@ -186,9 +186,12 @@ def bin_pairs(bins: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def best_rejected_linkage(bins: DataFrame, matrix: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, linkage, margin): the closest two bins' farthest pair, missing pairs blocking; margin = threshold - linkage."""
+    """(set_id, linkage, margin) of every set: the closest two bins' farthest pair, missing pairs blocking; margin = threshold - linkage.
+
+    Nulls where a set has one bin, or only bins that missing pairs keep apart.
+    """
     low, high = F.least("bin_a", "bin_b"), F.greatest("bin_a", "bin_b")
     cross = bin_pairs(bins, matrix).where("bin_a <> bin_b")
     link = cross.groupBy("set_id", low.alias("x"), high.alias("y")).agg(F.min(F.coalesce("aai", F.lit(-1e308))).alias("l"))
-    best = link.groupBy("set_id").agg(F.max("l").alias("l"))
+    best = bins.select("set_id").distinct().join(link.groupBy("set_id").agg(F.max("l").alias("l")), "set_id", "left")
     return best.select("set_id", F.when(F.col("l") > -1e308, F.col("l")).alias("linkage")).withColumn("margin", F.lit(float(threshold)) - F.col("linkage"))
