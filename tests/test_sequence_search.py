@@ -174,3 +174,22 @@ def test_recall_on_texts(spark, sf):
     assert sum(got.get(k, 0) >= 0.98 * v for k, v in want.items()) >= 0.9 * len(want)
     small = {d.doc_id for d in docs}
     assert {k for k in got if k[0] in small and k[1] in small} <= set(want)
+
+
+def test_sequences_travel_by_tiles(spark, monkeypatch):
+    """However many pairs meet, a sequence goes to each tile once at most; more tiles, the same alignments."""
+    random.seed(6)
+    passage = [random.randrange(10**6) for _ in range(20)]
+    rows = [(k % 2, i, i % 5 < 3, [random.randrange(50) for _ in range(i % 7)] + passage + [i] * (i % 3)) for k, i in enumerate(range(80))]
+    items = spark.createDataFrame(rows, "set_id long, item long, asks boolean, codes array<int>")
+    pairs = ss.candidates(items, ss.WORDS).cache()
+    one = sorted(map(tuple, ss.aligned(pairs, items, ss.WORDS).collect()))
+    assert len(one) == pairs.count() == 2 * (24 * 23 // 2 + 24 * 16)
+    parts = {r.set_id: (r.queries, r.subjects) for r in ss.grid(items).collect()}
+    most = sum(parts[k][1 - side] for k, _, asks, _ in rows for side in ((0, 1) if asks else (1,)))
+    sent = ss.tiled(pairs, items).where("kind < 2")
+    assert sent.count() == most < pairs.count() and sent.where("codes is null").count() == 0
+    monkeypatch.setattr(ss, "LETTERS", 100)
+    monkeypatch.setattr(ss, "CHOICE", 7)
+    assert all(r.queries > 5 and r.subjects > 5 for r in ss.grid(items).collect())
+    assert sorted(map(tuple, ss.aligned(pairs, items, ss.WORDS).collect())) == one
