@@ -268,7 +268,8 @@ def expand(x: bytes) -> list[bytes]:
 def planes(x: np.ndarray) -> bytes:
     """Whole numbers from 0 as byte planes, as many as the greatest needs, after their number."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T).tobytes()
+    x = x.astype("i8") if x.dtype.kind != "u" and x.dtype.kind != "i" else x
+    return b"".join([bytes([width]), *((x >> 8 * k).astype("u1").tobytes() for k in range(width))])
 
 
 def fixed(lp: np.ndarray) -> np.ndarray:
@@ -328,27 +329,35 @@ class _Block:
         self.size += len(text) + 8
 
     def packed(self, buckets: int) -> tuple[bytes, dict[int, bytes]]:
-        """(the block's texts, its packets by bucket)."""
-        words, flat = [*self.index], np.frombuffer(self.tokens, "u4")
+        """(the block's texts, its packets by bucket). The block lets go of its words and tokens."""
+        words, tokens = [*self.index], np.frombuffer(self.tokens, "u4")
+        self.index, self.tokens = {}, array("I")
         # Words are numbered by bucket, so a packet holds one run of numbers.
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), "i8", len(words))
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
+        bucket = (hashed % np.uint64(buckets)).view("i8")
         order = np.argsort(bucket, kind="stable")
         number = np.empty(len(words), "u4")
         number[order] = np.arange(len(words))
-        words, bucket, flat = [words[k] for k in order.tolist()], bucket[order], number[flat]
+        words, bucket, flat = [words[k] for k in order.tolist()], bucket[order], number[tokens]
+        del tokens
         end = int(number[0])
-        pair, inverse = np.unique(_pair_keys(flat, len(words), end), return_inverse=True)
-        train = np.repeat(~np.array(self.held, bool), self.sizes)
-        counts = np.bincount(inverse[train], minlength=len(pair))
-        del inverse, train
+        key = _pair_keys(flat, len(words), end)
+        train = key[np.repeat(~np.array(self.held, bool), self.sizes)]
+        train.sort()
+        pair = _distinct(key)
+        counts = np.searchsorted(train, pair, "right")
+        counts -= np.searchsorted(train, pair)
+        del key, train
         # Frequent words get small numbers in the stored texts; ``rank`` leads back.
         rank = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         small = np.empty(len(rank), "u4")
         small[rank] = np.arange(len(rank))
         texts = squeeze(planes(small[flat]), planes(rank), planes(np.array([end])))
-        contexts = contexts_of(words)
-        per_word = np.bincount((pair // len(words)).astype("i8"), minlength=len(words))
-        before = (pair % len(words)).astype("i8")
+        del small, flat, rank
+        contexts = hashed[order] >> np.uint64(16)  # as ``contexts_of`` has them
+        per_word = np.bincount((pair // len(words)).view("i8"), minlength=len(words))
+        pair %= np.uint64(len(words))
+        before = pair.view("i8")
         first = np.r_[0, np.cumsum(per_word)]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         packets = {
@@ -368,12 +377,32 @@ def _pair_keys(flat: np.ndarray, words: int, end: int) -> np.ndarray:
     return key
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers, in order. ``x`` is sorted where it lies: with the places of all tokens ``np.unique`` takes six times its memory."""
+    x.sort()
+    return x[_first(x)]
+
+
+def _first(x: np.ndarray) -> np.ndarray:
+    """Whether a sorted number is the first of its like."""
+    first = np.empty(len(x), bool)
+    first[:1] = True
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return first
+
+
 def _pairs_of_block(x: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """(pair number, word number) of each token, and the number of pairs; pairs are in the packets' order."""
     small, rank, end = map(unplanes, expand(x))
-    flat = rank[small]
-    pair, inverse = np.unique(_pair_keys(flat, len(rank), int(end[0])), return_inverse=True)
-    return inverse, flat, len(pair)
+    flat = rank[small].astype("u4")
+    del small
+    key = _pair_keys(flat, len(rank), int(end[0]))
+    order = np.argsort(key)
+    number = np.cumsum(_first(key[order]), dtype="u4")
+    del key
+    at = np.empty(len(order), "u4")
+    at[order] = number - np.uint32(1)
+    return at, flat, int(number[-1])
 
 
 def blocks(docs: DataFrame, buckets: int) -> DataFrame:
