@@ -95,21 +95,19 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + tail - np.log(product)
 
 
-def proposed(c: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tables, odds) of one proposed seating for each dish of ``c`` customers.
+def proposed(last: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, odds) of one proposed seating for each dish of ``last`` customers, those of most first; ``scaled`` is w last^-d.
 
     With i customers at t tables the next one joins them with weight i - d t, or opens a table
-    with weight w ((i + 1) / c)^d: the power stands for what the customers after it will make of
+    with weight w ((i + 1) / last)^d: the power stands for what the customers after it will make of
     one more table. Runs of customers (an eighth of those seated) share one probability, so the
     next opening in a run is one geometric draw. ``odds`` is the logarithm of the seating's weight
     without w^t, less that of its probability here; with t log w it is what ``seat`` compares.
     """
-    order = np.argsort(-c, kind="stable")
-    last, w, key = c[order], w[order], key[order]
-    t, odds = np.minimum(last, 1.0), np.zeros(len(c))
+    t, odds = np.minimum(last, 1.0), np.zeros(len(last))
     # Runs of one customer: all dishes are at the same i, those that are full stand at the end. What the
     # logarithm of the odds adds up is a product until then.
-    scaled, product = w * last**-d, np.ones(len(c))
+    product = np.ones(len(last))
     for i in range(1, 16):
         n = int(np.searchsorted(-last, -i, "left"))
         if not n:
@@ -143,9 +141,7 @@ def proposed(c: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int)
             t[live[done]], odds[live[done]] = tl[done], ol[done]
             go = ~done
             live, i, last, tl, wl, kl, ol = live[go], i[go], last[go], tl[go], wl[go], kl[go], ol[go]
-    back = np.empty(len(order), "i8")
-    back[order] = np.arange(len(order))
-    return t[back], odds[back]
+    return t, odds
 
 
 def seat(c: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int, steps: int = STEPS) -> np.ndarray:
@@ -155,10 +151,12 @@ def seat(c: np.ndarray, w: np.ndarray, d: float, key: np.ndarray, salt: int, ste
     t[two] += uniform(key[two], salt) < w[two] / (w[two] + 1 - d)
     many = np.flatnonzero(c > 2)
     if len(many):
+        many = many[np.argsort(-c[many], kind="stable")]  # once for all proposals
         c, w, key, log_w = c[many].astype("f8"), w[many], key[many], np.log(w[many])
-        now, odds = proposed(c, w, d, key, salt)
+        scaled = w * c**-d
+        now, odds = proposed(c, w, d, key, salt, scaled)
         for k in range(1, steps + 1):
-            new, more = proposed(c, w, d, key, salt + 10_007 * k)
+            new, more = proposed(c, w, d, key, salt + 10_007 * k, scaled)
             take = np.log(np.maximum(uniform(key, salt + 10_007 * k + 7919), 1e-300)) < (new - now) * log_w + more - odds
             now, odds = np.where(take, new, now), np.where(take, more, odds)
         t[many] = now
