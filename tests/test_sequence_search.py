@@ -193,3 +193,60 @@ def test_sequences_travel_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(ss, "CHOICE", 7)
     assert all(r.queries > 5 and r.subjects > 5 for r in ss.grid(items).collect())
     assert sorted(map(tuple, ss.aligned(pairs, items, ss.WORDS).collect())) == one
+
+
+def test_neither_meetings_nor_pairs_travel(spark, monkeypatch):
+    """What seeds meet is counted and aligned in a tile, some at a time; each item has the alignments of its sequence's pairs."""
+    random.seed(8)
+    passages = [[random.randrange(10**6) for _ in range(16)] for _ in range(3)]
+    texts = []
+    for i in range(40):
+        body = [w if random.random() > 0.06 else random.randrange(10**6) for p in random.sample(passages, i % 3) for w in p]
+        cut = random.randrange(1 + len(body))
+        texts.append([random.randrange(30) for _ in range(i % 9)] + body[:cut] + [i] * (i % 4) + body[cut:])
+    rows = [(k % 2, 100 * i + c, (i + c) % 4, (i + c) % 3 < 2, t) for i, t in enumerate(texts) for c in range(1 + (i % 5 == 0) * 3) for k in (i,) if t]
+    items = spark.createDataFrame(rows, "set_id long, item long, grp long, asks boolean, codes array<int>")
+    classes = {}
+    for r in rows:
+        classes.setdefault((r[0], tuple(r[4])), []).append(r)
+    reps = {(k, min(m)[1]): m for (k, _), m in classes.items()}
+    one = spark.createDataFrame([(k, rep, any(x[3] for x in m), m[0][4]) for (k, rep), m in reps.items()], "set_id long, item long, asks boolean, codes array<int>")
+    want = set()
+    for r in ss.aligned(ss.candidates(one, ss.WORDS), one, ss.WORDS).collect():
+        cells = (r.raw_score, r.length, r.gapopen)
+        left, right = (r.qstart + 1, r.qend + 1), (r.sstart + 1, r.send + 1)
+        for x in reps[r.set_id, r.q]:
+            for y in reps[r.set_id, r.s]:
+                if x[2] != y[2]:
+                    want |= {(u[1], v[1], *cells, *p, *q) for u, v, p, q in ((x, y, left, right), (y, x, right, left)) if u[3]}
+    for (k, _), m in reps.items():
+        n = len(m[0][4])
+        want |= {(x[1], y[1], 5 * n, n, 0, 1, n, 1, n) for x in m for y in m if x[3] and x[2] != y[2]}
+    columns = ["q", "s", "raw_score", "length", "gapopen", "qstart", "qend", "sstart", "send"]
+    found = ss.search(items, ss.WORDS, max_evalue=1e12).select(*columns)
+    assert "seed" not in found._jdf.queryExecution().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) > 100 and set(got) == want
+    few = ss.search(items, ss.WORDS, max_evalue=1e-9)
+    limits = {"MEETS": 40, "POOL": 3, "TOGETHER": 4, "HITS": 5, "LETTERS": 100, "AT_ONCE": 2}
+    for name, value in limits.items():
+        monkeypatch.setattr(ss, name, value)
+    again = ss.search(items.union(items), ss.WORDS, max_evalue=1e12)
+    assert {tuple(r) for r in again.select(*columns).collect()} == want and again.count() == len(want)
+    kept = {tuple(r) for r in again.where("evalue < 1e-9").select(*columns).collect()}
+    assert 0 < len(kept) < len(want) and {tuple(r) for r in few.select(*columns).collect()} == kept
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(LETTERS, LETTERS), min_size=1, max_size=6), st.sampled_from([ss.PROTEIN, ss.WORDS, ss.Scheme(match=2, mismatch=-1, open=1, extend=1)]), st.integers(-12, 4), st.integers(1, 40))
+def test_scores_first(pairs, scheme, low, width):
+    """In any band, what scores and sums along a diagonal give is what the alignment of all cells gives."""
+    a, b = ([np.array(p[k], "i4") for p in pairs] for k in (0, 1))
+    flat = np.concatenate([x for p in zip(a, b) for x in p])
+    end = np.cumsum([len(x) for p in zip(a, b) for x in p])
+    start = np.r_[0, end[:-1]]
+    lows = low + np.arange(len(a)) % 3
+    got = ss.banded(flat, ss.absent(flat, 2), (start[::2], end[::2]), (start[1::2], end[1::2]), lows, width, scheme)
+    want = ss.align(a, b, lows.tolist(), width, scheme)
+    want[want[:, 0] == 0] = 0
+    assert got.tolist() == want.tolist()
